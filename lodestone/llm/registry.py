@@ -6,6 +6,7 @@ from .bytecnn import byte_cnn_quality
 from .centroids import centroid_langid
 from .chosenpath import chosen_path_neardup
 from .planes import bitplane_token_ids
+from .tiling import string_tiling
 from .transducer import bpe_transducer
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_bpe_transducer": bpe_transducer,
     "op7_byte_cnn_quality": byte_cnn_quality,
     "op9_centroid_langid": centroid_langid,
+    "op10_string_tiling": string_tiling,
 }
 
 SQL: dict[str, str] = {}
