@@ -105,7 +105,7 @@ def open_out(folder: str, name: str):
     """
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)
-    return store.open_output_stream(f"{path}/{name}", buffer_size=1 << 20)
+    return store.open_output_stream(f"{path}/{name}", compression=None, buffer_size=1 << 20)
 
 
 def open_in(folder: str, name: str):
