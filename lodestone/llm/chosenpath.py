@@ -9,14 +9,17 @@ together with chance s at each branching, so they share a final node of some tre
 with chance 1 - (1 - s**depth)**TREES: at 0.85 over 0.99999 for nodes of one or two
 branchings, 0.9999 at full depth; at 0.8 over 0.9998 and 0.999.
 
-What shares a final node is compared in two steps, both confirmed on full sets.
-First every member with the node's least member; components of the confirmed
-links follow.  Then, in nodes that hold more than one component, exhaustively:
-all pairs of different components, in blocks of ``BLOCK`` members.  Pairs of both
-steps are screened by bounds that a link can't miss (set sizes) or misses with
-chance under 1e-6 (agreement of one bit of each minhash), and the rest confirmed.  Pairs inside a component need no
-look: they can't change it.  No cap or sample: a node of any size is dealt with
-in blocks.
+A final node of at most ``BLOCK`` members is compared exhaustively on sketches: two
+bits of each of the 64 minhashes, and the set sizes.  A link can't miss the bound
+on sizes and misses that on bits with chance under 1e-6.  What passes, and the
+members of any larger final node, make up groups (``candidate_groups``; a spanning
+forest of the pairs is enough).  Every link lies within a group, and a group's
+links are found on full sets (``verified``): blocks of ``BLOCK`` documents are
+compared in one task, and only links that join components come out.  A group of
+one block takes one task.  A larger one first compares each block with itself and
+with block 0, which grows in proportion to the group; then whatever isn't in the
+group's main component yet is compared with everything in the group.  No cap, no
+sample; pairs inside a component need no look, as they can't change it.
 
 Query ``op4_chosen_path_neardup``: one row per row of ``documents``; sets of
 3-word shingles and 100 * intersection >= 85 * union.  Null and blank texts: the
@@ -37,7 +40,7 @@ from .components import connected_components
 TREES, DEPTH = 16, 4
 SMALL = 24
 BLOCK = 256
-#: Standard deviations below the bound at which minhash agreement is screened out.
+#: Standard deviations by which a link's sketch may miss its expectation.
 SCREEN = 5.0
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -96,16 +99,16 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def screen_bits(percent: int) -> int:
-    """How many of the sketch's bits may differ: a link's pairs of bits differ with
-    chance (1 - s) / 2 at most."""
-    p, k = (1 - percent / 100) / 2, TREES * DEPTH
+def screen_tokens(percent: int) -> int:
+    """How many of the sketch's two-bit tokens may differ: a link's differ with
+    chance (1 - s) * 3 / 4 at most."""
+    p, k = (1 - percent / 100) * 0.75, TREES * DEPTH
     return int(k * p + SCREEN * (k * p * (1 - p)) ** 0.5)
 
 
 def signed(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, text_key, n_shingles, the class key (128 bits of the set), the
-    signature and its sketch (one bit of each minhash)."""
+    signature and its sketch (two bits of each minhash, in two numbers)."""
 
     def run(rows):
         import pyarrow as pa
@@ -113,7 +116,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
 
         words = Words()
         for batch in rows:
-            sizes, keys, signatures, sketches = [], [], [], []
+            sizes, keys, signatures, ones, twos = [], [], [], [], []
             for text in text_bytes(batch.column("text")):
                 s = shingles(text, n, words)
                 sizes.append(len(s))
@@ -121,132 +124,217 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                     m = minhashes(s)
                     keys.append(xxhash.xxh128_digest(s.tobytes()))
                     signatures.append(m.tobytes())
-                    sketches.append(int.from_bytes(np.packbits(m & 1).tobytes(), "little", signed=True))
+                    ones.append(int.from_bytes(np.packbits(m & 1).tobytes(), "little", signed=True))
+                    twos.append(int.from_bytes(np.packbits(m >> 1 & 1).tobytes(), "little", signed=True))
                 else:
-                    keys.append(None), signatures.append(None), sketches.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sketches, pa.int64())], ["doc_id", "text_key", "n_shingles", "class_key", "signature", "sketch"])
+                    for column in (keys, signatures, ones, twos):
+                        column.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], ["doc_id", "text_key", "n_shingles", "class_key", "signature", "one", "two"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, class_key binary, signature binary, sketch long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, class_key binary, signature binary, one long, two long")
 
 
 def nodes(reps: DataFrame, work: Workspace, small: int = SMALL) -> DataFrame:
-    """tree, path, rep, n_shingles, sketch: the final nodes with two members at
-    least.  ``reps``: rep, n_shingles, sketch, signature."""
+    """tree, path, members, rep, n_shingles, one, two: the final nodes with two members at
+    least.  ``reps``: rep, n_shingles, one, two, signature."""
     token = lambda t, d: F.substring("signature", 1 + 4 * (t * DEPTH + d), 4)
     paths = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), token(t, 0)).alias("path")) for t in range(TREES))))
-    going = reps.select("rep", "n_shingles", "sketch", paths.alias("p")).select("rep", "n_shingles", "sketch", "p.tree", "p.path")
+    going = reps.select("rep", "n_shingles", "one", "two", paths.alias("p")).select("rep", "n_shingles", "one", "two", "p.tree", "p.path")
     final = None
     for depth in range(DEPTH):
         sized = going.groupBy("tree", "path").agg(F.count("*").alias("members")).where("members > 1")
         joined = work.table(going.join(sized, ["tree", "path"]), f"depth{depth}")
         last = depth == DEPTH - 1
-        done = (joined if last else joined.where(F.col("members") <= small)).drop("members")
+        done = (joined if last else joined.where(F.col("members") <= small))
         final = done if final is None else final.unionByName(done)
         large = joined.where(F.col("members") > small)
         if last or large.isEmpty():
             break
         next_token = F.expr(f"substring(signature, 1 + 4 * (tree * {DEPTH} + {depth + 1}), 4)")
-        going = large.drop("n_shingles", "sketch").join(reps, "rep").select("rep", "n_shingles", "sketch", "tree", F.xxhash64("tree", "path", next_token).alias("path"))
+        going = large.drop("n_shingles", "one", "two").join(reps, "rep").select("rep", "n_shingles", "one", "two", "tree", F.xxhash64("tree", "path", next_token).alias("path"))
     return final
 
 
-def links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.  Only texts of rows in
-    a pair are kept; the sets are made again from them, so no set is ever stored."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = reps.join(ids, "rep").select(F.col("rep").alias("doc_id"), "text_key").distinct()
-    few = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"], "left_semi")
-    few = work.table(few.dropDuplicates(["doc_id", "text_key"]), f"{name}-texts")
-    left = few.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
-    right = few.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
+class Forest(dict):
+    """Union-find; ``join`` tells whether two nodes were apart."""
+
+    def find(self, x: int) -> int:
+        root = x
+        while (up := self.get(root, root)) != root:
+            root = up
+        while x != root:
+            self[x], x = root, self.get(x, x)
+        return root
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+        return x != y
+
+    def stars(self) -> list[tuple[int, int]]:
+        """Each node with its root: short paths make few rounds of what follows."""
+        return [(x, self.find(x)) for x in list(self)]
+
+
+def _edges(pairs: list[tuple[int, int]]):
+    import pyarrow as pa
+
+    u, v = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    def run(rows):
-        import pyarrow as pa
 
-        words, last = Words(), (None, None)
+def _groups(rows, keys: tuple[str, ...]):
+    """The rows of each group of a partition sorted by ``keys``, as Arrow tables."""
+    import pyarrow as pa
+
+    kept = None
+    for batch in rows:
+        table = pa.Table.from_batches([batch])
+        if kept is not None:
+            table = pa.concat_tables([kept, table])
+        if not table.num_rows:
+            continue
+        columns = [table.column(k).to_numpy() for k in keys]
+        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()]
+        for low, high in zip(cuts, cuts[1:]):
+            yield table.slice(low, high - low)
+        kept = table.slice(cuts[-1]).combine_chunks()
+    if kept is not None:
+        yield kept
+
+
+def candidate_groups(final: DataFrame, percent: int, work: Workspace, block: int = BLOCK) -> DataFrame:
+    """node, component: the groups of documents that may be linked."""
+    most = screen_tokens(percent)
+
+    def run(rows):
+        forest = Forest()
+        kept = None
         for batch in rows:
-            good = []
-            for one, two in zip(text_bytes(batch.column("left")), text_bytes(batch.column("right"))):
-                if last[0] != one:
-                    last = (one, shingles(one, n, words))
-                x, y = last[1], shingles(two, n, words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
-
-
-def across(labelled: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """a, b: pairs of different components within a node that pass the screen.
-
-    ``labelled``: tree, path, rep, component, n_shingles, sketch of nodes with two
-    components at least.  A node of m members is dealt to ceil(m / block) blocks,
-    and each pair of blocks is one group of rows."""
-    sized = labelled.groupBy("tree", "path").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = labelled.join(sized, ["tree", "path"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    bits = screen_bits(percent)
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("rep")
-        rep, comp, size, own, sketch = (pdf[c].to_numpy() for c in ("rep", "component", "n_shingles", "own", "sketch"))
-        within = pdf["low"].iloc[0] == pdf["high"].iloc[0]
-        found = []
-        for i in range(len(pdf) - 1):
-            ok = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :]))
-            if not within:
-                ok &= own[i + 1 :] != own[i]
-            j = np.flatnonzero(ok) + i + 1
-            if len(j):
-                j = j[np.bitwise_count(sketch[j].view(np.uint64) ^ sketch[i].view(np.uint64)) <= bits]
-                found += [(rep[i], x) for x in rep[j]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    columns = dealt.select("tree", "path", "low", "high", "own", "rep", "component", "n_shingles", "sketch")
-    return columns.groupBy("tree", "path", "low", "high").applyInPandas(run, "a long, b long").distinct()
+            cols = [batch.column(c).to_numpy() for c in ("tree", "path", "rep", "n_shingles", "one", "two")]
+            if kept is not None:
+                cols = [np.concatenate(x) for x in zip(kept, cols)]
+            if not len(cols[0]):
+                continue
+            # Rows of the last node wait for the next batch.
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            kept = [c[last] for c in cols]
+            compared([c[~last] for c in cols], forest)
+        if kept is not None:
+            compared(kept, forest)
+        yield _edges(forest.stars())
+
+    def compared(cols, forest):
+        tree, path, rep, size, one, two = cols
+        one, two = one.view(np.uint64), two.view(np.uint64)
+        at = np.arange(len(rep))
+        for step in range(1, len(rep)):  # every row with the step-th after it in its node
+            at = at[at < len(rep) - step]
+            at = at[(path[at] == path[at + step]) & (tree[at] == tree[at + step])]
+            if not len(at):
+                break
+            to = at + step
+            ok = 100 * np.minimum(size[at], size[to]) >= percent * np.maximum(size[at], size[to])
+            ok &= np.bitwise_count((one[at] ^ one[to]) | (two[at] ^ two[to])) <= most
+            for a, b in zip(rep[at[ok]].tolist(), rep[to[ok]].tolist()):
+                forest.join(a, b)
+
+    dealt = final.where(F.col("members") <= block).select("tree", "path", "rep", "n_shingles", "one", "two")
+    screened = dealt.repartition("tree", "path").sortWithinPartitions("tree", "path").mapInArrow(run, "u long, v long")
+    large = final.where(F.col("members") > block)
+    hub = large.groupBy("tree", "path").agg(F.min("rep").alias("u"))
+    edges = screened.unionByName(large.join(hub, ["tree", "path"]).select("u", F.col("rep").alias("v")))
+    return connected_components(edges, work, "candidates")
+
+
+def verified(tasks: DataFrame, n: int, percent: int) -> DataFrame:
+    """u, v: links on full sets that join components.  ``tasks``: grp, low, high
+    (these three name a task), side, rep, component, n_shingles, text; side -1 is
+    compared with all of its task, side 0 with side 1."""
+
+    def run(rows):
+        words, forest = Words(), Forest()
+        for table in _groups(rows, ("grp", "low", "high")):
+            rep, comp, side = (table.column(c).to_numpy() for c in ("rep", "component", "side"))
+            sets = [shingles(t, n, words) for t in text_bytes(table.column("text").combine_chunks())]
+            size = np.array([len(s) for s in sets])
+            for r, c in zip(rep.tolist(), comp.tolist()):
+                forest.join(r, c)
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            seen = np.zeros(len(flat), bool)
+            for i in range(len(rep)):
+                if side[i] == 1:
+                    continue
+                others = np.arange(i + 1, len(rep)) if side[i] == -1 else np.flatnonzero(side == 1)
+                others = others[(100 * np.minimum(size[i], size[others]) >= percent * np.maximum(size[i], size[others])) & (rep[others] != rep[i])]
+                root = forest.find(int(rep[i]))
+                if not len(others) or all(forest.find(r) == root for r in rep[others].tolist()):
+                    continue
+                own = flat[starts[i] : starts[i] + size[i]]
+                seen[own] = True
+                both = np.add.reduceat(seen[flat], starts)[others]
+                seen[own] = False
+                good = others[100 * both >= percent * (size[i] + size[others] - both)]
+                for r in rep[good].tolist():
+                    forest.join(int(rep[i]), r)
+        yield _edges(forest.stars())
+
+    columns = tasks.select("grp", "low", "high", "side", "rep", "component", "text")
+    return columns.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, n: int, percent: int, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links of every row of ``docs``
-    (doc_id, text).  n_links counts the confirmed links of the row's class to
-    other classes; the pairs it takes to name a class's component are confirmed,
-    not all pairs within it."""
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     work = Workspace(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = work.table(signed(docs, n), "signed")
     classes = rows.where("class_key is not null and doc_id is not null").groupBy("class_key").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("signature").alias("signature"),
+        F.min(F.struct("doc_id", "text_key")).alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "one", "two", "signature")),
     )
-    reps = work.table(classes.select("class_key", F.col("least.doc_id").alias("rep"), "least.text_key", "n_shingles", "sketch", "signature"), "classes")
-    final = work.table(nodes(reps.select("rep", "n_shingles", "sketch", "signature"), work, small), "nodes")
+    reps = work.table(classes.select("class_key", F.col("least.doc_id").alias("rep"), "least.text_key", "n_shingles", "one", "two", "signature"), "classes")
+    final = work.table(nodes(reps.select("rep", "n_shingles", "one", "two", "signature"), work, small), "nodes")
     work.drop(*(f"depth{d}" for d in range(DEPTH)))
-
-    hub = final.groupBy("tree", "path").agg(F.min(F.struct("rep", "n_shingles", "sketch")).alias("hub"))
-    alike = (F.bit_count(F.col("sketch").bitwiseXOR(F.col("hub.sketch"))) <= screen_bits(percent)) & (100 * F.least("n_shingles", "hub.n_shingles") >= percent * F.greatest("n_shingles", "hub.n_shingles"))
-    first = final.join(hub, ["tree", "path"]).where(F.col("rep") != F.col("hub.rep")).where(alike)
-    first = work.table(first.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), "first")
-    found = work.table(links(first, docs, reps, n, percent, work, "first"), "links1")
-    parts = work.table(connected_components(found.toDF("u", "v"), work, "cc1"), "parts1").withColumnRenamed("node", "rep")
-
-    named = final.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = named.groupBy("tree", "path").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rest = named.join(several.select("tree", "path"), ["tree", "path"], "left_semi")
-    second = work.table(across(rest, percent, block).join(first, ["a", "b"], "left_anti"), "second")
-    if not second.isEmpty():
-        more = work.table(links(second, docs, reps, n, percent, work, "second"), "links2")
-        found = found.unionByName(more)
-        parts = work.table(connected_components(found.toDF("u", "v"), work, "cc2"), "parts2").withColumnRenamed("node", "rep")
-
-    degree = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = reps.select("class_key", "rep").join(parts, "rep", "left").join(degree, "rep", "left")
-    labels = work.table(named.select("class_key", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
+    groups = candidate_groups(final, percent, work, block).toDF("rep", "grp")
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    sized = groups.groupBy("grp").agg(F.count("*").alias("m"))
+    members = groups.join(sized, "grp").select("grp", "rep", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = work.table(members, "groups")
+    work.drop("nodes")
+
+    # Texts of the groups' documents only; a repeated doc_id has each of its texts.
+    wanted = reps.join(members, "rep").select(F.col("rep").alias("doc_id"), "text_key").distinct()
+    texts = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"], "left_semi")
+    texts = work.table(texts.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("rep"), "text"), "texts")
+
+    own, last = F.col("own"), F.col("blocks") - 1
+    cell = lambda low, high, side: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), side.cast("int").alias("side"))
+    zero, one, alone = F.lit(0), F.lit(1), F.lit(-1)
+    cells = F.when(own == 0, F.transform(F.sequence(zero, last), lambda j: cell(zero, j, F.when(j == 0, alone).otherwise(zero)))).otherwise(F.array(cell(own, own, alone), cell(zero, own, one)))
+    tasks = members.withColumn("cell", F.explode(cells)).select("grp", "cell.*", "rep", F.col("rep").alias("component"))
+    links = work.table(verified(tasks.join(texts, "rep"), n, percent), "links1")
+    parts = work.table(connected_components(links, work, "cc1").toDF("rep", "component"), "parts1")
+
+    # What a large group's main component doesn't hold yet meets the whole group.
+    named = members.where("blocks > 1").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    counted = named.groupBy("grp", "component").agg(F.count("*").alias("k"))
+    main = counted.groupBy("grp").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("k"))
+    main = main.where("m > k").withColumn("rests", F.ceil((F.col("m") - F.col("k")) / block).cast("int"))
+    rest = named.join(main.select("grp", "main", "rests"), "grp")
+    as_one = F.transform(F.sequence(zero, F.col("rests") - 1), lambda i: cell(i, own, one))
+    as_rest = F.transform(F.sequence(zero, last), lambda j: cell(F.pmod(F.xxhash64(F.col("rep"), zero), F.col("rests")), j, zero))
+    cells = F.when(F.col("component") == F.col("main"), as_one).otherwise(F.concat(as_one, as_rest))
+    tasks = rest.withColumn("cell", F.explode(cells)).select("grp", "cell.*", "rep", "component")
+    more = work.table(verified(tasks.join(texts, "rep"), n, percent), "links2")
+    if not more.isEmpty():
+        parts = work.table(connected_components(links.unionByName(more), work, "cc2").toDF("rep", "component"), "parts2")
+    work.drop("texts", "groups")
+
+    labels = reps.select("class_key", "rep").join(parts, "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "class_key").join(labels, "class_key", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def chosen_path_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
