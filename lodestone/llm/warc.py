@@ -223,7 +223,9 @@ def read_chunks(files: DataFrame, folder: str, chunk: int = CHUNK, with_data: bo
                 yield _batch(rows, schema)
 
     kind = "record string, page_id long, record_type string, refers_to long, full_bytes long, stated_digest string, chunk int, n_bytes long, sha1_so_far string, data binary"
-    return files.select("file").repartition("file").mapInArrow(read, kind)
+    # A number is named, so that the few bytes of the manifest aren't put in one task.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("file").repartition(tasks, "file").mapInArrow(read, kind)
 
 
 def _batch(rows, schema):
