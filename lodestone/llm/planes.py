@@ -247,7 +247,9 @@ def read_ids(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     before = Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
     based = files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return based.select("file", "base").repartition("file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A number is named, so that the few bytes of the manifest aren't put in one task.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return based.select("file", "base").repartition(tasks, "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def bitplane_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
