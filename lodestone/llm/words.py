@@ -58,33 +58,31 @@ def splits_at_spaces(path: str) -> bool:
 class Table(dict):
     """A bounded table in two generations: when the young one is full it becomes
     the old one, and what is asked for again moves on.  ``find`` works out the
-    values of unseen keys."""
+    values of unseen keys.  Only ``learn`` ages the table, before it adds keys, so
+    what a batch has learned stays until the next; the table holds ``entries`` and
+    one batch's keys at most.  Long keys are held for one batch."""
 
     def __init__(self, find, entries: int = TABLE_ENTRIES) -> None:
         super().__init__()
-        self.find, self.entries, self.old = find, entries, {}
-
-    def _room(self, more: int) -> None:
-        if len(self) + more > self.entries:
-            self.old = dict(self)
-            self.clear()
+        self.find, self.entries, self.old, self.long = find, entries, {}, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
-            value = self.find([key])[0]
-        if len(key) <= KEPT_BYTES:
-            self._room(1)
-            self[key] = value
+            value = self.long.get(key)
+            return self.find([key])[0] if value is None else value
+        self[key] = value
         return value
 
     def learn(self, keys: set) -> None:
         """Finds the unseen of ``keys`` together."""
-        keys = keys - self.keys()
-        fresh = [k for k in keys if k not in self.old and len(k) <= KEPT_BYTES]
-        if fresh:
-            self._room(len(fresh))
-            self.update(zip(fresh, self.find(fresh)))
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        fresh = [k for k in keys if k not in self and k not in self.old]
+        found = dict(zip(fresh, self.find(fresh))) if fresh else {}
+        self.long = {k: found.pop(k) for k in fresh if len(k) > KEPT_BYTES}
+        self.update(found)
 
 
 class PieceMerger:
