@@ -10,6 +10,7 @@ tokenizer without them is run over whole texts.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import struct
@@ -85,12 +86,18 @@ class Table(dict):
         self.update(found)
 
 
+@functools.cache
+def packer(n: int):
+    return struct.Struct(f"<{n}I").pack
+
+
 class PieceMerger:
     """The library's ids of pieces, as little-endian unsigned 32-bit integers.
 
     A piece of Latin-1 text is cut into the pre-tokenizer's parts, whose ids are
-    kept: "The," and "the." share a part.  Unseen parts go through the library
-    in one text, set apart by a control character that is a part of its own.
+    kept: "The," and "the." share a part.  Unseen parts of printable ASCII go to
+    the library's merges; others go through the library in one text, set apart by
+    a control character that is a part of its own.
     Whatever lies beyond Latin-1, where Unicode versions may differ, and whatever
     may hold a special token is encoded by the library as it stands.
     """
@@ -105,17 +112,36 @@ class PieceMerger:
         self.tokenizer = load_tokenizer(path)
         self.by_piece = splits_at_spaces(path)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.merges = None
         if self.by_piece:
             pre = spec["pre_tokenizer"]
             self.split = regex.compile((pre.get("pretokenizers") or [pre])[0]["pattern"]["Regex"])
             apart = self.tokenizer.encode(self.APART, add_special_tokens=False).ids
             self.apart = apart[0] if len(apart) == 1 else None
-        self.parts = Table(self._library)
+            # Byte-level symbols of printable ASCII are the characters themselves, so
+            # such a part goes to the merges as it stands.
+            after = [p.get("type") for p in pre.get("pretokenizers", [])[1:]]
+            if spec["model"]["type"] == "BPE" and after == ["ByteLevel"] and not pre["pretokenizers"][1].get("use_regex", True):
+                self.merges = self.tokenizer.model.tokenize
+        self.parts = Table(self._merged)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        if self.merges is None:
+            return self._library(parts)
+        out = [self._direct(p) if p.isascii() and p.isprintable() else None for p in parts]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._library([parts[k] for k in rest])):
+            out[k] = ids
+        return out
+
+    def _direct(self, part: str) -> bytes:
+        ids = [token.id for token in self.merges(part)]
+        return packer(len(ids))(*ids)
+
     def _library(self, parts: list[str]) -> list[bytes]:
         if self.apart is None:
             return [self.whole(p) for p in parts]
