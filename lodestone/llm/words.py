@@ -157,6 +157,14 @@ class PieceMerger:
     def ids(self, pieces: list[bytes]) -> list[bytes]:
         if not self.by_piece:
             return [self.whole(p.decode("utf-8")) for p in pieces]
+        if self.merges is not None:
+            # A piece of nothing but a to z is one part; it needs no parts table.
+            rest = [p for p in pieces if not (p.islower() and p.isalpha())]
+            found = iter(self._by_parts(rest))
+            return [self._direct(p.decode("ascii")) if p.islower() and p.isalpha() else next(found) for p in pieces]
+        return self._by_parts(pieces)
+
+    def _by_parts(self, pieces: list[bytes]) -> list[bytes]:
         texts = [p.decode("utf-8") for p in pieces]
         parts = [self.split.findall(t.lower()) if self._plain(t) else None for t in texts]
         self.parts.learn({p for some in parts if some for p in some})
