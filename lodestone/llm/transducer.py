@@ -39,6 +39,8 @@ LEXICON = 50_000
 EPSILON = 1e-6
 #: A partition's counter is thinned, by the same share, when it holds so many pieces.
 COUNTER_ENTRIES = 1_000_000
+#: Pieces in a coder's table; fewer than for encoding alone, as tokens are held as well.
+CODER_ENTRIES = 250_000
 MAGIC = b"LDTRANS1"
 
 
@@ -176,7 +178,7 @@ class TransducerCoder:
         tokens = [self.merger.tokenizer.id_to_token(k) for k in range(size)]
         self.tokens = [b"" if t is None else t.encode("utf-8") for t in tokens]
         self.decimal = [b"%d" % k for k in range(size)]
-        self.table = Table(self._ids)
+        self.table = Table(self._ids, CODER_ENTRIES)
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         out = self.lexicon.outputs(pieces)

@@ -214,8 +214,11 @@ _HELD: dict[tuple, object] = {}
 
 
 def held(kind, *args):
-    """One instance per Python worker process."""
+    """One instance of a kind per Python worker process: a worker outlives its job,
+    so what an earlier job held goes when other arguments come."""
     if (key := (kind, *args)) not in _HELD:
+        for other in [k for k in _HELD if k[0] is kind]:
+            del _HELD[other]
         _HELD[key] = kind(*args)
     return _HELD[key]
 
