@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,53 @@ def top_k_of(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embed
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _packed(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """One row for each batch of rows: its keys and vectors as bytes.  Rows without a
+    key are left out, a vector that is null or has a null is all NaN."""
+
+    def pack(batches):
+        for batch in batches:
+            rows = [(k, v) for k, v in zip(batch[0].to_pylist(), batch[1].to_pylist()) if k is not None]
+            wide = max((len(v) for _, v in rows if v is not None), default=0)
+            table = np.array([v if v is not None and None not in v else [np.nan] * wide for _, v in rows], "f8").reshape(len(rows), wide)
+            if rows:
+                yield pa.RecordBatch.from_pydict({"ids": [np.array([k for k, _ in rows], "i8").tobytes()], "vectors": [table.tobytes()]})
+
+    return df.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(pack, "ids binary, vectors binary")
+
+
+def top_k_in_blocks(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """What ``top_k_of`` gives, for query sets that grow with the corpus: keys are whole
+    numbers, unique in both, and vectors have one length.  A block of corpus rows meets
+    a block of queries as a matrix product, and a task keeps k rows a query.  Rows
+    without a score come last; ties go to the smaller key."""
+
+    def first(keys, scores):
+        low = np.where(np.isnan(scores), -np.inf, scores)
+        if len(low) > k:  # all rows as good as the k-th, so that ties are settled by key
+            some = low >= np.partition(low, len(low) - k)[len(low) - k]
+            keys, scores, low = keys[some], scores[some], low[some]
+        order = np.lexsort((keys, -low))[:k]
+        return keys[order], scores[order]
+
+    def run(batches):
+        best: dict[bytes, list] = {}
+        for batch in batches:
+            for ids, vectors, asked, wanted in zip(*(column.to_pylist() for column in batch.columns)):
+                keys, q = np.frombuffer(ids, "i8"), np.frombuffer(asked, "i8")
+                a, b = np.frombuffer(wanted, "f8").reshape(len(q), -1), np.frombuffer(vectors, "f8").reshape(len(keys), -1)
+                scores = np.round(a @ b.T, 6) if a.shape[1] == b.shape[1] else np.full((len(q), len(keys)), np.nan)  # a block of nulls alone has no width
+                held = best.get(asked, [(np.empty(0, "i8"), np.empty(0))] * len(q))
+                best[asked] = [first(np.concatenate([held[i][0], keys[keys != q[i]]]), np.concatenate([held[i][1], scores[i][keys != q[i]]])) for i in range(len(q))]
+        for asked, found in best.items():
+            ids = np.repeat(np.frombuffer(asked, "i8"), [len(x) for x, _ in found])
+            yield pa.RecordBatch.from_pydict({"query_id": ids, key: np.concatenate([x for x, _ in found]), "score": pa.array(np.concatenate([y for _, y in found]), from_pandas=True)})
+
+    blocks = _packed(corpus, key, vector).crossJoin(F.broadcast(_packed(queries, "query_id", "q").toDF("asked", "wanted")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return blocks.mapInArrow(run, f"query_id long, `{key}` long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def nearest(corpus: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
     """Distance to the nearest row, and the confidence it gives."""
     d = distance(F.col(vector), F.array(*(F.lit(float(x)) for x in query)))

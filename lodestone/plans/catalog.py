@@ -119,16 +119,31 @@ register("vector_topk_filtered", f"SELECT vec_id, round(list_inner_product(embed
 register("nearest_distance", f"SELECT d AS distance, CASE WHEN d <= 1.05 THEN 'high' WHEN d <= 1.82 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT round(min(list_distance(embedding::DOUBLE[], {_LIST})), 6) AS d FROM embeddings)")(lambda t: retrieval.nearest(t("embeddings"), _QUERY))
 
 
+def _measured(e, asked, top):
+    found = top(e, asked.select("query_id", "q"), 10).join(e.select("vec_id", "label"), "vec_id").join(asked.select("query_id", "wanted"), "query_id")
+    sizes = e.groupBy(F.col("label").alias("wanted")).agg((F.count("*") - 1).alias("n_relevant"))
+    return evaluate.retrieval_metrics(found.join(sizes, "wanted").withColumn("relevant", F.col("label") == F.col("wanted")), 5)
+
+
+def _asked(e, which):
+    return e.where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("wanted"))
+
+
 @register("retrieval_metrics", """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, c.label = q.label AS relevant, q.label FROM embeddings q, embeddings c WHERE q.vec_id < 20 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), k AS (SELECT query_id, label, rank, relevant FROM r WHERE rank <= 10), n AS (SELECT label, count(*) - 1 AS n FROM embeddings GROUP BY 1),
 g AS (SELECT query_id, sum(CASE WHEN relevant AND rank <= 5 THEN 1 ELSE 0 END) AS hits, min(CASE WHEN relevant THEN rank END) AS first, max(n) AS n FROM k JOIN n USING (label) GROUP BY 1)
 SELECT count(*) AS queries, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(hits / nullif(n, 0)), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM g""")
 def _metrics(t):
-    e = t("embeddings")
-    asked = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("wanted"))
-    found = retrieval.top_k_of(e, asked.select("query_id", "q"), 10).join(e.select("vec_id", "label"), "vec_id").join(asked.select("query_id", "wanted"), "query_id")
-    sizes = e.groupBy(F.col("label").alias("wanted")).agg((F.count("*") - 1).alias("n_relevant"))
-    return evaluate.retrieval_metrics(found.join(sizes, "wanted").withColumn("relevant", F.col("label") == F.col("wanted")), 5)
+    return _measured(t("embeddings"), _asked(t("embeddings"), "vec_id < 20"), retrieval.top_k_of)
+
+
+@register("retrieval_metrics_every_50th", """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, c.label = q.label AS relevant, q.label FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), k AS (SELECT query_id, label, rank, relevant FROM r WHERE rank <= 10), n AS (SELECT label, count(*) - 1 AS n FROM embeddings GROUP BY 1),
+g AS (SELECT query_id, sum(CASE WHEN relevant AND rank <= 5 THEN 1 ELSE 0 END) AS hits, min(CASE WHEN relevant THEN rank END) AS first, max(n) AS n FROM k JOIN n USING (label) GROUP BY 1)
+SELECT count(*) AS queries, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(hits / nullif(n, 0)), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM g""")
+def _metrics_every_50th(t):
+    """The stated query set: every row whose vec_id is divisible by 50, against all rows."""
+    return _measured(t("embeddings"), _asked(t("embeddings"), "vec_id % 50 = 0"), retrieval.top_k_in_blocks)
 
 
 register("rerank", "SELECT vec_id, round(CASE WHEN label = 1 THEN s + abs(s) * 0.15 WHEN label = 2 THEN s - abs(s) * 0.25 ELSE s END, 6) AS adjusted FROM (SELECT vec_id, label, list_inner_product(embedding::DOUBLE[], " + _LIST + ") AS s FROM embeddings)")(

@@ -121,3 +121,29 @@ def test_readers(spark, tmp_path):
 def test_windows_on_a_table(spark):
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:10:00", "a", 3.0)], "ts string, event_type string, value double")
     assert sorted(r.n for r in windowed_counts(events).collect()) == [1, 2]
+
+
+def test_every_50th_row_is_a_query(spark, tmp_path):
+    import random
+
+    from lodestone.plans import catalog
+
+    random.seed(5)
+    rows = [(k, [float(random.randint(-3, 3)) for _ in range(4)], k % 3 if k < 20 else k % 7) for k in range(320)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    hits, recall, first = [], [], []
+    for q, v, label in rows[::50]:
+        ranked = sorted((-sum(a * b for a, b in zip(v, w)), k, x == label) for k, w, x in rows if k != q)[:10]
+        hits.append(sum(x[2] for x in ranked[:5]))
+        recall.append(hits[-1] / (sum(x == label for _, _, x in rows) - 1))
+        first.append(next((1 / (n + 1) for n, x in enumerate(ranked) if x[2]), 0))
+    assert one(catalog.QUERIES["retrieval_metrics_every_50th"](spark, str(tmp_path))) == {"queries": 7, "hit_rate": round(sum(h > 0 for h in hits) / 7, 6), "recall": round(sum(recall) / 7, 6), "mrr": round(sum(first) / 7, 6)}
+
+
+def test_top_k_in_blocks(spark):
+    rows = [(k, None if k == 7 else [float(k % 5), 1.0]) for k in range(60)] + [(None, [9.0, 9.0])]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(3, [1.0, 0.0]), (4, [0.0, 0.0])], "query_id long, q array<float>")
+    told = lambda df: sorted(map(tuple, df.select("query_id", "vec_id", "score", "rank").collect()))
+    for k in (5, 100):
+        assert told(retrieval.top_k_in_blocks(corpus, asked, k)) == told(retrieval.top_k_of(corpus, asked, k))
