@@ -151,6 +151,8 @@ register("rerank", "SELECT vec_id, round(CASE WHEN label = 1 THEN s + abs(s) * 0
 register("context_pack", "SELECT item_id, rank, used, text FROM (SELECT item_id, rank, CAST(sum(length(text)) OVER (ORDER BY rank) AS BIGINT) AS used, text FROM (SELECT item_id, text, CAST(row_number() OVER (ORDER BY item_id) AS INT) AS rank FROM benchmark)) WHERE used <= 3000 OR rank = 1")(
     lambda t: retrieval.packed(t("benchmark").select("item_id", "text", F.row_number().over(Window.orderBy("item_id")).alias("rank")), 3000).select("item_id", "rank", "used", "text"))
 register("edge_order", "SELECT item_id, CAST(CASE WHEN item_id % 2 = 0 THEN (item_id + 2) / 2 ELSE 40 - (item_id + 1) / 2 + 1 END AS BIGINT) AS place FROM benchmark WHERE item_id < 40")(lambda t: t("benchmark").where("item_id < 40").select("item_id", retrieval.edge_position(F.col("item_id") + 1, F.lit(40)).alias("place")))
+register("edge_order_all", "SELECT item_id, CAST(CASE WHEN k % 2 = 1 THEN (k + 1) / 2 ELSE n - k / 2 + 1 END AS BIGINT) AS place FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS k, count(*) OVER () AS n FROM benchmark)")(
+    lambda t: t("benchmark").select("item_id", F.row_number().over(Window.orderBy("item_id")).alias("k"), F.count("*").over(Window.partitionBy()).alias("n")).select("item_id", retrieval.edge_position(F.col("k"), F.col("n")).alias("place")))
 register("paragraphs", r"WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text || chr(10) || chr(10) || role, '\n[ \t]*\n'), lambda x: trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'))), lambda x: x <> '') AS ps FROM conversations) SELECT conv_id * 1000 + turn AS k, i - 1 AS position, ps[i] AS content FROM p, range(1, CAST(len(ps) + 1 AS BIGINT)) AS t(i)")(
     lambda t: text.paragraphs(t("conversations").selectExpr("conv_id * 1000 + turn AS k", "concat(text, '\n\n', role) AS text"), "k"))
 register("topic_role", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'heat' ELSE lower(source) END AS topic FROM documents")(lambda t: t("documents").select("doc_id", text.topic(F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('TOPIC: Heat\n', text) ELSE text END"), F.col("source")).alias("topic")))
@@ -161,6 +163,18 @@ register("token_overlap", "SELECT conv_id, turn, CAST(len(list_distinct(regexp_e
 register("novelty_ratio", "WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM conversations) SELECT a.conv_id, round(coalesce(len(list_filter(b.w, lambda x: NOT list_contains(a.w, x))) / nullif(len(b.w), 0), 0), 6) AS novelty FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1")(
     lambda t: t("conversations").where("turn = 0").select("conv_id", F.col("text").alias("a")).join(t("conversations").where("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id").select("conv_id", F.round(text.novelty(F.col("a"), F.col("b")), 6).alias("novelty")))
 
+
+def _turn_pairs(t):
+    """conversations with the text of the turn before; first turns have none"""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    return t("conversations").select("conv_id", "turn", F.lag("turn").over(order).alias("last"), F.lag("text").over(order).alias("before"), "text").where("last IS NOT NULL")
+
+
+TURN_PAIRS = "(SELECT * FROM (SELECT conv_id, turn, lag(turn) OVER w AS last, lag(text) OVER w AS before, text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE last IS NOT NULL)"
+_WORDS = "list_distinct(regexp_extract_all(lower({c}), '[a-z]{{4,}}'))"
+register("novelty_ratio_turns", f"SELECT conv_id, turn, round(coalesce(len(list_filter(b, lambda x: NOT list_contains(a, x))) / nullif(len(b), 0), 0), 6) AS novelty FROM (SELECT conv_id, turn, {_WORDS.format(c='before')} AS a, {_WORDS.format(c='text')} AS b FROM {TURN_PAIRS})")(
+    lambda t: _turn_pairs(t).select("conv_id", "turn", F.round(text.novelty(F.col("before"), F.col("text")), 6).alias("novelty")))
+
 # --- domain, folds, identity --------------------------------------------------
 
 register("range_scale", "SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - 1) / 49.0, 6) AS scaled FROM lineitem")(lambda t: t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(domain.scaled(F.col("l_quantity"), 1.0, 50.0), 6).alias("scaled")))

@@ -147,3 +147,29 @@ def test_top_k_in_blocks(spark):
     told = lambda df: sorted(map(tuple, df.select("query_id", "vec_id", "score", "rank").collect()))
     for k in (5, 100):
         assert told(retrieval.top_k_in_blocks(corpus, asked, k)) == told(retrieval.top_k_of(corpus, asked, k))
+
+
+def test_edge_order_of_all_rows(spark, tmp_path):
+    from lodestone.plans import catalog
+
+    spark.range(45).selectExpr("id * 3 AS item_id", "'x' AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    places = {r.item_id: r.place for r in catalog.QUERIES["edge_order_all"](spark, str(tmp_path)).collect()}
+    assert sorted(places.values()) == list(range(1, 46)) and [places[k] for k in (0, 3, 6, 126, 129, 132)] == [1, 45, 2, 22, 24, 23]
+
+
+@pytest.fixture(scope="module")
+def turns(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("turns"))
+    rows = [(1, 0, "Rate 4.0 and 5% with alpha beta gamma"), (1, 1, "Rate 4 with gamma delta"), (1, 3, "gamma -0.50 delta omega rate"), (2, 0, "alone 7"), (3, 5, "same words 12"), (3, 6, "same words 12.000")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{folder}/conversations.parquet")
+    return folder
+
+
+def _told(spark, folder, name, *columns):
+    from lodestone.plans import catalog
+
+    return {(r.conv_id, r.turn): tuple(r[c] for c in columns) for r in catalog.QUERIES[name](spark, folder).collect()}
+
+
+def test_every_turn_has_a_novelty(spark, turns):
+    assert _told(spark, turns, "novelty_ratio_turns", "novelty") == {(1, 1): (0.25,), (1, 3): (0.25,), (3, 6): (0.0,)}
