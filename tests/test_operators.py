@@ -173,3 +173,11 @@ def _told(spark, folder, name, *columns):
 
 def test_every_turn_has_a_novelty(spark, turns):
     assert _told(spark, turns, "novelty_ratio_turns", "novelty") == {(1, 1): (0.25,), (1, 3): (0.25,), (3, 6): (0.0,)}
+
+
+def test_reconcile_whole_customers(spark, tmp_path):
+    from lodestone.plans import catalog
+
+    spark.createDataFrame([(1, 10), (2, 11), (3, 12)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 10), (2, 12), (3, 13)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {r.nationkey: r.state for r in catalog.QUERIES["reconcile"](spark, str(tmp_path)).collect()} == {10: "ok", 11: "missing", 12: "ok", 13: "orphan"}
