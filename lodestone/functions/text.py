@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def paragraphs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -41,10 +44,29 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"-?\d+\.?\d*%?"), F.lit(0)))
 
 
+@F.udf(returnType=ArrayType(StringType()), useArrow=True)
+def numeric_facts(text):
+    """The distinct numbers of a text as ``%g`` writes them, so 4 and 4.0 are one;
+    with a per cent sign they are facts of their own."""
+    if text is None:
+        return None
+    return list(dict.fromkeys(f"{float(x.rstrip('%')):g}" + "%" * x.endswith("%") for x in re.findall(r"-?\d+\.?\d*%?", text)))
+
+
+def lost_facts(source: Column, text: Column) -> Column:
+    """The numeric facts of a source that its text doesn't have."""
+    return F.array_except(numeric_facts(source), numeric_facts(text))
+
+
 def tokens(text: Column, least: int = 4) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{%d,}" % least), F.lit(0)))
 
 
+def overlap(a: Column, b: Column) -> Column:
+    """The tokens that two texts share."""
+    return F.array_intersect(tokens(a), tokens(b))
+
+
 def novelty(source: Column, text: Column) -> Column:
     """The share of a text's tokens that its source doesn't have."""
     return F.coalesce(F.try_divide(F.size(F.array_except(tokens(text), tokens(source))).cast("double"), F.size(tokens(text))), F.lit(0.0))

@@ -174,6 +174,11 @@ TURN_PAIRS = "(SELECT * FROM (SELECT conv_id, turn, lag(turn) OVER w AS last, la
 _WORDS = "list_distinct(regexp_extract_all(lower({c}), '[a-z]{{4,}}'))"
 register("novelty_ratio_turns", f"SELECT conv_id, turn, round(coalesce(len(list_filter(b, lambda x: NOT list_contains(a, x))) / nullif(len(b), 0), 0), 6) AS novelty FROM (SELECT conv_id, turn, {_WORDS.format(c='before')} AS a, {_WORDS.format(c='text')} AS b FROM {TURN_PAIRS})")(
     lambda t: _turn_pairs(t).select("conv_id", "turn", F.round(text.novelty(F.col("before"), F.col("text")), 6).alias("novelty")))
+_FACTS = r"list_distinct(list_transform(regexp_extract_all({c}, '-?\d+\.?\d*%?'), lambda x: format('{{:g}}', CAST(rtrim(x, '%') AS DOUBLE)) || CASE WHEN suffix(x, '%') THEN '%' ELSE '' END))"
+register("number_fidelity_turns", f"SELECT conv_id, turn, CAST(len(a) AS BIGINT) AS n_facts, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS lost FROM (SELECT conv_id, turn, {_FACTS.format(c='before')} AS a, {_FACTS.format(c='text')} AS b FROM {TURN_PAIRS})")(
+    lambda t: _turn_pairs(t).select("conv_id", "turn", F.size(text.numeric_facts(F.col("before"))).cast("long").alias("n_facts"), F.array_join(F.array_sort(text.lost_facts(F.col("before"), F.col("text"))), ",").alias("lost")))
+register("token_overlap_turns", f"SELECT conv_id, turn, CAST(len(list_intersect({_WORDS.format(c='before')}, {_WORDS.format(c='text')})) AS BIGINT) AS n_shared FROM {TURN_PAIRS}")(
+    lambda t: _turn_pairs(t).select("conv_id", "turn", F.size(text.overlap(F.col("before"), F.col("text"))).cast("long").alias("n_shared")))
 
 # --- domain, folds, identity --------------------------------------------------
 

@@ -181,3 +181,8 @@ def test_reconcile_whole_customers(spark, tmp_path):
     spark.createDataFrame([(1, 10), (2, 11), (3, 12)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(1, 10), (2, 12), (3, 13)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     assert {r.nationkey: r.state for r in catalog.QUERIES["reconcile"](spark, str(tmp_path)).collect()} == {10: "ok", 11: "missing", 12: "ok", 13: "orphan"}
+
+
+def test_numbers_and_tokens_of_turn_pairs(spark, turns):
+    assert _told(spark, turns, "number_fidelity_turns", "n_facts", "lost") == {(1, 1): (2, "5%"), (1, 3): (1, "4"), (3, 6): (1, "")}
+    assert _told(spark, turns, "token_overlap_turns", "n_shared") == {(1, 1): (3,), (1, 3): (3,), (3, 6): (2,)}
