@@ -2,12 +2,15 @@
 
 A text is cut into fragments at line ends and after sentence marks, and everything
 but ASCII letters and digits becomes one space.  Fragments that follow each other
-are joined, up to ``MOST_FRAGMENTS``, so a sentence may be wrapped over lines, with
-comment marks in front; a join that equals a known licence sentence, in lower
+are joined, up to the words of the longest known sentence, so a sentence may be
+wrapped over any number of lines, with comment marks in front; a join that equals a known licence sentence, in lower
 case, is mapped to its identifier (the shortest such join from a fragment).  The
 identifiers of a text, in order, are matched against the rules, each an ordered
 run of identifiers; sentences that aren't known don't interrupt a run.
 
+The SQL joins up to ``MOST_FRAGMENTS`` fragments, so it misses sentences wrapped
+over more lines than that; the operator has no such cap.
+
 All of it happens within the row: no shuffle, no row per sentence.
 
 Query ``op3_license_scan``: one row per row of ``documents``: doc_id, sentence_ids
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import blank_text, docs_of, let, read_table
 
-MOST_FRAGMENTS = 12
+MOST_FRAGMENTS = 12  # of the SQL
 
 # Sentences of public licences, and which of them in which order make a licence.
 SENTENCES = {
@@ -88,6 +91,8 @@ def normalised(sentence: str) -> str:
 NUMBERED = {name: k + 1 for k, name in enumerate(SENTENCES)}
 KNOWN = {normalised(s): NUMBERED[name] for name, texts in SENTENCES.items() for s in texts}
 STARTS = sorted({" ".join(s.split(" ")[:2]) for s in KNOWN})
+#: A fragment has a word at least, so no longer join can be a known sentence.
+MOST_WORDS, MOST_CHARS = max(len(s.split(" ")) for s in KNOWN), max(map(len, KNOWN))
 RUNS = [(name, "," + ",".join(str(NUMBERED[s]) for s in run) + ",") for name, run in RULES]
 
 
@@ -95,15 +100,15 @@ def sentence_ids(text: Column) -> Column:
     """The identifiers of known sentences in a text, in order (array<int>)."""
     marked = F.regexp_replace(F.regexp_replace(text, BREAK, "\u0001"), REST, " ")
     fragments = F.filter(F.transform(F.split(F.lower(marked), "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
-    sentences, numbers = F.array(*map(F.lit, KNOWN)), F.array(*map(F.lit, KNOWN.values()))
 
     def found(parts: Column) -> Column:
         places = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
         two = lambda i: F.substring_index(F.concat_ws(" ", F.slice(parts, i, 2)), " ", 2)
         likely = F.filter(places, lambda i: two(i).isin(STARTS))
-        joins = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_FRAGMENTS), F.size(parts) - i + 1)), lambda n: F.array_join(F.slice(parts, i, n), " "))
-        first = F.transform(likely, lambda i: F.get(F.filter(joins(i), lambda s: s.isin(list(KNOWN))), 0))
-        return F.transform(F.filter(first, lambda s: s.isNotNull()), lambda s: F.get(numbers, (F.array_position(sentences, s) - 1).cast("int")))
+        heads = F.transform(likely, lambda i: F.left(F.array_join(F.slice(parts, i, MOST_WORDS), "\u0001"), F.lit(MOST_CHARS + 1)))
+        both = F.transform(heads, lambda h: F.struct(h.alias("cut"), F.translate(h, "\u0001", " ").alias("flat")))
+        whole = lambda h, s: h["flat"].startswith(s) & F.substring(h["cut"], len(s) + 1, 1).isin("", "\u0001")
+        return F.array_compact(F.transform(both, lambda h: F.coalesce(*(F.when(whole(h, s), F.lit(k)) for s, k in sorted(KNOWN.items(), key=lambda x: len(x[0]))))))
 
     return let(fragments, found)
 

@@ -100,6 +100,24 @@ def test_op3_wrapped_and_commented(spark):
     assert (row.n_sentences, row.licenses) == (3, "MIT")
 
 
+@pytest.mark.parametrize("width", [1, 16, 30, 38, 1000])
+def test_op3_wrapped_at_any_width(spark, width):
+    from lodestone.llm import licenses
+
+    wrapped = lambda s: "\n".join("// " + x for x in re.findall(r".{1,%d}(?:\s|$)|\S+\s?" % width, s))
+    rows = [(k, wrapped(s)) for k, s in enumerate(x for texts in licenses.SENTENCES.values() for x in texts)]
+    rows += [(1000, "\n".join(wrapped(licenses.SENTENCES[x][0]) for x in ("mit-grant", "mit-notice", "mit-warranty"))), (1001, rows[4][1] + " and more"), (1002, "\n".join(rows[4][1].split("\n")[:-1]) if width < 1000 else "")]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def brute(text):
+        parts = [x for x in (licenses.normalised(y) for y in re.split(r"[.!?;:]+(?:[ \t\r\n]|\Z)|\n", text)) if x]
+        hits = (next((licenses.KNOWN[j] for n in range(1, len(parts) - i + 1) if (j := " ".join(parts[i : i + n])) in licenses.KNOWN), None) for i in range(len(parts)))
+        return ",".join(str(x) for x in hits if x)
+
+    assert {k: r.sentence_ids for k, r in found.items()} == {k: brute(x) for k, x in rows}
+    assert found[1000].licenses == "MIT" and all(found[k].n_sentences >= 1 for k in range(len(rows) - 3))
+
+
 def shingle_sets(rows, n):
     out = []
     for doc_id, text in rows:
