@@ -1,9 +1,11 @@
 """BPE encoding through a minimal acyclic transducer of frequent words, and decoding.
 
-1. Frequent pieces (runs between ASCII white space) of all documents are counted:
-   each partition keeps pieces that make up at least ``EPSILON`` of what it has
-   read, so every piece of at least that share of the corpus is found, with a
-   count too low by at most that share.
+1. Frequent pieces (runs between ASCII white space) of all documents are counted,
+   roughly: a partition of over 1,000 pieces drops those it met once or under
+   ``EPSILON`` of what it read, pieces of over ``KEPT_BYTES`` are left out, and a
+   full counter is thinned, after which a dropped piece starts again at 0, so a
+   count has no bound on what it lacks.  Which words the lexicon holds depends on
+   the partitioning; ids don't, as other pieces are merged exactly.
 2. The ``LEXICON`` most frequent are compiled into a minimal acyclic automaton.
    States are merged by equal futures, so words share suffixes as well as
    prefixes; each arc carries how many words sort before those that go through
@@ -200,8 +202,8 @@ class TransducerCoder:
 
 
 def frequent_pieces(docs: DataFrame, size: int = LEXICON, epsilon: float = EPSILON) -> list[bytes]:
-    """The ``size`` most frequent pieces of all texts, each of at least the share
-    ``epsilon`` of all pieces for certain."""
+    """About the ``size`` most frequent pieces of all texts; rare pieces are dropped
+    by partition, see the module's first point."""
 
     def count(rows):
         import pyarrow as pa
