@@ -16,7 +16,7 @@ holds one block however long a document is; ``read_block`` reads any one block.
 Query ``op2_bitplane_token_ids``: the whole ``documents`` table, encoded, put in
 ascending order of doc_id by value ranges, written as such files below the shared
 folder, and read back.  Null text: empty, so its only id is the end id.  Null
-doc_id sorts first.  Equal doc_ids sort by text, so repeated rows are each kept.
+doc_id sorts first.  Rows with equal doc_ids stand together, repeated rows each.
 An empty table gives no files and no rows.  Other columns are ignored.
 """
 
@@ -32,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, docs_of, open_in, open_out, read_table, text_bytes
-from .words import LibraryPieces, batches, default_tokenizer, held
+from .common import Workspace, docs_of, open_in, open_out, read_table
+from .words import WordCoder, default_tokenizer
 
 MAGIC = b"LDPLANE1"
 END_ID = 2
@@ -169,13 +169,22 @@ class PlaneReader:
 
 def by_ranges(df: DataFrame, key: str, *ties: str) -> DataFrame:
     """Deals rows to value ranges of ``key``, each within one partition and in
-    order; column ``bucket`` numbers the ranges in ascending order.  The bounds
-    come from the key column alone, so wide rows are read and moved once."""
+    order; column ``bucket`` numbers the ranges in ascending order, nulls first.  The
+    bounds come from the key column alone, so wide rows are read and moved once.  A
+    value with more rows than a range should have, null too, is dealt to several
+    ranges of its own by a hash of the rows."""
     spark = df.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10_000)).head()[0]
-    cuts = F.array(*(F.lit(b).cast("long") for b in sorted(set(bounds or []))))
-    bucket = F.when(F.col(key).isNull(), 0).otherwise(1 + F.size(F.filter(cuts, lambda b: b <= F.col(key))))
+    row = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10_000).alias("bounds"), F.count("*").alias("rows"), F.count(key).alias("keyed")).head()
+    bounds = [int(b) for b in row.bounds or []]
+    nulls = -(-n * (row.rows - row.keyed) // max(1, row.rows))
+    draw = F.xxhash64(*ties, F.monotonically_increasing_id())
+    many = [v for v in sorted(set(bounds)) if bounds.count(v) > 1]
+    cuts = F.array(*(F.lit(b).cast("long") for b in bounds))
+    bucket = F.size(F.filter(cuts, lambda b: b <= F.col(key))) + (nulls or 1)
+    for v in many:
+        bucket = F.when(F.col(key) == v, F.lit((nulls or 1) + sum(b < v for b in bounds) + 1) + F.pmod(draw, F.lit(bounds.count(v)))).otherwise(bucket)
+    bucket = F.when(F.col(key).isNull(), F.pmod(draw, F.lit(nulls or 1))).otherwise(bucket).cast("int")
     return df.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", key, *ties)
 
 
@@ -187,7 +196,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str,
     def write(rows):
         import pyarrow as pa
 
-        encoder = held(LibraryPieces, tokenizer)
+        coder = WordCoder(tokenizer)
         end = b"" if end_id is None else struct.pack("<I", end_id)
         open_bucket, part, writer, name, n = None, 0, None, "", 0
 
@@ -197,10 +206,11 @@ def write_ids(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str,
 
         schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
         for batch in rows:
-            ids, buckets = batch.column("doc_id").to_pylist(), batch.column("bucket").to_pylist()
-            at = 0
-            for texts in batches(text_bytes(batch.column("text"))):
-                for packed in encoder.encode(texts):
+            doc_ids, buckets = batch.column("doc_id").to_pylist(), batch.column("bucket").to_pylist()
+            for first, offsets, ids in coder.batches(batch.column("text")):
+                bounds = offsets.tolist()
+                for k in range(len(bounds) - 1):
+                    at = first + k
                     if writer is not None and (buckets[at] != open_bucket or n >= file_ids):
                         yield closed()
                         part = part + 1 if buckets[at] == open_bucket else 0
@@ -209,9 +219,8 @@ def write_ids(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str,
                         open_bucket, n = buckets[at], 0
                         name = f"{open_bucket:06d}-{part:04d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.planes"
                         writer = PlaneWriter(open_out(folder, name), planes, block_ids)
-                    writer.add(ids[at], packed + end)
-                    n += (len(packed) + len(end)) // 4
-                    at += 1
+                    writer.add(doc_ids[at], ids[bounds[k] : bounds[k + 1]].tobytes() + end)
+                    n += bounds[k + 1] - bounds[k] + len(end) // 4
         if writer is not None:
             yield closed()
 

@@ -1,48 +1,40 @@
 """BPE encoding through a minimal acyclic transducer of frequent words, and decoding.
 
-1. Frequent pieces (runs between ASCII white space) of all documents are counted,
-   roughly: a partition of over 1,000 pieces drops those it met once or under
-   ``EPSILON`` of what it read, pieces of over ``KEPT_BYTES`` are left out, and a
-   full counter is thinned, after which a dropped piece starts again at 0, so a
-   count has no bound on what it lacks.  Which words the lexicon holds depends on
-   the partitioning; ids don't, as other pieces are merged exactly.
-2. The ``LEXICON`` most frequent are compiled into a minimal acyclic automaton.
-   States are merged by equal futures, so words share suffixes as well as
-   prefixes; each arc carries how many words sort before those that go through
-   it, the sum along a path numbers the word, and the number picks its ids.
+1. Words are the parts of texts between which the tokenizer never merges (runs of
+   letters, single digits, runs of other characters, in lower case).  All are counted
+   over all documents: a batch's distinct words, summed up by Spark.
+2. The most frequent, ``LEXICON`` at most, are compiled into a minimal acyclic
+   automaton: those whose count lies in the highest sixteenths of powers of two that
+   together hold no more.  States are merged by equal futures, so words share
+   suffixes as well as prefixes; each arc carries how many words sort before those
+   that go through it, the sum along a path numbers the word, and the number picks
+   its ids.
 3. The automaton's arrays are one file in the shared folder, which workers map
-   into memory.  A batch's distinct pieces are looked up together.
-4. Other pieces are merged exactly, by the library's own merges, in batches of
-   their distinct parts.
+   into memory.  A batch's distinct words are looked up together.
+4. Other words are merged exactly, by the library's own merges.
 
 Decoding joins the tokens of the ids, as the library does for a tokenizer file
 without a decoder.
 
 Query ``op5_bpe_transducer``: every row of ``documents`` gives one row, in no
 order.  Null and empty texts: no ids, the digest of nothing.  Repeated rows give
-equal rows, ties among equally frequent pieces go to the smaller bytes, an empty
-table gives no rows, other columns are ignored.
+equal rows; words of equal counts are all in the lexicon or all outside it; an
+empty table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, docs_of, filesystem, map_memory, read_table, text_bytes
-from .words import KEPT_BYTES, PieceMerger, Table, batches, by_table, default_tokenizer, held
+from .common import Workspace, docs_of, filesystem, map_memory, read_table
+from .words import HARD, KEPT_CHARS, WordCoder, batches, default_tokenizer, load_tokenizer, parts_of
 
 LEXICON = 50_000
-EPSILON = 1e-6
-#: A partition's counter is thinned, by the same share, when it holds so many pieces.
-COUNTER_ENTRIES = 1_000_000
-#: Pieces in a coder's table; fewer than for encoding alone, as tokens are held as well.
-CODER_ENTRIES = 250_000
 MAGIC = b"LDTRANS1"
 
 
@@ -133,16 +125,16 @@ class Lexicon:
             at += length + -length % 8
         return cls(arrays)
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Each word's number, -1 for words that aren't in it: one step of all
-        words per byte position."""
+    def numbers(self, words) -> np.ndarray:
+        """The number of each word of an Arrow string array, -1 for words that aren't
+        in it: one step of all words per byte position."""
         n = len(words)
         out = np.full(n, -1, np.int64)
         if not n or not len(self.keys):
             return out
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+        flat = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        at, lengths = offsets[:-1], np.diff(offsets)
         rows, state, total = np.flatnonzero(lengths), np.zeros(n, np.int64), np.zeros(n, np.int64)
         step = 0
         while len(rows):
@@ -160,81 +152,103 @@ class Lexicon:
             rows = rows[~ended]
         return out
 
-    def outputs(self, words: list[bytes]) -> list[bytes | None]:
-        """Each word's packed ids, None for words that aren't in it."""
-        numbers = self.numbers(words)
-        low, high = self.starts[numbers], self.starts[numbers + 1]
-        return [None if k < 0 else self.ids[a:b].tobytes() for k, a, b in zip(numbers.tolist(), low.tolist(), high.tolist())]
-
 
 # --- coding ---------------------------------------------------------------------
 
 
-class TransducerCoder:
-    """Encodes and decodes in a worker: lexicon first, exact merging behind it."""
+class TransducerCoder(WordCoder):
+    """Encodes: the lexicon first, exact merging behind it."""
 
     def __init__(self, folder: str, name: str, path: str) -> None:
+        super().__init__(path)
         self.lexicon = Lexicon.from_buffer(map_memory(folder, name))
-        self.merger = PieceMerger(path)
-        size = self.merger.tokenizer.get_vocab_size(with_added_tokens=True)
-        tokens = [self.merger.tokenizer.id_to_token(k) for k in range(size)]
-        self.tokens = [b"" if t is None else t.encode("utf-8") for t in tokens]
-        self.decimal = [b"%d" % k for k in range(size)]
-        self.table = Table(self._ids, CODER_ENTRIES)
-
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        out = self.lexicon.outputs(pieces)
-        unseen = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(unseen, self.merger.ids([pieces[k] for k in unseen])):
-            out[k] = ids
-        return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if not self.merger.by_piece:
-            return self.merger.ids(texts)
-        return by_table(self.table, texts)
+    def found(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lexicon = self.lexicon
+        numbers = lexicon.numbers(words)
+        starts, lengths = lexicon.starts[numbers], lexicon.starts[numbers + 1] - lexicon.starts[numbers]
+        other = np.flatnonzero(numbers < 0)
+        from_table, sizes, pool = self._tabled(words.take(other).to_pylist())
+        starts[other], lengths[other] = from_table + len(lexicon.ids), sizes
+        return starts, lengths, np.concatenate([lexicon.ids, pool])
+
+
+class Decoder:
+    """Texts of ids, and the decimal form of ids, by Arrow's kernels."""
+
+    def __init__(self, path: str) -> None:
+        import pyarrow as pa
+
+        tokenizer = load_tokenizer(path)
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        self.tokens = pa.array([tokenizer.id_to_token(k) or "" for k in range(size)], pa.large_string())
+        self.decimal = pa.array([str(k) for k in range(size)], pa.large_string())
+
+    def joined(self, kind, offsets: np.ndarray, ids: np.ndarray):
+        """The entries of ``kind`` that each run of ids names, joined by spaces."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b" ".join(map(self.tokens.__getitem__, ids))
+        runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), kind.take(pa.array(ids, pa.uint32())))
+        return pc.binary_join(runs, pa.scalar(" ", pa.large_string()))
 
 
 # --- the operator -------------------------------------------------------------
 
 
-def frequent_pieces(docs: DataFrame, size: int = LEXICON, epsilon: float = EPSILON) -> list[bytes]:
-    """About the ``size`` most frequent pieces of all texts; rare pieces are dropped
-    by partition, see the module's first point."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: how often each word occurs in all texts.  Words of over ``KEPT_CHARS``
+    characters and pieces beyond Latin-1 are no words of a lexicon."""
 
     def count(rows):
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def counted(texts):
+            words = parts_of(texts).values.value_counts()
+            names = words.field("values")
+            kept = pc.and_(pc.greater(pc.binary_length(names), 0), pc.less_equal(pc.utf8_length(names), KEPT_CHARS))
+            return pa.RecordBatch.from_arrays([names, words.field("counts")], ["word", "n"]).filter(kept)
 
-        counter, seen = Counter(), 0
         for batch in rows:
-            for text in text_bytes(batch.column("text")):
-                pieces = text.split()
-                seen += len(pieces)
-                counter.update(pieces)
-                if len(counter) > COUNTER_ENTRIES:
-                    least = max(2, epsilon * seen)
-                    counter = Counter({k: v for k, v in counter.items() if v >= least})
-        least = max(2, epsilon * seen) if seen > 1000 else 1
-        kept = [(k, v) for k, v in counter.items() if v >= least and len(k) <= KEPT_BYTES]
-        for at in range(0, len(kept), 10_000):
-            part = kept[at : at + 10_000]
-            yield pa.RecordBatch.from_pydict({"piece": [k for k, _ in part], "n": [v for _, v in part]}, schema=pa.schema([("piece", pa.binary()), ("n", pa.int64())]))
-
-    counted = docs.select("text").mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [bytes(r.piece) for r in counted.orderBy(F.desc("n"), "piece").limit(size).collect()]
-
-
-def compile_lexicon(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, size: int = LEXICON) -> str:
-    pieces = frequent_pieces(docs, size)
-    words = {p: struct.unpack(f"<{len(ids) // 4}I", ids) for p, ids in zip(pieces, PieceMerger(tokenizer).ids(pieces))}
+            for _, texts in batches(batch.column("text")):
+                if isinstance(texts, bytes):
+                    texts = pa.array([texts], pa.binary()).cast(pa.string())
+                hard = pc.match_substring_regex(texts, HARD)
+                yield counted(texts.filter(pc.invert(hard)))
+                if pc.any(hard).as_py():
+                    pieces = pc.ascii_split_whitespace(texts.filter(hard)).flatten()
+                    yield counted(pieces.filter(pc.invert(pc.match_substring_regex(pieces, HARD))))
+
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(docs: DataFrame, work: Workspace, size: int = LEXICON) -> list[str]:
+    """The most frequent words, ``size`` at most.  The driver gets one number for each
+    sixteenth of a power of two, and the words."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    counts = work.table(word_counts(docs).withColumn("level", level), "words")
+    least, held = None, 0
+    for row in counts.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        if (held := held + row.words) > size:
+            break
+        least = row.level
+    words = [] if least is None else [r.word for r in counts.where(F.col("level") >= least).select("word").collect()]
+    work.drop("words")
+    return words
+
+
+def compile_lexicon(docs: DataFrame, work: Workspace, tokenizer: str, size: int = LEXICON) -> tuple[str, str]:
+    """The folder and name of a new lexicon's file."""
+    coder = WordCoder(tokenizer)
+    words = frequent_words(docs, work, size) if coder.by_parts else []
+    ids = {w.encode("utf-8"): tuple(np.frombuffer(p, "<u4").tolist()) for w, p in zip(words, coder.table.many(words))}
+    folder = work.folder("lexicon")
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)
     with store.open_output_stream(f"{path}/lexicon") as out:
-        out.write(Lexicon.build(words).to_bytes())
-    return "lexicon"
+        out.write(Lexicon.build(ids).to_bytes())
+    return folder, "lexicon"
 
 
 def encode(docs: DataFrame, folder: str, name: str, tokenizer: str) -> DataFrame:
@@ -243,57 +257,52 @@ def encode(docs: DataFrame, folder: str, name: str, tokenizer: str) -> DataFrame
     def run(rows):
         import pyarrow as pa
 
-        coder = held(TransducerCoder, folder, name, tokenizer)
+        coder = TransducerCoder(folder, name, tokenizer)
         for batch in rows:
-            doc_ids, at = batch.column("doc_id"), 0
-            for texts in batches(text_bytes(batch.column("text"))):
-                packed = coder.encode(texts)
-                offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, len(texts)).cast(pa.int64()), ids], ["doc_id", "ids"])
-                at += len(texts)
+            doc_ids = batch.column("doc_id").cast(pa.int64())
+            for first, offsets, ids in coder.batches(batch.column("text")):
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4"), pa.int32()))
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(lists)), lists], ["doc_id", "ids"])
 
     return docs_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, folder: str, name: str, tokenizer: str) -> DataFrame:
-    """doc_id, the number of ids, the digest of the ids, and the decoded text."""
-    return _decoded(encoded, folder, name, tokenizer, with_text=True)
-
+def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id and the decoded text of each row's ids."""
 
-def _decoded(encoded: DataFrame, folder: str, name: str, tokenizer: str, with_text: bool) -> DataFrame:
     def run(rows):
         import pyarrow as pa
 
-        coder = held(TransducerCoder, folder, name, tokenizer)
+        decoder = Decoder(tokenizer)
         for batch in rows:
             column = batch.column("ids")
-            offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            texts = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                ids = flat[a:b].tolist()
-                text = coder.decode(ids)
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(b" ".join(map(coder.decimal.__getitem__, ids))).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
-                if with_text:
-                    texts.append(text)
-            arrays = [batch.column("doc_id"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
-            if with_text:
-                arrays.append(pa.array(texts, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["decoded"] if with_text else [])
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", decoded string" if with_text else ""))
+            offsets = column.offsets.to_numpy().astype(np.int64)
+            ids = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            texts = decoder.joined(decoder.tokens, offsets - offsets[0], ids)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts.cast(pa.string())], ["doc_id", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
 
 
 def digests(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of a round trip of all texts."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of a round trip of all texts.  Ids
+    and decoded texts stay in the worker that makes them."""
     tokenizer = tokenizer or default_tokenizer()
-    folder = Workspace(spark, "bpe").folder("lexicon")
-    name = compile_lexicon(spark, docs, folder, tokenizer)
-    return _decoded(encode(docs, folder, name, tokenizer), folder, name, tokenizer, with_text=False)
+    folder, name = compile_lexicon(docs, Workspace(spark, "bpe"), tokenizer)
+
+    def run(rows):
+        import pyarrow as pa
+
+        coder, decoder = TransducerCoder(folder, name, tokenizer), Decoder(tokenizer)
+        sha = lambda texts: pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())
+        for batch in rows:
+            doc_ids = batch.column("doc_id").cast(pa.int64())
+            for first, offsets, ids in coder.batches(batch.column("text")):
+                n = pa.array(np.diff(offsets), pa.int64())
+                both = [sha(decoder.joined(kind, offsets, ids)) for kind in (decoder.decimal, decoder.tokens)]
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(n)), n, *both], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

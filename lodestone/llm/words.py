@@ -2,25 +2,41 @@
 
 The tokenizer of these operators drops white space and never merges across it,
 normalises no character together with a neighbouring ASCII space, and has no
-special token that holds one.  So the ids of a text are those of its pieces
-between ASCII white space, in order, and a bounded table of pieces saves most
-calls.  ``splits_at_spaces`` checks these conditions on a tokenizer's file; a
-tokenizer without them is run over whole texts.
+special token that holds one.  So the ids of a text are those of its parts, in
+order: runs of letters, single digits, runs of other characters, and the endings
+that the pre-tokenizer names.  ``knows`` checks these conditions on a tokenizer's
+file; a tokenizer without them is run over whole texts.
+
+Texts of Latin-1 characters, in which all versions of Unicode agree, are cut into
+parts by Arrow's kernels, a batch of texts at once.  Only a batch's distinct parts
+become Python strings, and only those that a bounded table doesn't hold go to the
+library's merges.  Of other texts, the pieces between ASCII white space that are
+Latin-1 take the same way, and the rest is encoded by the library as it stands.
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import os
-import struct
+import re
 
 import numpy as np
 
-#: Entries of a worker's piece table; past it, the table starts anew.
-TABLE_ENTRIES = 600_000
-#: Pieces longer than this are encoded each time and not kept.
-KEPT_BYTES = 64
+#: Entries of a task's table of parts; past it, the table starts anew.
+TABLE_ENTRIES = 200_000
+#: Parts longer than this are encoded each time and not kept.
+KEPT_CHARS = 64
+#: Bytes of text that are encoded at once; a longer text is cut at white space.
+BATCH_BYTES = 8 << 20
+
+# The pre-tokenizer's pattern, and what it means for Latin-1 in lower case.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS, DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+NO_LETTERS = rf"('s|'t|'re|'ve|'m|'ll|'d|[{DIGITS}]|[^ \x09-\x0D{LETTERS}{DIGITS}]+)"
+#: Beyond Latin-1, white space beyond ASCII, or the start of a special token.
+HARD = r"[^\x{00}-\x{84}\x{86}-\x{9f}\x{a1}-\x{ff}]|<\|"
+
+_GAP = re.compile(rb"[ \t-\r]")
 
 
 def default_tokenizer() -> str:
@@ -39,198 +55,176 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def splits_at_spaces(path: str) -> bool:
-    """Whether text may be cut at ASCII white space before encoding: the
-    pre-tokenizer keeps only runs free of white space, and the normaliser works
-    character by character (NFC never composes with a space)."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
-    norm = (spec.get("normalizer") or {}).get("normalizers") or [spec.get("normalizer") or {}]
-    first = pre[0]
-    drops = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and "[^\\s" in (first.get("pattern") or {}).get("Regex", "")
-    prefix_free = all(not p.get("add_prefix_space") for p in pre)
-    known = {None, "NFC", "Lowercase", "Replace"}
-    plain = all(n.get("type") in known and (n.get("type") != "Replace" or n["pattern"] == {"Regex": "\\s+"}) for n in norm)
-    tokens = all(not (set(t["content"]) & set(" \t\n\r\v\f")) and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec.get("added_tokens", []))
-    return bool(drops and prefix_free and plain and tokens)
-
-
-class Table(dict):
-    """A bounded table in two generations: when the young one is full it becomes
-    the old one, and what is asked for again moves on.  ``find`` works out the
-    values of unseen keys.  Only ``learn`` ages the table, before it adds keys, so
-    what a batch has learned stays until the next; the table holds ``entries`` and
-    one batch's keys at most.  Long keys are held for one batch."""
+def knows(spec: dict) -> bool:
+    """Whether a tokenizer's file is of the kind that the module describes."""
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    norm = (spec.get("normalizer") or {}).get("normalizers") or []
+    if spec["model"]["type"] != "BPE" or [p["type"] for p in pre] != ["Split", "ByteLevel"] or [n["type"] for n in norm] != ["NFC", "Replace", "Lowercase"]:
+        return False
+    split, bytewise = pre
+    return bool(
+        split["invert"] and split["behavior"] == "Removed" and split["pattern"] == {"Regex": SPLIT} and not bytewise["add_prefix_space"] and not bytewise.get("use_regex", True)
+        and norm[1]["pattern"] == {"Regex": "\\s+"} and norm[1]["content"] == " " and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout")
+        and all(t["content"].startswith("<|") and not set(t["content"]) & set(" \t\n\r\v\f") and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec.get("added_tokens", []))
+    )
 
-    def __init__(self, find, entries: int = TABLE_ENTRIES) -> None:
-        super().__init__()
-        self.find, self.entries, self.old, self.long = find, entries, {}, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.long.get(key)
-            return self.find([key])[0] if value is None else value
-        self[key] = value
-        return value
-
-    def learn(self, keys: set) -> None:
-        """Finds the unseen of ``keys`` together."""
-        if len(self) >= self.entries:
-            self.old = dict(self)
-            self.clear()
-        fresh = [k for k in keys if k not in self and k not in self.old]
-        found = dict(zip(fresh, self.find(fresh))) if fresh else {}
-        self.long = {k: found.pop(k) for k in fresh if len(k) > KEPT_BYTES}
-        self.update(found)
-
-
-@functools.cache
-def packer(n: int):
-    return struct.Struct(f"<{n}I").pack
-
-
-class PieceMerger:
-    """The library's ids of pieces, as little-endian unsigned 32-bit integers.
-
-    A piece of Latin-1 text is cut into the pre-tokenizer's parts, whose ids are
-    kept: "The," and "the." share a part.  Unseen parts of printable ASCII go to
-    the library's merges; others go through the library in one text, set apart by
-    a control character that is a part of its own.
-    Whatever lies beyond Latin-1, where Unicode versions may differ, and whatever
-    may hold a special token is encoded by the library as it stands.
-    """
-
-    APART = "\x01"
 
-    def __init__(self, path: str) -> None:
-        import regex
+def byte_symbols() -> dict[int, str]:
+    """Byte-level symbols: printable Latin-1 stands for itself, other bytes for the
+    characters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.tokenizer = load_tokenizer(path)
-        self.by_piece = splits_at_spaces(path)
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.merges = None
-        if self.by_piece:
-            pre = spec["pre_tokenizer"]
-            self.split = regex.compile((pre.get("pretokenizers") or [pre])[0]["pattern"]["Regex"])
-            apart = self.tokenizer.encode(self.APART, add_special_tokens=False).ids
-            self.apart = apart[0] if len(apart) == 1 else None
-            # Byte-level symbols of printable ASCII are the characters themselves, so
-            # such a part goes to the merges as it stands.
-            after = [p.get("type") for p in pre.get("pretokenizers", [])[1:]]
-            if spec["model"]["type"] == "BPE" and after == ["ByteLevel"] and not pre["pretokenizers"][1].get("use_regex", True):
-                self.merges = self.tokenizer.model.tokenize
-        self.parts = Table(self._merged)
-
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _merged(self, parts: list[str]) -> list[bytes]:
-        if self.merges is None:
-            return self._library(parts)
-        out = [self._direct(p) if p.isascii() and p.isprintable() else None for p in parts]
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(rest, self._library([parts[k] for k in rest])):
-            out[k] = ids
-        return out
 
-    def _direct(self, part: str) -> bytes:
-        ids = [token.id for token in self.merges(part)]
-        return packer(len(ids))(*ids)
-
-    def _library(self, parts: list[str]) -> list[bytes]:
-        if self.apart is None:
-            return [self.whole(p) for p in parts]
-        out: list[bytes] = []
-        for at in range(0, len(parts), 2048):
-            some = parts[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.APART} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * np.flatnonzero(ids == self.apart)).tolist()
-            packed = ids.tobytes()
-            out += [packed[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(packed)])]
-        return out
+class Table:
+    """A bounded table in two generations: when the young one is full it becomes the
+    old one, and what is asked for again moves on."""
 
-    def ids(self, pieces: list[bytes]) -> list[bytes]:
-        if not self.by_piece:
-            return [self.whole(p.decode("utf-8")) for p in pieces]
-        if self.merges is not None:
-            # A piece of nothing but a to z is one part; it needs no parts table.
-            rest = [p for p in pieces if not (p.islower() and p.isalpha())]
-            found = iter(self._by_parts(rest))
-            return [self._direct(p.decode("ascii")) if p.islower() and p.isalpha() else next(found) for p in pieces]
-        return self._by_parts(pieces)
+    def __init__(self, find, entries: int = TABLE_ENTRIES) -> None:
+        self.find, self.entries, self.young, self.old = find, entries, {}, {}
+
+    def many(self, keys: list[str]) -> list[bytes]:
+        out = list(map(self.young.get, keys))
+        for k, value in enumerate(out):
+            if value is None:
+                key = keys[k]
+                value = self.old.get(key)
+                out[k] = value = self.find(key) if value is None else value
+                if len(key) <= KEPT_CHARS:
+                    self.young[key] = value
+        if len(self.young) >= self.entries:
+            self.old, self.young = self.young, {}
+        return out
 
-    def _by_parts(self, pieces: list[bytes]) -> list[bytes]:
-        texts = [p.decode("utf-8") for p in pieces]
-        parts = [self.split.findall(t.lower()) if self._plain(t) else None for t in texts]
-        self.parts.learn({p for some in parts if some for p in some})
-        get = self.parts.__getitem__
-        return [self.whole(t) if some is None else b"".join(map(get, some)) for t, some in zip(texts, parts)]
 
-    def _plain(self, text: str) -> bool:
-        if len(text) > KEPT_BYTES or self.APART in text or "<|" in text and any(s in text for s in self.special):
-            return False
-        return text.isascii() or (max(text) < "\u0100" and "\x85" not in text and "\xa0" not in text)
+def ragged(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(lengths)
+    if not len(ends):
+        return pool[:0]
+    return pool[np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)]
 
 
-class LibraryPieces:
-    """Encodes texts by the library, word by word through a bounded table."""
+class WordCoder:
+    """Encodes Arrow columns of texts; one per task, so that nothing outlives it."""
 
     def __init__(self, path: str) -> None:
-        self.merger = PieceMerger(path)
-        self.table = Table(self.merger.ids)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, packed."""
-        if not self.merger.by_piece:
-            return self.merger.ids(texts)
-        return by_table(self.table, texts)
-
-
-def by_table(table: Table, texts: list[bytes]) -> list[bytes]:
-    """Each text's values, joined; unseen pieces of all texts are found together."""
-    out: list[bytes | None] = []
-    unseen: set[bytes] = set()
-    get = table.get
-    for text in texts:
-        pieces = text.split()
-        found = list(map(get, pieces))
-        if None in found:
-            unseen.update(p for p, f in zip(pieces, found) if f is None)
-            out.append(None)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer = load_tokenizer(path)
+        self.by_parts = knows(spec)
+        self.merges = self.tokenizer.model.tokenize
+        self.symbols = byte_symbols()
+        self.table = Table(self._merged)
+
+    def _merged(self, part: str) -> bytes:
+        if not (part.isascii() and part.isprintable()):
+            part = part.encode("utf-8").decode("latin-1").translate(self.symbols)
+        return np.array([token.id for token in self.merges(part)], "<u4").tobytes()
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def found(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """starts, lengths and a pool of ids that has the ids of each distinct part."""
+        return self._tabled(words.to_pylist())
+
+    def _tabled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        packed = self.table.many(words) if words else []
+        lengths = np.fromiter((len(p) >> 2 for p in packed), np.int64, len(packed))
+        return np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(packed), "<u4")
+
+    def _plain(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        lists = parts_of(texts)
+        words = lists.values.dictionary_encode()
+        starts, lengths, pool = self.found(words.dictionary)
+        at = words.indices.to_numpy(zero_copy_only=False)
+        per_word = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(per_word)])
+        return ends[lists.offsets.to_numpy()], ragged(pool, starts[at], per_word)
+
+    def _pieces(self, text: str) -> np.ndarray:
+        """A text with hard characters, by its distinct pieces."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        pieces = re.split(r"[ \t-\r]+", text)
+        distinct = pa.array(list(dict.fromkeys(pieces)), pa.string())
+        hard = pc.match_substring_regex(distinct, HARD)
+        plain = distinct.filter(pc.invert(hard))
+        offsets, ids = self._plain(plain)
+        of = {p: ids[a:b] for p, a, b in zip(plain.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist())}
+        of |= {p: self.whole(p) for p in distinct.filter(hard).to_pylist()}
+        return np.concatenate([ids[:0], *(of[p] for p in pieces)])
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's ids begin and end, and the ids of all texts.  ``texts``:
+        an Arrow string array without nulls."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.by_parts:
+            return _joined([self.whole(t) for t in texts.to_pylist()])
+        hard = pc.match_substring_regex(texts, HARD)
+        if not pc.any(hard).as_py():
+            return self._plain(texts)
+        offsets, ids = self._plain(texts.filter(pc.invert(hard)))
+        plain = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+        hard_ids = iter([self._pieces(t) for t in texts.filter(pc.fill_null(hard, pa.scalar(False))).to_pylist()])
+        return _joined([next(hard_ids) if h else ids[slice(*next(plain))] for h in hard.to_pylist()])
+
+    def batches(self, column):
+        """The ids of each text of a column (null: empty), some texts at a time:
+        (first row, offsets, ids)."""
+        for first, texts in batches(column):
+            if isinstance(texts, bytes):  # one long text, slice by slice
+                ids = np.concatenate([self.encode(s)[1] for s in cut(texts, BATCH_BYTES)])
+                yield first, np.array([0, len(ids)]), ids
+            else:
+                yield first, *self.encode(texts)
+
+
+def _joined(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([np.empty(0, "<u4"), *found])
+
+
+def parts_of(texts):
+    """The parts of Latin-1 texts, an Arrow list of strings for each; empty strings
+    stand at the ends of texts that begin or end with white space."""
+    import pyarrow.compute as pc
+
+    apart = pc.replace_substring_regex(pc.utf8_lower(texts), NO_LETTERS, r" \1 ")
+    return pc.ascii_split_whitespace(apart)
+
+
+def cut(text: bytes, limit: int):
+    """A text cut at white space into slices of about ``limit`` bytes, each an array of
+    one string; a longer run without any stays whole."""
+    import pyarrow as pa
+
+    at = 0
+    while len(text) - at > limit and (gap := _GAP.search(text, at + limit)):
+        yield pa.array([text[at : gap.start()]], pa.binary()).cast(pa.string())
+        at = gap.start()
+    yield pa.array([text[at:]], pa.binary()).cast(pa.string())
+
+
+def batches(column, limit: int = BATCH_BYTES):
+    """Slices of a column of texts (null: empty) of about ``limit`` bytes: the first
+    row and an Arrow string array, or the bytes of one longer text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column.cast(pa.string()), "")
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+        if ends[at] - base > limit:
+            yield at, column[at].as_buffer().to_pybytes()
         else:
-            out.append(b"".join(found))
-    if unseen:
-        table.learn(unseen)
-        out = [b"".join(map(table.__getitem__, t.split())) if o is None else o for t, o in zip(texts, out)]
-    return out
-
-
-_HELD: dict[tuple, object] = {}
-
-
-def held(kind, *args):
-    """One instance of a kind per Python worker process: a worker outlives its job,
-    so what an earlier job held goes when other arguments come."""
-    if (key := (kind, *args)) not in _HELD:
-        for other in [k for k in _HELD if k[0] is kind]:
-            del _HELD[other]
-        _HELD[key] = kind(*args)
-    return _HELD[key]
-
-
-def batches(texts, limit: int = 4 << 20):
-    """Lists of texts of about ``limit`` bytes; a longer text comes alone."""
-    group, size = [], 0
-    for text in texts:
-        if group and size + len(text) > limit:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text)
-    if group:
-        yield group
+            yield at, column.slice(at, to - at)
+        at = to
