@@ -242,7 +242,7 @@ def compile_lexicon(docs: DataFrame, work: Workspace, tokenizer: str, size: int
     """The folder and name of a new lexicon's file."""
     coder = WordCoder(tokenizer)
     words = frequent_words(docs, work, size) if coder.by_parts else []
-    ids = {w.encode("utf-8"): tuple(np.frombuffer(p, "<u4").tolist()) for w, p in zip(words, coder.table.many(words))}
+    ids = {w.encode("utf-8"): tuple(np.frombuffer(p, "<u4").tolist()) for w, p in zip(words, coder.table.many(words, coder.merged))}
     folder = work.folder("lexicon")
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)

@@ -81,16 +81,16 @@ class Table:
     """A bounded table in two generations: when the young one is full it becomes the
     old one, and what is asked for again moves on."""
 
-    def __init__(self, find, entries: int = TABLE_ENTRIES) -> None:
-        self.find, self.entries, self.young, self.old = find, entries, {}, {}
+    def __init__(self, entries: int = TABLE_ENTRIES) -> None:
+        self.entries, self.young, self.old = entries, {}, {}
 
-    def many(self, keys: list[str]) -> list[bytes]:
+    def many(self, keys: list[str], find) -> list[bytes]:
         out = list(map(self.young.get, keys))
         for k, value in enumerate(out):
             if value is None:
                 key = keys[k]
                 value = self.old.get(key)
-                out[k] = value = self.find(key) if value is None else value
+                out[k] = value = find(key) if value is None else value
                 if len(key) <= KEPT_CHARS:
                     self.young[key] = value
         if len(self.young) >= self.entries:
@@ -116,9 +116,9 @@ class WordCoder:
         self.by_parts = knows(spec)
         self.merges = self.tokenizer.model.tokenize
         self.symbols = byte_symbols()
-        self.table = Table(self._merged)
+        self.table = Table()  # it doesn't know the coder: no cycle keeps a coder alive
 
-    def _merged(self, part: str) -> bytes:
+    def merged(self, part: str) -> bytes:
         if not (part.isascii() and part.isprintable()):
             part = part.encode("utf-8").decode("latin-1").translate(self.symbols)
         return np.array([token.id for token in self.merges(part)], "<u4").tobytes()
@@ -131,7 +131,7 @@ class WordCoder:
         return self._tabled(words.to_pylist())
 
     def _tabled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        packed = self.table.many(words) if words else []
+        packed = self.table.many(words, self.merged) if words else []
         lengths = np.fromiter((len(p) >> 2 for p in packed), np.int64, len(packed))
         return np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(packed), "<u4")
 
