@@ -9,20 +9,27 @@ goes through a logistic layer to one probability.  Filters and layer are learned
 together by Adam; the gradient flows through each filter's winning chunk.
 
 The network is fitted on a bounded sample, ``SAMPLE`` labelled documents of each
-class of at most ``SAMPLE_BYTES`` bytes (by a hash of the doc_id, never from the
-held-out quarter), and scores every document, whole and slice by slice.
+class (by a hash of the doc_id, never from the held-out quarter), which come whole to
+the driver, and scores every document, whole and slice by slice.
 
 Query ``op7_byte_cnn_quality``: one row per row of ``documents``.  Null and empty
 texts get the score of an empty document; null doc_ids are never held out and
 never in the sample; labels without quality are unlabelled, repeated labels of a
 document count once (the smaller quality).  Without two classes in the labels,
 every score is the share of label 1 (0.5 without labels).  Labels, lang, source
-and doc_id are no inputs.  An empty table gives no rows.
+and doc_id are no inputs.  Repeated rows give equal rows.  An empty table gives no
+rows.
+
+Stage ``keep_good``: rows go or stay by their text alone; other columns, whatever
+their names, aren't read or changed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +38,6 @@ from .common import docs_of, read_table, text_bytes
 FILTERS, WIDTH = 16, 6
 BLOCK = 256  # a chunk is two blocks; chunks start at each block
 SAMPLE = 700
-SAMPLE_BYTES = 1 << 15
 EPOCHS = 6
 SLICE = 1 << 20
 LAGS = range(3, 25)
@@ -71,37 +77,42 @@ class ByteNet:
         acts += self.bias
         return np.maximum(acts, 0, out=acts)
 
-    def pooled(self, data: np.ndarray, want_chunks: bool = False):
-        """The largest chunk average of each filter over the whole text."""
+    def pooled(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest chunk average of each filter over the whole text, and which
+        chunk has it."""
         n = len(data)
-        if not n:
-            return (np.zeros(FILTERS, np.float32), None, None) if want_chunks else np.zeros(FILTERS, np.float32)
-        best, last = np.full(FILTERS, -1, np.float32), None
+        best, chunk = np.full(FILTERS, -1 if n else 0, np.float32), np.zeros(FILTERS, np.int64)
+        last = None
         for at in range(0, n, SLICE):
-            part = data[at : at + SLICE + WIDTH - 1]
             m = min(SLICE, n - at)
-            s = np.concatenate([symbols(part, data[max(0, at - 24) : at]), np.zeros(max(0, m + WIDTH - 1 - len(part)), np.int64)])
-            acts = self.activations(s, m)
+            acts = self.activations(self._symbols(data, at, m), m)
             starts = np.arange(0, m, BLOCK)
             sums = np.add.reduceat(acts, starts, axis=0)
             sizes = np.minimum(BLOCK, m - starts)
+            first = at // BLOCK
             if last is not None:
-                sums, sizes = np.concatenate([last[0], sums]), np.concatenate([last[1], sizes])
+                sums, sizes, first = np.concatenate([last[0], sums]), np.concatenate([last[1], sizes]), first - 1
             if len(sums) > 1:
                 means = (sums[:-1] + sums[1:]) / (sizes[:-1] + sizes[1:])[:, None]
-                best = np.maximum(best, means.max(axis=0))
-            else:
-                means = sums / sizes[:, None]
-                if m == n:
-                    best = means[0]
+            else:  # a block that more follow is no chunk of its own
+                means = sums / sizes[:, None] if m == n else np.full((1, FILTERS), -1, np.float32)
+            top = means.argmax(axis=0)
+            found = means[top, np.arange(FILTERS)]
+            better = found > best
+            best, chunk = np.where(better, found, best), np.where(better, first + top, chunk)
             last = (sums[-1:], sizes[-1:])
-        return (best, means.argmax(axis=0), (s, acts)) if want_chunks else best
+        return best, chunk
+
+    @staticmethod
+    def _symbols(data: np.ndarray, at: int, m: int) -> np.ndarray:
+        """The symbols of m bytes from ``at`` and of the WIDTH - 1 that follow."""
+        part = data[at : at + m + WIDTH - 1]
+        return np.concatenate([symbols(part, data[max(0, at - 24) : at]), np.zeros(m + WIDTH - 1 - len(part), np.int64)])
 
     def score(self, data: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-(self.pooled(data) @ self.out * 4 + self.base))))
+        return float(1 / (1 + np.exp(-(self.pooled(data)[0] @ self.out * 4 + self.base))))
 
     def fit(self, texts: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed: int = 7, batch: int = 16, rate: float = 0.02) -> ByteNet:
-        """Texts of at most SLICE bytes."""
         rng = np.random.default_rng(seed)
         share = np.mean(labels)
         weight = {1: 0.5 / share, 0: 0.5 / (1 - share)}
@@ -113,13 +124,13 @@ class ByteNet:
             for at in range(0, len(order), batch):
                 grads = [np.zeros_like(p) for p in params]
                 for k in order[at : at + batch]:
-                    pooled, chunk, kept = self.pooled(texts[k], want_chunks=True)
+                    pooled, chunk = self.pooled(texts[k])
                     p = 1 / (1 + np.exp(-(pooled @ self.out * 4 + self.base)))
                     g = weight[labels[k]] * (p - labels[k]) / batch
                     grads[2] += 4 * g * pooled
                     grads[3] += g
-                    if kept is not None:
-                        self._back(g, chunk, *kept, len(texts[k]), grads)
+                    if len(texts[k]):
+                        self._back(g, chunk, texts[k], grads)
                 step += 1
                 now = rate * (0.5 ** (2 * epoch / epochs))
                 for p, d, (m, v) in zip(params, grads, moments):
@@ -129,22 +140,25 @@ class ByteNet:
                 self.base = params[3][0]
         return self
 
-    def _back(self, g: float, chunk: np.ndarray, s: np.ndarray, acts: np.ndarray, n: int, grads: list) -> None:
-        for f in range(FILTERS):
-            low = int(chunk[f]) * BLOCK
-            high = min(n, low + 2 * BLOCK)
-            on = np.flatnonzero(acts[low:high, f] > 0) + low
-            d = 4 * g * self.out[f] / (high - low)
-            grads[1][f] += d * len(on)
-            for k in range(WIDTH):
-                grads[0][k, :, f] += np.float32(d) * np.bincount(s[on + k], minlength=512)
+    def _back(self, g: float, chunk: np.ndarray, data: np.ndarray, grads: list) -> None:
+        for place in np.unique(chunk).tolist():
+            low = place * BLOCK
+            m = min(len(data) - low, 2 * BLOCK)
+            s = self._symbols(data, low, m)
+            acts = self.activations(s, m)
+            for f in np.flatnonzero(chunk == place).tolist():
+                on = np.flatnonzero(acts[:, f] > 0)
+                d = 4 * g * self.out[f] / m
+                grads[1][f] += d * len(on)
+                for k in range(WIDTH):
+                    grads[0][k, :, f] += np.float32(d) * np.bincount(s[on + k], minlength=512)
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
+def training_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple[bytes, int]]:
     """Texts and labels; the ids are chosen from the labels alone, at most
     ``2 * size`` of them, so only those rows' texts move."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    texts = docs_of(documents, "doc_id", "text").where(F.octet_length("text").between(1, most_bytes))
+    texts = docs_of(documents, "doc_id", "text").where("text <> ''")
     chosen = [marks.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for q in (0, 1)]
     rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     return [(r.text.encode("utf-8"), r.quality) for r in sorted(rows, key=lambda r: r.doc_id)]
@@ -161,27 +175,25 @@ def train(documents: DataFrame, labels: DataFrame) -> ByteNet:
     return net.fit([np.frombuffer(t, np.uint8) for t, _ in sample], marks)
 
 
-def score(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """``docs`` with a column ``score``; the network, under 1 MB, goes with the tasks."""
-
-    def run(rows):
-        import pyarrow as pa
+def score_of(net: ByteNet, text: Column) -> Column:
+    """The score of a text; the network, under 1 MB, goes with the tasks."""
 
-        for batch in rows:
-            scores = [net.score(np.frombuffer(t, np.uint8)) for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+    @F.arrow_udf("double")
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([net.score(np.frombuffer(t, np.uint8)) for t in text_bytes(column)], pa.float64())
 
-    return docs.mapInArrow(run, docs.drop("score").select("*", F.lit(0.0).alias("score")).schema)
+    return scored(text)
 
 
 def byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     net = train(documents, read_table(spark, sf_dir, "labels"))
-    scored = score(docs_of(documents, "doc_id", "text"), net)
+    scored = docs_of(documents, "doc_id", "text").select("doc_id", score_of(net, F.col("text")).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that score at least ``GOOD_FROM``."""
     net = train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return score(docs, net).where(F.col("score") >= GOOD_FROM).drop("score")
+    return docs.where(score_of(net, F.col("text")) >= GOOD_FROM)

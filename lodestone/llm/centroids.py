@@ -9,32 +9,39 @@ rejected if the cosine is under its language's bound, ``REJECT_SHARE`` of the
 ``REJECT_QUANTILE`` of that language's learning texts' cosines.
 
 The model is fitted on a bounded sample (``PER_LANG`` documents of each language,
-by a hash of the doc_id, never from the held-out quarter; of each, the first
-``SAMPLE_BYTES`` bytes) and classifies every text, whole and slice by slice.
+by a hash of the doc_id, never from the held-out quarter, each of them whole; the
+driver gets the dampened counts, which have a fixed size) and classifies every text,
+whole and slice by slice.
 
 Query ``op9_centroid_langid``: one row per row of ``documents``.  Null texts and
 texts without a letter: ``und``, score 0.  Others get a learned language, with
 ``rejected`` beside it.  Ties go to the language that sorts first.  Without
 learning texts everything is ``und``.  lang, source and doc_id are no inputs of a
 prediction.  Repeated rows give equal rows, an empty table gives none.
+
+Stage ``keep_known``: rows go or stay by their text alone; other columns, whatever
+their names, aren't read or changed.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytecnn import held_out
-from .common import docs_of, read_table, text_bytes
+from .common import Workspace, docs_of, read_table, text_bytes
 
 BIGRAMS, TRIGRAMS = 1 << 12, 1 << 13
 DIMS = 256 + BIGRAMS + TRIGRAMS
 CLUSTERS = 3
 PER_LANG = 300
-SAMPLE_BYTES = 1 << 14
+#: Parts of a language whose first documents are found one by one.
+SPREAD = 64
 REJECT_QUANTILE, REJECT_SHARE = 0.01, 0.2
 SLICE = 1 << 20
 UNKNOWN = "und"
@@ -77,11 +84,12 @@ class Centroids:
         norm = np.sqrt(v @ v)
         return v / norm if norm else v
 
-    def fit(self, texts: list[tuple[str, bytes]], clusters: int = CLUSTERS, seed: int = 3) -> Centroids:
-        texts = sorted(t for t in texts if has_letter(t[1]))
+    def fit(self, texts: list[tuple[str, np.ndarray]], clusters: int = CLUSTERS, seed: int = 3) -> Centroids:
+        """``texts``: the language and the dampened counts of each text."""
         if not texts:
             return self
-        raw = np.stack([np.log1p(counts(np.frombuffer(t, np.uint8))).astype(np.float32) for _, t in texts])
+        texts = sorted(texts, key=lambda t: (t[0], t[1].tobytes()))
+        raw = np.stack([v for _, v in texts])
         self.idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 0.1
         rows = raw * self.idf
         rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
@@ -110,40 +118,57 @@ class Centroids:
         return self.langs[best], float(min(1.0, max(0.0, cosines[best]))), bool(cosines[best] < self.bounds[best])
 
 
-def train(documents: DataFrame, per_lang: int = PER_LANG) -> Centroids:
-    """The ids are chosen first; Spark keeps at most ``per_lang`` rows of a language
-    on each side of that shuffle."""
+def learning_texts(documents: DataFrame, work: Workspace, per_lang: int = PER_LANG) -> DataFrame:
+    """lang, text of the sample.  The ids are chosen first, in two steps, so that no
+    task ranks a language: the first of each of ``SPREAD`` parts, then of these.  The
+    chosen ids are written, so their size decides how the texts are joined."""
     rows = docs_of(documents, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
-    head = F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("head")
-    few = rows.select("doc_id", "lang", head).join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"]).distinct()
-    return Centroids().fit([(r.lang, bytes(r.head)) for r in few.collect()])
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SPREAD)).alias("part"))
+    for by in (["lang", "part"], ["lang"]):
+        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("k") <= per_lang).drop("k")
+    chosen = work.table(ids.select("doc_id", "lang").distinct(), "chosen")
+    return rows.join(chosen, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang", "text"]).select("lang", "text")
 
 
-def classify(docs: DataFrame, model: Centroids) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected."""
-    added = {"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(False)}
-    docs, names = docs.drop(*added), tuple(added)
-
-    def run(rows):
-        import pyarrow as pa
+def train(documents: DataFrame, per_lang: int = PER_LANG) -> Centroids:
+    work = Workspace(documents.sparkSession, "langid")
 
+    def counted(rows):
         for batch in rows:
-            found = [model.predict(t) for t in text_bytes(batch.column("text"))]
-            langs, scores, rejected = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, *names])
+            kept = [(lang, np.log1p(counts(np.frombuffer(t, np.uint8))).astype("<f4")) for lang, t in zip(batch.column("lang").to_pylist(), text_bytes(batch.column("text"))) if has_letter(t)]
+            places = [np.flatnonzero(v) for _, v in kept]
+            yield pa.RecordBatch.from_pydict({"lang": [lang for lang, _ in kept], "places": [p.astype("<i4").tobytes() for p in places], "values": [v[p].tobytes() for (_, v), p in zip(kept, places)]}, schema=schema)
+
+    schema = pa.schema([("lang", pa.string()), ("places", pa.binary()), ("values", pa.binary())])
+    texts = []
+    for row in learning_texts(documents, work, per_lang).mapInArrow(counted, "lang string, places binary, values binary").collect():
+        vector = np.zeros(DIMS, np.float32)
+        vector[np.frombuffer(row["places"], "<i4")] = np.frombuffer(row["values"], "<f4")
+        texts.append((row.lang, vector))
+    work.drop("chosen")
+    return Centroids().fit(texts)
+
+
+def found_of(model: Centroids, text: Column) -> Column:
+    """A struct of lang_pred, score and rejected."""
+
+    @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
+    def classified(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            langs, scores, rejected = zip(*map(model.predict, text_bytes(column))) if len(column) else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, docs.select("*", *(v.alias(k) for k, v in added.items())).schema)
+    return classified(text)
 
 
 def centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
-    found = classify(docs_of(documents, "doc_id", "text"), train(documents))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+    found = docs_of(documents, "doc_id", "text").select("doc_id", found_of(train(documents), F.col("text")).alias("found"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score", "found.rejected")
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that aren't rejected."""
-    columns = docs.columns
-    return classify(docs, train(read_table(spark, sf_dir, "documents"))).where(~F.col("rejected")).select(*columns)
+    model = train(read_table(spark, sf_dir, "documents"))
+    return docs.where(~found_of(model, F.col("text"))["rejected"])
