@@ -14,18 +14,29 @@ bits of each of the 64 minhashes, and the set sizes.  A link can't miss the boun
 on sizes and misses that on bits with chance under 1e-6.  What passes, and the
 members of any larger final node, make up groups (``candidate_groups``; a spanning
 forest of the pairs is enough).  Every link lies within a group, and a group's
-links are found on full sets (``verified``): blocks of ``BLOCK`` documents are
-compared in one task, and only links that join components come out.  A group of
-one block takes one task.  A larger one first compares each block with itself and
-with block 0, which grows in proportion to the group; then whatever isn't in the
-group's main component yet is compared with everything in the group.  No cap, no
-sample; pairs inside a component need no look, as they can't change it.
+links are found on full sets (``verified``): blocks of about ``BLOCK`` documents,
+fewer if their sets together exceed ``BLOCK_SHINGLES``, are compared in one task, and
+only links that join components come out.  A group of one block takes one task.  A
+larger one first compares each block with itself and with block 0, which grows in
+proportion to the group; then whatever isn't in the group's main component yet is
+compared with everything in the group.  No cap, no sample; pairs inside a component
+need no look, as they can't change it.  Texts that many tasks need are dealt out in
+copies, one for ``SHARED`` tasks.
+
+A row is known by two hashes, of its doc_id and of its text.
 
 Query ``op4_chosen_path_neardup``: one row per row of ``documents``; sets of
 3-word shingles and 100 * intersection >= 85 * union.  Null and blank texts: the
 empty set, linked with nothing.  Rows with one doc_id are one document, linked by
-any of their texts; each row keeps its own n_shingles.  Null doc_ids link with
-nothing (component_id null, kept true).  An empty table gives no rows.
+any of their texts; each row keeps its own n_shingles.  Rows without a doc_id are
+documents too: their component_id is the smallest doc_id they reach, null if there is
+none, and kept is true only then.  An empty table gives no rows.
+
+Stage ``keep_one_each``: of each group of rows whose texts are linked, the row with
+the smallest doc_id stays (null comes last; of equal doc_ids the one with the smaller
+hash of its text; of equal rows one of them).  Here a doc_id links nothing, so a
+repeated doc_id with another text stays.  Rows with null or blank texts all stay.
+Other columns, whatever their names, aren't read or changed.
 """
 
 from __future__ import annotations
@@ -34,12 +45,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read_table, text_bytes
+from .common import Workspace, fresh, keyed_join, read_table, text_bytes
 from .components import connected_components
 
 TREES, DEPTH = 16, 4
 SMALL = 24
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 19
+SHARED = 64
 #: Standard deviations by which a link's sketch may miss its expectation.
 SCREEN = 5.0
 
@@ -63,7 +76,7 @@ class Words(dict):
 
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 40:
-            if len(self) >= 500_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = h
         return h
@@ -106,8 +119,13 @@ def screen_tokens(percent: int) -> int:
     return int(k * p + SCREEN * (k * p * (1 - p)) ** 0.5)
 
 
+def row_keys() -> list:
+    """What a row is known by: hashes of its doc_id and of its text."""
+    return [F.xxhash64("doc_id").alias("doc_key"), F.xxhash64("text").alias("text_key")]
+
+
 def signed(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, the class key (128 bits of the set), the
+    """doc_id, doc_key, text_key, n_shingles, the class key (128 bits of the set), the
     signature and its sketch (two bits of each minhash, in two numbers)."""
 
     def run(rows):
@@ -129,21 +147,23 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                 else:
                     for column in (keys, signatures, ones, twos):
                         column.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], ["doc_id", "text_key", "n_shingles", "class_key", "signature", "one", "two"])
+            found = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "doc_key", "text_key")), *found], ["doc_id", "doc_key", "text_key", "n_shingles", "class_key", "signature", "one", "two"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, class_key binary, signature binary, one long, two long")
+    return docs.select("doc_id", *row_keys(), "text").mapInArrow(run, "doc_id long, doc_key long, text_key long, n_shingles long, class_key binary, signature binary, one long, two long")
 
 
 def nodes(reps: DataFrame, work: Workspace, small: int = SMALL) -> DataFrame:
-    """tree, path, members, rep, n_shingles, one, two: the final nodes with two members at
-    least.  ``reps``: rep, n_shingles, one, two, signature."""
+    """tree, path, members, hub (the node's least member), rep, n_shingles, one, two: the
+    final nodes with two members at least.  ``reps``: rep, n_shingles, one, two,
+    signature."""
     token = lambda t, d: F.substring("signature", 1 + 4 * (t * DEPTH + d), 4)
     paths = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), token(t, 0)).alias("path")) for t in range(TREES))))
     going = reps.select("rep", "n_shingles", "one", "two", paths.alias("p")).select("rep", "n_shingles", "one", "two", "p.tree", "p.path")
-    final = None
+    final, rows = None, TREES * reps.count()
     for depth in range(DEPTH):
-        sized = going.groupBy("tree", "path").agg(F.count("*").alias("members")).where("members > 1")
-        joined = work.table(going.join(sized, ["tree", "path"]), f"depth{depth}")
+        sized = going.groupBy("tree", "path").agg(F.count("*").alias("members"), F.min("rep").alias("hub")).where("members > 1")
+        joined = work.table(keyed_join(going, sized, ["tree", "path"], "members", rows), f"depth{depth}")
         last = depth == DEPTH - 1
         done = (joined if last else joined.where(F.col("members") <= small))
         final = done if final is None else final.unionByName(done)
@@ -151,7 +171,7 @@ def nodes(reps: DataFrame, work: Workspace, small: int = SMALL) -> DataFrame:
         if last or large.isEmpty():
             break
         next_token = F.expr(f"substring(signature, 1 + 4 * (tree * {DEPTH} + {depth + 1}), 4)")
-        going = large.drop("n_shingles", "one", "two").join(reps, "rep").select("rep", "n_shingles", "one", "two", "tree", F.xxhash64("tree", "path", next_token).alias("path"))
+        going = large.select("rep", "tree", "path").join(reps, "rep").select("rep", "n_shingles", "one", "two", "tree", F.xxhash64("tree", "path", next_token).alias("path"))
     return final
 
 
@@ -242,9 +262,7 @@ def candidate_groups(final: DataFrame, percent: int, work: Workspace, block: int
 
     dealt = final.where(F.col("members") <= block).select("tree", "path", "rep", "n_shingles", "one", "two")
     screened = dealt.repartition("tree", "path").sortWithinPartitions("tree", "path").mapInArrow(run, "u long, v long")
-    large = final.where(F.col("members") > block)
-    hub = large.groupBy("tree", "path").agg(F.min("rep").alias("u"))
-    edges = screened.unionByName(large.join(hub, ["tree", "path"]).select("u", F.col("rep").alias("v")))
+    edges = screened.unionByName(final.where(F.col("members") > block).select(F.col("hub").alias("u"), F.col("rep").alias("v")))
     return connected_components(edges, work, "candidates")
 
 
@@ -285,56 +303,101 @@ def verified(tasks: DataFrame, n: int, percent: int) -> DataFrame:
     return columns.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, n: int, percent: int, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
-    work = Workspace(spark, "neardup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _verified_tasks(tasks: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """``tasks``: grp, low, high, side, rep, component, and copies: how many copies of
+    its text the rep's tasks are dealt to."""
+    dealt = tasks.withColumn("copy", F.pmod(F.xxhash64("low", "high"), F.col("copies")))
+    copied = tasks.select("rep", "copies").distinct().join(texts, "rep").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return verified(dealt.drop("copies").join(copied.drop("copies"), ["rep", "copy"]), n, percent)
+
+
+def grouped(spark: SparkSession, docs: DataFrame, n: int, percent: int, work: Workspace, small: int = SMALL, block: int = BLOCK, by_doc_id: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The signed rows of ``docs`` (doc_id, text), the classes with their group
+    (class_key, grp), and the doc_ids with several texts, if there are any.  With
+    ``by_doc_id`` the texts of one doc_id are one group."""
     rows = work.table(signed(docs, n), "signed")
-    classes = rows.where("class_key is not null and doc_id is not null").groupBy("class_key").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "one", "two", "signature")),
-    )
-    reps = work.table(classes.select("class_key", F.col("least.doc_id").alias("rep"), "least.text_key", "n_shingles", "one", "two", "signature"), "classes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key", "text_key")
+    classes = rows.where("class_key is not null").groupBy("class_key").agg(F.min(order).alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "one", "two", "signature")))
+    reps = classes.select("class_key", F.monotonically_increasing_id().alias("rep"), "least.doc_key", "least.text_key", "n_shingles", "one", "two", "signature")
+    reps = work.table(reps, "classes")
     final = work.table(nodes(reps.select("rep", "n_shingles", "one", "two", "signature"), work, small), "nodes")
     work.drop(*(f"depth{d}" for d in range(DEPTH)))
     groups = candidate_groups(final, percent, work, block).toDF("rep", "grp")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    sized = groups.groupBy("grp").agg(F.count("*").alias("m"))
-    members = groups.join(sized, "grp").select("grp", "rep", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = work.table(members, "groups")
+    weighed = work.table(groups.join(reps.select("rep", "doc_key", "text_key", "n_shingles"), "rep"), "weighed")
     work.drop("nodes")
+    sized = weighed.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("weight"))
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    members = keyed_join(weighed, sized.select("grp", blocks.alias("blocks"), "m"), ["grp"], "m", weighed.count()).drop("m", "n_shingles")
+    members = work.table(members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "groups")
 
-    # Texts of the groups' documents only; a repeated doc_id has each of its texts.
-    wanted = reps.join(members, "rep").select(F.col("rep").alias("doc_id"), "text_key").distinct()
-    texts = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"], "left_semi")
-    texts = work.table(texts.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("rep"), "text"), "texts")
+    # Texts of the groups' representatives only.
+    wanted = members.select("rep", "doc_key", "text_key")
+    found = docs.select(*row_keys(), "text").join(wanted, ["doc_key", "text_key"]).groupBy("doc_key", "text_key", "rep").agg(F.first("text").alias("text"))
+    texts = work.table(found.select("rep", "text"), "texts")
+    work.drop("weighed")
 
     own, last = F.col("own"), F.col("blocks") - 1
     cell = lambda low, high, side: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), side.cast("int").alias("side"))
     zero, one, alone = F.lit(0), F.lit(1), F.lit(-1)
     cells = F.when(own == 0, F.transform(F.sequence(zero, last), lambda j: cell(zero, j, F.when(j == 0, alone).otherwise(zero)))).otherwise(F.array(cell(own, own, alone), cell(zero, own, one)))
-    tasks = members.withColumn("cell", F.explode(cells)).select("grp", "cell.*", "rep", F.col("rep").alias("component"))
-    links = work.table(verified(tasks.join(texts, "rep"), n, percent), "links1")
+    copies = F.when(own == 0, F.ceil(F.col("blocks") / SHARED)).otherwise(1).cast("long")
+    tasks = members.select("grp", F.explode(cells).alias("cell"), "rep", F.col("rep").alias("component"), copies.alias("copies")).select("grp", "cell.*", "rep", "component", "copies")
+    links = work.table(_verified_tasks(tasks, texts, n, percent), "links1")
     parts = work.table(connected_components(links, work, "cc1").toDF("rep", "component"), "parts1")
 
     # What a large group's main component doesn't hold yet meets the whole group.
     named = members.where("blocks > 1").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     counted = named.groupBy("grp", "component").agg(F.count("*").alias("k"))
     main = counted.groupBy("grp").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("k"))
-    main = main.where("m > k").withColumn("rests", F.ceil((F.col("m") - F.col("k")) / block).cast("int"))
-    rest = named.join(main.select("grp", "main", "rests"), "grp")
-    as_one = F.transform(F.sequence(zero, F.col("rests") - 1), lambda i: cell(i, own, one))
-    as_rest = F.transform(F.sequence(zero, last), lambda j: cell(F.pmod(F.xxhash64(F.col("rep"), zero), F.col("rests")), j, zero))
-    cells = F.when(F.col("component") == F.col("main"), as_one).otherwise(F.concat(as_one, as_rest))
-    tasks = rest.withColumn("cell", F.explode(cells)).select("grp", "cell.*", "rep", "component")
-    more = work.table(verified(tasks.join(texts, "rep"), n, percent), "links2")
-    if not more.isEmpty():
-        parts = work.table(connected_components(links.unionByName(more), work, "cc2").toDF("rep", "component"), "parts2")
+    main = work.table(main.where("m > k").select("grp", "main", F.ceil((F.col("m") - F.col("k")) / block).cast("int").alias("rests"), "m"), "main")
+    again = not main.isEmpty()
+    if again:
+        rest = keyed_join(named.select("rep", "blocks", "own", "component", "grp"), main, ["grp"], "m", members.where("blocks > 1").count())
+        as_one = F.transform(F.sequence(zero, F.col("rests") - 1), lambda i: cell(i, own, one))
+        as_rest = F.transform(F.sequence(zero, last), lambda j: cell(F.pmod(F.xxhash64(F.col("rep"), zero), F.col("rests")), j, zero))
+        inside = F.col("component") == F.col("main")
+        cells = F.when(inside, as_one).otherwise(F.concat(as_one, as_rest))
+        copies = F.ceil((F.col("rests") + F.when(inside, 0).otherwise(F.col("blocks"))) / SHARED).cast("long")
+        tasks = rest.select("grp", F.explode(cells).alias("cell"), "rep", "component", copies.alias("copies")).select("grp", "cell.*", "rep", "component", "copies")
+        links = links.unionByName(work.table(_verified_tasks(tasks, texts, n, percent), "links2"))
+    several = work.table(_several(rows), "several") if by_doc_id else None
+    if several is not None and several.isEmpty():
+        several = None
+    if several is not None:
+        # The classes of one doc_id are linked to the first of them.
+        of = rows.select("doc_key", "class_key").join(several.select("doc_key", "least"), "doc_key").where("class_key <> least").distinct()
+        number = reps.select("class_key", "rep")
+        links = links.unionByName(of.join(number.toDF("least", "u"), "least").join(number.toDF("class_key", "v"), "class_key").select("u", "v"))
+    if again or several is not None:
+        parts = work.table(connected_components(links, work, "cc2").toDF("rep", "component"), "parts2")
     work.drop("texts", "groups")
+    return rows, reps.select("class_key", "rep").join(parts, "rep", "left").select("class_key", F.coalesce("component", "rep").alias("grp")), several
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """doc_key, least: doc_ids with different texts, and the least of their classes."""
+    by_doc = rows.where("doc_id is not null").groupBy("doc_key").agg(F.min("class_key").alias("least"), F.max("class_key").alias("most"), F.count_if(F.col("class_key").isNull()).alias("blank"))
+    return by_doc.where("least <> most or blank > 0 and least is not null").select("doc_key", "least")
+
 
-    labels = reps.select("class_key", "rep").join(parts, "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "class_key").join(labels, "class_key", "left")
-    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+def near_duplicates(spark: SparkSession, docs: DataFrame, n: int, percent: int, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+    work = Workspace(spark, "neardup")
+    rows, classes, several = grouped(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, percent, work, small, block)
+    deal = F.xxhash64("class_key").alias("deal")
+    # One row for each class: a class with very many rows is summed up first.
+    firsts = rows.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    firsts = work.table(firsts.join(classes, "class_key").withColumn("deal", deal), "firsts")
+    least = firsts.groupBy("grp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m"))
+    labels = keyed_join(firsts.select("class_key", "deal", "rows", "grp"), least, ["grp"], "m", firsts.count()).select("class_key", "deal", "rows", "component_id")
+    columns = ["doc_id", "doc_key", "n_shingles", "component_id"]
+    out = keyed_join(rows.select("doc_id", "doc_key", "n_shingles", "class_key", deal), labels, ["class_key", "deal"], "rows", rows.count()).select(columns)
+    out = out.unionByName(rows.where("class_key is null").withColumn("component_id", F.lit(None).cast("long")).select(columns))
+    if several is not None:
+        through = several.join(labels.select(F.col("class_key").alias("least"), F.col("component_id").alias("through")), "least").select("doc_key", "through")
+        out = out.join(through, "doc_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNull(), F.col("component_id")).otherwise(F.coalesce("through", "component_id")))
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def chosen_path_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +405,24 @@ def chosen_path_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates (five words, 0.8) the
-    document with the smallest id stays."""
-    gone = near_duplicates(spark, docs, 5, 80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each group of near-duplicates (five words, 0.8) one row stays."""
+    work = Workspace(spark, "neardup-stage")
+    rows, classes, _ = grouped(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 5, 80, work, by_doc_id=False)
+    deal = F.xxhash64("class_key").alias("deal")
+    # One entry for each different row, with how often it's there.
+    entry = F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key", "text_key")
+    pairs = rows.where("class_key is not null").groupBy("class_key", "doc_id", "doc_key", "text_key").agg(F.count("*").alias("copies"))
+    firsts = pairs.groupBy("class_key").agg(F.min(entry).alias("first"), F.count("*").alias("entries")).join(classes, "class_key")
+    firsts = work.table(firsts, "firsts")
+    best = firsts.groupBy("grp").agg(F.min("first").alias("best"), F.count("*").alias("m"))
+    chosen = keyed_join(firsts.select("class_key", "entries", "grp"), best, ["grp"], "m", firsts.count()).select("class_key", deal, "entries", F.col("best.doc_key").alias("best_doc"), F.col("best.text_key").alias("best_text"))
+    judged = keyed_join(pairs.select("doc_key", "text_key", "copies", "class_key", deal), chosen, ["class_key", "deal"], "entries", rows.count())
+    same = (F.col("doc_key") == F.col("best_doc")) & (F.col("text_key") == F.col("best_text"))
+    gone = work.table(judged.where(~same).select("doc_key", "text_key"), "gone")
+    repeated = work.table(judged.where(same & (F.col("copies") > 1)).select("doc_key", "text_key"), "repeated")
+    by = [fresh(docs, "doc_key"), fresh(docs, "text_key")]
+    keyed = docs.withColumns(dict(zip(by, (F.xxhash64(F.col("doc_id").cast("long")), F.xxhash64("text")))))
+    left = keyed.join(gone.toDF(*by), by, "left_anti")
+    if not repeated.isEmpty():
+        left = left.join(repeated.toDF(*by), by, "left_anti").unionByName(left.join(repeated.toDF(*by), by, "left_semi").dropDuplicates(by))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

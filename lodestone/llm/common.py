@@ -22,9 +22,13 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset, as in
-    tests, a folder of this machine."""
+    tests, a folder of this machine, which must then run the executors too."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base.rstrip("/") if base else os.path.join(tempfile.gettempdir(), "lodestone-shared")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "lodestone-shared")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -83,6 +87,38 @@ def docs_of(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Keys with more rows than a share of 1 / HOT_KEYS, and than HOT_ROWS, are broadcast.
+HOT_KEYS, HOT_ROWS = 10_000, 1_000
+
+
+def keyed_join(left: DataFrame, right: DataFrame, on: list[str], count: str, rows: int) -> DataFrame:
+    """The inner join of ``left``, of about ``rows`` rows, with ``right``, which has one
+    row for each key and says in ``count`` how many rows of ``left`` have it.
+
+    No task gets a hot key's rows: keys with more than ``rows / HOT_KEYS`` rows, of
+    which there are at most HOT_KEYS, are broadcast, and what they match is dealt by
+    a hash of the row where the others are dealt by their key.  The last of ``on``
+    is a long."""
+    extra = [c for c in right.columns if c not in on]
+    least = max(HOT_ROWS, rows // HOT_KEYS)
+    hot = right.where(F.col(count) > least).select(*on, F.struct(*extra).alias("_hot"))
+    rest = right.where(F.col(count) <= least).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(on)), F.struct(*extra).alias("_rest"))
+    marked = left.join(F.broadcast(hot), on, "left").withColumn("_deal", F.when(F.col("_hot").isNull(), F.col(on[-1])).otherwise(F.xxhash64(*left.columns)))
+    same = F.col("_deal") == F.col(f"_k{len(on) - 1}")
+    for i, k in enumerate(on[:-1]):
+        same = (F.col(k) == F.col(f"_k{i}")) & same
+    joined = marked.join(rest, same, "left").withColumn("_found", F.coalesce("_hot", "_rest")).where("_found is not null")
+    return joined.select(*left.columns, *(F.col(f"_found.{c}").alias(c) for c in extra))
+
+
 # --- byte stores --------------------------------------------------------------
 
 

@@ -11,18 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, keyed_join
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """Adds the least ``v`` of each ``u``.  Sums up before the shuffle and joins
-    back, so a node with very many edges is no single task's."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u")
+def _with_least(pairs: DataFrame, rows: int) -> DataFrame:
+    """Adds the least ``v`` of each ``u``.  Sums up before the shuffle; a node with very
+    many edges is no single task's (``keyed_join``)."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return keyed_join(pairs, least, ["u"], "n", rows).drop("n")
 
 
 def connected_components(edges: DataFrame, work: Workspace, name: str = "cc") -> DataFrame:
@@ -34,9 +34,9 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "cc") ->
     while state[0]:
         # large star: neighbours above a node link to the least of its neighbours and itself
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = _with_least(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # small star: neighbours below a node, and itself, link to the least of them
-        low = _with_least(large)
+        low = _with_least(large, state[0])
         small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         k += 1
         after = work.table(small, f"{name}{k}")

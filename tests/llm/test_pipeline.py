@@ -39,6 +39,36 @@ def test_stages(spark, tmp_path):
             assert after == set(before)
 
 
+def test_stages_on_odd_rows(spark, odd, tmp_path):
+    """Nulls, repeated rows and ids, blank and long texts, clashing names: each stage
+    gives the columns it got, and its rows go by their text."""
+    docs = spark.read.parquet(f"{odd[1]}/documents.parquet").selectExpr("*", "score AS rejected", "bucket AS lang_pred", "lang AS doc_key", "lang AS text_key", "lang AS found", "lang AS grp")
+    rows = Counter(tuple(r) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, odd[1])
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / name))
+        found = spark.read.parquet(str(tmp_path / name)).collect()
+        assert not Counter(tuple(r) for r in found) - rows, name
+        texts = Counter(r.text for r in found)
+        if name == "near_dedup":
+            whole = Counter(r["text"] for r in docs.collect())
+            assert texts == Counter({t: n if t is None or not t.split() else 1 for t, n in whole.items()})
+            assert next(r.doc_id for r in found if r.text and r.text.startswith("one two")) == 1
+        elif name == "decontamination":  # rows 1, 1, null, 6 and 7 hold an item, one word "zz" none
+            assert {r.doc_id for r in found} == {2, 3, 5, 8, 9, 10}
+        else:  # equal texts share one fate
+            before = Counter(r["text"] for r in docs.collect())
+            assert all(n == before[t] for t, n in texts.items())
+    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, odd[1]).collect()
+    assert Counter(r.doc_id for r in encoded) == Counter(r[0] for r in odd[0])
+
+
+def test_stages_on_empty_tables(spark, nothing):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.read.parquet(f"{nothing}/documents.parquet"), nothing).collect() == [], name
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SMALLEST).collect()
     assert 0 < len(rows) <= 200 and max(Counter(r.doc_id for r in rows).values()) == 1

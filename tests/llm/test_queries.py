@@ -168,7 +168,26 @@ def test_op4_large_groups_in_blocks(spark):
 
 def test_op4_odd_rows(spark, odd):
     found = run(spark, "op4", odd[1])
-    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in found) == Counter([(1, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (None, None, True), (5, 5, True), (6, 6, True), (7, 6, False), (8, 8, True), (9, 9, True), (10, 10, True)])
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in found) == Counter([(1, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (None, 1, False), (5, 5, True), (6, 6, True), (7, 6, False), (8, 8, True), (9, 9, True), (10, 10, True)])
+
+
+def test_op4_repeated_and_missing_ids(spark):
+    from lodestone.llm.chosenpath import near_duplicates
+
+    a, b, c = ("alpha beta gamma delta", "one two three four", "red green blue black")
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, None), (8, c), (9, c), (None, "x y z u"), (None, "x y z u"), (None, b)]
+    found = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in found) == Counter([(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (8, 8, True), (8, 8, True), (9, 8, False), (None, None, True), (None, None, True), (None, 1, False)])
+
+
+def test_keyed_join_spreads_hot_keys(spark, monkeypatch):
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    left = [(k % 7 if k > 20 else 3, k) for k in range(40)] + [(None, 99)]
+    right = [(k, sum(x == k for x, _ in left), f"v{k}") for k in range(6)]
+    found = common.keyed_join(spark.createDataFrame(left, "k long, x long"), spark.createDataFrame(right, "k long, n long, v string"), ["k"], "n", 41).collect()
+    assert sorted((r.k, r.x, r.n, r.v) for r in found) == sorted((k, x, right[k][1], f"v{k}") for k, x in left if k is not None and k < 6)
 
 
 def test_components(spark):
