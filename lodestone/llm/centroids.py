@@ -40,8 +40,6 @@ BIGRAMS, TRIGRAMS = 1 << 12, 1 << 13
 DIMS = 256 + BIGRAMS + TRIGRAMS
 CLUSTERS = 3
 PER_LANG = 300
-#: Parts of a language whose first documents are found one by one.
-SPREAD = 64
 REJECT_QUANTILE, REJECT_SHARE = 0.01, 0.2
 SLICE = 1 << 20
 UNKNOWN = "und"
@@ -84,16 +82,14 @@ class Centroids:
         norm = np.sqrt(v @ v)
         return v / norm if norm else v
 
-    def fit(self, texts: list[tuple[str, np.ndarray]], clusters: int = CLUSTERS, seed: int = 3) -> Centroids:
-        """``texts``: the language and the dampened counts of each text."""
-        if not texts:
+    def fit(self, langs: list[str], rows: np.ndarray, clusters: int = CLUSTERS, seed: int = 3) -> Centroids:
+        """``rows``: the dampened counts of each text, which become its vectors."""
+        if not langs:
             return self
-        texts = sorted(texts, key=lambda t: (t[0], t[1].tobytes()))
-        raw = np.stack([v for _, v in texts])
-        self.idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 0.1
-        rows = raw * self.idf
+        self.idf = np.log((1 + len(rows)) / (1 + np.count_nonzero(rows, axis=0))).astype(np.float32) + np.float32(0.1)
+        rows *= self.idf
         rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-        names = np.array([lang for lang, _ in texts])
+        names = np.array(langs)
         rng, found, bounds = np.random.default_rng(seed), [], []
         for lang in sorted(set(names.tolist())):
             own = rows[names == lang]
@@ -119,14 +115,16 @@ class Centroids:
 
 
 def learning_texts(documents: DataFrame, work: Workspace, per_lang: int = PER_LANG) -> DataFrame:
-    """lang, text of the sample.  The ids are chosen first, in two steps, so that no
-    task ranks a language: the first of each of ``SPREAD`` parts, then of these.  The
-    chosen ids are written, so their size decides how the texts are joined."""
+    """lang, text of the sample: the first ``per_lang`` ids of a language by their hash.
+    Only ids under a share of the hash's range are ranked, which by a language's count
+    holds enough of them with a chance of all but 1e-8, so no task ranks a language.
+    The chosen ids are written, so their size decides how the texts are joined."""
     rows = docs_of(documents, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SPREAD)).alias("part"))
-    for by in (["lang", "part"], ["lang"]):
-        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("k") <= per_lang).drop("k")
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    counts = work.table(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    likely = rows.select("doc_id", "lang", draw.alias("draw")).join(counts, "lang").where(F.col("draw") * F.col("n") < per_lang + 6 * per_lang**0.5 + 20)
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    ids = likely.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
     chosen = work.table(ids.select("doc_id", "lang").distinct(), "chosen")
     return rows.join(chosen, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang", "text"]).select("lang", "text")
 
@@ -141,13 +139,13 @@ def train(documents: DataFrame, per_lang: int = PER_LANG) -> Centroids:
             yield pa.RecordBatch.from_pydict({"lang": [lang for lang, _ in kept], "places": [p.astype("<i4").tobytes() for p in places], "values": [v[p].tobytes() for (_, v), p in zip(kept, places)]}, schema=schema)
 
     schema = pa.schema([("lang", pa.string()), ("places", pa.binary()), ("values", pa.binary())])
-    texts = []
-    for row in learning_texts(documents, work, per_lang).mapInArrow(counted, "lang string, places binary, values binary").collect():
-        vector = np.zeros(DIMS, np.float32)
-        vector[np.frombuffer(row["places"], "<i4")] = np.frombuffer(row["values"], "<f4")
-        texts.append((row.lang, vector))
-    work.drop("chosen")
-    return Centroids().fit(texts)
+    found = learning_texts(documents, work, per_lang).mapInArrow(counted, "lang string, places binary, values binary").collect()
+    found.sort(key=lambda r: (r["lang"], r["places"], r["values"]))
+    rows = np.zeros((len(found), DIMS), np.float32)
+    for row, one in zip(rows, found):
+        row[np.frombuffer(one["places"], "<i4")] = np.frombuffer(one["values"], "<f4")
+    work.drop("langs", "chosen")
+    return Centroids().fit([one["lang"] for one in found], rows)
 
 
 def found_of(model: Centroids, text: Column) -> Column:

@@ -20,8 +20,7 @@ only links that join components come out.  A group of one block takes one task.
 larger one first compares each block with itself and with block 0, which grows in
 proportion to the group; then whatever isn't in the group's main component yet is
 compared with everything in the group.  No cap, no sample; pairs inside a component
-need no look, as they can't change it.  Texts that many tasks need are dealt out in
-copies, one for ``SHARED`` tasks.
+need no look, as they can't change it.
 
 A row is known by two hashes, of its doc_id and of its text.
 
@@ -52,7 +51,6 @@ TREES, DEPTH = 16, 4
 SMALL = 24
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 19
-SHARED = 64
 #: Standard deviations by which a link's sketch may miss its expectation.
 SCREEN = 5.0
 
@@ -156,23 +154,25 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
 def nodes(reps: DataFrame, work: Workspace, small: int = SMALL) -> DataFrame:
     """tree, path, members, hub (the node's least member), rep, n_shingles, one, two: the
     final nodes with two members at least.  ``reps``: rep, n_shingles, one, two,
-    signature."""
-    token = lambda t, d: F.substring("signature", 1 + 4 * (t * DEPTH + d), 4)
-    paths = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), token(t, 0)).alias("path")) for t in range(TREES))))
-    going = reps.select("rep", "n_shingles", "one", "two", paths.alias("p")).select("rep", "n_shingles", "one", "two", "p.tree", "p.path")
+    signature.  A row carries its tree's tokens; what comparing needs is added last."""
+    tokens = lambda t: F.substring("signature", 1 + 4 * t * DEPTH, 4 * DEPTH)
+    trees = F.explode(F.array(*(F.struct(F.lit(t).cast("byte").alias("tree"), tokens(t).alias("tokens")) for t in range(TREES))))
+    token = lambda d: F.substring("tokens", 1 + 4 * d, 4)
+    going = reps.select("rep", trees.alias("p")).select("rep", "p.tree", "p.tokens")
+    going = going.withColumn("path", F.xxhash64("tree", token(0)))
     final, rows = None, TREES * reps.count()
     for depth in range(DEPTH):
         sized = going.groupBy("tree", "path").agg(F.count("*").alias("members"), F.min("rep").alias("hub")).where("members > 1")
         joined = work.table(keyed_join(going, sized, ["tree", "path"], "members", rows), f"depth{depth}")
         last = depth == DEPTH - 1
-        done = (joined if last else joined.where(F.col("members") <= small))
+        done = joined if last else joined.where(F.col("members") <= small)
+        done = done.drop("tokens")
         final = done if final is None else final.unionByName(done)
         large = joined.where(F.col("members") > small)
         if last or large.isEmpty():
             break
-        next_token = F.expr(f"substring(signature, 1 + 4 * (tree * {DEPTH} + {depth + 1}), 4)")
-        going = large.select("rep", "tree", "path").join(reps, "rep").select("rep", "n_shingles", "one", "two", "tree", F.xxhash64("tree", "path", next_token).alias("path"))
-    return final
+        going = large.select("rep", "tree", "tokens", F.xxhash64("tree", "path", token(depth + 1)).alias("path"))
+    return final.join(reps.select("rep", "n_shingles", "one", "two"), "rep")
 
 
 class Forest(dict):
@@ -303,14 +303,6 @@ def verified(tasks: DataFrame, n: int, percent: int) -> DataFrame:
     return columns.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high").mapInArrow(run, "u long, v long")
 
 
-def _verified_tasks(tasks: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """``tasks``: grp, low, high, side, rep, component, and copies: how many copies of
-    its text the rep's tasks are dealt to."""
-    dealt = tasks.withColumn("copy", F.pmod(F.xxhash64("low", "high"), F.col("copies")))
-    copied = tasks.select("rep", "copies").distinct().join(texts, "rep").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return verified(dealt.drop("copies").join(copied.drop("copies"), ["rep", "copy"]), n, percent)
-
-
 def grouped(spark: SparkSession, docs: DataFrame, n: int, percent: int, work: Workspace, small: int = SMALL, block: int = BLOCK, by_doc_id: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """The signed rows of ``docs`` (doc_id, text), the classes with their group
     (class_key, grp), and the doc_ids with several texts, if there are any.  With
@@ -330,36 +322,35 @@ def grouped(spark: SparkSession, docs: DataFrame, n: int, percent: int, work: Wo
     members = keyed_join(weighed, sized.select("grp", blocks.alias("blocks"), "m"), ["grp"], "m", weighed.count()).drop("m", "n_shingles")
     members = work.table(members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "groups")
 
-    # Texts of the groups' representatives only.
-    wanted = members.select("rep", "doc_key", "text_key")
-    found = docs.select(*row_keys(), "text").join(wanted, ["doc_key", "text_key"]).groupBy("doc_key", "text_key", "rep").agg(F.first("text").alias("text"))
-    texts = work.table(found.select("rep", "text"), "texts")
+    # Texts of the groups' representatives only.  The join's kind is named, so that the
+    # plan is the same at every size.
+    found = docs.select(*row_keys(), "text").join(members.hint("merge"), ["doc_key", "text_key"])
+    found = found.groupBy("doc_key", "text_key", "rep", "grp", "blocks", "own").agg(F.first("text").alias("text"))
+    texts = work.table(found.drop("doc_key", "text_key"), "texts")
     work.drop("weighed")
 
     own, last = F.col("own"), F.col("blocks") - 1
     cell = lambda low, high, side: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), side.cast("int").alias("side"))
     zero, one, alone = F.lit(0), F.lit(1), F.lit(-1)
     cells = F.when(own == 0, F.transform(F.sequence(zero, last), lambda j: cell(zero, j, F.when(j == 0, alone).otherwise(zero)))).otherwise(F.array(cell(own, own, alone), cell(zero, own, one)))
-    copies = F.when(own == 0, F.ceil(F.col("blocks") / SHARED)).otherwise(1).cast("long")
-    tasks = members.select("grp", F.explode(cells).alias("cell"), "rep", F.col("rep").alias("component"), copies.alias("copies")).select("grp", "cell.*", "rep", "component", "copies")
-    links = work.table(_verified_tasks(tasks, texts, n, percent), "links1")
+    tasks = texts.select("grp", F.explode(cells).alias("cell"), "rep", F.col("rep").alias("component"), "text").select("grp", "cell.*", "rep", "component", "text")
+    links = work.table(verified(tasks, n, percent), "links1")
     parts = work.table(connected_components(links, work, "cc1").toDF("rep", "component"), "parts1")
 
     # What a large group's main component doesn't hold yet meets the whole group.
-    named = members.where("blocks > 1").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = members.where("blocks > 1").join(parts, "rep", "left").select("rep", "blocks", "own", F.coalesce("component", "rep").alias("component"), "grp")
     counted = named.groupBy("grp", "component").agg(F.count("*").alias("k"))
     main = counted.groupBy("grp").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("k"))
     main = work.table(main.where("m > k").select("grp", "main", F.ceil((F.col("m") - F.col("k")) / block).cast("int").alias("rests"), "m"), "main")
     again = not main.isEmpty()
     if again:
-        rest = keyed_join(named.select("rep", "blocks", "own", "component", "grp"), main, ["grp"], "m", members.where("blocks > 1").count())
+        rest = keyed_join(named, main, ["grp"], "m", members.where("blocks > 1").count())
         as_one = F.transform(F.sequence(zero, F.col("rests") - 1), lambda i: cell(i, own, one))
         as_rest = F.transform(F.sequence(zero, last), lambda j: cell(F.pmod(F.xxhash64(F.col("rep"), zero), F.col("rests")), j, zero))
-        inside = F.col("component") == F.col("main")
-        cells = F.when(inside, as_one).otherwise(F.concat(as_one, as_rest))
-        copies = F.ceil((F.col("rests") + F.when(inside, 0).otherwise(F.col("blocks"))) / SHARED).cast("long")
-        tasks = rest.select("grp", F.explode(cells).alias("cell"), "rep", "component", copies.alias("copies")).select("grp", "cell.*", "rep", "component", "copies")
-        links = links.unionByName(work.table(_verified_tasks(tasks, texts, n, percent), "links2"))
+        cells = F.when(F.col("component") == F.col("main"), as_one).otherwise(F.concat(as_one, as_rest))
+        tasks = rest.select("rep", "component", cells.alias("cells")).join(texts.where("blocks > 1").select("rep", "grp", "text"), "rep")
+        tasks = tasks.select("grp", F.explode("cells").alias("cell"), "rep", "component", "text").select("grp", "cell.*", "rep", "component", "text")
+        links = links.unionByName(work.table(verified(tasks, n, percent), "links2"))
     several = work.table(_several(rows), "several") if by_doc_id else None
     if several is not None and several.isEmpty():
         several = None
@@ -422,7 +413,7 @@ def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     repeated = work.table(judged.where(same & (F.col("copies") > 1)).select("doc_key", "text_key"), "repeated")
     by = [fresh(docs, "doc_key"), fresh(docs, "text_key")]
     keyed = docs.withColumns(dict(zip(by, (F.xxhash64(F.col("doc_id").cast("long")), F.xxhash64("text")))))
-    left = keyed.join(gone.toDF(*by), by, "left_anti")
+    left = keyed.join(gone.toDF(*by).hint("merge"), by, "left_anti")
     if not repeated.isEmpty():
         left = left.join(repeated.toDF(*by), by, "left_anti").unionByName(left.join(repeated.toDF(*by), by, "left_semi").dropDuplicates(by))
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))

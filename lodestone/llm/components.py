@@ -18,11 +18,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
 
 
+#: So many edges are no burden for one task, even if all have one node.
+PLAIN_ROWS = 1_000_000
+
+
 def _with_least(pairs: DataFrame, rows: int) -> DataFrame:
-    """Adds the least ``v`` of each ``u``.  Sums up before the shuffle; a node with very
-    many edges is no single task's (``keyed_join``)."""
+    """Adds the least ``v`` of each ``u``.  Sums up before the shuffle; where there are
+    many edges, a node with very many of them is no single task's (``keyed_join``)."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    return keyed_join(pairs, least, ["u"], "n", rows).drop("n")
+    return (pairs.join(least, "u") if rows <= PLAIN_ROWS else keyed_join(pairs, least, ["u"], "n", rows)).drop("n")
 
 
 def connected_components(edges: DataFrame, work: Workspace, name: str = "cc") -> DataFrame:
