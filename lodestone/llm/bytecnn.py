@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, read_table, text_bytes
+from .common import docs_of, frugal, read_table, text_bytes
 
 FILTERS, WIDTH = 16, 6
 BLOCK = 256  # a chunk is two blocks; chunks start at each block
@@ -179,6 +179,7 @@ def score_of(net: ByteNet, text: Column) -> Column:
     """The score of a text; the network, under 1 MB, goes with the tasks."""
 
     @F.arrow_udf("double")
+    @frugal
     def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield pa.array([net.score(np.frombuffer(t, np.uint8)) for t in text_bytes(column)], pa.float64())

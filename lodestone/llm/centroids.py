@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytecnn import held_out
-from .common import Workspace, docs_of, read_table, text_bytes
+from .common import Workspace, docs_of, frugal, read_table, text_bytes
 
 BIGRAMS, TRIGRAMS = 1 << 12, 1 << 13
 DIMS = 256 + BIGRAMS + TRIGRAMS
@@ -132,6 +132,7 @@ def learning_texts(documents: DataFrame, work: Workspace, per_lang: int = PER_LA
 def train(documents: DataFrame, per_lang: int = PER_LANG) -> Centroids:
     work = Workspace(documents.sparkSession, "langid")
 
+    @frugal
     def counted(rows):
         for batch in rows:
             kept = [(lang, np.log1p(counts(np.frombuffer(t, np.uint8))).astype("<f4")) for lang, t in zip(batch.column("lang").to_pylist(), text_bytes(batch.column("text"))) if has_letter(t)]
@@ -152,6 +153,7 @@ def found_of(model: Centroids, text: Column) -> Column:
     """A struct of lang_pred, score and rejected."""
 
     @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
+    @frugal
     def classified(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             langs, scores, rejected = zip(*map(model.predict, text_bytes(column))) if len(column) else ((), (), ())

@@ -44,7 +44,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, keyed_join, read_table, text_bytes
+from .common import Workspace, fresh, frugal, keyed_join, read_table, text_bytes
 from .components import connected_components
 
 TREES, DEPTH = 16, 4
@@ -126,6 +126,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, doc_key, text_key, n_shingles, the class key (128 bits of the set), the
     signature and its sketch (two bits of each minhash, in two numbers)."""
 
+    @frugal
     def run(rows):
         import pyarrow as pa
         import xxhash
@@ -228,6 +229,7 @@ def candidate_groups(final: DataFrame, percent: int, work: Workspace, block: int
     """node, component: the groups of documents that may be linked."""
     most = screen_tokens(percent)
 
+    @frugal
     def run(rows):
         forest = Forest()
         kept = None
@@ -271,6 +273,7 @@ def verified(tasks: DataFrame, n: int, percent: int) -> DataFrame:
     (these three name a task), side, rep, component, n_shingles, text; side -1 is
     compared with all of its task, side 0 with side 1."""
 
+    @frugal
     def run(rows):
         words, forest = Words(), Forest()
         for table in _groups(rows, ("grp", "low", "high")):

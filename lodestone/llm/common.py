@@ -8,6 +8,7 @@ joins by.
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -163,12 +164,40 @@ def map_memory(folder: str, name: str):
 
 def text_bytes(column) -> Iterator[bytes]:
     """The UTF-8 bytes of each value of an Arrow string column (null: empty),
-    without making Python strings.  Lone surrogates can't occur: Arrow strings
-    are valid UTF-8."""
+    without making Python strings, some rows at a time.  Lone surrogates can't
+    occur: Arrow strings are valid UTF-8."""
     import pyarrow as pa
 
-    for value in column.cast(pa.binary()).to_pylist():
-        yield value or b""
+    column = column.cast(pa.binary())
+    for at in range(0, len(column), 256):
+        for value in column.slice(at, 256).to_pylist():
+            yield value or b""
+
+
+def frugal(run):
+    """A task's function over batches that gives its memory back to the system when it
+    ends: a worker outlives its tasks, and allocators keep what they have."""
+
+    @functools.wraps(run)
+    def wrapped(rows):
+        try:
+            yield from run(rows)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 # --- expressions --------------------------------------------------------------

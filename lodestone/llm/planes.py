@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, docs_of, open_in, open_out, read_table
+from .common import Workspace, docs_of, frugal, open_in, open_out, read_table
 from .words import WordCoder, default_tokenizer
 
 MAGIC = b"LDPLANE1"
@@ -193,6 +193,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str,
     names them (bucket, part, file, n_docs, n_ids) and is lazy: each time it
     runs, it writes files under new names."""
 
+    @frugal
     def write(rows):
         import pyarrow as pa
 
@@ -232,6 +233,7 @@ def read_ids(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of each document's ids, from the files
     that ``files`` names.  The running sum goes over one row per file."""
 
+    @frugal
     def read(rows):
         import pyarrow as pa
 

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, blank_text, docs_of, read_table
+from .common import Workspace, blank_text, docs_of, frugal, read_table
 
 SHARDS = 24
 ROUNDS = 4
@@ -47,6 +47,7 @@ def ranked(df: DataFrame, group: str, order: list[Column], work: Workspace, name
     the same ones."""
     keys = [F.col(group), *order]
 
+    @frugal
     def number(batches):
         import numpy as np
         import pyarrow as pa

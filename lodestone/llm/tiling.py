@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chosenpath import Words
-from .common import Workspace, docs_of, read_table, text_bytes
+from .common import Workspace, docs_of, frugal, read_table, text_bytes
 from .words import ragged
 
 MIN_MATCH = 4
@@ -224,6 +224,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH,
     for block in blocks(benchmark, block_words):
         shared = spark.sparkContext.broadcast(Seeds(block, min_match))
 
+        @frugal
         def run(rows, shared=shared):
             seeds, table = shared.value, Words()
             for batch in rows:
@@ -246,6 +247,7 @@ def clean(spark: SparkSession, block: list[tuple[object, bytes]], text: Column,
     shared = spark.sparkContext.broadcast(Seeds(block, min_match))
 
     @F.arrow_udf("boolean")
+    @frugal
     def unseen(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seeds, table = shared.value, Words()
         for column in columns:

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, docs_of, filesystem, map_memory, read_table
+from .common import Workspace, docs_of, filesystem, frugal, map_memory, read_table
 from .words import HARD, KEPT_CHARS, WordCoder, batches, default_tokenizer, load_tokenizer, parts_of
 
 LEXICON = 50_000
@@ -200,6 +200,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, n: how often each word occurs in all texts.  Words of over ``KEPT_CHARS``
     characters and pieces beyond Latin-1 are no words of a lexicon."""
 
+    @frugal
     def count(rows):
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -254,6 +255,7 @@ def compile_lexicon(docs: DataFrame, work: Workspace, tokenizer: str, size: int
 def encode(docs: DataFrame, folder: str, name: str, tokenizer: str) -> DataFrame:
     """doc_id and the ids of each text (array<int>)."""
 
+    @frugal
     def run(rows):
         import pyarrow as pa
 
@@ -270,6 +272,7 @@ def encode(docs: DataFrame, folder: str, name: str, tokenizer: str) -> DataFrame
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and the decoded text of each row's ids."""
 
+    @frugal
     def run(rows):
         import pyarrow as pa
 
@@ -290,6 +293,7 @@ def digests(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None)
     tokenizer = tokenizer or default_tokenizer()
     folder, name = compile_lexicon(docs, Workspace(spark, "bpe"), tokenizer)
 
+    @frugal
     def run(rows):
         import pyarrow as pa
 

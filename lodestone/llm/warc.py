@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, blank_text, open_in, open_out, read_table
+from .common import Workspace, blank_text, frugal, open_in, open_out, read_table
 
 CHUNK = 1 << 18
 FILE_BYTES = 256 << 20
@@ -72,6 +72,7 @@ def write_archives(pages: DataFrame, folder: str, work: Workspace, least_bytes:
     )
     chunked = rows.withColumn("number", number).select("number", "page_id", "url", "size", "sha1", "refers_to", "revisit", F.explode(pieces).alias("piece")).select("*", "piece.chunk", "piece.data").drop("piece")
 
+    @frugal
     def write(batches):
         import pyarrow as pa
 
@@ -199,6 +200,7 @@ def read_chunks(files: DataFrame, folder: str, chunk: int = CHUNK, with_data: bo
     """record, page_id, record_type, refers_to, full_bytes and stated_digest (of the
     whole payload by the header), chunk, n_bytes, sha1_so_far, data of all archives."""
 
+    @frugal
     def read(batches):
         import pyarrow as pa
 
