@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, docs_of, filesystem, frugal, map_memory, read_table
-from .words import HARD, KEPT_CHARS, WordCoder, batches, default_tokenizer, load_tokenizer, parts_of
+from .words import BATCH_BYTES, HARD, KEPT_CHARS, WordCoder, batches, default_tokenizer, load_tokenizer, parts_of
 
 LEXICON = 50_000
 MAGIC = b"LDTRANS1"
@@ -159,6 +159,8 @@ class Lexicon:
 class TransducerCoder(WordCoder):
     """Encodes: the lexicon first, exact merging behind it."""
 
+    batch_bytes = BATCH_BYTES // 2  # a batch's tokens are held as well
+
     def __init__(self, folder: str, name: str, path: str) -> None:
         super().__init__(path)
         self.lexicon = Lexicon.from_buffer(map_memory(folder, name))
@@ -176,10 +178,9 @@ class TransducerCoder(WordCoder):
 class Decoder:
     """Texts of ids, and the decimal form of ids, by Arrow's kernels."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, tokenizer) -> None:
         import pyarrow as pa
 
-        tokenizer = load_tokenizer(path)
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = pa.array([tokenizer.id_to_token(k) or "" for k in range(size)], pa.large_string())
         self.decimal = pa.array([str(k) for k in range(size)], pa.large_string())
@@ -276,7 +277,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def run(rows):
         import pyarrow as pa
 
-        decoder = Decoder(tokenizer)
+        decoder = Decoder(load_tokenizer(tokenizer))
         for batch in rows:
             column = batch.column("ids")
             offsets = column.offsets.to_numpy().astype(np.int64)
@@ -297,7 +298,8 @@ def digests(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None)
     def run(rows):
         import pyarrow as pa
 
-        coder, decoder = TransducerCoder(folder, name, tokenizer), Decoder(tokenizer)
+        coder = TransducerCoder(folder, name, tokenizer)
+        decoder = Decoder(coder.tokenizer)
         sha = lambda texts: pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())
         for batch in rows:
             doc_ids = batch.column("doc_id").cast(pa.int64())

@@ -23,7 +23,7 @@ import re
 import numpy as np
 
 #: Entries of a task's table of parts; past it, the table starts anew.
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 100_000
 #: Parts longer than this are encoded each time and not kept.
 KEPT_CHARS = 64
 #: Bytes of text that are encoded at once; a longer text is cut at white space.
@@ -103,12 +103,17 @@ def ragged(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     ends = np.cumsum(lengths)
     if not len(ends):
         return pool[:0]
-    return pool[np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)]
+    kind = np.int32 if max(ends[-1], len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    at += np.arange(ends[-1], dtype=kind)
+    return pool[at]
 
 
 class WordCoder:
     """Encodes Arrow columns of texts; one per task, so that nothing outlives it."""
 
+    batch_bytes = BATCH_BYTES
+
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -177,9 +182,9 @@ class WordCoder:
     def batches(self, column):
         """The ids of each text of a column (null: empty), some texts at a time:
         (first row, offsets, ids)."""
-        for first, texts in batches(column):
+        for first, texts in batches(column, self.batch_bytes):
             if isinstance(texts, bytes):  # one long text, slice by slice
-                ids = np.concatenate([self.encode(s)[1] for s in cut(texts, BATCH_BYTES)])
+                ids = np.concatenate([self.encode(s)[1] for s in cut(texts, self.batch_bytes)])
                 yield first, np.array([0, len(ids)]), ids
             else:
                 yield first, *self.encode(texts)
