@@ -100,8 +100,8 @@ def fresh(df: DataFrame, name: str) -> str:
 HOT_KEYS, HOT_ROWS = 10_000, 1_000
 
 
-def keyed_join(left: DataFrame, right: DataFrame, on: list[str], count: str, rows: int) -> DataFrame:
-    """The inner join of ``left``, of about ``rows`` rows, with ``right``, which has one
+def keyed_join(left: DataFrame, right: DataFrame, on: list[str], count: str, rows: int, outer: bool = False) -> DataFrame:
+    """The inner join (with ``outer`` the left one) of ``left``, of about ``rows`` rows, with ``right``, which has one
     row for each key and says in ``count`` how many rows of ``left`` have it.
 
     No task gets a hot key's rows: keys with more than ``rows / HOT_KEYS`` rows, of
@@ -116,7 +116,9 @@ def keyed_join(left: DataFrame, right: DataFrame, on: list[str], count: str, row
     same = F.col("_deal") == F.col(f"_k{len(on) - 1}")
     for i, k in enumerate(on[:-1]):
         same = (F.col(k) == F.col(f"_k{i}")) & same
-    joined = marked.join(rest, same, "left").withColumn("_found", F.coalesce("_hot", "_rest")).where("_found is not null")
+    joined = marked.join(rest, same, "left").withColumn("_found", F.coalesce("_hot", "_rest"))
+    if not outer:
+        joined = joined.where("_found is not null")
     return joined.select(*left.columns, *(F.col(f"_found.{c}").alias(c) for c in extra))
 
 

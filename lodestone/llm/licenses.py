@@ -3,13 +3,11 @@
 A text is cut into fragments at line ends and after sentence marks, and everything
 but ASCII letters and digits becomes one space.  Fragments that follow each other
 are joined, up to the words of the longest known sentence, so a sentence may be
-wrapped over any number of lines, with comment marks in front; a join that equals a known licence sentence, in lower
-case, is mapped to its identifier (the shortest such join from a fragment).  The
-identifiers of a text, in order, are matched against the rules, each an ordered
-run of identifiers; sentences that aren't known don't interrupt a run.
-
-The SQL joins up to ``MOST_FRAGMENTS`` fragments, so it misses sentences wrapped
-over more lines than that; the operator has no such cap.
+wrapped over any number of lines, with comment marks in front; a join that equals a
+known licence sentence, in lower case, is mapped to its identifier (the shortest such
+join from a fragment).  The identifiers of a text, in order, are matched against the
+rules, each an ordered list of identifiers; up to ``GAP`` other known sentences may
+stand between two of them, and any that aren't known.
 
 All of it happens within the row: no shuffle, no row per sentence.
 
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import blank_text, docs_of, let, read_table
 
-MOST_FRAGMENTS = 12  # of the SQL
+GAP = 2
 
 # Sentences of public licences, and which of them in which order make a licence.
 SENTENCES = {
@@ -58,6 +56,28 @@ SENTENCES = {
     "cc-by-nc-short": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-short": ["Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc0-short": ["SPDX-License-Identifier: CC0-1.0"],
+    "mit-liability": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "apache-unless": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'],
+    "apache-see": ["See the License for the specific language governing permissions and limitations under the License."],
+    "gpl-received": ["You should have received a copy of the GNU General Public License along with this program."],
+    "lgpl-grant-21": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl-grant-3": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgpl-warranty": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "lgpl-short": ["SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "agpl-grant": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl-short": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "gpl3-later-short": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+    "gpl2-later-short": ["SPDX-License-Identifier: GPL-2.0-or-later"],
+    "bsd-warranty": ['THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'],
+    "bsd2-short": ["SPDX-License-Identifier: BSD-2-Clause"],
+    "isc-warranty": ['THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'],
+    "isc-short": ["SPDX-License-Identifier: ISC"],
+    "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "zlib-origin": ["The origin of this software must not be misrepresented; you must not claim that you wrote the original software.", "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."],
+    "boost-grant": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "unlicense-short": ["SPDX-License-Identifier: Unlicense"],
+    "cc-by-sa-short": ["Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
 }
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
@@ -78,6 +98,19 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc-by-nc-short"]),
     ("CC-BY-4.0", ["cc-by-short"]),
     ("CC0-1.0", ["cc0-short"]),
+    ("LGPL-2.1-or-later", ["lgpl-grant-21", "lgpl-warranty"]),
+    ("LGPL-3.0-or-later", ["lgpl-grant-3", "gpl-warranty"]),
+    ("LGPL", ["lgpl-short"]),
+    ("AGPL-3.0-or-later", ["agpl-grant", "gpl-warranty"]),
+    ("AGPL-3.0", ["agpl-short"]),
+    ("GPL-3.0-or-later", ["gpl3-later-short"]),
+    ("GPL-2.0-or-later", ["gpl2-later-short"]),
+    ("BSD-2-Clause", ["bsd2-short"]),
+    ("ISC", ["isc-short"]),
+    ("Zlib", ["zlib-grant", "zlib-origin"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("Unlicense", ["unlicense-short"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-short"]),
 ]
 
 #: What ends a fragment; both engines' patterns mean the same by it.
@@ -93,7 +126,8 @@ KNOWN = {normalised(s): NUMBERED[name] for name, texts in SENTENCES.items() for
 STARTS = sorted({" ".join(s.split(" ")[:2]) for s in KNOWN})
 #: A fragment has a word at least, so no longer join can be a known sentence.
 MOST_WORDS, MOST_CHARS = max(len(s.split(" ")) for s in KNOWN), max(map(len, KNOWN))
-RUNS = [(name, "," + ",".join(str(NUMBERED[s]) for s in run) + ",") for name, run in RULES]
+#: Each rule as a pattern on the identifiers between commas.
+RUNS = [(name, "," + f",([0-9]+,){{0,{GAP}}}".join(str(NUMBERED[s]) for s in run) + ",") for name, run in RULES]
 
 
 def sentence_ids(text: Column) -> Column:
@@ -116,7 +150,7 @@ def sentence_ids(text: Column) -> Column:
 def matched(ids: Column) -> Column:
     """The names of the rules that a text's identifiers match."""
     line = F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ","), F.lit(","))
-    return F.array_distinct(F.array_compact(F.array(*(F.when(line.contains(run), F.lit(name)) for name, run in RUNS))))
+    return F.array_distinct(F.array_compact(F.array(*(F.when(line.rlike(run), F.lit(name)) for name, run in RUNS))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -141,10 +175,10 @@ WITH known(s, id) AS (VALUES {", ".join(f"('{s}', {k})" for s, k in KNOWN.items(
 rules(k, name, run) AS (VALUES {", ".join(f"({k}, '{name}', '{run}')" for k, (name, run) in enumerate(RUNS))}),
 f AS (SELECT doc_id, list_filter(list_transform(string_split(lower(regexp_replace(regexp_replace(coalesce(text, ''), '[.!?;:]+([ \t\r\n]|\z)|\n', chr(1), 'g'), '[^A-Za-z0-9\x01]+', ' ', 'g')), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
 starts AS (SELECT doc_id, i, parts FROM f, range(1, CAST(len(parts) + 1 AS BIGINT)) AS t(i) WHERE array_to_string(list_slice(string_split(array_to_string(list_slice(parts, i, i + 1), ' '), ' '), 1, 2), ' ') IN ({_quoted(STARTS)})),
-joins AS (SELECT doc_id, i, n, array_to_string(list_slice(parts, i, i + n - 1), ' ') AS s FROM starts, range(1, {MOST_FRAGMENTS + 1}) AS t(n) WHERE i + n - 1 <= len(parts)),
+joins AS (SELECT doc_id, i, n, array_to_string(list_slice(parts, i, i + n - 1), ' ') AS s FROM starts, range(1, {MOST_WORDS + 1}) AS t(n) WHERE i + n - 1 <= len(parts)),
 hits AS (SELECT doc_id, i, arg_min(id, n) AS id FROM joins JOIN known USING (s) GROUP BY 1, 2),
 seqs AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids, count(*) AS n FROM hits GROUP BY 1),
-named AS (SELECT doc_id, name, min(k) AS k FROM seqs, rules WHERE contains(',' || ids || ',', run) GROUP BY 1, 2),
+named AS (SELECT doc_id, name, min(k) AS k FROM seqs, rules WHERE regexp_matches(',' || ids || ',', run) GROUP BY 1, 2),
 names AS (SELECT doc_id, string_agg(name, ';' ORDER BY k) AS licenses, arg_min(name, k) AS license FROM named GROUP BY 1)
 SELECT d.doc_id, coalesce(ids, '') AS sentence_ids, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(licenses, '') AS licenses, license
 FROM documents d LEFT JOIN seqs USING (doc_id) LEFT JOIN names USING (doc_id)

@@ -98,16 +98,34 @@ def _bin(rule: str) -> Column:
     return F.least(F.lit(STEPS), F.floor(ratio * (STEPS / widest))).cast("int")
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series, eight steps up, where it's exact to a double."""
+    x = n + F.lit(9.0)
+    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    product = n + F.lit(1.0)
+    for j in range(2, 9):
+        product = product * (n + F.lit(float(j)))
+    return series - F.log(product)
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X binomial with n trials of chance p; exact, as a sum whose
-    terms follow from each other, on a log scale."""
+    """P(X <= k) for X binomial with n trials of chance p: the chance of k, and those
+    of fewer, which follow from it one by one.  What lies over 12 standard deviations
+    below both k and the mean is under a double's last place, so the steps grow with
+    the root of n."""
     from math import log
 
-    odds = log(p / (1 - p))
-    start = F.struct((n * log(1 - p)).alias("term"), F.lit(0.0).alias("total"))
-    step = lambda acc, j: F.struct((acc["term"] + F.log((n - j + 1) / j) + odds).alias("term"), (acc["total"] + F.exp(acc["term"])).alias("total"))
-    last = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), start, step)
-    return let(last, lambda acc: acc["total"] + F.exp(acc["term"]))
+    n, k = n.cast("double"), k.cast("double")
+    top = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * log(p) + (n - k) * log(1 - p)
+    steps = F.least(k, F.ceil(F.greatest(k - n * p, F.lit(0.0)) + 12 * F.sqrt(n * (p * (1 - p)))) + 64).cast("int")
+    start = F.struct(F.lit(1.0).alias("factor"), F.lit(1.0).alias("total"))
+
+    def step(acc: Column, i: Column) -> Column:
+        factor = acc["factor"] * (k - i) * ((1 - p) / p) / (n - k + i + 1)
+        return F.struct(factor.alias("factor"), (acc["total"] + factor).alias("total"))
+
+    below = F.when(steps > 0, F.sequence(F.lit(0), steps - 1)).otherwise(F.array().cast("array<int>"))
+    return F.exp(top) * F.aggregate(below, start, step, lambda acc: acc["total"])
 
 
 def cutoffs(labelled: DataFrame) -> DataFrame:

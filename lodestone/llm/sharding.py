@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, blank_text, docs_of, frugal, read_table
+from .common import Workspace, blank_text, docs_of, frugal, keyed_join, read_table
 
 SHARDS = 24
 ROUNDS = 4
@@ -88,7 +88,7 @@ def propagated(rows: DataFrame, total: int, shards: int, work: Workspace, rounds
     ``linked``: whether it has equals."""
     block_rows = max(1, total // shards // BLOCK_SHARE)
     sizes = work.table(rows.groupBy("k1", "k2").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-    joined = rows.join(sizes, ["k1", "k2"], "left")
+    joined = keyed_join(rows, sizes, ["k1", "k2"], "m", total, outer=True)
     blocks = F.ceil(F.col("m") / block_rows)
     # A document's block within its group, by a hash of the document.
     number = F.pmod(F.xxhash64("row", F.lit(1)), blocks)
@@ -103,9 +103,10 @@ def propagated(rows: DataFrame, total: int, shards: int, work: Workspace, rounds
         # Every second block of a group takes its neighbour's wish: cut edges between blocks go.
         pair = F.floor(F.col("number") / 2)
         lead = heads.groupBy("team", pair.alias("pair")).agg(F.max_by("wish", F.struct("m", "number")).alias("wish"))
-        heads = heads.select("team", "number", pair.alias("pair")).join(lead, ["team", "pair"]).drop("pair")
+        heads = heads.select("team", "number", "m", pair.alias("pair")).join(lead, ["team", "pair"]).drop("pair")
         heads = work.table(heads, f"wish{k}")
-        moves = linked.join(heads, ["team", "number"]).where("shard <> wish")
+        wished = keyed_join(linked, heads, ["team", "number"], "m", total)
+        moves = wished.where("shard <> wish")
         flow = {(r.shard, r.wish): r.n for r in moves.groupBy("shard", "wish").agg(F.count("*").alias("n")).collect()}  # shards squared at most
         held = {r.shard: r.n for r in now.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         if not flow:
@@ -114,9 +115,9 @@ def propagated(rows: DataFrame, total: int, shards: int, work: Workspace, rounds
         out = [sum(n for (o, _), n in flow.items() if o == s) for s in range(shards)]
         share = [min(1.0, max(0.0, (quota[s] - held.get(s, 0) + out[s] * 0.5) / into[s])) if into[s] else 0.0 for s in range(shards)]
         draw = F.pmod(F.xxhash64("team", "number", F.lit(k)), F.lit(1 << 20)) / (1 << 20)
-        moved = now.join(heads, ["team", "number"], "left")
-        go = F.col("wish").isNotNull() & (draw < _pick(share, F.col("wish")))
-        now = work.table(moved.select("row", F.when(go, F.col("wish")).otherwise(F.col("shard")).alias("shard"), "team", "number"), f"label{k + 1}")
+        go = draw < _pick(share, F.col("wish"))
+        moved = wished.select("row", F.when(go, F.col("wish")).otherwise(F.col("shard")).alias("shard"), "team", "number")
+        now = work.table(moved.unionByName(now.where("team is null")), f"label{k + 1}")
         work.drop(f"label{k}", f"wish{k}")
     return now
 

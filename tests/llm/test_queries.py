@@ -37,15 +37,28 @@ def test_empty_tables_give_no_rows(spark, nothing, name):
     assert registry.QUERIES[name](spark, nothing).collect() == []
 
 
+@pytest.mark.parametrize("folder", [SMALL, SMALL.replace("0.01", "0.1")])
 @pytest.mark.parametrize("name", sorted(registry.SQL))
-def test_sql(spark, name):
+def test_sql(spark, name, folder):
     c = duckdb.connect()
     for t in ("documents", "labels"):
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
-    df = registry.QUERIES[name](spark, SMALL)
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    df = registry.QUERIES[name](spark, folder)
     found = c.sql(registry.SQL[name])
     assert found.columns == df.columns
-    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, found.fetchall()))
+    rows = df.collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, found.fetchall()))
+    if name.startswith("op1") and folder != SMALL:  # here cutoffs decide beyond the base rules
+        assert sum(not r.kept and not r.base_failed for r in rows) > 100
+
+
+def test_op3_rules_with_other_sentences_between(spark):
+    from lodestone.llm import licenses
+
+    texts = ["gpl-grant-3", "gpl-warranty", "gpl-received"], ["mit-grant", "mit-notice", "mit-liability", "mit-warranty"], ["bsd-grant", "cc0-short", "isc-short", "mpl-short", "bsd-source", "bsd-binary"], ["mit-warranty", "mit-notice", "mit-grant"]
+    rows = [(k, "\n".join(licenses.SENTENCES[x][0] for x in names)) for k, names in enumerate(texts)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in found] == ["GPL-3.0-or-later", "MIT", "MPL-2.0;CC0-1.0;ISC", ""]
 
 
 def features(text):
@@ -408,7 +421,7 @@ def test_binomial_tail(spark):
 
     from lodestone.llm.riskrules import binomial_tail
 
-    cases = [(0, 10), (1, 10), (3, 200), (10, 10), (0, 0)]
+    cases = [(0, 10), (1, 10), (3, 200), (10, 10), (0, 0), (20, 1000), (170, 10_000)]
     got = spark.createDataFrame(cases, "k long, n long").select("k", "n", binomial_tail(F.col("k"), F.col("n"), 0.02).alias("p")).collect()
     for r in got:
         assert abs(r.p - sum(comb(r.n, j) * 0.02**j * 0.98 ** (r.n - j) for j in range(r.k + 1))) < 1e-9
