@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def retrieval_metrics(ranked: DataFrame, k: int) -> DataFrame:
     """hit rate, recall and mean reciprocal rank; ``ranked``: query_id, rank,
@@ -16,12 +18,30 @@ def retrieval_metrics(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def time_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
-    """key, fold: fold f tests the f-th of ``folds`` last equal parts; 0 is only
-    ever trained on.  Ranks come from one narrow sorted column."""
-    n = F.count("*").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(key)).cast("long")
-    size = F.floor(n / (folds + 1))
-    return df.select(key).select(key, F.greatest(F.lit(0).cast("long"), folds - F.floor((n - place) / size)).alias("fold"))
+    """key, fold: fold f tests the f-th of ``folds`` last equal parts; 0 is only ever
+    trained on.  Keys differ."""
+    ranked = order.running(df.select(key, F.lit(1).cast("long").alias("one")), key, "one")
+    sized = ranked.crossJoin(F.broadcast(df.agg(F.count("*").alias("n"))))
+    size = F.floor(F.col("n") / (folds + 1))
+    return sized.select(key, F.greatest(F.lit(0).cast("long"), folds - F.floor((F.col("n") - F.col("upto_one")) / size)).alias("fold"))
+
+
+def fold_metrics(scored: DataFrame, truth: str, guess: str, fold: str = "fold") -> DataFrame:
+    """One row: mean and deviation over folds of mae, rmse and r2."""
+    e = F.col(truth) - F.col(guess)
+    each = scored.groupBy(fold).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.avg(e * e), F.nullif(F.var_pop(truth), F.lit(0.0)))).alias("r2"))
+    return each.agg(F.count("*").alias("folds"), *(f(m).alias(f"{m}_{n}") for m in ("mae", "rmse", "r2") for n, f in (("mean", lambda c: F.round(F.avg(c), 6)), ("std", lambda c: F.round(F.stddev_pop(c), 6)))))
+
+
+def best_models(results: DataFrame) -> DataFrame:
+    """target, model, rmse: the model with the least error of each target; ties go to
+    the name that sorts first.  ``results``: target, model, rmse."""
+    return results.groupBy("target").agg(F.min(F.struct("rmse", "model")).alias("b")).select("target", "b.model", "b.rmse")
+
+
+def pass_rates(checked: DataFrame) -> DataFrame:
+    """check, n, pass_rate.  ``checked``: check, passed."""
+    return checked.groupBy("check").agg(F.count("*").alias("n"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"))
 
 
 def regression_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:

@@ -6,13 +6,18 @@ Scalars of all columns come from one aggregate; what depends on a first pass
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import GAP_FACTOR, IQR_FACTOR, MAD_CUT, MAD_SCALE, NEAR_CONSTANT, NUMBER_TEXT, TARGET_TOKENS
+from ..constants import CATEGORICAL_LENGTH, CATEGORICAL_RATIO, GAP_FACTOR, IDENTIFIER_NAMES, IQR_FACTOR, MAD_CUT, MAD_SCALE, NEAR_CONSTANT, NUMBER_TEXT, TARGET_TOKENS, TEMPORAL_SHARE
+from . import order
 from .query import q
 
+QUARTERS = [0.25, 0.5, 0.75]
+#: Readings of a time's text, the first that fits.
+TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "dd MMM yyyy", "MMM dd, yyyy")
+
 
 def dataset_counts(df: DataFrame) -> DataFrame:
     """Rows, columns, and rows beyond the first of each set of equal rows."""
@@ -21,24 +26,64 @@ def dataset_counts(df: DataFrame) -> DataFrame:
 
 
 def attribute_counts(df: DataFrame) -> DataFrame:
-    """column_name, non_null, missing, missing_rate, unique_count, cardinality."""
-    cells = [f(q(c)).alias(f"{k}{i}") for i, c in enumerate(df.columns) for k, f in (("n", F.count), ("u", F.count_distinct))]
-    row = df.agg(F.count("*").alias("rows"), *cells)
-    parts = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("non_null"), F.col(f"u{i}").alias("unique_count")) for i, c in enumerate(df.columns)))
-    out = row.select("rows", F.explode(parts).alias("p")).select("rows", "p.*")
-    return out.select(
-        "column_name", "non_null", (F.col("rows") - F.col("non_null")).alias("missing"), F.round(F.coalesce(F.try_divide(F.col("rows") - F.col("non_null"), "rows"), F.lit(0.0)), 6).alias("missing_rate"),
+    """column_name, non_null, missing, missing_rate, unique_count, cardinality.  Each
+    column is counted by itself from one row per value."""
+    found = None
+    for c in df.columns:
+        values = df.groupBy(q(c).alias("v")).agg(F.count("*").alias("n"))
+        here = F.col("v").isNotNull()
+        one = values.agg(F.lit(c).alias("column_name"), F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias("non_null"), F.coalesce(F.sum(F.when(~here, F.col("n"))), F.lit(0)).alias("missing"), F.count(F.when(here, 1)).alias("unique_count"))
+        found = one if found is None else found.unionByName(one)
+    rows = F.col("non_null") + F.col("missing")
+    return found.select(
+        "column_name", "non_null", "missing", F.round(F.coalesce(F.try_divide("missing", rows), F.lit(0.0)), 6).alias("missing_rate"),
         "unique_count", F.round(F.coalesce(F.try_divide("unique_count", "non_null"), F.lit(0.0)), 6).alias("cardinality"),
     )
 
 
+def parsed_time(c: Column) -> Column:
+    """A text read as a time by the first format that fits, else null."""
+    return F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(f)) for f in TIME_FORMATS))
+
+
+def column_kinds(df: DataFrame) -> DataFrame:
+    """column_name, kind: boolean, numeric, temporal, categorical, text, or unknown where
+    a text column has no value."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    fixed = {}
+    for f in df.schema:
+        if f.name not in texts:
+            fixed[f.name] = "boolean" if isinstance(f.dataType, T.BooleanType) else "numeric" if isinstance(f.dataType, T.NumericType) else "temporal" if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else "unknown"
+    found = df.sparkSession.createDataFrame(list(fixed.items()), "column_name string, kind string")
+    for c in texts:
+        values = df.where(q(c).isNotNull()).groupBy(q(c).alias("v")).agg(F.count("*").alias("n"))
+        s = values.agg(F.sum("n").alias("n"), F.count("*").alias("u"), F.sum(F.when(parsed_time(F.col("v")).isNotNull(), F.col("n")).otherwise(0)).alias("times"), F.sum(F.length("v") * F.col("n")).alias("chars"))
+        few = (F.col("u") / F.col("n") <= CATEGORICAL_RATIO) | (F.col("chars") / F.col("n") <= CATEGORICAL_LENGTH)
+        kind = F.when(F.col("n").isNull(), "unknown").when(F.col("times") / F.col("n") >= TEMPORAL_SHARE, "temporal").when(few, "categorical").otherwise("text")
+        found = found.unionByName(s.select(F.lit(c).alias("column_name"), kind.alias("kind")))
+    return found
+
+
+def roles(df: DataFrame) -> DataFrame:
+    """column_name, kind and whether a column may be an identifier, a grouping, a target."""
+    name = F.lower(F.trim("column_name"))
+    identifier = (F.col("unique_count") > 0) & (F.col("unique_count") == F.col("non_null")) & (name.contains("id") | name.isin("key", "index"))
+    grouping = (F.col("kind") == "categorical") & F.col("unique_count").between(2, F.least(F.lit(20), F.greatest(F.lit(2), F.floor(F.col("non_null") / 5))))
+    target = (F.col("kind") == "numeric") & F.exists(F.array(*map(F.lit, TARGET_TOKENS)), lambda t: name.contains(t))
+    both = attribute_counts(df).join(column_kinds(df), "column_name")
+    return both.select("column_name", "kind", identifier.alias("candidate_identifier"), grouping.alias("candidate_grouping"), target.alias("candidate_target"))
+
+
+def type_counts(df: DataFrame) -> DataFrame:
+    return column_kinds(df).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Moments and quartiles; skewness and kurtosis adjusted for the sample."""
     c = q(column)
     row = df.agg(
-        F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.var_samp(c).alias("v"), F.stddev_samp(c).alias("s"),
-        F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"), F.skewness(c).alias("g1"), F.kurtosis(c).alias("g2"), F.avg((c == 0).cast("double")).alias("zero_fraction"),
-    )
+        F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.var_samp(c).alias("v"), F.stddev_samp(c).alias("s"), F.skewness(c).alias("g1"), F.kurtosis(c).alias("g2"), F.avg((c == 0).cast("double")).alias("zero_fraction"),
+    ).crossJoin(F.broadcast(order.percentiles(df, c, QUARTERS)))
     n = F.col("n").cast("double")
     skew = F.when(n >= 3, F.coalesce(F.col("g1") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)), F.lit(0.0)))
     kurt = F.when(n >= 4, F.coalesce(((n + 1) * F.col("g2") + 6) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)), F.lit(0.0)))
@@ -54,8 +99,8 @@ def outliers(df: DataFrame, column: str) -> DataFrame:
     """Counts beyond the fences and beyond the scaled median absolute deviation."""
     c = q(column).cast("double")
     values = df.select(c.alias("x"))
-    fences = values.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p")).select(F.get("p", F.lit(0)).alias("q1"), F.get("p", F.lit(1)).alias("med"), F.get("p", F.lit(2)).alias("q3"))
-    deviation = values.crossJoin(F.broadcast(fences)).agg(F.median(F.abs(F.col("x") - F.col("med"))).alias("mad"))
+    fences = order.percentiles(values, F.col("x"), QUARTERS).select(F.get("p", F.lit(0)).alias("q1"), F.get("p", F.lit(1)).alias("med"), F.get("p", F.lit(2)).alias("q3"))
+    deviation = order.percentiles(values.crossJoin(F.broadcast(fences)), F.abs(F.col("x") - F.col("med")), [0.5]).select(F.get("p", F.lit(0)).alias("mad"))
     iqr = F.col("q3") - F.col("q1")
     outside = (iqr > 0) & ((F.col("x") < F.col("q1") - IQR_FACTOR * iqr) | (F.col("x") > F.col("q3") + IQR_FACTOR * iqr))
     far = (F.col("mad") > 0) & (F.abs(F.col("x") - F.col("med")) > MAD_CUT * MAD_SCALE * F.col("mad"))
@@ -80,31 +125,49 @@ def parse_fraction(df: DataFrame, column: str) -> DataFrame:
 
 def structure(df: DataFrame) -> DataFrame:
     """Flags and candidate roles of each column."""
-    counts = attribute_counts(df)
     rows = F.col("non_null") + F.col("missing")
-    name = F.lower("column_name")
-    target = F.exists(F.split(name, "[^a-z0-9]+"), lambda t: t.isin(*TARGET_TOKENS))
-    return counts.select(
+    both = attribute_counts(df).join(roles(df), "column_name")
+    return both.select(
         "column_name", (F.col("unique_count") == 0).alias("empty"), (F.col("unique_count") == 1).alias("constant"), ((F.col("cardinality") <= NEAR_CONSTANT) & (F.col("unique_count") > 1)).alias("near_constant"),
-        ((F.col("missing") == 0) & (F.col("unique_count") == rows)).alias("candidate_key"), F.col("unique_count").between(2, F.least(F.lit(20), F.greatest(F.lit(2), F.floor(rows / 5)))).alias("candidate_grouping"), target.alias("candidate_target"),
+        ((F.col("missing") == 0) & (F.col("unique_count") == rows) & (rows > 0)).alias("candidate_key"), F.lower("column_name").isin(*IDENTIFIER_NAMES).alias("candidate_index"), "candidate_identifier", "candidate_grouping", "candidate_target",
     )
 
 
-def temporal(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Span, order in the given row order, repeats, median interval and gaps.
+def temporal(df: DataFrame, column: str, row: str) -> DataFrame:
+    """Span, order in the given row order, repeats, median interval and gaps; with fewer
+    than two times ``sufficient`` is false and only the count is given.
 
     Distinct times are sorted, one narrow column; repeats carry a count."""
-    seconds = (F.unix_micros(q(column).cast("timestamp")) / 1e6).alias("s")
-    rows = df.where(q(column).isNotNull()).select(seconds, q(order).alias("o"))
+    kind = df.schema[column].dataType
+    time = parsed_time(q(column)) if isinstance(kind, T.StringType) else q(column).cast("timestamp")
+    rows = df.select((F.unix_micros(time) / 1e6).alias("s"), q(row).alias("o")).where("s is not null")
     times = rows.groupBy("s").agg(F.count("*").alias("n"))
-    steps = times.select("s", "n", (F.col("s") - F.lag("s").over(Window.orderBy("s"))).alias("d"))
+    steps = order.previous(times, "s", "s").select("s", "n", (F.col("s") - F.col("previous")).alias("d"))
     # A repeated time adds intervals of zero.
     spread = steps.select(F.explode(F.array(F.struct(F.col("d").alias("d"), F.lit(1).cast("long").alias("w")), F.struct(F.lit(0.0).alias("d"), (F.col("n") - 1).alias("w")))).alias("x")).select("x.d", "x.w").where("d is not null and w > 0")
-    middle = spread.agg(F.expr("percentile(d, 0.5, w)").alias("median_interval"))
-    gaps = spread.crossJoin(F.broadcast(middle)).agg(F.coalesce(F.sum(F.when(F.col("d") > GAP_FACTOR * F.col("median_interval"), F.col("w")).otherwise(0)), F.lit(0)).alias("gap_count"))
-    ordered = rows.select((F.col("s") >= F.lag("s").over(Window.orderBy("o"))).alias("up")).agg(F.coalesce(F.bool_and("up"), F.lit(True)).alias("ordered"))
-    span = times.agg(F.sum("n").alias("count"), F.round(F.min("s"), 6).alias("first_s"), F.round(F.max("s"), 6).alias("last_s"), (F.sum("n") - F.count("*")).alias("duplicate_count"))
-    return span.crossJoin(ordered).crossJoin(middle.select(F.round("median_interval", 6).alias("median_interval"))).crossJoin(gaps)
+    middle = order.percentiles(spread, F.col("d"), [0.5], F.col("w")).select(F.get("p", F.lit(0)).alias("median_interval"))
+    far = (F.col("median_interval") != 0) & (F.col("d") > GAP_FACTOR * F.col("median_interval"))
+    gaps = spread.crossJoin(F.broadcast(middle)).agg(F.coalesce(F.sum(F.when(far, F.col("w")).otherwise(0)), F.lit(0)).alias("gap_count"))
+    ordered = order.previous(rows, "o", "s").agg(F.coalesce(F.bool_and(F.col("s") >= F.col("previous")), F.lit(True)).alias("ordered"))
+    span = times.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.round(F.min("s"), 6).alias("first_s"), F.round(F.max("s"), 6).alias("last_s"), (F.sum("n") - F.count("*")).alias("duplicate_count"))
+    whole = span.crossJoin(ordered).crossJoin(middle.select(F.round("median_interval", 6).alias("median_interval"))).crossJoin(gaps).withColumn("sufficient", F.col("count") >= 2)
+    return whole.select("count", "sufficient", *(F.when(F.col("sufficient"), F.col(c)).alias(c) for c in ("first_s", "last_s", "duplicate_count", "ordered", "median_interval", "gap_count")))
+
+
+def plain_descriptives(df: DataFrame, columns: list[str], time: str | None = None) -> DataFrame:
+    """column_name, mean, std (of the population), min, max, sum, first, last; the last
+    two by ``time``."""
+    ends = lambda c: (F.min_by(c, time), F.max_by(c, time)) if time else (F.lit(None).cast("double"),) * 2
+    cells = [f.alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in zip(("m", "s", "lo", "hi", "t", "f", "l"), (F.avg(q(c)), F.stddev_pop(q(c)), F.min(q(c)).cast("double"), F.max(q(c)).cast("double"), F.sum(q(c)).cast("double"), *ends(q(c))))]
+    row = df.agg(*cells)
+    names = {"m": "mean", "s": "std", "lo": "min", "hi": "max", "t": "sum", "f": "first", "l": "last"}
+    parts = F.array(*(F.struct(F.lit(c).alias("column_name"), *(F.round(F.col(f"{k}{i}").cast("double"), 6).alias(v) for k, v in names.items())) for i, c in enumerate(columns)))
+    return row.select(F.explode(parts).alias("p")).select("p.*")
+
+
+def brief(df: DataFrame, column: str, most: int = 5) -> DataFrame:
+    """value, n: the most frequent values, null among them."""
+    return df.groupBy(q(column).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(most)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -9,10 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import order
+
 OPERATORS = ("eq", "ne", "gt", "lt", "ge", "le", "in")
 AGGREGATES = ("mean", "sum", "count")
 
@@ -53,7 +56,9 @@ def statistics(df: DataFrame, column: str | None = None) -> DataFrame:
         return df.agg(F.count("*").alias("row_count"), F.lit(len(df.columns)).cast("long").alias("column_count"))
     c = q(column)
     if isinstance(_kind(df, column), T.NumericType):
-        return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), F.stddev_samp(c).alias("std"))
+        row = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), F.stddev_samp(c).alias("std"))
+        middle = order.percentiles(df, c, [0.5]).select(F.get("p", F.lit(0)).alias("median"))
+        return row.crossJoin(F.broadcast(middle)).select("count", "mean", "median", "min", "max", "std")
     # The most frequent value from one row per value; the smallest on ties.
     counted = df.where(c.isNotNull()).groupBy(c.alias("value")).agg(F.count("*").alias("n"))
     ranked = F.struct(F.col("n").alias("n"))
@@ -79,7 +84,18 @@ def condition(df: DataFrame, column: str, operator: str, value: Any) -> Column:
 
 
 def _literal(value: Any, kind: T.DataType) -> Column:
-    """Text given for a number is read as one; what can't be is an error."""
+    """Text given for a number is read as one; what can't be is an error.  A truth
+    value equals 1 or 0."""
+    if value is None:
+        raise ValueError("No value to compare with")
+    if isinstance(kind, T.BooleanType):
+        if isinstance(value, str) and value.strip().lower() in ("true", "false"):
+            value = value.strip().lower() == "true"
+        if isinstance(value, (bool, int, float)) and value in (0, 1):
+            return F.lit(bool(value))
+        raise ValueError(f"Not a truth value: {value!r}")
+    if isinstance(kind, T.NumericType) and not isinstance(value, (str, int, float)):
+        raise ValueError(f"Not a number: {value!r}")
     if isinstance(kind, T.NumericType) and isinstance(value, str):
         try:
             value = float(value)
@@ -99,9 +115,11 @@ def aggregate(df: DataFrame, agg_column: str | None = None, agg_func: str = "mea
     without a key go, and a group of missing values sums to 0."""
     if agg_func not in AGGREGATES:
         raise ValueError(f"Unsupported aggregation: {agg_func}")
+    if agg_column is not None and agg_func != "count" and not isinstance(_kind(df, agg_column), (T.NumericType, T.BooleanType)):
+        raise ValueError(f"Column is not numeric: {agg_column}")
     if group_by is None:
         _kind(df, agg_column or "")
-        c = q(agg_column)
+        c = q(agg_column) if agg_func == "count" else q(agg_column).cast("double")
         return df.agg({"mean": F.avg(c), "sum": F.coalesce(F.sum(c), F.lit(0.0)), "count": F.count("*")}[agg_func].cast("double").alias("value"))
     _kind(df, group_by)
     groups = df.where(q(group_by).isNotNull()).groupBy(q(group_by).alias(group_by))
@@ -109,6 +127,8 @@ def aggregate(df: DataFrame, agg_column: str | None = None, agg_func: str = "mea
         return groups.agg(F.count("*").alias("value"))
     _kind(df, agg_column)
     c = q(agg_column)
+    if isinstance(df.schema[agg_column].dataType, T.BooleanType) and agg_func != "count":
+        c = c.cast("double")
     return groups.agg({"mean": F.avg(c), "sum": F.coalesce(F.sum(c), F.lit(0.0)), "count": F.count(c)}[agg_func].alias("value"))
 
 
@@ -127,6 +147,8 @@ def query_dataset(datasets: dict[str, DataFrame], dataset_id: str, operation: st
             raise ValueError(f"Unknown dataset: {dataset_id}")
         if operation not in run:
             raise ValueError(f"Unknown operation: {operation}")
-        return QueryResult(dataset_id, operation, True, run[operation](datasets[dataset_id], **args), metadata=dict(args))
-    except (ValueError, TypeError) as error:
+        data = run[operation](missing_free(datasets[dataset_id]), **args)
+        data.schema  # noqa: B018  resolved here, so that what can't be resolved is an answer
+        return QueryResult(dataset_id, operation, True, data, metadata=dict(args))
+    except (ValueError, TypeError, PySparkException) as error:
         return QueryResult(dataset_id, operation, False, error=str(error), metadata=dict(args))

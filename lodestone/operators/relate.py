@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import CORRELATION_REPORTED, CRAMER_REPORTED, PEARSON_STRONG
+from . import order
 from .query import q
 
 
@@ -28,8 +30,7 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 def average_ranks(values: DataFrame, column: str) -> DataFrame:
     """value, rank: average ranks from one row per distinct value."""
     counted = values.groupBy(q(column).alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value"))
-    return counted.select("value", (upto - (F.col("n") - 1) / 2.0).alias("rank"))
+    return order.running(counted, "value", "n").select("value", (F.col("upto_n") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -46,13 +47,59 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(n.cast("long").alias("n"), F.round(r, 6).alias("rho"))
 
 
-def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
-    """From the contingency table alone; empty cells count without being made."""
+def relationships(df: DataFrame, columns: list[str], least: float = CORRELATION_REPORTED) -> DataFrame:
+    """left_column, right_column, n, pearson, spearman, method of the numeric pairs that
+    are strongly related: Pearson where it's strong by itself, else Spearman.  Pairs
+    with fewer than three complete rows are left out."""
+    found = None
+    for a, b in combinations(columns, 2):
+        both = df.where(q(a).isNotNull() & q(b).isNotNull()).select(q(a), q(b))
+        linear = both.agg(F.round(correlation(q(a), q(b)), 6).alias("pearson"))
+        one = spearman(both, a, b).crossJoin(linear).select(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), "n", "pearson", F.col("rho").alias("spearman"))
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return df.sparkSession.createDataFrame([], "left_column string, right_column string, n long, pearson double, spearman double, method string")
+    strong = F.abs("pearson") >= PEARSON_STRONG
+    chosen = found.where("n >= 3").withColumn("method", F.when(strong, "pearson").otherwise("spearman"))
+    return chosen.where(F.abs(F.when(strong, F.col("pearson")).otherwise(F.col("spearman"))) >= least)
+
+
+def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: n, rows, columns, chi_square, v, expected_min of a table of two columns;
+    ``sufficient`` is false with fewer than three rows or two levels.  Empty cells count
+    without being made."""
     cells = df.where(q(a).isNotNull() & q(b).isNotNull()).groupBy(q(a).alias("a"), q(b).alias("b")).agg(F.count("*").alias("o"))
-    margins = cells.select("a", "b", F.col("o").cast("double").alias("o"), F.sum("o").over(Window.partitionBy("a")).alias("r"), F.sum("o").over(Window.partitionBy("b")).alias("k"))
-    s = margins.agg(F.sum(F.col("o") * F.col("o") / (F.col("r").cast("double") * F.col("k"))).alias("phi"), F.sum("o").cast("long").alias("n"), F.count_distinct("a").alias("ra"), F.count_distinct("b").alias("rb"))
-    least = F.greatest(F.lit(1), F.least("ra", "rb") - 1)
-    return s.select("n", F.round(F.sqrt(F.greatest(F.col("phi") - 1, F.lit(0.0)) / least), 6).alias("v"))
+    rows, columns = (cells.groupBy(k).agg(F.sum("o").alias(f"n{k}")) for k in "ab")
+    s = cells.join(rows, "a").join(columns, "b").agg(F.sum(F.col("o") * F.col("o") / (F.col("na").cast("double") * F.col("nb"))).alias("phi"), F.coalesce(F.sum("o"), F.lit(0)).cast("long").alias("n"))
+    sizes = rows.agg(F.count("*").alias("rows"), F.min("na").alias("least_a")).crossJoin(columns.agg(F.count("*").alias("columns"), F.min("nb").alias("least_b")))
+    chi = F.greatest(F.col("phi") - 1, F.lit(0.0)) * F.col("n")
+    v = F.sqrt(F.try_divide(chi, F.col("n") * F.greatest(F.lit(1), F.least("rows", "columns") - 1)))
+    return s.crossJoin(sizes).select("n", "rows", "columns", F.round(chi, 6).alias("chi_square"), F.round(v, 6).alias("v"), F.round(F.try_divide(F.col("least_a").cast("double") * F.col("least_b"), "n"), 6).alias("expected_min"), ((F.col("n") >= 3) & (F.least("rows", "columns") >= 2)).alias("sufficient"))
+
+
+def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
+    return contingency(df, a, b).select("n", "v")
+
+
+def associations(df: DataFrame, columns: list[str], least: float = CRAMER_REPORTED) -> DataFrame:
+    """left_column, right_column and the table's figures of the categorical pairs whose
+    Cramer's V is notable."""
+    found = None
+    for a, b in combinations(columns, 2):
+        one = contingency(df, a, b).select(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), "n", "chi_square", "v", "expected_min", "sufficient")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return df.sparkSession.createDataFrame([], "left_column string, right_column string, n long, chi_square double, v double, expected_min double")
+    return found.where(F.col("sufficient") & (F.col("v") >= least)).drop("sufficient")
+
+
+def target_correlations(df: DataFrame, target: str, features: list[str], most: int = 3) -> DataFrame:
+    """feature, r: the ``most`` largest and smallest correlations with a target."""
+    row = df.agg(*(correlation(q(f), q(target)).alias(f"r{i}") for i, f in enumerate(features)))
+    parts = F.array(*(F.struct(F.lit(f).alias("feature"), F.round(f"r{i}", 6).alias("r")) for i, f in enumerate(features)))
+    found = row.select(F.explode(parts).alias("p")).select("p.*").where("r is not null")
+    ends = [Window.orderBy(F.desc("r"), "feature"), Window.orderBy("r", "feature")]  # one row per feature
+    return found.select("feature", "r", *(F.row_number().over(w).alias(f"k{i}") for i, w in enumerate(ends))).where((F.col("k0") <= most) | (F.col("k1") <= most)).drop("k0", "k1")
 
 
 def group_spread(df: DataFrame, category: str, column: str) -> DataFrame:

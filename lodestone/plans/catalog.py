@@ -73,11 +73,22 @@ register("value_frequencies", "SELECT CAST(l_suppkey AS VARCHAR) AS value, count
 register("text_lengths", "SELECT CAST(min(length(text)) AS BIGINT) AS min_length, CAST(max(length(text)) AS BIGINT) AS max_length, round(avg(length(text)), 6) AS mean_length FROM documents")(lambda t: profile.text_lengths(t("documents"), "text"))
 register("mixed_parse_fraction", r"SELECT round(avg(CASE WHEN regexp_matches(x, '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$') THEN 1.0 ELSE 0.0 END), 6) AS numeric_fraction FROM (SELECT CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE CAST(user_id AS VARCHAR) END AS x FROM events)")(
     lambda t: profile.parse_fraction(t("events").selectExpr("CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE CAST(user_id AS STRING) END AS x"), "x"))
-_FLAGS = "SELECT '{c}' AS column_name, count(DISTINCT {c}) = 0 AS empty, count(DISTINCT {c}) = 1 AS constant, count(DISTINCT {c}) / count({c}) <= 0.01 AND count(DISTINCT {c}) > 1 AS near_constant, count({c}) = count(*) AND count(DISTINCT {c}) = count(*) AS candidate_key, count(DISTINCT {c}) BETWEEN 2 AND least(20, greatest(2, floor(count(*) / 5))) AS candidate_grouping, {g} AS candidate_target FROM part"
-register("structure_flags", " UNION ALL ".join(_FLAGS.format(c=c, g="false") for c in ("p_partkey", "p_name", "p_brand", "p_size")))(lambda t: profile.structure(t("part").select("p_partkey", "p_name", "p_brand", "p_size")))
+_FLAGS = """SELECT '{c}' AS column_name, count(DISTINCT {c}) = 0 AS empty, count(DISTINCT {c}) = 1 AS constant, count(DISTINCT {c}) / count({c}) <= 0.01 AND count(DISTINCT {c}) > 1 AS near_constant, count({c}) = count(*) AND count(DISTINCT {c}) = count(*) AS candidate_key, '{n}' IN ('id', 'index', 'row_id', 'record_id') AS candidate_index, count(DISTINCT {c}) > 0 AND count(DISTINCT {c}) = count({c}) AND (contains('{n}', 'id') OR '{n}' IN ('key', 'index')) AS candidate_identifier,
+{k} = 'categorical' AND count(DISTINCT {c}) BETWEEN 2 AND least(20, greatest(2, floor(count({c}) / 5))) AS candidate_grouping, {k} = 'numeric' AND regexp_matches('{n}', 'target|label|outcome|result|score|temperature') AS candidate_target FROM part"""
+#: The kind of a text column without times, and of a number.
+_TEXT_KIND = "CASE WHEN count({c}) = 0 THEN 'unknown' WHEN count(DISTINCT {c}) / count({c}) <= 0.2 OR avg(length({c})) <= 24 THEN 'categorical' ELSE 'text' END"
+_PART = {"p_partkey": ("record_id", None), "p_name": ("p_name", 1), "p_brand": ("p_brand", 1), "p_size": ("result_size", None), "p_type": ("p_type", 1)}
+register("structure_flags", " UNION ALL ".join(_FLAGS.replace("'{c}' AS column_name", "'{n}' AS column_name").format(c=c, n=n, k=_TEXT_KIND.format(c=c) if t else "'numeric'") for c, (n, t) in _PART.items()))(lambda t: profile.structure(t("part").select(*(F.col(c).alias(n) for c, (n, _) in _PART.items()))))
+register("column_kinds", " UNION ALL ".join(f"(SELECT '{n}' AS column_name, {_TEXT_KIND.format(c=c) if t else chr(39) + 'numeric' + chr(39)} AS kind FROM part" + (")" if t else " LIMIT 1)") for c, (n, t) in _PART.items()) + " UNION ALL SELECT 'stamp', CASE WHEN avg(CASE WHEN p_partkey % 20 = 0 THEN 0.0 ELSE 1.0 END) >= 0.9 THEN 'temporal' ELSE 'text' END FROM part UNION ALL SELECT 'flag', 'boolean' UNION ALL SELECT 'nothing', 'unknown'")(
+    lambda t: profile.column_kinds(t("part").select(*(F.col(c).alias(n) for c, (n, _) in _PART.items()), F.expr("CASE WHEN p_partkey % 20 = 0 THEN 'never' WHEN p_partkey % 2 = 0 THEN concat('2024-01-', lpad(p_size % 28 + 1, 2, '0')) ELSE concat(lpad(p_size % 28 + 1, 2, '0'), '/01/2024 10:30') END").alias("stamp"), F.lit(True).alias("flag"), F.lit(None).cast("string").alias("nothing"))))
+register("type_counts", "SELECT kind, count(*) AS n FROM (" + " UNION ALL ".join(f"(SELECT {_TEXT_KIND.format(c=c) if t else chr(39) + 'numeric' + chr(39)} AS kind FROM part" + (")" if t else " LIMIT 1)") for c, (n, t) in _PART.items()) + ") GROUP BY 1")(lambda t: profile.type_counts(t("part").select(*_PART)))
+register("plain_descriptives", " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max, round(CAST(sum({c}) AS DOUBLE), 6) AS sum, round(CAST(arg_min({c}, event_id) AS DOUBLE), 6) AS first, round(CAST(arg_max({c}, event_id) AS DOUBLE), 6) AS last FROM events" for c in ("value", "user_id")))(lambda t: profile.plain_descriptives(t("events"), ["value", "user_id"], "event_id"))
+register("brief_values", "SELECT CAST(event_type AS VARCHAR) AS value, count(*) AS n FROM " + EVENTS + " GROUP BY 1 ORDER BY n DESC, value NULLS LAST LIMIT 5")(lambda t: profile.brief(_planted(t), "event_type"))
 register("temporal_props", """WITH s AS (SELECT event_id, epoch_us(ts) / 1e6 AS s FROM events), d AS (SELECT s - lag(s) OVER (ORDER BY s) AS d FROM s), m AS (SELECT median(d) AS m FROM d WHERE d IS NOT NULL), o AS (SELECT s >= lag(s) OVER (ORDER BY event_id) AS up FROM s)
-SELECT (SELECT count(*) FROM s) AS count, (SELECT round(min(s), 6) FROM s) AS first_s, (SELECT round(max(s), 6) FROM s) AS last_s, (SELECT count(*) - count(DISTINCT s) FROM s) AS duplicate_count, (SELECT bool_and(up) FROM o) AS ordered, (SELECT round(m, 6) FROM m) AS median_interval, (SELECT count(*) FROM d, m WHERE d > 1.5 * m) AS gap_count""")(
+SELECT (SELECT count(*) FROM s) AS count, (SELECT round(min(s), 6) FROM s) AS first_s, (SELECT round(max(s), 6) FROM s) AS last_s, (SELECT count(*) - count(DISTINCT s) FROM s) AS duplicate_count, (SELECT bool_and(up) FROM o) AS ordered, (SELECT round(m, 6) FROM m) AS median_interval, (SELECT count(*) FROM d, m WHERE m <> 0 AND d > 1.5 * m) AS gap_count, true AS sufficient""")(
     lambda t: profile.temporal(t("events"), "ts", "event_id"))
+register("temporal_zero_median", """SELECT (SELECT count(*) FROM events) AS count, true AS sufficient, (SELECT count(*) - count(DISTINCT date_trunc('day', ts)) FROM events) AS duplicate_count, CAST(0 AS BIGINT) AS gap_count, 0.0::DOUBLE AS median_interval""")(
+    lambda t: profile.temporal(t("events").withColumn("ts", F.date_trunc("day", F.col("ts").cast("timestamp"))), "ts", "event_id").select("count", "sufficient", "duplicate_count", "gap_count", "median_interval"))
 
 # --- relationships ------------------------------------------------------------
 
@@ -88,6 +99,17 @@ register("cramers_v", """WITH c AS (SELECT l_returnflag a, l_linestatus b, count
 SELECT CAST(sum(o) AS BIGINT) AS n, round(sqrt(greatest(sum(CAST(o AS DOUBLE) * o / (CAST(r AS DOUBLE) * k)) - 1, 0) / greatest(1, least(count(DISTINCT a), count(DISTINCT b)) - 1)), 6) AS v FROM m""")(lambda t: relate.cramers_v(t("lineitem"), "l_returnflag", "l_linestatus"))
 register("group_mean_spread", f"SELECT count(*) AS groups, round(max(m) - min(m), 6) AS spread FROM (SELECT avg(value) AS m FROM {EVENTS} GROUP BY event_type) WHERE m IS NOT NULL")(lambda t: relate.group_spread(_planted(t), "event_type", "value"))
 
+_TWIN = "(SELECT l_quantity, l_extendedprice, l_quantity * 2 + l_tax AS twin, power(l_quantity, 9) AS steep FROM lineitem)"
+_FOUR = ("l_quantity", "l_extendedprice", "twin", "steep")
+register("relationships", "WITH p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS left_column, '{b}' AS right_column, count(*) AS n, round(corr({a}, {b}), 6) AS pearson, (SELECT round(corr(x, y), 6) FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS x, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS y FROM {_TWIN})) AS spearman FROM {_TWIN}" for i, a in enumerate(_FOUR) for b in _FOUR[i + 1 :]) + ") SELECT *, CASE WHEN abs(pearson) >= 0.8 THEN 'pearson' ELSE 'spearman' END AS method FROM p WHERE abs(CASE WHEN abs(pearson) >= 0.8 THEN pearson ELSE spearman END) >= 0.7")(
+    lambda t: relate.relationships(t("lineitem").selectExpr("l_quantity", "l_extendedprice", "l_quantity * 2 + l_tax AS twin", "power(l_quantity, 9) AS steep"), list(_FOUR)))
+_TABLE = """WITH c AS (SELECT l_returnflag a, {b} b, count(*) o FROM lineitem GROUP BY 1, 2), g AS (SELECT a, b FROM (SELECT DISTINCT a FROM c), (SELECT DISTINCT b FROM c)), m AS (SELECT g.a, g.b, coalesce(o, 0) AS o, sum(coalesce(o, 0)) OVER (PARTITION BY g.a) * sum(coalesce(o, 0)) OVER (PARTITION BY g.b) / sum(coalesce(o, 0)) OVER () AS e FROM g LEFT JOIN c ON g.a = c.a AND g.b = c.b)
+SELECT {names}CAST(sum(o) AS BIGINT) AS n, {sizes}round(sum((o - e) * (o - e) / e), 6) AS chi_square, round(sqrt(sum((o - e) * (o - e) / e) / (sum(o) * greatest(1, least(count(DISTINCT a), count(DISTINCT b)) - 1))), 6) AS v, round(min(e), 6) AS expected_min{flag} FROM m"""
+register("contingency", _TABLE.format(b="l_linestatus", names="", sizes="count(DISTINCT a) AS rows, count(DISTINCT b) AS columns, ", flag=", true AS sufficient"))(lambda t: relate.contingency(t("lineitem"), "l_returnflag", "l_linestatus"))
+_STATE = "CASE WHEN l_returnflag = 'R' THEN 'back' ELSE l_linestatus END"
+register("associations", "SELECT * FROM (" + _TABLE.format(b=_STATE, names="'l_returnflag' AS left_column, 'state' AS right_column, ", sizes="", flag="") + ") WHERE v >= 0.3")(lambda t: relate.associations(t("lineitem").selectExpr("l_returnflag", "l_linestatus", _STATE + " AS state").drop("l_linestatus"), ["l_returnflag", "state"]))
+register("target_correlations", "WITH r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, l_extendedprice), 6) AS r FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")) + ") SELECT feature, r FROM (SELECT *, row_number() OVER (ORDER BY r DESC, feature) a, row_number() OVER (ORDER BY r, feature) b FROM r) WHERE a <= 1 OR b <= 1")(lambda t: relate.target_correlations(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], 1))
+
 # --- cleaning -----------------------------------------------------------------
 
 register("dup_keep_first", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k > 1")(lambda t: cleaning.duplicates(t("documents").select("doc_id", "text"), ["text"], "doc_id").select("doc_id"))
