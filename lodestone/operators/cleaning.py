@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..constants import EFFECT_CAP, MIN_GROUP, MIN_STABLE
+from ..constants import EFFECT_CAP, IDENTIFIER_NAMES, IQR_FACTOR, MAD_CUT, MAD_SCALE, MIN_GROUP, MIN_STABLE, NUMBER_TEXT, STD_SHIFT, TVD_NOTED
+from . import order, profile
 from .query import q
 
 
-def duplicates(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def duplicates(df: DataFrame, keys: list[str], row: str) -> DataFrame:
     """Rows beyond the first of each set with equal keys, nulls being equal.
 
     The first row of a key is found by an aggregate that sums up before the
     shuffle, and joined back; a key with very many rows is no single task's."""
-    firsts = df.groupBy(*(q(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min(q(order)).alias("_first"))
+    firsts = df.groupBy(*(q(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min(q(row)).alias("_first"))
     same = [q(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     on = same[0]
     for s in same[1:]:
         on = on & s
-    return df.join(firsts, on).where(q(order) > F.col("_first")).select(*map(q, df.columns))
+    return df.join(firsts, on).where(q(row) > F.col("_first")).select(*map(q, df.columns))
 
 
 def conflicting_keys(df: DataFrame, key: str) -> DataFrame:
@@ -32,7 +36,7 @@ def conflicting_keys(df: DataFrame, key: str) -> DataFrame:
 def fill_value(df: DataFrame, column: str, numeric: bool) -> DataFrame:
     """One row: the median, or the most frequent value (the smallest on ties)."""
     if numeric:
-        return df.agg(F.median(q(column)).alias("fill"))
+        return order.percentiles(df, q(column), [0.5]).select(F.get("p", F.lit(0)).alias("fill"))
     counted = df.where(q(column).isNotNull()).groupBy(q(column).alias("v")).agg(F.count("*").alias("n"))
     return counted.orderBy(F.desc("n"), "v").limit(1).select(F.col("v").alias("fill"))
 
@@ -49,13 +53,43 @@ def changes(df: DataFrame, column: str, key: str, numeric: bool = True) -> DataF
 
 
 def missingness_effect(df: DataFrame, target: str, other: str) -> DataFrame:
-    """Cohen's d of ``other`` between rows with and without ``target``."""
+    """n1, n2, effect: how far the means of ``other`` lie apart between rows with and
+    without ``target``, in pooled deviations of which ``EFFECT_CAP`` are 1; without
+    spread 0 or 1; null where a side is too small."""
     gone, x = q(target).isNull(), q(other).cast("double")
     a, b = F.when(gone, x), F.when(~gone, x)
     s = df.agg(F.count(a).alias("n1"), F.count(b).alias("n2"), F.avg(a).alias("m1"), F.avg(b).alias("m2"), F.var_samp(a).alias("v1"), F.var_samp(b).alias("v2"))
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2))
-    d = F.least(F.lit(EFFECT_CAP), F.try_divide(F.abs(F.col("m1") - F.col("m2")), F.nullif(pooled, F.lit(0.0))))
-    return s.select("n1", "n2", F.round(F.when((F.col("n1") >= MIN_GROUP) & (F.col("n2") >= MIN_GROUP), d), 6).alias("effect"))
+    pooled = F.sqrt(F.greatest(F.lit(0.0), ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)))
+    d = F.when(pooled == 0, (F.col("m1") != F.col("m2")).cast("double")).otherwise(F.least(F.lit(1.0), F.abs(F.col("m1") - F.col("m2")) / pooled / EFFECT_CAP))
+    enough = (F.col("n1") >= MIN_GROUP) & (F.col("n2") >= MIN_GROUP)
+    return s.select("n1", "n2", F.when(enough, F.round(d, 6)).alias("effect"))
+
+
+def missingness_table(df: DataFrame, target: str, other: str) -> DataFrame:
+    """n1, n2, effect: Cramer's V of a value's being missing and the values of
+    ``other``; null where a side is too small or there are fewer than two values."""
+    cells = df.where(q(other).isNotNull()).groupBy(q(other).alias("v")).agg(F.count_if(q(target).isNull()).alias("a"), F.count_if(q(target).isNotNull()).alias("b"))
+    s = cells.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n1"), F.coalesce(F.sum("b"), F.lit(0)).alias("n2"), F.count("*").alias("k"), *(F.sum(F.col(c) * F.col(c) / (F.col("a") + F.col("b"))).alias(f"s{c}") for c in "ab"))
+    phi = F.try_divide("sa", "n1") + F.try_divide("sb", "n2") - 1
+    v = F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), phi)))
+    enough = (F.col("n1") >= MIN_GROUP) & (F.col("n2") >= MIN_GROUP) & (F.col("k") >= 2)
+    return s.select("n1", "n2", F.when(enough, F.round(v, 6)).alias("effect"))
+
+
+def missingness_association(df: DataFrame, target: str) -> DataFrame:
+    """One row: the strongest association of a column's gaps with another column,
+    max_association, associated_column (the first of equals), association_method,
+    columns_compared, columns_skipped."""
+    found = df.sparkSession.createDataFrame([], "k int, name string, method string, effect double")
+    for k, f in enumerate(df.schema):
+        if f.name == target or not isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType)):
+            continue
+        measure, name = (missingness_effect, "effect_size") if isinstance(f.dataType, T.NumericType) else (missingness_table, "cramers_v")
+        found = found.unionByName(measure(df, target, f.name).select(F.lit(k).alias("k"), F.lit(f.name).alias("name"), F.lit(name).alias("method"), "effect"))
+    gaps = df.agg(((F.count(q(target)) > 0) & (F.count(q(target)) < F.count("*"))).alias("any"))
+    best = F.max(F.when(F.col("effect") > 0, F.struct("effect", (-F.col("k")).alias("k"), "name", "method"))).alias("best")
+    s = found.crossJoin(F.broadcast(gaps)).where("any").agg(best, F.count("effect").alias("columns_compared"), F.count_if(F.col("effect").isNull()).alias("columns_skipped"))
+    return s.select(F.round(F.coalesce("best.effect", F.lit(0.0)), 4).alias("max_association"), F.col("best.name").alias("associated_column"), F.col("best.method").alias("association_method"), "columns_compared", "columns_skipped")
 
 
 def entropy(df: DataFrame, column: str) -> DataFrame:
@@ -67,30 +101,244 @@ def entropy(df: DataFrame, column: str) -> DataFrame:
     return s.select(F.col("k").alias("categories"), F.round(F.when(F.col("k") > 1, h / F.log(F.col("k").cast("double"))).otherwise(0.0), 6).alias("entropy"))
 
 
-def imputation_confidence(df: DataFrame, column: str) -> DataFrame:
-    """Weights .30 presence, .25 sample, .25 evenness, .20 independence (taken as 1)."""
-    c = q(column).cast("double")
-    s = df.agg(F.count("*").alias("rows"), F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("sd"))
-    missing = F.least(F.lit(0.95), F.greatest(F.lit(0.0), 1 - F.col("n") / F.col("rows")))
-    sd = F.coalesce("sd", F.lit(0.0))
-    even = F.when(F.col("m") == 0, 1 / (1 + sd)).otherwise(1 / (1 + F.abs(F.try_divide(sd, F.nullif("m", F.lit(0.0))))))
-    total = 0.30 * (1 - missing) + 0.25 * F.least(F.lit(1.0), F.col("n") / MIN_STABLE) + 0.25 * even + 0.20
-    return s.select(F.round(total, 6).alias("confidence"))
+def imputation_confidence(df: DataFrame, column: str, in_frame: bool = False) -> DataFrame:
+    """One row, confidence: .30 presence (.95 at most), .25 sample, .25 evenness (of
+    numbers by their spread, of others by their entropy), .20 independence of the gaps
+    from other columns (1 unless ``in_frame``); 0 for an empty table."""
+    s = df.agg(F.count("*").alias("rows"), F.count(q(column)).alias("n"))
+    if isinstance(df.schema[column].dataType, T.NumericType):
+        c = q(column).cast("double")
+        spread = df.agg(F.avg(c).alias("m"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("sd"))
+        even = spread.select(F.when(F.col("sd") == 0, 1.0).when(F.col("m") == 0, 1 / (1 + F.col("sd"))).otherwise(1 / (1 + F.abs(F.try_divide("sd", "m")))).alias("even"))
+    else:
+        even = entropy(df, column).select((1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("entropy")))).alias("even"))
+    s = s.crossJoin(F.broadcast(even))
+    s = s.crossJoin(F.broadcast(missingness_association(df, column).select(F.col("max_association").alias("tie")))) if in_frame else s.withColumn("tie", F.lit(0.0))
+    present = F.least(F.lit(0.95), F.try_divide("n", "rows"))
+    total = 0.30 * present + 0.25 * F.least(F.lit(1.0), F.col("n") / MIN_STABLE) + 0.25 * F.when(F.col("n") == 0, 0.0).otherwise(F.col("even")) + 0.20 * (1 - F.col("tie"))
+    return s.select(F.round(F.when(F.col("rows") == 0, 0.0).otherwise(F.least(F.lit(1.0), total)), 6).alias("confidence"))
+
+
+# --- outliers -----------------------------------------------------------------
+
+
+def modified_z(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with z (distance from the median in scaled median deviations; null with
+    fewer than three values or without spread), q1 and q3."""
+    x = q(column).cast("double")
+    fences = order.percentiles(df, x, profile.QUARTERS).select(F.get("p", F.lit(0)).alias("q1"), F.get("p", F.lit(1)).alias("_med"), F.get("p", F.lit(2)).alias("q3"))
+    placed = df.crossJoin(F.broadcast(fences)).withColumn("_off", F.abs(x - F.col("_med")))
+    spread = order.percentiles(placed, F.col("_off"), [0.5]).select((F.get("p", F.lit(0)) * MAD_SCALE).alias("_mad")).crossJoin(df.agg(F.count(x).alias("_n")))
+    z = F.when((F.col("_n") >= 3) & (F.col("_mad") > 0), F.try_divide("_off", "_mad"))
+    return placed.crossJoin(F.broadcast(spread)).withColumn("z", z).drop("_off", "_mad", "_n", "_med")
+
+
+def _beyond(x: Column) -> Column:
+    """How far beyond the fences, in quartile ranges; null inside them."""
+    iqr = F.col("q3") - F.col("q1")
+    low, high = F.col("q1") - IQR_FACTOR * iqr, F.col("q3") + IQR_FACTOR * iqr
+    return F.when(iqr > 0, F.when(x < low, F.try_divide(low - x, iqr)).when(x > high, F.try_divide(x - high, iqr)))
+
+
+def _agrees() -> Column:
+    return F.coalesce(F.col("z") > MAD_CUT, F.lit(False))
+
+
+def outlier_confidence(df: DataFrame, column: str) -> DataFrame:
+    """One row: flagged_count, mean_iqr_distance, mad_flagged_count, agreement_count,
+    agreement_rate, confidence (.5 without an outlier)."""
+    rows = modified_z(df.select(q(column).alias("x")), "x").withColumn("distance", _beyond(F.col("x").cast("double")))
+    base = F.least(F.lit(0.95), F.greatest(F.lit(0.5), 0.5 + 0.1 * F.col("distance")))
+    sure = F.when(F.col("distance").isNotNull(), F.when(_agrees(), F.least(F.lit(0.95), base + 0.05)).otherwise(base))
+    agreed = F.count_if(F.col("distance").isNotNull() & _agrees())
+    s = rows.agg(F.count("distance").alias("flagged_count"), F.round(F.coalesce(F.avg(F.round("distance", 4)), F.lit(0.0)), 4).alias("mean_iqr_distance"), F.count_if(_agrees()).alias("mad_flagged_count"), agreed.alias("agreement_count"), F.round(F.coalesce(F.avg(sure), F.lit(0.5)), 4).alias("confidence"))
+    return s.withColumn("agreement_rate", F.round(F.coalesce(F.try_divide("agreement_count", "flagged_count"), F.lit(0.0)), 4))
+
+
+def outlier_details(df: DataFrame, column: str, row: str, most: int = 20) -> DataFrame:
+    """row_id, value, distance, z, agrees of the first ``most`` outliers in row order."""
+    rows = modified_z(df.select(q(row).alias("row_id"), q(column).alias("value")), "value").withColumn("distance", F.round(_beyond(F.col("value").cast("double")), 4))
+    return rows.where("distance is not null").select("row_id", "value", "distance", F.round("z", 4).alias("z"), _agrees().alias("agrees")).orderBy("row_id").limit(most)
+
+
+# --- issues, proposals, decisions -----------------------------------------------
+
+
+def _data_columns(df: DataFrame, row: str) -> list[str]:
+    return [c for c in df.columns if c != row]
+
+
+def _of_type(df: DataFrame, row: str, kind) -> list[str]:
+    return [f.name for f in df.schema if f.name != row and isinstance(f.dataType, kind)]
+
+
+def issues(df: DataFrame, row: str) -> DataFrame:
+    """issue_id, kind, field, n, message of what may be wrong with a table whose rows
+    ``row`` names: repeated rows, identifiers with conflicts, gaps, texts that mix
+    numbers with others, outliers.  Nothing is changed."""
+    columns, texts = _data_columns(df, row), _of_type(df, row, T.StringType)
+    data = df.select(*map(q, columns))
+    whole = profile.dataset_counts(data).select(F.col("duplicate_rows").alias("n"))
+
+    def issue(frame: DataFrame, name: str, kind: str, field: str | None, before: str, after: str | None = None) -> DataFrame:
+        message = F.lit(before) if after is None else F.concat(F.lit(before), F.col("n").cast("string"), F.lit(after))
+        return frame.where("n > 0").select(F.lit(name).alias("issue_id"), F.lit(kind).alias("kind"), F.lit(field).cast("string").alias("field"), F.col("n").cast("long").alias("n"), message.alias("message"))
+
+    found = [issue(whole, "duplicate_rows", "duplicate_rows", None, "", " duplicate row(s) can be reviewed.")]
+    for c in (c for c in columns if c.lower() in IDENTIFIER_NAMES):
+        repeated = data.groupBy(q(c).alias("v")).agg(F.count("*").alias("k")).where("k > 1").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
+        both = repeated.crossJoin(whole).select(F.when(F.col("k") > F.col("n"), F.col("k")).otherwise(0).alias("n"))
+        found.append(issue(both, f"conflicting_identifier_{c}", "duplicate_identifier", c, f"Candidate identifier '{c}' has repeated values across non-exact duplicate rows."))
+    gaps = data.agg(F.count("*").alias("rows"), *(F.count_if(q(c).isNull()).alias(f"g{i}") for i, c in enumerate(columns)), *(F.count_if(q(c).rlike(NUMBER_TEXT)).alias(f"p{columns.index(c)}") for c in texts))
+    for i, c in enumerate(columns):
+        found.append(issue(gaps.select(F.col(f"g{i}").alias("n")), f"missing_{c}", "missing_values", c, f"Column '{c}' has ", " missing value(s)."))
+        if c in texts:
+            mixed = gaps.select(F.when(F.col(f"p{i}") < F.col("rows") - F.col(f"g{i}"), F.col(f"p{i}")).otherwise(0).alias("n"))
+            found.append(issue(mixed, f"mixed_values_{c}", "mixed_values", c, f"Column '{c}' mixes numeric-like and non-numeric values."))
+    for c in _of_type(df, row, T.NumericType):
+        unusual = profile.outliers(data, c).select(F.col("iqr_outliers").alias("n"))
+        found.append(issue(unusual, f"unusual:{c}", "statistical_outliers", c, "", " observation(s) are potentially unusual under the IQR rule."))
+    return reduce(DataFrame.unionByName, found)
+
+
+def proposals(df: DataFrame, row: str, purpose: str | None = None) -> DataFrame:
+    """proposal_id, issue_id, action, field, method, number, text (what gaps would be
+    filled with), confidence.  With the purpose "unknown" no imputation is proposed;
+    outliers are only ever flagged; mixed texts are never converted."""
+    data = df.select(*map(q, _data_columns(df, row)))
+    none = {"number": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
+
+    def proposal(frame: DataFrame, name: str, issue_id: str, action: str, field: str | None, method: str, **fill: Column) -> DataFrame:
+        plain = {"proposal_id": name, "issue_id": issue_id, "action": action, "field": field, "method": method}
+        return frame.select(*(F.lit(v).cast("string").alias(k) for k, v in plain.items()), *(v.alias(k) for k, v in (none | fill).items()), "confidence")
+
+    sure = df.sparkSession.createDataFrame([(1.0,)], "confidence double")
+    found = [proposal(sure, "remove_duplicate_rows", "duplicate_rows", "remove_duplicates", None, "keep_first")]
+    for c in data.columns:
+        numeric = c in _of_type(df, row, T.NumericType)
+        if purpose != "unknown":
+            fill = fill_value(data, c, numeric).where("fill is not null").crossJoin(imputation_confidence(data, c, in_frame=True))
+            value = {"number": F.round("fill", 6)} if numeric else {"text": F.col("fill").cast("string")}
+            found.append(proposal(fill, f"impute_{c}", f"missing_{c}", "impute_missing", c, "median" if numeric else "mode", **value))
+        if numeric:
+            found.append(proposal(outlier_confidence(data, c), f"investigate_{c}_outliers", f"unusual:{c}", "flag_for_review", c, "flag"))
+    return reduce(DataFrame.unionByName, found).join(issues(df, row).select("issue_id"), "issue_id", "left_semi").select(*found[0].columns)
+
+
+def apply_cleaning(df: DataFrame, row: str, approved: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table and its change records (proposal_id, issue_id, row_id, field,
+    after).  ``df`` itself doesn't change; both are worked out from it."""
+    columns, numbers = _data_columns(df, row), _of_type(df, row, T.NumericType)
+    nothing = F.lit(None).cast("string")
+    record = lambda frame, name, issue_id, field, after: frame.select(F.lit(name).alias("proposal_id"), F.lit(issue_id).alias("issue_id"), q(row).alias("row_id"), field.alias("field"), after.alias("after"))
+    cleaned, records = df, record(df.limit(0), "", "", nothing, nothing)
+    if "remove_duplicate_rows" in approved:
+        gone = duplicates(df, columns, row).select(q(row))
+        cleaned = cleaned.join(gone, row, "left_anti").select(*map(q, df.columns))
+        records = records.unionByName(record(gone, "remove_duplicate_rows", "duplicate_rows", nothing, nothing))
+    for c in (c for c in columns if f"impute_{c}" in approved):
+        fill = F.broadcast(fill_value(df, c, c in numbers))
+        cleaned = cleaned.crossJoin(fill).withColumn(c, F.coalesce(q(c), "fill")).drop("fill")
+        records = records.unionByName(record(df.where(q(c).isNull()).crossJoin(fill), f"impute_{c}", f"missing_{c}", F.lit(c), F.col("fill").cast("string")))
+    return cleaned, records
+
+
+def statuses(proposed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``proposed`` with status: approved, rejected, deferred or proposed.
+    ``decisions``: proposal_id, action (APPROVE, REJECT, DEFER; the first of these wins)."""
+    place = F.when(F.col("act") == "APPROVE", 1).when(F.col("act") == "REJECT", 2).when(F.col("act") == "DEFER", 3)
+    first = decisions.select("proposal_id", F.upper("action").alias("act")).groupBy("proposal_id").agg(F.min(place).alias("_place"))
+    status = F.coalesce(F.get(F.array(*map(F.lit, ("", "approved", "rejected", "deferred"))), F.col("_place")), F.lit("proposed"))
+    return proposed.join(first, "proposal_id", "left").withColumn("status", status).drop("_place")
+
+
+def unresolved(found: DataFrame, decided: DataFrame) -> DataFrame:
+    """The issues without an approved proposal."""
+    return found.join(decided.where("status = 'approved'").select("issue_id"), "issue_id", "left_anti").select(*found.columns)
+
+
+def new_issues(before: DataFrame, after: DataFrame, row: str) -> DataFrame:
+    """kind, field, message of the issues of a cleaned table whose kind and field weren't
+    there before; none for a table without rows."""
+    old = issues(before, row).select(F.col("kind").alias("k"), F.col("field").alias("f"))
+    rows = F.broadcast(after.agg(F.count("*").alias("_rows")))
+    fresh = issues(after, row).join(old, (F.col("kind") == F.col("k")) & F.col("field").eqNullSafe(F.col("f")), "left_anti").crossJoin(rows).where("_rows > 0")
+    where = F.when(F.col("field").isNull(), "dataset").otherwise(F.concat(F.lit("'"), "field", F.lit("'")))
+    said = F.concat(F.lit("New issue after cleaning — "), "kind", F.lit(" in "), where, F.lit(": "), "message")
+    return fresh.groupBy("kind", "field").agg(F.min(said).alias("message"))
+
+
+def snapshot(df: DataFrame, row: str) -> DataFrame:
+    """row_count, column_count, duplicate_rows, missing (in all columns)."""
+    columns = _data_columns(df, row)
+    gaps = df.agg(sum((F.count_if(q(c).isNull()) for c in columns), F.lit(0)).cast("long").alias("missing"))
+    return profile.dataset_counts(df.select(*map(q, columns))).crossJoin(gaps)
+
+
+# --- impact -------------------------------------------------------------------
+
+
+def shifts(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """column_name, kind (numeric, categorical, not_computed), n_before, n_after,
+    mean_shift, std_before, std_shift, ks, tvd, added, removed of each column; figures
+    of the other kind are null."""
+    none, names = F.lit(None).cast("double"), F.lit(None).cast("array<string>")
+    found = []
+    for c in columns:
+        kind = before.schema[c].dataType
+        counts = before.agg(F.count(q(c)).alias("n_before")).crossJoin(after.agg(F.count(q(c)).alias("n_after")))
+        if isinstance(kind, T.NumericType):
+            sides = [d.agg(F.coalesce(F.avg(q(c)), F.lit(0.0)).alias(f"m{k}"), F.coalesce(F.stddev_samp(q(c)), F.lit(0.0)).alias(f"s{k}")) for k, d in enumerate((before, after))]
+            one = counts.crossJoin(sides[0]).crossJoin(sides[1]).crossJoin(ks_distance(before, after, c))
+            cells = F.lit("numeric"), F.round(F.col("m1") - F.col("m0"), 4), F.round("s0", 4), F.round(F.col("s1") - F.col("s0"), 4), F.col("ks"), none, names, names
+        else:
+            one = counts.crossJoin(category_shift(before, after, c)).crossJoin(before.agg(F.count_distinct(q(c)).alias("u"), F.count("*").alias("rows")))
+            few = F.lit(isinstance(kind, T.BooleanType)) | (F.lit(isinstance(kind, T.StringType)) & (F.col("u") <= F.greatest(F.lit(20), F.floor(F.col("rows") * 0.2))))
+            cells = F.when(few, "categorical").otherwise("not_computed"), none, none, none, none, F.when(few, F.round("tvd", 4)), F.when(few, F.col("added")), F.when(few, F.col("removed"))
+        found.append(one.select(F.lit(c).alias("column_name"), cells[0].alias("kind"), "n_before", "n_after", *(x.alias(n) for x, n in zip(cells[1:], ("mean_shift", "std_before", "std_shift", "ks", "tvd", "added", "removed")))))
+    return reduce(DataFrame.unionByName, found)
+
+
+def loss_notes(shifted: DataFrame, changes: DataFrame) -> DataFrame:
+    """column_name, note of what cleaning may have lost in the columns it changed: a
+    deviation that moved by more than a tenth, rows that went, shares that shifted."""
+    touched = changes.where("field is not null").select(F.col("field").alias("column_name")).distinct()
+    removed = F.broadcast(changes.agg(F.bool_or(F.col("field").isNull()).alias("_gone")))
+    rows = shifted.join(touched, "column_name").crossJoin(removed)
+    share = F.abs(F.try_divide("std_shift", F.nullif("std_before", F.lit(0.0))))
+    said = lambda *parts: F.concat(F.lit("'"), "column_name", F.lit("': "), *parts)
+    spread = F.when(share > STD_SHIFT, said(F.lit("standard deviation changed by "), F.round(share * 100, 1).cast("string"), F.lit("% after cleaning")))
+    fewer = F.when((F.col("kind") == "numeric") & F.col("_gone") & (F.col("n_after") < F.col("n_before")), said(F.lit("sample size reduced from "), F.col("n_before").cast("string"), F.lit(" to "), F.col("n_after").cast("string"), F.lit(" due to row removal")))
+    moved = F.when(F.col("tvd") > TVD_NOTED, said(F.lit("category distribution shifted with Total Variation Distance "), F.format_string("%.4f", F.col("tvd"))))
+    return rows.select("column_name", F.explode(F.array_compact(F.array(spread, fewer, moved))).alias("note"))
 
 
 def ks_distance(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance, from counts of distinct values."""
+    """Two-sample Kolmogorov-Smirnov distance to four digits, from counts of distinct
+    values; 0 where a side has no values."""
     both = before.select(q(column).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(after.select(q(column).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where("v is not null")
     counted = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    upto, whole = Window.orderBy("v"), Window.partitionBy()
-    share = lambda c: F.sum(c).over(upto) / F.sum(c).over(whole)
-    return counted.select(F.abs(share("a") - share("b")).alias("d")).agg(F.round(F.max("d"), 6).alias("ks"))
+    whole = F.broadcast(counted.agg(F.sum("a").alias("na"), F.sum("b").alias("nb")))
+    d = F.abs(F.try_divide("upto_a", "na") - F.try_divide("upto_b", "nb"))
+    return order.running(counted, "v", "a", "b").crossJoin(whole).agg(F.round(F.coalesce(F.max(d), F.lit(0.0)), 4).alias("ks"))
+
+
+def _shares(df: DataFrame, column: str, name: str) -> DataFrame:
+    counted = df.where(q(column).isNotNull()).groupBy(q(column).cast("string").alias("v")).agg(F.count("*").alias("n"))
+    return counted.crossJoin(F.broadcast(counted.agg(F.sum("n").alias("total")))).select("v", F.try_divide("n", "total").alias(name))
+
+
+def category_shift(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
+    """tvd, and the categories that came and went, in order."""
+    both = _shares(before, column, "p").join(_shares(after, column, "r"), "v", "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    only = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNull(), F.col("v"))))
+    return both.agg(F.coalesce(F.sum(F.abs(zero("p") - zero("r"))) / 2, F.lit(0.0)).alias("tvd"), only("p").alias("added"), only("r").alias("removed"))
 
 
 def total_variation(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
-    share = lambda df, name: df.where(q(column).isNotNull()).groupBy(q(column).alias("v")).agg(F.count("*").alias("n")).select("v", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias(name))
-    both = share(before, "p").join(share(after, "r"), "v", "full_outer").fillna(0.0, ["p", "r"])
-    return both.agg(F.round(F.sum(F.abs(F.col("p") - F.col("r"))) / 2, 6).alias("tvd"), F.count_if(F.col("p") == 0).alias("added"), F.count_if(F.col("r") == 0).alias("removed"))
+    both = _shares(before, column, "p").join(_shares(after, column, "r"), "v", "full_outer").fillna(0.0, ["p", "r"])
+    return both.agg(F.round(F.coalesce(F.sum(F.abs(F.col("p") - F.col("r"))) / 2, F.lit(0.0)), 6).alias("tvd"), F.count_if(F.col("p") == 0).alias("added"), F.count_if(F.col("r") == 0).alias("removed"))
 
 
 def moment_shift(before: DataFrame, after: DataFrame, column: str) -> DataFrame:

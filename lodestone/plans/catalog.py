@@ -119,14 +119,14 @@ register("impute_median", f"SELECT event_id, round(coalesce(value, (SELECT media
 register("impute_mode", f"SELECT event_id, coalesce(event_type, (SELECT event_type FROM {EVENTS} WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS event_type FROM {EVENTS}")(lambda t: cleaning.imputed(_planted(t).select("event_id", "event_type"), "event_type", numeric=False))
 register("changes_log", f"SELECT event_id AS row_id, 'value' AS field, 'impute_missing' AS operation, round((SELECT median(value) FROM {EVENTS}), 6) AS after FROM {EVENTS} WHERE value IS NULL")(lambda t: cleaning.changes(_planted(t), "value", "event_id"))
 register("missingness_effect_size", f"""WITH s AS (SELECT count(CASE WHEN value IS NULL THEN 1 END) n1, count(CASE WHEN value IS NOT NULL THEN 1 END) n2, avg(CASE WHEN value IS NULL THEN user_id END) m1, avg(CASE WHEN value IS NOT NULL THEN user_id END) m2, var_samp(CASE WHEN value IS NULL THEN user_id END) v1, var_samp(CASE WHEN value IS NOT NULL THEN user_id END) v2 FROM {EVENTS})
-SELECT n1, n2, round(least(3.0, abs(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))), 6) AS effect FROM s""")(lambda t: cleaning.missingness_effect(_planted(t), "value", "user_id"))
+SELECT n1, n2, round(least(1.0, abs(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) / 3.0), 6) AS effect FROM s""")(lambda t: cleaning.missingness_effect(_planted(t), "value", "user_id"))
 register("missingness_cramers_v", f"""WITH c AS (SELECT value IS NULL AS a, event_type AS b, count(*) o FROM {EVENTS} WHERE event_type IS NOT NULL GROUP BY 1, 2), m AS (SELECT a, b, o, sum(o) OVER (PARTITION BY a) r, sum(o) OVER (PARTITION BY b) k FROM c)
 SELECT CAST(sum(o) AS BIGINT) AS n, round(sqrt(greatest(sum(CAST(o AS DOUBLE) * o / (CAST(r AS DOUBLE) * k)) - 1, 0) / greatest(1, least(count(DISTINCT a), count(DISTINCT b)) - 1)), 6) AS v FROM m""")(lambda t: relate.cramers_v(_planted(t).withColumn("gone", F.col("value").isNull()), "gone", "event_type"))
 register("entropy_norm", "WITH c AS (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority), p AS (SELECT n / (SELECT sum(n) FROM c) AS p FROM c) SELECT count(*) AS categories, round(-sum(p * ln(p)) / ln(count(*)), 6) AS entropy FROM p")(lambda t: cleaning.entropy(t("orders"), "o_orderpriority"))
-register("imputation_confidence", f"SELECT round(0.30 * count(value) / count(*) + 0.25 * least(1.0, count(value) / 30) + 0.25 / (1 + abs(stddev_samp(value) / avg(value))) + 0.20, 6) AS confidence FROM {EVENTS}")(lambda t: cleaning.imputation_confidence(_planted(t), "value"))
+register("imputation_confidence", f"SELECT round(0.30 * least(0.95, count(value) / count(*)) + 0.25 * least(1.0, count(value) / 30) + 0.25 / (1 + abs(stddev_samp(value) / avg(value))) + 0.20, 6) AS confidence FROM {EVENTS}")(lambda t: cleaning.imputation_confidence(_planted(t), "value"))
 _AFTER = f"(SELECT coalesce(value, (SELECT median(value) FROM {EVENTS})) AS value FROM {EVENTS})"
 register("ks_shift", f"""WITH u AS (SELECT v, sum(a) a, sum(b) b FROM (SELECT value v, 1 a, 0 b FROM {EVENTS} WHERE value IS NOT NULL UNION ALL SELECT value, 0, 1 FROM {_AFTER}) GROUP BY v)
-SELECT round(max(d), 6) AS ks FROM (SELECT abs(sum(a) OVER (ORDER BY v) / (SELECT sum(a) FROM u) - sum(b) OVER (ORDER BY v) / (SELECT sum(b) FROM u)) AS d FROM u)""")(lambda t: cleaning.ks_distance(_planted(t), cleaning.imputed(_planted(t), "value"), "value"))
+SELECT round(max(d), 4) AS ks FROM (SELECT abs(sum(a) OVER (ORDER BY v) / (SELECT sum(a) FROM u) - sum(b) OVER (ORDER BY v) / (SELECT sum(b) FROM u)) AS d FROM u)""")(lambda t: cleaning.ks_distance(_planted(t), cleaning.imputed(_planted(t), "value"), "value"))
 register("moment_shift", f"""SELECT n_before, n_after, round(m2 - m1, 6) AS mean_shift, round((s2 - s1) / s1, 6) AS std_shift FROM (SELECT count(value) n_before, avg(value) m1, stddev_samp(value) s1 FROM {EVENTS}), (SELECT count(value) n_after, avg(value) m2, stddev_samp(value) s2 FROM {_AFTER})""")(
     lambda t: cleaning.moment_shift(_planted(t), cleaning.imputed(_planted(t), "value"), "value"))
 register("tvd_shift", """WITH a AS (SELECT o_orderstatus v, count(*) / (SELECT count(*) FROM orders) p FROM orders GROUP BY 1), b AS (SELECT o_orderstatus v, count(*) / (SELECT count(*) FROM orders WHERE o_totalprice > 100000) r FROM orders WHERE o_totalprice > 100000 GROUP BY 1)
@@ -217,3 +217,5 @@ register("cv_metrics", "SELECT round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e *
 register("hash_dedupe", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")(lambda t: t("documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
 register("reconcile", "SELECT coalesce(c.c_nationkey, s.s_nationkey) AS nationkey, CASE WHEN c.c_nationkey IS NULL THEN 'orphan' WHEN s.s_nationkey IS NULL THEN 'missing' ELSE 'ok' END AS state FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN (SELECT DISTINCT s_nationkey FROM supplier) s ON c_nationkey = s_nationkey")(
     lambda t: t("customer").select("c_nationkey").distinct().join(t("supplier").select("s_nationkey").distinct(), F.col("c_nationkey") == F.col("s_nationkey"), "full_outer").select(F.coalesce("c_nationkey", "s_nationkey").alias("nationkey"), F.when(F.col("c_nationkey").isNull(), "orphan").when(F.col("s_nationkey").isNull(), "missing").otherwise("ok").alias("state")))
+
+from . import cleaning_queries  # noqa: E402, F401  they register themselves
