@@ -16,29 +16,100 @@ def paragraphs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, section, content: the parts under ``SECTION:`` lines; what comes before
-    the first is the introduction."""
-    parts = F.split(F.concat(F.lit("SECTION: introduction\n"), F.col(text)), r"(?m)^SECTION:")
-    one = df.select(key, F.posexplode(parts).alias("position", "part")).where("position > 0")
-    name = F.lower(F.trim(F.substring_index("part", "\n", 1)))
-    body = F.trim(F.regexp_replace(F.expr("CASE WHEN instr(part, '\\n') > 0 THEN substring(part, instr(part, '\\n') + 1) ELSE '' END"), r"\s+", " "))
-    return one.select(key, F.col("position").cast("long").alias("position"), F.left(name, F.lit(40)).alias("section"), body.alias("content")).where("content <> ''")
+    """key, position, section, content of ``split_sections``."""
+    return df.select(key, F.posexplode(split_sections(F.col(text))).alias("position", "s")).select(key, F.col("position").cast("long").alias("position"), "s.section", "s.content")
+
+
+# --- documents to chunks --------------------------------------------------------
+
+# Headings without evidence, known headings, and how headings look.
+JUNK_HEADINGS = ("references", "citations", "sources", "bibliography", "further reading", "see also", "notes", "acknowledgements", "acknowledgments", "appendix")
+SECTION_LINE = r"(?im)^SECTION:\s*(.+?)\s*$"
+KNOWN_HEADING = r"(?i)^(?:overview|key mechanisms|advantages|limitations|references|scenario\s*\d+|effect on T(?:s|m|m-Ts))(?:\s*[\(:-].*)?$"
+
+
+def _heading(line: Column) -> Column:
+    """Whether a trimmed line is a heading: marked down, in capitals and short, or known."""
+    capitals = line.rlike("^[A-Z][A-Z0-9 \\-/]{3,}$") & (F.length(line) <= 48) & (F.size(F.split(line, " +")) <= 5)
+    return line.rlike(r"^#{1,4}\s+\S.+$") | capitals | line.rlike(KNOWN_HEADING)
+
+
+def split_sections(text: Column) -> Column:
+    """The sections of a text, array of (section, content).  ``SECTION:`` lines name
+    them; without any, headings do, cut to 40 characters; without these, each paragraph
+    is a body.  What comes before the first is the introduction.  White space
+    collapses; empty sections and those without evidence go."""
+    squeezed = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    line = lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " "))
+    label = lambda x: F.left(F.regexp_replace(F.lower(line(x)), "^[# ]+", ""), F.lit(40))
+    by_name = F.regexp_replace(text, SECTION_LINE, "\u0001$1\u0002")
+    by_heading = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(_heading(line(x)), F.concat(F.lit("\u0001"), label(x), F.lit("\u0002"))).otherwise(x)), "\n")
+    marked = F.when(text.rlike(SECTION_LINE), by_name).otherwise(by_heading)
+    part = lambda x, i: F.when(i == 0, F.struct(F.lit("introduction").alias("section"), squeezed(x).alias("content"))).otherwise(F.struct(F.lower(F.trim(F.substring_index(x, "\u0002", 1))).alias("section"), squeezed(F.substring_index(x, "\u0002", -1)).alias("content")))
+    named = F.transform(F.split(marked, "\u0001"), part)
+    plain = F.transform(F.split(text, r"\n\s*\n"), lambda x: F.struct(F.lit("body").alias("section"), squeezed(x).alias("content")))
+    junk = lambda s: F.exists(F.array(*map(F.lit, JUNK_HEADINGS)), lambda j: s.startswith(j))
+    return F.filter(F.when(marked.contains("\u0001"), named).otherwise(plain), lambda s: (s["content"] != "") & ~junk(s["section"]))
+
+
+def _header(text: Column, name: str) -> Column:
+    """The value of the first ``NAME:`` line among the first ten lines, else null."""
+    found = F.filter(F.transform(F.slice(F.split(text, "\r?\n"), 1, 10), lambda x: F.regexp_extract(F.trim(x), rf"(?i)^{name}[:\s]+(.+)$", 1)), lambda x: x != "")
+    return F.lower(F.trim(F.get(found, F.lit(0))))
 
 
 def topic(text: Column, fallback: Column) -> Column:
     """The ``TOPIC:`` of the first ten lines, else the fallback; lower case."""
-    head = F.array_join(F.slice(F.split(text, "\n"), 1, 10), "\n")
-    found = F.trim(F.regexp_extract(head, r"(?im)^TOPIC[: \t]+([^\n]+)", 1))
-    return F.lower(F.when(found != "", found).otherwise(fallback))
+    return F.coalesce(_header(text, "TOPIC"), F.lower(fallback))
+
+
+def role(text: Column, path: Column) -> Column:
+    """reference or experiment_scenario: by the ``ROLE:`` of the first ten lines, else by
+    the path."""
+    said = _header(text, "ROLE")
+    scenario = F.when(said.isNotNull(), said.contains("experiment") | said.contains("scenario")).otherwise(F.coalesce(F.lower(path).contains("experiment"), F.lit(False)))
+    return F.when(scenario, "experiment_scenario").otherwise("reference")
+
+
+def without_headers(text: Column) -> Column:
+    """A text without a ``TOPIC:`` line at its start and a ``ROLE:`` line after it."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?i)\A(?:TOPIC)[:\s]+.+?\n", ""), r"(?i)\A(?:ROLE)[:\s]+.+?\n", "")
+
+
+def embed_text(topic_: Column, section: Column, content: Column) -> Column:
+    return F.concat(F.lit("TOPIC: "), topic_, F.lit("\nSECTION: "), section, F.lit("\n"), content)
+
+
+def chunks(documents: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
+    """source, position, topic, role, section, content, embed_text, chunk_id of all
+    documents.  A chunk's identifier is twelve digits of a hash of what it is."""
+    path = F.col(source)
+    stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+    rows = documents.select(path.alias("source"), topic(F.col(text), stem).alias("topic"), role(F.col(text), path).alias("role"), F.posexplode(split_sections(without_headers(F.col(text)))).alias("position", "s"))
+    full = rows.select("source", F.col("position").cast("long").alias("position"), "topic", "role", "s.section", "s.content").withColumn("embed_text", embed_text(F.col("topic"), F.col("section"), F.col("content")))
+    return full.withColumn("chunk_id", F.left(F.sha1(F.concat_ws("\u0000", "source", F.col("position").cast("string"), "content")), F.lit(12)))
 
 
 def detected_topic(text: Column, vocabulary: dict[str, list[str]]) -> Column:
-    """The only topic with a keyword in the text, else null."""
-    hits = [F.when(F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.array_contains(F.split(F.lower(text), "[^a-z0-9]+"), w)), F.lit(name)) for name, words in vocabulary.items()]
+    """The only topic with a keyword, of one word or more, in the text; else null."""
+    hits = [F.when(F.lower(text).rlike(r"\b(?:" + "|".join(re.escape(w) for w in words) + r")\b"), F.lit(name)) for name, words in vocabulary.items()]
     found = F.array_compact(F.array(*hits))
     return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
+def follow_up(query: Column, before: Column, most: int = 4) -> Column:
+    """A query of at most ``most`` words takes the one before it along."""
+    short = F.size(F.filter(F.split(query, r"\s+"), lambda w: w != "")) <= most
+    return F.when(short & before.isNotNull() & (before != ""), F.concat_ws(" ", before, query)).otherwise(query)
+
+
+def safe_filename(name: Column) -> Column:
+    """The last part of a path, characters that file systems refuse replaced, without
+    dots and spaces at its end; null if nothing is left."""
+    base = F.trim(F.substring_index(F.regexp_replace(name, r"\\", "/"), "/", -1))
+    return F.nullif(F.regexp_replace(F.regexp_replace(base, r'[<>:"/\\|?*\x00-\x1f]', "_"), "[. ]+$", ""), F.lit(""))
+
+
 def numbers(text: Column) -> Column:
     """The numbers of a text, per cent signs kept."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"-?\d+\.?\d*%?"), F.lit(0)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import BOOST, CONTEXT_BUDGET, FAR_DISTANCE, NEAR_DISTANCE, PENALTY
+from ..constants import BOOST, CONTEXT_BUDGET, FAR_DISTANCE, MIN_TOPIC, NEAR_DISTANCE, PENALTY, POOL_FACTOR, TOP_K
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -92,11 +94,97 @@ def reranked(score: Column, preferred: Column, penalised: Column) -> Column:
     return F.when(preferred, score + F.abs(score) * (BOOST - 1)).when(penalised, score + F.abs(score) * (PENALTY - 1)).otherwise(score)
 
 
-def packed(ranked: DataFrame, budget: int = CONTEXT_BUDGET, text: str = "text", rank: str = "rank") -> DataFrame:
-    """The longest prefix of passages within the budget; the first may be cut."""
-    used = F.sum(F.length(text)).over(Window.orderBy(rank))
-    kept = ranked.withColumn("used", used.cast("long"))
-    return kept.where((F.col("used") <= budget) | (F.col(rank) == 1)).withColumn(text, F.substring(text, 1, budget))
+# What a query that asks for an explanation, or for a scenario, looks like.
+EXPLANATORY_WORDS = ("explain", "what is", "what are", "how does", "describe", "define", "overview", "process", "mechanism")
+EXPLANATORY_SECTIONS = ("overview", "definition", "process", "key mechanisms", "mechanism", "production", "microstructure", "blast furnace significance", "key takeaways", "summary", "effect", "effects")
+LOW_VALUE_SECTIONS = ("limitations", "disadvantages", "challenges", "drawbacks")
+SCENARIO_INTENT = r"\b(?:scenario\s*\d*|experiment\b|experimental|burden mix|blend case)\b"
+SCENARIO_POOL = 20
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Null for a vector without length."""
+    return F.try_divide(inner_product(a, b), F.nullif(F.sqrt(inner_product(a, a) * inner_product(b, b)), F.lit(0.0)))
+
+
+def adjusted(query: str, score: Column, section: Column, role: Column) -> Column:
+    """A score as the query's kind would have it: the scenario it names, scenarios at
+    all, sections that explain, sections of little value.  Other queries leave it."""
+    low, section = query.lower(), F.lower(section)
+    named = re.search(r"\bscenario\s*(\d+)\b", low)
+    within = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: section.contains(w))
+    rules = []
+    if named:
+        rules.append((section.contains(f"scenario {named[1]}"), F.when(score >= 0, score * 1.35).otherwise(score * 0.65)))
+        rules.append((role == "experiment_scenario", score * 0.95))
+    elif re.search(SCENARIO_INTENT, low):
+        rules.append((role == "experiment_scenario", score * 1.15))
+    if any(w in low for w in EXPLANATORY_WORDS):
+        rules.append((within(EXPLANATORY_SECTIONS), score + F.abs(score) * (BOOST - 1)))
+        rules.append((within(LOW_VALUE_SECTIONS), score + F.abs(score) * (PENALTY - 1)))
+    out = score
+    for condition, value in reversed(rules):
+        out = F.when(condition, value).otherwise(out)
+    return out
+
+
+def candidates(chunks: DataFrame, query: str, vocabulary: dict[str, list[str]], least: int = MIN_TOPIC) -> DataFrame:
+    """The chunks of the only topic that the query names, and those of scenarios where it
+    asks for one; all chunks where there is no such topic or it has too few."""
+    low = query.lower()
+    topics = [name for name, words in vocabulary.items() if any(re.search(rf"\b{re.escape(w)}\b", low) for w in words)]
+    if len(topics) != 1 or chunks.where(F.col("topic") == topics[0]).limit(least).count() < least:
+        return chunks
+    chosen = F.col("topic") == topics[0]
+    return chunks.where(chosen | (F.col("role") == "experiment_scenario") if re.search(SCENARIO_INTENT, low) else chosen)
+
+
+def search(chunks: DataFrame, query: str, vector: list[float], top_n: int = TOP_K, vocabulary: dict[str, list[str]] | None = None, key: str = "chunk_id") -> DataFrame:
+    """``chunks`` with score and rank: the best ``top_n`` of a pool found by inner product
+    among the query's candidates, re-ranked.  Ties go to the first of the pool."""
+    pool = max(POOL_FACTOR * top_n, SCENARIO_POOL) if re.search(SCENARIO_INTENT, query.lower()) else POOL_FACTOR * top_n
+    score = inner_product(F.col("embedding"), F.array(*(F.lit(float(x)) for x in vector)))
+    best = candidates(chunks, query, vocabulary or {}).withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), key).limit(pool)
+    again = best.withColumn("first", F.col("score")).withColumn("score", F.round(adjusted(query, F.col("score"), F.col("section"), F.col("role")), 9))
+    order = Window.orderBy(F.desc("score"), F.desc("first"), key)  # over the pool
+    return again.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).drop("first")
+
+
+CUT_MARK = "\n[Passage truncated to fit context budget.]"
+
+
+def context(ranked: DataFrame, budget: int = CONTEXT_BUDGET) -> DataFrame:
+    """place, rank, passage: the labelled passages of a context, best ones at both ends,
+    the longest run from the front that the budget holds; a first one that is too long
+    is cut and says so.  ``ranked``, a search's few rows: rank, source, role, section,
+    content."""
+    whole = Window.partitionBy()
+    placed = ranked.withColumn("place", edge_position(F.col("rank"), F.count("*").over(whole)))
+    head = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit(": "), "source", F.lit(" | Role: "), "role", F.lit(" | Section: "), "section", F.lit("]\n"))
+    first = F.col("place") == 1
+    passage = F.concat(F.when(first, "").otherwise("\n\n"), F.col("head"), F.col("content"))
+    sized = placed.withColumn("head", head).withColumn("passage", passage).withColumn("used", F.sum(F.length("passage")).over(Window.orderBy("place")))
+    room = F.lit(budget) - F.length("head") - len(CUT_MARK)
+    cut = first & (F.col("used") > budget) & (room > 0)
+    kept = sized.where((F.col("used") <= budget) | cut)
+    return kept.select("place", "rank", F.when(cut, F.concat("head", F.left("content", room), F.lit(CUT_MARK))).otherwise(F.col("passage")).alias("passage"))
+
+
+def corpus_union(project: DataFrame, catalogued: DataFrame) -> DataFrame:
+    return project.unionByName(catalogued, allowMissingColumns=True)
+
+
+def similar(rows: DataFrame, asked: dict[str, float], k: int, key: str) -> DataFrame:
+    """key, similarity of the ``k`` rows most like the asked one by the cosine of
+    standardised features; incomplete rows are left out.  A constant feature counts 0."""
+    names = list(asked)
+    complete = rows.select(key, *(F.col(f"`{n}`").cast("double").alias(n) for n in names)).na.drop()
+    s = complete.agg(*(f(F.col(f"`{n}`")).alias(f"{p}{i}") for i, n in enumerate(names) for p, f in (("m", F.avg), ("s", F.stddev_pop))))
+    scaled = lambda c, i: (c - F.col(f"m{i}")) / F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}"))
+    both = complete.crossJoin(F.broadcast(s))
+    mine = F.array(*(scaled(F.col(f"`{n}`"), i) for i, n in enumerate(names)))
+    theirs = F.array(*(scaled(F.lit(float(asked[n])), i) for i, n in enumerate(names)))
+    return both.select(key, F.round(F.coalesce(cosine(mine, theirs), F.lit(0.0)), 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
 def edge_position(rank: Column, n: Column) -> Column:

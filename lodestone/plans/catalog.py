@@ -170,16 +170,15 @@ def _metrics_every_50th(t):
 
 register("rerank", "SELECT vec_id, round(CASE WHEN label = 1 THEN s + abs(s) * 0.15 WHEN label = 2 THEN s - abs(s) * 0.25 ELSE s END, 6) AS adjusted FROM (SELECT vec_id, label, list_inner_product(embedding::DOUBLE[], " + _LIST + ") AS s FROM embeddings)")(
     lambda t: t("embeddings").select("vec_id", "label", retrieval.inner_product(F.col("embedding"), F.array(*map(F.lit, _QUERY))).alias("s")).select("vec_id", F.round(retrieval.reranked(F.col("s"), F.col("label") == 1, F.col("label") == 2), 6).alias("adjusted")))
-register("context_pack", "SELECT item_id, rank, used, text FROM (SELECT item_id, rank, CAST(sum(length(text)) OVER (ORDER BY rank) AS BIGINT) AS used, text FROM (SELECT item_id, text, CAST(row_number() OVER (ORDER BY item_id) AS INT) AS rank FROM benchmark)) WHERE used <= 3000 OR rank = 1")(
-    lambda t: retrieval.packed(t("benchmark").select("item_id", "text", F.row_number().over(Window.orderBy("item_id")).alias("rank")), 3000).select("item_id", "rank", "used", "text"))
 register("edge_order", "SELECT item_id, CAST(CASE WHEN item_id % 2 = 0 THEN (item_id + 2) / 2 ELSE 40 - (item_id + 1) / 2 + 1 END AS BIGINT) AS place FROM benchmark WHERE item_id < 40")(lambda t: t("benchmark").where("item_id < 40").select("item_id", retrieval.edge_position(F.col("item_id") + 1, F.lit(40)).alias("place")))
 register("edge_order_all", "SELECT item_id, CAST(CASE WHEN k % 2 = 1 THEN (k + 1) / 2 ELSE n - k / 2 + 1 END AS BIGINT) AS place FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS k, count(*) OVER () AS n FROM benchmark)")(
     lambda t: t("benchmark").select("item_id", F.row_number().over(Window.orderBy("item_id")).alias("k"), F.count("*").over(Window.partitionBy()).alias("n")).select("item_id", retrieval.edge_position(F.col("k"), F.col("n")).alias("place")))
 register("paragraphs", r"WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text || chr(10) || chr(10) || role, '\n[ \t]*\n'), lambda x: trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'))), lambda x: x <> '') AS ps FROM conversations) SELECT conv_id * 1000 + turn AS k, i - 1 AS position, ps[i] AS content FROM p, range(1, CAST(len(ps) + 1 AS BIGINT)) AS t(i)")(
     lambda t: text.paragraphs(t("conversations").selectExpr("conv_id * 1000 + turn AS k", "concat(text, '\n\n', role) AS text"), "k"))
-register("topic_role", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'heat' ELSE lower(source) END AS topic FROM documents")(lambda t: t("documents").select("doc_id", text.topic(F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('TOPIC: Heat\n', text) ELSE text END"), F.col("source")).alias("topic")))
-register("topic_detect", "SELECT item_id, CASE WHEN a AND NOT b THEN 'one' WHEN b AND NOT a THEN 'two' END AS topic FROM (SELECT item_id, list_has_any(w, ['that', 'and']) AS a, list_has_any(w, ['que', 'les', 'der']) AS b FROM (SELECT item_id, string_split_regex(lower(text), '[^a-z0-9]+') AS w FROM benchmark))")(
-    lambda t: t("benchmark").select("item_id", text.detected_topic(F.col("text"), {"one": ["that", "and"], "two": ["que", "les", "der"]}).alias("topic")))
+register("topic_role", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'heat' ELSE lower(source) END AS topic, CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 'experiment_scenario' ELSE 'reference' END AS role FROM documents")(
+    lambda t: t("documents").select("doc_id", "source", F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('TOPIC: Heat\nROLE: Scenario b\n', text) ELSE text END").alias("x"), F.expr("CASE WHEN doc_id % 5 = 0 THEN 'lab/Experiments/a.txt' ELSE 'ref/a.txt' END").alias("path")).select("doc_id", text.topic(F.col("x"), F.col("source")).alias("topic"), text.role(F.col("x"), F.col("path")).alias("role")))
+register("topic_detect", "SELECT item_id, CASE WHEN a AND NOT b THEN 'one' WHEN b AND NOT a THEN 'two' END AS topic FROM (SELECT item_id, regexp_matches(x, '(^|[^a-z0-9_])(of the|and)($|[^a-z0-9_])') AS a, regexp_matches(x, '(^|[^a-z0-9_])(que|les|der)($|[^a-z0-9_])') AS b FROM (SELECT item_id, lower(text) AS x FROM benchmark))")(
+    lambda t: t("benchmark").select("item_id", text.detected_topic(F.col("text"), {"one": ["of the", "and"], "two": ["que", "les", "der"]}).alias("topic")))
 register("number_fidelity", r"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '-?\d+\.?\d*%?'))) AS BIGINT) AS n_numbers FROM documents")(lambda t: t("documents").select("doc_id", F.size(text.numbers(F.col("text"))).cast("long").alias("n_numbers")))
 register("token_overlap", "SELECT conv_id, turn, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS BIGINT) AS n_tokens FROM conversations")(lambda t: t("conversations").select("conv_id", "turn", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens")))
 register("novelty_ratio", "WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM conversations) SELECT a.conv_id, round(coalesce(len(list_filter(b.w, lambda x: NOT list_contains(a.w, x))) / nullif(len(b.w), 0), 0), 6) AS novelty FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1")(
@@ -210,7 +209,6 @@ register("range_warnings", "SELECT p_partkey, CAST((CASE WHEN p_size < 5 OR p_si
     lambda t: t("part").select("p_partkey", F.size(domain.range_warnings({"p_size": (5, 40), "p_retailprice": (950, 1500)})).cast("long").alias("n_warnings")))
 register("condition_regex", "SELECT p_partkey, CAST(p_size % 40 AS DOUBLE) AS co, CAST(p_size % 10 AS DOUBLE) AS h2, CAST(p_size AS DOUBLE) AS s, CAST(100 - p_size AS DOUBLE) AS o FROM part")(
     lambda t: t("part").selectExpr("p_partkey", "concat('CO= ', p_size % 40, '%, H2=', p_size % 10, '% & N2=60%') AS a", "concat('S1-', p_size, '%+O1-', 100 - p_size, '%') AS b").select("p_partkey", domain.gas(F.col("a"), "CO").alias("co"), domain.gas(F.col("a"), "H2").alias("h2"), domain.burden(F.col("b"), "S").alias("s"), domain.burden(F.col("b"), "O").alias("o")))
-register("threshold_anomalies", "SELECT count(CASE WHEN l_discount < 0.03 AND l_quantity > 40 THEN 1 END) AS anomalies FROM lineitem")(lambda t: t("lineitem").agg(F.count_if((F.col("l_discount") < 0.03) & (F.col("l_quantity") > 40)).alias("anomalies")))
 register("regime_group_stats", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS n FROM events GROUP BY 1")(lambda t: t("events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.count("value").alias("n")))
 register("cv_folds_timeseries", "SELECT event_id, greatest(0, 5 - floor((n - k) / floor(n / 6)))::BIGINT AS fold FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS n FROM events)")(lambda t: evaluate.time_folds(t("events"), "event_id"))
 register("cv_metrics", "SELECT round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - avg(e * e) / var_pop(y), 6) AS r2 FROM (SELECT l_extendedprice AS y, l_extendedprice - l_quantity * 1500 AS e FROM lineitem)")(lambda t: evaluate.regression_metrics(t("lineitem").selectExpr("l_extendedprice AS y", "l_quantity * 1500 AS guess"), "y", "guess"))
@@ -218,4 +216,4 @@ register("hash_dedupe", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc
 register("reconcile", "SELECT coalesce(c.c_nationkey, s.s_nationkey) AS nationkey, CASE WHEN c.c_nationkey IS NULL THEN 'orphan' WHEN s.s_nationkey IS NULL THEN 'missing' ELSE 'ok' END AS state FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN (SELECT DISTINCT s_nationkey FROM supplier) s ON c_nationkey = s_nationkey")(
     lambda t: t("customer").select("c_nationkey").distinct().join(t("supplier").select("s_nationkey").distinct(), F.col("c_nationkey") == F.col("s_nationkey"), "full_outer").select(F.coalesce("c_nationkey", "s_nationkey").alias("nationkey"), F.when(F.col("c_nationkey").isNull(), "orphan").when(F.col("s_nationkey").isNull(), "missing").otherwise("ok").alias("state")))
 
-from . import cleaning_queries  # noqa: E402, F401  they register themselves
+from . import cleaning_queries, domain_queries, text_queries  # noqa: E402, F401  they register themselves
