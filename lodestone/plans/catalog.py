@@ -216,4 +216,4 @@ register("hash_dedupe", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc
 register("reconcile", "SELECT coalesce(c.c_nationkey, s.s_nationkey) AS nationkey, CASE WHEN c.c_nationkey IS NULL THEN 'orphan' WHEN s.s_nationkey IS NULL THEN 'missing' ELSE 'ok' END AS state FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN (SELECT DISTINCT s_nationkey FROM supplier) s ON c_nationkey = s_nationkey")(
     lambda t: t("customer").select("c_nationkey").distinct().join(t("supplier").select("s_nationkey").distinct(), F.col("c_nationkey") == F.col("s_nationkey"), "full_outer").select(F.coalesce("c_nationkey", "s_nationkey").alias("nationkey"), F.when(F.col("c_nationkey").isNull(), "orphan").when(F.col("s_nationkey").isNull(), "missing").otherwise("ok").alias("state")))
 
-from . import cleaning_queries, domain_queries, text_queries  # noqa: E402, F401  they register themselves
+from . import analysis_queries, cleaning_queries, domain_queries, text_queries  # noqa: E402, F401  they register themselves
