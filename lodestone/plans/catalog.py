@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domain, text
 from ..operators import cleaning, evaluate, profile, query, relate, retrieval
+from ..sources import catalogue, loaders
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -151,27 +152,18 @@ def _asked(e, which):
     return e.where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("wanted"))
 
 
-@register("retrieval_metrics", """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, c.label = q.label AS relevant, q.label FROM embeddings q, embeddings c WHERE q.vec_id < 20 AND q.vec_id <> c.vec_id),
+@register("retrieval_metrics", """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, c.label = q.label AS relevant, q.label FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), k AS (SELECT query_id, label, rank, relevant FROM r WHERE rank <= 10), n AS (SELECT label, count(*) - 1 AS n FROM embeddings GROUP BY 1),
 g AS (SELECT query_id, sum(CASE WHEN relevant AND rank <= 5 THEN 1 ELSE 0 END) AS hits, min(CASE WHEN relevant THEN rank END) AS first, max(n) AS n FROM k JOIN n USING (label) GROUP BY 1)
 SELECT count(*) AS queries, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(hits / nullif(n, 0)), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM g""")
 def _metrics(t):
-    return _measured(t("embeddings"), _asked(t("embeddings"), "vec_id < 20"), retrieval.top_k_of)
-
-
-@register("retrieval_metrics_every_50th", """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, c.label = q.label AS relevant, q.label FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), k AS (SELECT query_id, label, rank, relevant FROM r WHERE rank <= 10), n AS (SELECT label, count(*) - 1 AS n FROM embeddings GROUP BY 1),
-g AS (SELECT query_id, sum(CASE WHEN relevant AND rank <= 5 THEN 1 ELSE 0 END) AS hits, min(CASE WHEN relevant THEN rank END) AS first, max(n) AS n FROM k JOIN n USING (label) GROUP BY 1)
-SELECT count(*) AS queries, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(hits / nullif(n, 0)), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM g""")
-def _metrics_every_50th(t):
     """The stated query set: every row whose vec_id is divisible by 50, against all rows."""
     return _measured(t("embeddings"), _asked(t("embeddings"), "vec_id % 50 = 0"), retrieval.top_k_in_blocks)
 
 
 register("rerank", "SELECT vec_id, round(CASE WHEN label = 1 THEN s + abs(s) * 0.15 WHEN label = 2 THEN s - abs(s) * 0.25 ELSE s END, 6) AS adjusted FROM (SELECT vec_id, label, list_inner_product(embedding::DOUBLE[], " + _LIST + ") AS s FROM embeddings)")(
     lambda t: t("embeddings").select("vec_id", "label", retrieval.inner_product(F.col("embedding"), F.array(*map(F.lit, _QUERY))).alias("s")).select("vec_id", F.round(retrieval.reranked(F.col("s"), F.col("label") == 1, F.col("label") == 2), 6).alias("adjusted")))
-register("edge_order", "SELECT item_id, CAST(CASE WHEN item_id % 2 = 0 THEN (item_id + 2) / 2 ELSE 40 - (item_id + 1) / 2 + 1 END AS BIGINT) AS place FROM benchmark WHERE item_id < 40")(lambda t: t("benchmark").where("item_id < 40").select("item_id", retrieval.edge_position(F.col("item_id") + 1, F.lit(40)).alias("place")))
-register("edge_order_all", "SELECT item_id, CAST(CASE WHEN k % 2 = 1 THEN (k + 1) / 2 ELSE n - k / 2 + 1 END AS BIGINT) AS place FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS k, count(*) OVER () AS n FROM benchmark)")(
+register("edge_order", "SELECT item_id, CAST(CASE WHEN k % 2 = 1 THEN (k + 1) / 2 ELSE n - k / 2 + 1 END AS BIGINT) AS place FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS k, count(*) OVER () AS n FROM benchmark)")(
     lambda t: t("benchmark").select("item_id", F.row_number().over(Window.orderBy("item_id")).alias("k"), F.count("*").over(Window.partitionBy()).alias("n")).select("item_id", retrieval.edge_position(F.col("k"), F.col("n")).alias("place")))
 register("paragraphs", r"WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text || chr(10) || chr(10) || role, '\n[ \t]*\n'), lambda x: trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'))), lambda x: x <> '') AS ps FROM conversations) SELECT conv_id * 1000 + turn AS k, i - 1 AS position, ps[i] AS content FROM p, range(1, CAST(len(ps) + 1 AS BIGINT)) AS t(i)")(
     lambda t: text.paragraphs(t("conversations").selectExpr("conv_id * 1000 + turn AS k", "concat(text, '\n\n', role) AS text"), "k"))
@@ -179,10 +171,6 @@ register("topic_role", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'heat' ELSE
     lambda t: t("documents").select("doc_id", "source", F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('TOPIC: Heat\nROLE: Scenario b\n', text) ELSE text END").alias("x"), F.expr("CASE WHEN doc_id % 5 = 0 THEN 'lab/Experiments/a.txt' ELSE 'ref/a.txt' END").alias("path")).select("doc_id", text.topic(F.col("x"), F.col("source")).alias("topic"), text.role(F.col("x"), F.col("path")).alias("role")))
 register("topic_detect", "SELECT item_id, CASE WHEN a AND NOT b THEN 'one' WHEN b AND NOT a THEN 'two' END AS topic FROM (SELECT item_id, regexp_matches(x, '(^|[^a-z0-9_])(of the|and)($|[^a-z0-9_])') AS a, regexp_matches(x, '(^|[^a-z0-9_])(que|les|der)($|[^a-z0-9_])') AS b FROM (SELECT item_id, lower(text) AS x FROM benchmark))")(
     lambda t: t("benchmark").select("item_id", text.detected_topic(F.col("text"), {"one": ["of the", "and"], "two": ["que", "les", "der"]}).alias("topic")))
-register("number_fidelity", r"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '-?\d+\.?\d*%?'))) AS BIGINT) AS n_numbers FROM documents")(lambda t: t("documents").select("doc_id", F.size(text.numbers(F.col("text"))).cast("long").alias("n_numbers")))
-register("token_overlap", "SELECT conv_id, turn, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS BIGINT) AS n_tokens FROM conversations")(lambda t: t("conversations").select("conv_id", "turn", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens")))
-register("novelty_ratio", "WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM conversations) SELECT a.conv_id, round(coalesce(len(list_filter(b.w, lambda x: NOT list_contains(a.w, x))) / nullif(len(b.w), 0), 0), 6) AS novelty FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1")(
-    lambda t: t("conversations").where("turn = 0").select("conv_id", F.col("text").alias("a")).join(t("conversations").where("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id").select("conv_id", F.round(text.novelty(F.col("a"), F.col("b")), 6).alias("novelty")))
 
 
 def _turn_pairs(t):
@@ -193,12 +181,12 @@ def _turn_pairs(t):
 
 TURN_PAIRS = "(SELECT * FROM (SELECT conv_id, turn, lag(turn) OVER w AS last, lag(text) OVER w AS before, text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE last IS NOT NULL)"
 _WORDS = "list_distinct(regexp_extract_all(lower({c}), '[a-z]{{4,}}'))"
-register("novelty_ratio_turns", f"SELECT conv_id, turn, round(coalesce(len(list_filter(b, lambda x: NOT list_contains(a, x))) / nullif(len(b), 0), 0), 6) AS novelty FROM (SELECT conv_id, turn, {_WORDS.format(c='before')} AS a, {_WORDS.format(c='text')} AS b FROM {TURN_PAIRS})")(
+register("novelty_ratio", f"SELECT conv_id, turn, round(coalesce(len(list_filter(b, lambda x: NOT list_contains(a, x))) / nullif(len(b), 0), 0), 6) AS novelty FROM (SELECT conv_id, turn, {_WORDS.format(c='before')} AS a, {_WORDS.format(c='text')} AS b FROM {TURN_PAIRS})")(
     lambda t: _turn_pairs(t).select("conv_id", "turn", F.round(text.novelty(F.col("before"), F.col("text")), 6).alias("novelty")))
 _FACTS = r"list_distinct(list_transform(regexp_extract_all({c}, '-?\d+\.?\d*%?'), lambda x: format('{{:g}}', CAST(rtrim(x, '%') AS DOUBLE)) || CASE WHEN suffix(x, '%') THEN '%' ELSE '' END))"
-register("number_fidelity_turns", f"SELECT conv_id, turn, CAST(len(a) AS BIGINT) AS n_facts, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS lost FROM (SELECT conv_id, turn, {_FACTS.format(c='before')} AS a, {_FACTS.format(c='text')} AS b FROM {TURN_PAIRS})")(
+register("number_fidelity", f"SELECT conv_id, turn, CAST(len(a) AS BIGINT) AS n_facts, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS lost FROM (SELECT conv_id, turn, {_FACTS.format(c='before')} AS a, {_FACTS.format(c='text')} AS b FROM {TURN_PAIRS})")(
     lambda t: _turn_pairs(t).select("conv_id", "turn", F.size(text.numeric_facts(F.col("before"))).cast("long").alias("n_facts"), F.array_join(F.array_sort(text.lost_facts(F.col("before"), F.col("text"))), ",").alias("lost")))
-register("token_overlap_turns", f"SELECT conv_id, turn, CAST(len(list_intersect({_WORDS.format(c='before')}, {_WORDS.format(c='text')})) AS BIGINT) AS n_shared FROM {TURN_PAIRS}")(
+register("token_overlap", f"SELECT conv_id, turn, CAST(len(list_intersect({_WORDS.format(c='before')}, {_WORDS.format(c='text')})) AS BIGINT) AS n_shared FROM {TURN_PAIRS}")(
     lambda t: _turn_pairs(t).select("conv_id", "turn", F.size(text.overlap(F.col("before"), F.col("text"))).cast("long").alias("n_shared")))
 
 # --- domain, folds, identity --------------------------------------------------
@@ -212,8 +200,29 @@ register("condition_regex", "SELECT p_partkey, CAST(p_size % 40 AS DOUBLE) AS co
 register("regime_group_stats", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS n FROM events GROUP BY 1")(lambda t: t("events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.count("value").alias("n")))
 register("cv_folds_timeseries", "SELECT event_id, greatest(0, 5 - floor((n - k) / floor(n / 6)))::BIGINT AS fold FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS n FROM events)")(lambda t: evaluate.time_folds(t("events"), "event_id"))
 register("cv_metrics", "SELECT round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - avg(e * e) / var_pop(y), 6) AS r2 FROM (SELECT l_extendedprice AS y, l_extendedprice - l_quantity * 1500 AS e FROM lineitem)")(lambda t: evaluate.regression_metrics(t("lineitem").selectExpr("l_extendedprice AS y", "l_quantity * 1500 AS guess"), "y", "guess"))
-register("hash_dedupe", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")(lambda t: t("documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
-register("reconcile", "SELECT coalesce(c.c_nationkey, s.s_nationkey) AS nationkey, CASE WHEN c.c_nationkey IS NULL THEN 'orphan' WHEN s.s_nationkey IS NULL THEN 'missing' ELSE 'ok' END AS state FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN (SELECT DISTINCT s_nationkey FROM supplier) s ON c_nationkey = s_nationkey")(
-    lambda t: t("customer").select("c_nationkey").distinct().join(t("supplier").select("s_nationkey").distinct(), F.col("c_nationkey") == F.col("s_nationkey"), "full_outer").select(F.coalesce("c_nationkey", "s_nationkey").alias("nationkey"), F.when(F.col("c_nationkey").isNull(), "orphan").when(F.col("s_nationkey").isNull(), "missing").otherwise("ok").alias("state")))
+register("hash_dedupe", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")(lambda t: catalogue.by_content(t("documents"), "doc_id", F.encode("text", "UTF-8")))
+_ENTRIES = "SELECT 'd/' || doc_id AS path, sha256(text) AS content_hash FROM documents WHERE doc_id % 10 <> 0"
+_FILES = "SELECT 'd/' || doc_id AS path, sha256(CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END) AS content_hash FROM documents WHERE doc_id % 10 <> 2"
+
+
+def _entries(t):
+    return t("documents").where("doc_id % 10 <> 0").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), catalogue.content_hash(F.encode("text", "UTF-8")).alias("content_hash"))
+
+
+def _files(t):
+    changed = F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return t("documents").where("doc_id % 10 <> 2").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), catalogue.content_hash(F.encode(changed, "UTF-8")).alias("content_hash"))
+
+
+register("reconcile", f"SELECT coalesce(e.path, f.path) AS path, CASE WHEN f.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'orphan' WHEN e.content_hash <> f.content_hash THEN 'hash_mismatch' ELSE 'ok' END AS state FROM ({_ENTRIES}) e FULL JOIN ({_FILES}) f ON e.path = f.path")(lambda t: catalogue.reconciled(_entries(t), _files(t)))
+register("unreferenced", f"SELECT path AS resource_id, content_hash FROM ({_ENTRIES}) WHERE path NOT IN (SELECT 'd/' || doc_id FROM labels)")(lambda t: catalogue.unreferenced(_entries(t).withColumnRenamed("path", "resource_id"), t("labels").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("resource_id"))))
+_KNOWN = "SELECT CASE WHEN doc_id % 2 = 0 THEN 'table' ELSE 'document' END AS source_type, sha256(text) AS content_hash FROM documents WHERE doc_id % 3 = 0"
+register("find_duplicate", f"WITH k AS ({_KNOWN}), i AS (SELECT doc_id, 'document' AS source_type, sha256(text) AS content_hash FROM documents) SELECT doc_id, source_type, content_hash, CASE WHEN (source_type, content_hash) IN (SELECT (source_type, content_hash) FROM k) THEN 'known' WHEN content_hash IN (SELECT content_hash FROM k) THEN 'type_conflict' ELSE 'new' END AS status, CASE WHEN (source_type, content_hash) IN (SELECT (source_type, content_hash) FROM k) THEN 'use_existing' WHEN content_hash IN (SELECT content_hash FROM k) THEN 'review' ELSE 'register' END AS action FROM i")(
+    lambda t: catalogue.duplicates(t("documents").where("doc_id % 3 = 0").select(F.expr("CASE WHEN doc_id % 2 = 0 THEN 'table' ELSE 'document' END").alias("source_type"), catalogue.content_hash(F.encode("text", "UTF-8")).alias("content_hash")), t("documents").select("doc_id", F.lit("document").alias("source_type"), catalogue.content_hash(F.encode("text", "UTF-8")).alias("content_hash"))))
+register("resource_ids", "SELECT item_id, sha256('document' || chr(0) || text) AS resource_id FROM benchmark")(lambda t: t("benchmark").select("item_id", catalogue.resource_id(F.lit("document"), F.encode("text", "UTF-8")).alias("resource_id")))
+_LOG = "SELECT CAST(user_id AS VARCHAR) AS resource_id, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'registered' WHEN 1 THEN 'normalized' ELSE 'indexed' END AS state FROM events"
+register("source_states", f"SELECT resource_id, arg_max(state, seq) AS before, 'indexed' AS wanted, arg_max(state, seq) = 'normalized' AS allowed FROM ({_LOG}) GROUP BY 1")(
+    lambda t: catalogue.allowed(t("events").selectExpr("CAST(user_id AS STRING) AS resource_id", "event_id AS seq", "CASE event_id % 3 WHEN 0 THEN 'registered' WHEN 1 THEN 'normalized' ELSE 'indexed' END AS state"), t("events").selectExpr("CAST(user_id AS STRING) AS resource_id", "'indexed' AS state").distinct()))
+register("energy_times", "SELECT event_id, ts AS datetime FROM (SELECT event_id, date_trunc('minute', ts) AS ts FROM events)")(lambda t: loaders.with_time(t("events").select("event_id", F.date_format("ts", "dd/MM/yyyy HH:mm").alias("date"))).select("event_id", "datetime"))
 
 from . import analysis_queries, cleaning_queries, domain_queries, text_queries  # noqa: E402, F401  they register themselves

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import functools
+import io
+import json
+import re
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_SOURCE_BYTES = 100 * 1024 * 1024
+BOM = "\ufeff"
 
 
 def check_size(spark: SparkSession, path: str, most: int = MAX_SOURCE_BYTES) -> int:
@@ -18,21 +27,57 @@ def check_size(spark: SparkSession, path: str, most: int = MAX_SOURCE_BYTES) ->
     return row.n
 
 
+def _friendly(read):
+    """A reader whose faults are ValueErrors that a person can read."""
+
+    @functools.wraps(read)
+    def wrapped(spark: SparkSession, path: str, *args, **options):
+        check_size(spark, path)
+        try:
+            return read(spark, path, *args, **options)
+        except (PySparkException, Py4JJavaError) as error:
+            raise ValueError(f"The file can't be read: {str(error).splitlines()[0]}") from error
+
+    return wrapped
+
+
+def _head(spark: SparkSession, path: str, most: int = 1 << 16) -> str:
+    """The start of a file as text; bytes that aren't UTF-8 are an error."""
+    row = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, most).alias("head"), F.is_valid_utf8(F.col("content").cast("string")).alias("valid")).head()
+    if not row.valid:
+        raise ValueError("The file isn't UTF-8.")
+    return bytes(row["head"]).decode("utf-8", "ignore").removeprefix(BOM)
+
+
+@_friendly
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Types are inferred; repeated column names are an error."""
-    head = spark.read.text(path).limit(1).collect()
-    if not head or not head[0].value.strip():
+    """Types are inferred; repeated column names are an error.  Quoted names and values
+    may hold line ends."""
+    head = _head(spark, path)
+    if not head.strip():
         raise ValueError("The file has no header.")
-    import csv
-
-    names = next(csv.reader([head[0].value.lstrip("﻿")]))
+    names = next(csv.reader(io.StringIO(head)))
     if len(set(names)) != len(names):
         raise ValueError("Duplicate column names.")
-    return spark.read.csv(path, header=True, inferSchema=True, mode="FAILFAST")
+    return spark.read.csv(path, header=True, inferSchema=True, mode="FAILFAST", multiLine='"' in head, escape='"')
+
+
+def _flat(pairs: list[tuple[str, object]]) -> dict:
+    found = dict(pairs)
+    if len(found) != len(pairs):
+        raise ValueError("Duplicate keys in a record.")
+    return found
 
 
+@_friendly
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Flat records only."""
+    """Flat records only: an array of objects, or an object on each line.  The first
+    records are looked at for repeated keys, which Spark would merge."""
+    head = _head(spark, path).lstrip()
+    if not lines and not head.startswith("["):
+        raise ValueError("Not an array of records.")
+    for part in re.findall(r"\{[^{}]*\}", head):
+        json.loads(part, object_pairs_hook=_flat)
     df = spark.read.json(path, multiLine=not lines, mode="FAILFAST")
     nested = [f.name for f in df.schema if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
     if nested:
@@ -49,10 +94,16 @@ def _windows_1252(content: Column) -> Column:
     return F.translate(F.decode(content, "ISO-8859-1"), "".join(known), "".join(known.values()))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """source, text of all text files below a folder: UTF-8 with or without a byte
-    order mark, UTF-16 with one, else Windows-1252; empty files go."""
+def read_documents(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """source (the path below the folder), text of all text files there, in order: UTF-8
+    with or without a byte order mark, UTF-16 with one, else Windows-1252.  Empty files
+    go; texts with control characters go too, or are an error if ``strict``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
     head = F.hex(F.substring("content", 1, 2))
-    text = F.when(head.isin("FFFE", "FEFF"), F.decode("content", "UTF-16")).when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), "^﻿", "")).otherwise(_windows_1252(F.col("content")))
-    return files.select(F.substring_index("path", "/", -1).alias("source"), text.alias("text")).where(F.trim("text") != "")
+    text = F.when(head.isin("FFFE", "FEFF"), F.decode("content", "UTF-16")).when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), f"^{BOM}", "")).otherwise(_windows_1252(F.col("content")))
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    rows = files.select(F.substring_index("path", f"/{root}/", -1).alias("source"), text.alias("text")).where(F.trim("text") != "")
+    odd = F.col("text").rlike(r"[\x00-\x08\x0b\x0e-\x1f]")
+    if strict and not (bad := rows.where(odd).select("source").limit(5)).isEmpty():
+        raise ValueError(f"Control characters in: {', '.join(r.source for r in bad.collect())}")
+    return rows.where(~odd).orderBy("source")
