@@ -2,7 +2,16 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again for the next.  All but the last return the columns of
-``documents``.  Null texts: the classifier scores them as empty documents.
+``documents``, whatever these are called, and rows as they were.
+
+Rows are judged by their texts, so rows with equal texts share their fate in the
+first, second and fourth stage, with or without a doc_id.  Null and empty texts: the
+classifier scores an empty document; language identification rejects texts without a
+letter, null among them; near-duplicates never link blank texts; they leak nothing and
+encode to nothing.  Very long texts are read whole, slice by slice.  Repeated rows and
+repeated doc_ids: one row of each group of near-duplicates stays, the one with the
+smallest doc_id, null last (ties: see ``lodestone.llm.chosenpath``).  An empty table
+stays empty.
 """
 
 from __future__ import annotations
