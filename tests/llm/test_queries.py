@@ -415,6 +415,7 @@ def test_lexicon():
 
 
 def test_binomial_tail(spark):
+    from fractions import Fraction
     from math import comb
 
     from pyspark.sql import functions as F
@@ -424,7 +425,7 @@ def test_binomial_tail(spark):
     cases = [(0, 10), (1, 10), (3, 200), (10, 10), (0, 0), (20, 1000), (170, 10_000)]
     got = spark.createDataFrame(cases, "k long, n long").select("k", "n", binomial_tail(F.col("k"), F.col("n"), 0.02).alias("p")).collect()
     for r in got:
-        assert abs(r.p - sum(comb(r.n, j) * 0.02**j * 0.98 ** (r.n - j) for j in range(r.k + 1))) < 1e-9
+        assert abs(r.p - float(Fraction(sum(comb(r.n, j) * 49 ** (r.n - j) for j in range(r.k + 1)), 50**r.n))) < 1e-9
 
 
 def test_risk_rules_use_cutoffs_that_hold(spark):
