@@ -137,7 +137,7 @@ def test_every_50th_row_is_a_query(spark, tmp_path):
         hits.append(sum(x[2] for x in ranked[:5]))
         recall.append(hits[-1] / (sum(x == label for _, _, x in rows) - 1))
         first.append(next((1 / (n + 1) for n, x in enumerate(ranked) if x[2]), 0))
-    assert one(catalog.QUERIES["retrieval_metrics_every_50th"](spark, str(tmp_path))) == {"queries": 7, "hit_rate": round(sum(h > 0 for h in hits) / 7, 6), "recall": round(sum(recall) / 7, 6), "mrr": round(sum(first) / 7, 6)}
+    assert one(catalog.QUERIES["retrieval_metrics"](spark, str(tmp_path))) == {"queries": 7, "hit_rate": round(sum(h > 0 for h in hits) / 7, 6), "recall": round(sum(recall) / 7, 6), "mrr": round(sum(first) / 7, 6)}
 
 
 def test_top_k_in_blocks(spark):
@@ -153,7 +153,7 @@ def test_edge_order_of_all_rows(spark, tmp_path):
     from lodestone.plans import catalog
 
     spark.range(45).selectExpr("id * 3 AS item_id", "'x' AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
-    places = {r.item_id: r.place for r in catalog.QUERIES["edge_order_all"](spark, str(tmp_path)).collect()}
+    places = {r.item_id: r.place for r in catalog.QUERIES["edge_order"](spark, str(tmp_path)).collect()}
     assert sorted(places.values()) == list(range(1, 46)) and [places[k] for k in (0, 3, 6, 126, 129, 132)] == [1, 45, 2, 22, 24, 23]
 
 
@@ -172,17 +172,17 @@ def _told(spark, folder, name, *columns):
 
 
 def test_every_turn_has_a_novelty(spark, turns):
-    assert _told(spark, turns, "novelty_ratio_turns", "novelty") == {(1, 1): (0.25,), (1, 3): (0.25,), (3, 6): (0.0,)}
+    assert _told(spark, turns, "novelty_ratio", "novelty") == {(1, 1): (0.25,), (1, 3): (0.25,), (3, 6): (0.0,)}
 
 
-def test_reconcile_whole_customers(spark, tmp_path):
-    from lodestone.plans import catalog
+def test_reconciled(spark):
+    from lodestone.sources import catalogue
 
-    spark.createDataFrame([(1, 10), (2, 11), (3, 12)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
-    spark.createDataFrame([(1, 10), (2, 12), (3, 13)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
-    assert {r.nationkey: r.state for r in catalog.QUERIES["reconcile"](spark, str(tmp_path)).collect()} == {10: "ok", 11: "missing", 12: "ok", 13: "orphan"}
+    entries = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, content_hash string")
+    files = spark.createDataFrame([("a", "1"), ("c", "4"), ("d", "5")], "path string, content_hash string")
+    assert {r.path: r.state for r in catalogue.reconciled(entries, files).collect()} == {"a": "ok", "b": "missing", "c": "hash_mismatch", "d": "orphan"}
 
 
 def test_numbers_and_tokens_of_turn_pairs(spark, turns):
-    assert _told(spark, turns, "number_fidelity_turns", "n_facts", "lost") == {(1, 1): (2, "5%"), (1, 3): (1, "4"), (3, 6): (1, "")}
-    assert _told(spark, turns, "token_overlap_turns", "n_shared") == {(1, 1): (3,), (1, 3): (3,), (3, 6): (2,)}
+    assert _told(spark, turns, "number_fidelity", "n_facts", "lost") == {(1, 1): (2, "5%"), (1, 3): (1, "4"), (3, 6): (1, "")}
+    assert _told(spark, turns, "token_overlap", "n_shared") == {(1, 1): (3,), (1, 3): (3,), (3, 6): (2,)}
