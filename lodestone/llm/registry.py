@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, riskrules
+from . import audit, infilling, licenses, riskrules, spotsigs
 from .bytecnn import byte_cnn_quality
 from .centroids import centroid_langid
 from .chosenpath import chosen_path_neardup
@@ -23,6 +23,15 @@ QUERIES = {
     "op8_balanced_propagation": balanced_propagation,
     "op9_centroid_langid": centroid_langid,
     "op10_string_tiling": string_tiling,
+    "op11_fill_in_middle": infilling.fill_in_middle_query,
+    "op12_filter_interactions": audit.filter_interactions,
+    "op13_spot_signatures": spotsigs.spot_signatures,
 }
 
-SQL = {"op1_risk_controlled_rules": riskrules.SQL, "op3_license_scan": licenses.SQL}
+SQL = {
+    "op1_risk_controlled_rules": riskrules.SQL,
+    "op3_license_scan": licenses.SQL,
+    "op11_fill_in_middle": infilling.SQL,
+    "op12_filter_interactions": audit.SQL,
+    "op13_spot_signatures": spotsigs.SQL,
+}
