@@ -42,37 +42,44 @@ LETTERS = "ABCDE"
 MASKS = 1 << len(LETTERS)
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 100, 80, 10
 SYMBOLS = "[#$%&*|]"
-#: Rows of one key are dealt to so many places.
-SALTS = 64
+#: Rows of one key are dealt to 2 ** SALT_BITS places.
+SALT_BITS = 6
 KINDS = ("every", "good", "toxic")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the key of (doc_id, text): i, z (whether doc_id is null) and k."""
-    text, z = blank_text(F.col("text")), F.col("doc_id").isNull()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", text.alias("text")).withColumns({"i": F.coalesce("doc_id", F.lit(0).cast("long")), "z": z, "k": F.xxhash64("text", z)})
+    """``docs`` with the key of (doc_id, text): i and k.  i is the doc_id, for null a hash
+    of the text; k has ``62 - SALT_BITS`` bits or more of another hash of both."""
+    text, none = blank_text(F.col("text")), F.col("doc_id").isNull()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", text.alias("text"))
+    return docs.withColumns({"i": F.coalesce("doc_id", F.xxhash64("text", F.lit(1))), "k": F.shiftrightunsigned(F.xxhash64("text", none), SALT_BITS)})
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
-    """i, z, k, m (rows with this key), n (words of the text) and d (distinct words)."""
-    dealt = docs.select("i", "z", "k", (F.monotonically_increasing_id() % SALTS).alias("salt"), "text").repartition("i", "z", "k", "salt")
-    words = dealt.select("i", "z", "k", "salt", F.posexplode(F.split("text", WORD_GAP)).alias("at", "word"))
-    # Splitting leaves empty strings at a text's ends, and has a first element for every text.
-    by_word = words.groupBy("i", "z", "k", "salt", "word").agg(F.count("*").alias("c"), F.count_if(F.col("at") == 0).alias("firsts"))
-    real = F.col("word") != ""
-    by_doc = by_word.groupBy("i", "z", "k", "salt").agg(F.sum(F.when(real, F.col("c")).otherwise(0)).alias("n"), F.count_if(real).alias("d"), F.sum("firsts").alias("m"))
-    return by_doc.groupBy("i", "z", "k").agg(F.max(F.expr("n div m")).alias("n"), F.max("d").alias("d"), F.sum("m").alias("m"))
+    """i, k, n, d: words of all rows with a key, which have the same ones, and distinct
+    words."""
+    salted = F.shiftleft("k", SALT_BITS).bitwiseOR(F.monotonically_increasing_id() % (1 << SALT_BITS))
+    dealt = docs.select("i", salted.alias("s"), "text").repartition("i", "s")
+    # Splitting leaves empty strings at a text's ends.
+    words = dealt.select("i", "s", F.explode(F.split("text", WORD_GAP)).alias("word")).where("word <> ''")
+    by_word = words.groupBy("i", "s", "word").agg(F.count("*").alias("c"))
+    by_doc = by_word.groupBy("i", "s").agg(F.sum("c").alias("n"), F.count("*").alias("d"))
+    return by_doc.select("i", F.shiftrightunsigned("s", SALT_BITS).alias("k"), "n", "d")
 
 
 def flagged(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_id, part and mask of every row of ``docs`` (doc_id, text, lang)."""
     docs = keyed(docs)
-    capitals = F.length("text") - F.length(F.regexp_replace("text", "[A-Z]+", ""))
-    flags = docs.select("i", "z", "k", "doc_id", blank_text(F.col("lang")).alias("part"), (100 * capitals > CAPITAL_PERCENT * F.length("text")).alias("capitals"), F.col("text").rlike(SYMBOLS).alias("symbols"), F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("t"))
+    capitals = 100 * F.regexp_count("text", F.lit("[A-Z]")) > CAPITAL_PERCENT * F.length("text")
+    flags = docs.select("i", "k", "doc_id", blank_text(F.col("lang")).alias("part"), capitals.alias("capitals"), F.col("text").rlike(SYMBOLS).alias("symbols"), F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("t"))
     flags = work.table(flags, "flags")
     rows = flags.count()
-    totals = work.table(word_totals(docs), "totals")
-    full = keyed_join(flags, totals, ["i", "z", "k"], "m", rows, outer=True)
+    # How many rows have a key divides the words of all of them.
+    none = F.lit(0).cast("long")
+    both = word_totals(docs).withColumn("m", none).unionByName(flags.select("i", "k", none.alias("n"), none.alias("d"), F.lit(1).cast("long").alias("m")))
+    totals = both.groupBy("i", "k").agg(F.sum("n").alias("n"), F.max("d").alias("d"), F.sum("m").alias("m")).withColumn("n", F.expr("n div m"))
+    totals = work.table(totals, "totals")
+    full = keyed_join(flags, totals, ["i", "k"], "m", rows, outer=True)
     copies = work.table(flags.groupBy("digest", "t").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1"), "copies")
     full = keyed_join(full.select("doc_id", "part", "capitals", "symbols", "n", "d", "digest", "t"), copies, ["digest", "t"], "copies", rows, outer=True)
     n, d = F.coalesce("n", F.lit(0)), F.coalesce("d", F.lit(0))
