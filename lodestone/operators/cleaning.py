@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from ..constants import EFFECT_CAP, IDENTIFIER_NAMES, IQR_FACTOR, MAD_CUT, MAD_SCALE, MIN_GROUP, MIN_STABLE, NUMBER_TEXT, STD_SHIFT, TVD_NOTED
 from . import order, profile
-from .query import q
+from .query import nan_free, q
 
 
+@nan_free
 def duplicates(df: DataFrame, keys: list[str], row: str) -> DataFrame:
     """Rows beyond the first of each set with equal keys, nulls being equal.
 
@@ -26,6 +27,7 @@ def duplicates(df: DataFrame, keys: list[str], row: str) -> DataFrame:
     return df.join(firsts, on).where(q(row) > F.col("_first")).select(*map(q, df.columns))
 
 
+@nan_free
 def conflicting_keys(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs more than once, and how many exact repeats there are."""
     by_key = df.groupBy(q(key).alias("k")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)), F.lit(0)).alias("repeated_key_rows"))
@@ -33,6 +35,7 @@ def conflicting_keys(df: DataFrame, key: str) -> DataFrame:
     return by_key.crossJoin(by_row).withColumn("conflicting", F.col("repeated_key_rows") > F.col("exact_duplicates"))
 
 
+@nan_free
 def fill_value(df: DataFrame, column: str, numeric: bool) -> DataFrame:
     """One row: the median, or the most frequent value (the smallest on ties)."""
     if numeric:
@@ -41,17 +44,20 @@ def fill_value(df: DataFrame, column: str, numeric: bool) -> DataFrame:
     return counted.orderBy(F.desc("n"), "v").limit(1).select(F.col("v").alias("fill"))
 
 
+@nan_free
 def imputed(df: DataFrame, column: str, numeric: bool = True) -> DataFrame:
     joined = df.crossJoin(F.broadcast(fill_value(df, column, numeric)))
     return joined.withColumn(column, F.coalesce(q(column), "fill")).drop("fill")
 
 
+@nan_free
 def changes(df: DataFrame, column: str, key: str, numeric: bool = True) -> DataFrame:
     """The change log of an imputation."""
     joined = df.where(q(column).isNull()).crossJoin(F.broadcast(fill_value(df, column, numeric)))
     return joined.select(q(key).alias("row_id"), F.lit(column).alias("field"), F.lit("impute_missing").alias("operation"), F.round(F.col("fill").cast("double"), 6).alias("after"))
 
 
+@nan_free
 def missingness_effect(df: DataFrame, target: str, other: str) -> DataFrame:
     """n1, n2, effect: how far the means of ``other`` lie apart between rows with and
     without ``target``, in pooled deviations of which ``EFFECT_CAP`` are 1; without
@@ -65,6 +71,7 @@ def missingness_effect(df: DataFrame, target: str, other: str) -> DataFrame:
     return s.select("n1", "n2", F.when(enough, F.round(d, 6)).alias("effect"))
 
 
+@nan_free
 def missingness_table(df: DataFrame, target: str, other: str) -> DataFrame:
     """n1, n2, effect: Cramer's V of a value's being missing and the values of
     ``other``; null where a side is too small or there are fewer than two values."""
@@ -76,6 +83,7 @@ def missingness_table(df: DataFrame, target: str, other: str) -> DataFrame:
     return s.select("n1", "n2", F.when(enough, F.round(v, 6)).alias("effect"))
 
 
+@nan_free
 def missingness_association(df: DataFrame, target: str) -> DataFrame:
     """One row: the strongest association of a column's gaps with another column,
     max_association, associated_column (the first of equals), association_method,
@@ -92,6 +100,7 @@ def missingness_association(df: DataFrame, target: str) -> DataFrame:
     return s.select(F.round(F.coalesce("best.effect", F.lit(0.0)), 4).alias("max_association"), F.col("best.name").alias("associated_column"), F.col("best.method").alias("association_method"), "columns_compared", "columns_skipped")
 
 
+@nan_free
 def entropy(df: DataFrame, column: str) -> DataFrame:
     """Shannon entropy of the value frequencies over its largest value."""
     counted = df.where(q(column).isNotNull()).groupBy(q(column).alias("v")).agg(F.count("*").cast("double").alias("n"))
@@ -101,6 +110,7 @@ def entropy(df: DataFrame, column: str) -> DataFrame:
     return s.select(F.col("k").alias("categories"), F.round(F.when(F.col("k") > 1, h / F.log(F.col("k").cast("double"))).otherwise(0.0), 6).alias("entropy"))
 
 
+@nan_free
 def imputation_confidence(df: DataFrame, column: str, in_frame: bool = False) -> DataFrame:
     """One row, confidence: .30 presence (.95 at most), .25 sample, .25 evenness (of
     numbers by their spread, of others by their entropy), .20 independence of the gaps
@@ -122,6 +132,7 @@ def imputation_confidence(df: DataFrame, column: str, in_frame: bool = False) ->
 # --- outliers -----------------------------------------------------------------
 
 
+@nan_free
 def modified_z(df: DataFrame, column: str) -> DataFrame:
     """``df`` with z (distance from the median in scaled median deviations; null with
     fewer than three values or without spread), q1 and q3."""
@@ -144,6 +155,7 @@ def _agrees() -> Column:
     return F.coalesce(F.col("z") > MAD_CUT, F.lit(False))
 
 
+@nan_free
 def outlier_confidence(df: DataFrame, column: str) -> DataFrame:
     """One row: flagged_count, mean_iqr_distance, mad_flagged_count, agreement_count,
     agreement_rate, confidence (.5 without an outlier)."""
@@ -155,6 +167,7 @@ def outlier_confidence(df: DataFrame, column: str) -> DataFrame:
     return s.withColumn("agreement_rate", F.round(F.coalesce(F.try_divide("agreement_count", "flagged_count"), F.lit(0.0)), 4))
 
 
+@nan_free
 def outlier_details(df: DataFrame, column: str, row: str, most: int = 20) -> DataFrame:
     """row_id, value, distance, z, agrees of the first ``most`` outliers in row order."""
     rows = modified_z(df.select(q(row).alias("row_id"), q(column).alias("value")), "value").withColumn("distance", F.round(_beyond(F.col("value").cast("double")), 4))
@@ -172,6 +185,7 @@ def _of_type(df: DataFrame, row: str, kind) -> list[str]:
     return [f.name for f in df.schema if f.name != row and isinstance(f.dataType, kind)]
 
 
+@nan_free
 def issues(df: DataFrame, row: str) -> DataFrame:
     """issue_id, kind, field, n, message of what may be wrong with a table whose rows
     ``row`` names: repeated rows, identifiers with conflicts, gaps, texts that mix
@@ -201,6 +215,7 @@ def issues(df: DataFrame, row: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+@nan_free
 def proposals(df: DataFrame, row: str, purpose: str | None = None) -> DataFrame:
     """proposal_id, issue_id, action, field, method, number, text (what gaps would be
     filled with), confidence.  With the purpose "unknown" no imputation is proposed;
@@ -225,6 +240,7 @@ def proposals(df: DataFrame, row: str, purpose: str | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, found).join(issues(df, row).select("issue_id"), "issue_id", "left_semi").select(*found[0].columns)
 
 
+@nan_free
 def apply_cleaning(df: DataFrame, row: str, approved: list[str]) -> tuple[DataFrame, DataFrame]:
     """The cleaned table and its change records (proposal_id, issue_id, row_id, field,
     after).  ``df`` itself doesn't change; both are worked out from it."""
@@ -257,6 +273,7 @@ def unresolved(found: DataFrame, decided: DataFrame) -> DataFrame:
     return found.join(decided.where("status = 'approved'").select("issue_id"), "issue_id", "left_anti").select(*found.columns)
 
 
+@nan_free
 def new_issues(before: DataFrame, after: DataFrame, row: str) -> DataFrame:
     """kind, field, message of the issues of a cleaned table whose kind and field weren't
     there before; none for a table without rows."""
@@ -268,6 +285,7 @@ def new_issues(before: DataFrame, after: DataFrame, row: str) -> DataFrame:
     return fresh.groupBy("kind", "field").agg(F.min(said).alias("message"))
 
 
+@nan_free
 def snapshot(df: DataFrame, row: str) -> DataFrame:
     """row_count, column_count, duplicate_rows, missing (in all columns)."""
     columns = _data_columns(df, row)
@@ -278,6 +296,7 @@ def snapshot(df: DataFrame, row: str) -> DataFrame:
 # --- impact -------------------------------------------------------------------
 
 
+@nan_free
 def shifts(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, kind (numeric, categorical, not_computed), n_before, n_after,
     mean_shift, std_before, std_shift, ks, tvd, added, removed of each column; figures
@@ -313,6 +332,7 @@ def loss_notes(shifted: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.select("column_name", F.explode(F.array_compact(F.array(spread, fewer, moved))).alias("note"))
 
 
+@nan_free
 def ks_distance(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance to four digits, from counts of distinct
     values; 0 where a side has no values."""
@@ -328,6 +348,7 @@ def _shares(df: DataFrame, column: str, name: str) -> DataFrame:
     return counted.crossJoin(F.broadcast(counted.agg(F.sum("n").alias("total")))).select("v", F.try_divide("n", "total").alias(name))
 
 
+@nan_free
 def category_shift(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     """tvd, and the categories that came and went, in order."""
     both = _shares(before, column, "p").join(_shares(after, column, "r"), "v", "full_outer")
@@ -336,11 +357,13 @@ def category_shift(before: DataFrame, after: DataFrame, column: str) -> DataFram
     return both.agg(F.coalesce(F.sum(F.abs(zero("p") - zero("r"))) / 2, F.lit(0.0)).alias("tvd"), only("p").alias("added"), only("r").alias("removed"))
 
 
+@nan_free
 def total_variation(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     both = _shares(before, column, "p").join(_shares(after, column, "r"), "v", "full_outer").fillna(0.0, ["p", "r"])
     return both.agg(F.round(F.coalesce(F.sum(F.abs(F.col("p") - F.col("r"))) / 2, F.lit(0.0)), 6).alias("tvd"), F.count_if(F.col("p") == 0).alias("added"), F.count_if(F.col("r") == 0).alias("removed"))
 
 
+@nan_free
 def moment_shift(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     s = lambda df, k: df.agg(F.count(q(column)).alias(f"n_{k}"), F.avg(q(column)).alias(f"m_{k}"), F.stddev_samp(q(column)).alias(f"s_{k}"))
     both = s(before, "before").crossJoin(s(after, "after"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SKEWED, SPARSE
 from . import profile, relate
-from .query import q
+from .query import nan_free, q
 
 FIELDS = "finding_id string, category string, subject string, observation string, method string, state string"
 # Name parts that mean a time or a unit.
@@ -40,6 +40,7 @@ def _percent(c: Column) -> Column:
     return F.format_string("%.0f%%", c * 100)
 
 
+@nan_free
 def attribute_findings(df: DataFrame) -> DataFrame:
     """Gaps, emptiness, candidate roles, outliers, skew, mixed texts, times: by column."""
     kinds = {r.column_name: r.kind for r in profile.column_kinds(df).collect()}
@@ -74,6 +75,7 @@ def attribute_findings(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+@nan_free
 def relationship_findings(df: DataFrame) -> DataFrame:
     """Strong correlations, notable associations, differences between groups' means."""
     kinds = {r.column_name: r.kind for r in profile.column_kinds(df).collect()}
@@ -92,6 +94,7 @@ def relationship_findings(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+@nan_free
 def dataset_findings(df: DataFrame) -> DataFrame:
     """Repeated rows, no rows, no columns."""
     if not df.columns:

@@ -1,22 +1,44 @@
 """Running sums, neighbours and exact percentiles without a task that holds all rows.
 
-Rows are dealt to value ranges whose bounds come from one approximate aggregate;
-windows run within a range, and what the ranges before hold comes from one row per
-range.
+Nothing runs while a plan is built.  For sums and neighbours rows are dealt to ranges of
+their key, windows run within a range, and what the ranges before hold comes from one row
+per range.  Percentiles need no sorting: a sketch brackets each, one aggregate counts what
+lies outside the brackets, and only values inside are looked at one by one.
 """
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Sampled keys for each range.
+SAMPLE = 16
+#: The sketch's accuracy, and how far a bracket reaches beyond a share, in its errors.
+ACCURACY, REACH = 10_000, 4
+
 
 def _ranged(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with ``_range``, the number of the value range that holds its key."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.agg(F.percentile_approx(F.col(key).cast("double"), [k / n for k in range(1, n)] or [0.5], 1000)).head()[0] or []
-    cuts = F.array(*(F.lit(float(b)) for b in sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
-    return df.withColumn("_range", F.size(F.filter(cuts, lambda b: b < F.col(key).cast("double"))))
+    """``df`` with ``_range``, the number of the range that holds its key (null: the first).
+
+    Readers of one result must agree on the ranges however often Spark works them out,
+    so their bounds come from a sample that is always the same: the keys with the smallest
+    hashes.  A key finds its block of bounds, then its place there, so it meets about two
+    roots of the number of ranges."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if ranges < 2:
+        return df.withColumn("_range", F.lit(0))
+    wide = ceil(sqrt(ranges - 1))
+    sample = df.select(F.col(key).alias("_k")).where("_k is not null").orderBy(F.xxhash64("_k"), "_k").limit(SAMPLE * ranges).agg(F.sort_array(F.collect_list("_k")).alias("_s"))
+    bound = lambda i: F.get("_s", F.floor(i * F.size("_s") / ranges).cast("int"))
+    starts = range(1, ranges, wide)
+    blocks = sample.select(F.array(*(F.array(*(bound(F.lit(i)) for i in range(start, min(start + wide, ranges)))) for start in starts)).alias("_blocks"))
+    blocks = blocks.select("_blocks", F.transform("_blocks", lambda b: F.element_at(b, -1)).alias("_ends"))
+    below = lambda bounds: F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(key))), F.lit(0))
+    found = df.crossJoin(F.broadcast(blocks)).withColumn("_full", below(F.col("_ends")))
+    last = F.when(F.col("_full") < len(starts), below(F.get("_blocks", F.col("_full")))).otherwise(0)
+    return found.withColumn("_range", F.col("_full") * wide + last).drop("_blocks", "_ends", "_full")
 
 
 def running(df: DataFrame, key: str, *sums: str) -> DataFrame:
@@ -40,12 +62,37 @@ def previous(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: Column, shares: list[float], weight: Column | None = None) -> DataFrame:
-    """One row: ``p``, the exact percentiles by linear interpolation (nulls without values)."""
-    w = F.lit(1).cast("long") if weight is None else weight
-    counted = df.select(value.cast("double").alias("x"), w.alias("w")).where("x is not null").groupBy("x").agg(F.sum("w").alias("n"))
-    ranked = running(counted, "x", "n").crossJoin(F.broadcast(counted.agg(F.sum("n").alias("total"))))
+    """One row: ``p``, the exact percentiles by linear interpolation (nulls without values).
+
+    1. A sketch gives two cuts for each share, a little below and above it.
+    2. One aggregate counts the rows up to each cut, so the range between cuts that
+       holds a wanted rank is known for certain, whatever the sketch was worth.
+    3. The distinct values of these ranges, about one row in a thousand for each share,
+       are counted and ranked."""
+    w = F.lit(1).cast("long") if weight is None else weight.cast("long")
+    values = df.select(value.cast("double").alias("x"), w.alias("w")).where("x is not null and not isnan(x) and w > 0")
+    reach = REACH / ACCURACY
+    places = sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-reach, reach)})
+    cuts = values.agg(F.percentile_approx("x", places, ACCURACY).alias("cuts"))
+    cut = lambda i: F.get("cuts", F.lit(i))
+    n = len(places)
+    upto = values.crossJoin(F.broadcast(cuts)).agg(
+        F.sum("w").alias("total"), F.first("cuts").alias("cuts"), F.array(*(F.coalesce(F.sum(F.when(F.col("x") <= cut(i), F.col("w"))), F.lit(0).cast("long")) for i in range(n))).alias("upto")
+    )
+    # Each share needs the values at the ranks (from 0) around (total - 1) * share.
     place = lambda s: (F.col("total") - 1) * F.lit(float(s))
-    at = lambda i: F.max(F.when((F.col("upto_n") - F.col("n") <= i) & (i < F.col("upto_n")), F.col("x")))
-    parts = [(at(F.floor(place(s))), at(F.ceil(place(s))), F.max(place(s) - F.floor(place(s)))) for s in shares]
-    row = ranked.agg(*(c.alias(f"{name}{i}") for i, part in enumerate(parts) for name, c in zip("abf", part)))
-    return row.select(F.array(*(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}") for i in range(len(shares)))).alias("p"))
+    side = lambda rank: F.size(F.filter("upto", lambda u: u <= rank))
+    wanted = upto.withColumn("sides", F.array_distinct(F.array(*(side(r(place(s))) for s in shares for r in (F.floor, F.ceil)))))
+    # A value's side: how many cuts lie below it.
+    own = sum(((F.col("x") > cut(i)).cast("int") for i in range(n)), F.lit(0))
+    near = values.crossJoin(F.broadcast(wanted)).withColumn("side", own).where(F.array_contains("sides", F.col("side")))
+    counted = near.groupBy("side", "total", F.coalesce(F.get("upto", F.col("side") - 1), F.lit(0)).alias("base"), "x").agg(F.sum("w").alias("n"))
+    ends = counted.withColumn("end", F.col("base") + F.sum("n").over(Window.partitionBy("side").orderBy("x")))
+    at = lambda rank: F.max(F.when((F.col("end") - F.col("n") <= rank) & (rank < F.col("end")), F.col("x")))
+    row = ends.agg(*(at(r(place(s))).alias(f"{name}{i}") for i, s in enumerate(shares) for name, r in (("low", F.floor), ("high", F.ceil))), F.max("total").alias("total"))
+
+    def between(i: int, s: float) -> Column:
+        low, high = F.col(f"low{i}"), F.col(f"high{i}")
+        return F.when(low == high, low).otherwise(low + (high - low) * (place(s) - F.floor(place(s))))
+
+    return row.select(F.array(*(between(i, s) for i, s in enumerate(shares))).alias("p"))

@@ -12,19 +12,21 @@ from pyspark.sql import types as T
 
 from ..constants import CATEGORICAL_LENGTH, CATEGORICAL_RATIO, GAP_FACTOR, IDENTIFIER_NAMES, IQR_FACTOR, MAD_CUT, MAD_SCALE, NEAR_CONSTANT, NUMBER_TEXT, TARGET_TOKENS, TEMPORAL_SHARE
 from . import order
-from .query import q
+from .query import nan_free, q
 
 QUARTERS = [0.25, 0.5, 0.75]
 #: Readings of a time's text, the first that fits.
 TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "dd MMM yyyy", "MMM dd, yyyy")
 
 
+@nan_free
 def dataset_counts(df: DataFrame) -> DataFrame:
     """Rows, columns, and rows beyond the first of each set of equal rows."""
     grouped = df.groupBy(*map(q, df.columns)).agg(F.count("*").alias("_n"))
     return grouped.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.lit(len(df.columns)).cast("long").alias("column_count"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+@nan_free
 def attribute_counts(df: DataFrame) -> DataFrame:
     """column_name, non_null, missing, missing_rate, unique_count, cardinality.  Each
     column is counted by itself from one row per value."""
@@ -64,6 +66,7 @@ def column_kinds(df: DataFrame) -> DataFrame:
     return found
 
 
+@nan_free
 def roles(df: DataFrame) -> DataFrame:
     """column_name, kind and whether a column may be an identifier, a grouping, a target."""
     name = F.lower(F.trim("column_name"))
@@ -78,6 +81,7 @@ def type_counts(df: DataFrame) -> DataFrame:
     return column_kinds(df).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@nan_free
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Moments and quartiles; skewness and kurtosis adjusted for the sample."""
     c = q(column)
@@ -95,6 +99,7 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+@nan_free
 def outliers(df: DataFrame, column: str) -> DataFrame:
     """Counts beyond the fences and beyond the scaled median absolute deviation."""
     c = q(column).cast("double")
@@ -108,6 +113,7 @@ def outliers(df: DataFrame, column: str) -> DataFrame:
     return both.agg(F.count_if(outside).alias("iqr_outliers"), F.count_if(far).alias("mad_outliers"), F.round(F.first("mad"), 6).alias("mad"))
 
 
+@nan_free
 def value_frequencies(df: DataFrame, column: str, most: int = 20) -> DataFrame:
     counted = df.where(q(column).isNotNull()).groupBy(q(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
     return counted.orderBy(F.desc("n"), "value").limit(most)
@@ -123,6 +129,7 @@ def parse_fraction(df: DataFrame, column: str) -> DataFrame:
     return df.where(q(column).isNotNull()).agg(F.round(F.avg(q(column).rlike(NUMBER_TEXT).cast("double")), 6).alias("numeric_fraction"))
 
 
+@nan_free
 def structure(df: DataFrame) -> DataFrame:
     """Flags and candidate roles of each column."""
     rows = F.col("non_null") + F.col("missing")
@@ -154,6 +161,7 @@ def temporal(df: DataFrame, column: str, row: str) -> DataFrame:
     return whole.select("count", "sufficient", *(F.when(F.col("sufficient"), F.col(c)).alias(c) for c in ("first_s", "last_s", "duplicate_count", "ordered", "median_interval", "gap_count")))
 
 
+@nan_free
 def plain_descriptives(df: DataFrame, columns: list[str], time: str | None = None) -> DataFrame:
     """column_name, mean, std (of the population), min, max, sum, first, last; the last
     two by ``time``."""
@@ -165,6 +173,7 @@ def plain_descriptives(df: DataFrame, columns: list[str], time: str | None = Non
     return row.select(F.explode(parts).alias("p")).select("p.*")
 
 
+@nan_free
 def brief(df: DataFrame, column: str, most: int = 5) -> DataFrame:
     """value, n: the most frequent values, null among them."""
     return df.groupBy(q(column).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(most)

@@ -6,9 +6,13 @@ is an answer with ``success`` false, never an exception.  Data stays lazy.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
+from datetime import date, datetime
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +51,21 @@ def missing_free(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(q(c), F.lit(None).cast(df.schema[c].dataType)) for c in floats}) if floats else df
 
 
+def nan_free(run):
+    """An operator to whose frames ``missing_free`` is applied first."""
+
+    @functools.wraps(run)
+    def wrapped(*args, **named):
+        return run(*(missing_free(a) if isinstance(a, DataFrame) else a for a in args), **named)
+
+    return wrapped
+
+
 def columns(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.dtypes, "column_name string, data_type string")
 
 
+@nan_free
 def statistics(df: DataFrame, column: str | None = None) -> DataFrame:
     if column is None:
         return df.agg(F.count("*").alias("row_count"), F.lit(len(df.columns)).cast("long").alias("column_count"))
@@ -84,8 +99,9 @@ def condition(df: DataFrame, column: str, operator: str, value: Any) -> Column:
 
 
 def _literal(value: Any, kind: T.DataType) -> Column:
-    """Text given for a number is read as one; what can't be is an error.  A truth
-    value equals 1 or 0."""
+    """A value as the column's type has it; text is read, and what can't be is an error.
+    A truth value equals 1 or 0, a whole number keeps all its digits, a time is given
+    as ISO 8601 or as an object."""
     if value is None:
         raise ValueError("No value to compare with")
     if isinstance(kind, T.BooleanType):
@@ -94,22 +110,56 @@ def _literal(value: Any, kind: T.DataType) -> Column:
         if isinstance(value, (bool, int, float)) and value in (0, 1):
             return F.lit(bool(value))
         raise ValueError(f"Not a truth value: {value!r}")
-    if isinstance(kind, T.NumericType) and not isinstance(value, (str, int, float)):
+    if isinstance(kind, T.NumericType):
+        return _number(value, kind)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return _time(value, kind)
+    if isinstance(kind, T.StringType):
+        return F.lit(value if isinstance(value, str) else str(value))
+    raise ValueError(f"Columns of type {kind.simpleString()} can't be compared")
+
+
+def _number(value: Any, kind: T.DataType) -> Column:
+    if not isinstance(value, (str, int, float, Decimal)):
+        raise ValueError(f"Not a number: {value!r}")
+    try:
+        exact = Decimal(value.strip() if isinstance(value, str) else value)
+    except InvalidOperation:
+        raise ValueError(f"Not a number: {value!r}") from None
+    if exact.is_nan():
         raise ValueError(f"Not a number: {value!r}")
-    if isinstance(kind, T.NumericType) and isinstance(value, str):
+    if isinstance(kind, (T.DoubleType, T.FloatType)) or not exact.is_finite():
+        return F.lit(float(exact))
+    whole = exact == exact.to_integral_value()
+    if whole and abs(exact) < 1 << 63:
+        return F.lit(int(exact)).cast("long")
+    # Numbers that no long holds, and fractions beside whole or decimal columns.
+    digits = max(0, -exact.normalize().as_tuple().exponent)
+    if digits <= 18 and abs(exact) < 10**19:
+        return F.lit(str(exact)).cast(T.DecimalType(38, digits))
+    return F.lit(float(exact))
+
+
+def _time(value: Any, kind: T.DataType) -> Column:
+    if isinstance(value, str):
         try:
-            value = float(value)
+            value = datetime.fromisoformat(value.strip())
         except ValueError:
-            raise ValueError(f"Not a number: {value!r}") from None
-    elif isinstance(kind, T.StringType) and not isinstance(value, str):
-        value = str(value)
-    return F.lit(value)
+            raise ValueError(f"Not a date or time: {value!r}") from None
+    if not isinstance(value, date):
+        raise ValueError(f"Not a date or time: {value!r}")
+    # A column of days is compared with a time of day as a time.
+    plain = isinstance(kind, T.DateType) and not (isinstance(value, datetime) and (value.hour or value.minute or value.second or value.microsecond or value.tzinfo))
+    text = value.isoformat()
+    return F.lit(text[:10]).cast("date") if plain else F.lit(text).cast("timestamp" if isinstance(kind, T.DateType) else kind)
 
 
+@nan_free
 def filter_rows(df: DataFrame, column: str, operator: str, value: Any) -> DataFrame:
     return df.where(condition(df, column, operator, value))
 
 
+@nan_free
 def aggregate(df: DataFrame, agg_column: str | None = None, agg_func: str = "mean", group_by: str | None = None) -> DataFrame:
     """Without a group: ``count`` counts rows.  With one: it counts values, rows
     without a key go, and a group of missing values sums to 0."""
@@ -132,10 +182,13 @@ def aggregate(df: DataFrame, agg_column: str | None = None, agg_func: str = "mea
     return groups.agg({"mean": F.avg(c), "sum": F.coalesce(F.sum(c), F.lit(0.0)), "count": F.count(c)}[agg_func].alias("value"))
 
 
+@nan_free
 def top_rows(df: DataFrame, column: str, n: int = 5, ascending: bool = False, *ties: str) -> DataFrame:
     """Missing values come last either way; plans as one top-n, not a sort."""
     if not isinstance(_kind(df, column), T.NumericType):
         raise ValueError(f"Column is not numeric: {column}")
+    if not isinstance(n, int) or isinstance(n, bool) or n < 1:
+        raise ValueError(f"Not a positive whole number of rows: {n!r}")
     c = q(column)
     return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last(), *(q(t) for t in ties)).limit(n)
 
@@ -147,8 +200,8 @@ def query_dataset(datasets: dict[str, DataFrame], dataset_id: str, operation: st
             raise ValueError(f"Unknown dataset: {dataset_id}")
         if operation not in run:
             raise ValueError(f"Unknown operation: {operation}")
-        data = run[operation](missing_free(datasets[dataset_id]), **args)
+        data = run[operation](datasets[dataset_id], **args)
         data.schema  # noqa: B018  resolved here, so that what can't be resolved is an answer
         return QueryResult(dataset_id, operation, True, data, metadata=dict(args))
-    except (ValueError, TypeError, PySparkException) as error:
+    except (ValueError, TypeError, PySparkException, Py4JError) as error:
         return QueryResult(dataset_id, operation, False, error=str(error), metadata=dict(args))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CORRELATION_REPORTED, CRAMER_REPORTED, PEARSON_STRONG
 from . import order
-from .query import q
+from .query import nan_free, q
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -19,6 +19,7 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(a, b), F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0)))
 
 
+@nan_free
 def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """All pairs from one aggregate: left_column, right_column, n, r."""
     pairs = list(combinations(columns, 2))
@@ -27,12 +28,14 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode(parts).alias("p")).select("p.*").where("n >= 3")
 
 
+@nan_free
 def average_ranks(values: DataFrame, column: str) -> DataFrame:
     """value, rank: average ranks from one row per distinct value."""
     counted = values.groupBy(q(column).alias("value")).agg(F.count("*").alias("n"))
     return order.running(counted, "value", "n").select("value", (F.col("upto_n") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
+@nan_free
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """The correlation of average ranks; equal pairs are counted before they join
     their ranks."""
@@ -47,6 +50,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(n.cast("long").alias("n"), F.round(r, 6).alias("rho"))
 
 
+@nan_free
 def relationships(df: DataFrame, columns: list[str], least: float = CORRELATION_REPORTED) -> DataFrame:
     """left_column, right_column, n, pearson, spearman, method of the numeric pairs that
     are strongly related: Pearson where it's strong by itself, else Spearman.  Pairs
@@ -64,6 +68,7 @@ def relationships(df: DataFrame, columns: list[str], least: float = CORRELATION_
     return chosen.where(F.abs(F.when(strong, F.col("pearson")).otherwise(F.col("spearman"))) >= least)
 
 
+@nan_free
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, rows, columns, chi_square, v, expected_min of a table of two columns;
     ``sufficient`` is false with fewer than three rows or two levels.  Empty cells count
@@ -81,6 +86,7 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     return contingency(df, a, b).select("n", "v")
 
 
+@nan_free
 def associations(df: DataFrame, columns: list[str], least: float = CRAMER_REPORTED) -> DataFrame:
     """left_column, right_column and the table's figures of the categorical pairs whose
     Cramer's V is notable."""
@@ -93,6 +99,7 @@ def associations(df: DataFrame, columns: list[str], least: float = CRAMER_REPORT
     return found.where(F.col("sufficient") & (F.col("v") >= least)).drop("sufficient")
 
 
+@nan_free
 def target_correlations(df: DataFrame, target: str, features: list[str], most: int = 3) -> DataFrame:
     """feature, r: the ``most`` largest and smallest correlations with a target."""
     row = df.agg(*(correlation(q(f), q(target)).alias(f"r{i}") for i, f in enumerate(features)))
@@ -102,6 +109,7 @@ def target_correlations(df: DataFrame, target: str, features: list[str], most: i
     return found.select("feature", "r", *(F.row_number().over(w).alias(f"k{i}") for i, w in enumerate(ends))).where((F.col("k0") <= most) | (F.col("k1") <= most)).drop("k0", "k1")
 
 
+@nan_free
 def group_spread(df: DataFrame, category: str, column: str) -> DataFrame:
     """How far the means of the groups (null is one) lie apart."""
     means = df.groupBy(q(category).alias("g")).agg(F.avg(q(column)).alias("m")).where("m is not null")
