@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BOOST, CONTEXT_BUDGET, FAR_DISTANCE, MIN_TOPIC, NEAR_DISTANCE, PENALTY, POOL_FACTOR, TOP_K
+from . import encode
+
+
+def scorable(score: Column) -> Column:
+    """False for null, NaN and the infinities: what vectors of different lengths, or with
+    such entries, give."""
+    return F.coalesce(~F.isnan(score) & (F.abs(score) < F.lit(float("inf"))), F.lit(False))
 
 
 def inner_product(a: Column, b: Column) -> Column:
+    """Null for vectors of different lengths."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
@@ -24,14 +33,14 @@ def top_k(corpus: DataFrame, query: list[float], k: int, vector: str = "embeddin
     """The k rows with the largest inner product; ties go to the smaller key.  The
     query is a literal, so this is one narrow pass and one top-n."""
     score = F.round(inner_product(F.col(vector), F.array(*(F.lit(float(x)) for x in query))), 6)
-    return corpus.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
+    return corpus.select(key, score.alias("score")).where(scorable(F.col("score"))).orderBy(F.desc("score"), key).limit(k)
 
 
 def top_k_of(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, key, score, rank for each row of ``queries`` (query_id, q); a stated
     and small set of queries, all of which every corpus row meets once."""
     score = F.round(inner_product(F.col(vector), F.col("q")), 6)
-    scored = corpus.select(key, vector).crossJoin(F.broadcast(queries)).where(F.col(key) != F.col("query_id")).select("query_id", key, score.alias("score"))
+    scored = corpus.select(key, vector).crossJoin(F.broadcast(queries)).where(F.col(key) != F.col("query_id")).select("query_id", key, score.alias("score")).where(scorable(F.col("score")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -142,9 +151,25 @@ def candidates(chunks: DataFrame, query: str, vocabulary: dict[str, list[str]],
 def search(chunks: DataFrame, query: str, vector: list[float], top_n: int = TOP_K, vocabulary: dict[str, list[str]] | None = None, key: str = "chunk_id") -> DataFrame:
     """``chunks`` with score and rank: the best ``top_n`` of a pool found by inner product
     among the query's candidates, re-ranked.  Ties go to the first of the pool."""
-    pool = max(POOL_FACTOR * top_n, SCENARIO_POOL) if re.search(SCENARIO_INTENT, query.lower()) else POOL_FACTOR * top_n
+    pool = _pool(query, top_n)
     score = inner_product(F.col("embedding"), F.array(*(F.lit(float(x)) for x in vector)))
-    best = candidates(chunks, query, vocabulary or {}).withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), key).limit(pool)
+    scored = candidates(chunks, query, vocabulary or {}).withColumn("score", F.round(score, 6)).where(scorable(F.col("score")))
+    return _best(scored, query, pool, top_n, key)
+
+
+def search_text(chunks: DataFrame, query: str, top_n: int = TOP_K, vocabulary: dict[str, list[str]] | None = None, key: str = "chunk_id", text: str = "embed_text") -> DataFrame:
+    """``search`` from texts alone: vectors are hashed terms (``encode``), so chunks need
+    none and only those that share a term with the query are found."""
+    found = candidates(chunks, query, vocabulary or {})
+    return _best(found.join(encode.scores(found, key, text, query), key), query, _pool(query, top_n), top_n, key)
+
+
+def _pool(query: str, top_n: int) -> int:
+    return max(POOL_FACTOR * top_n, SCENARIO_POOL) if re.search(SCENARIO_INTENT, query.lower()) else POOL_FACTOR * top_n
+
+
+def _best(scored: DataFrame, query: str, pool: int, top_n: int, key: str) -> DataFrame:
+    best = scored.orderBy(F.desc("score"), key).limit(pool)
     again = best.withColumn("first", F.col("score")).withColumn("score", F.round(adjusted(query, F.col("score"), F.col("section"), F.col("role")), 9))
     order = Window.orderBy(F.desc("score"), F.desc("first"), key)  # over the pool
     return again.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).drop("first")
@@ -153,21 +178,20 @@ def search(chunks: DataFrame, query: str, vector: list[float], top_n: int = TOP_
 CUT_MARK = "\n[Passage truncated to fit context budget.]"
 
 
-def context(ranked: DataFrame, budget: int = CONTEXT_BUDGET) -> DataFrame:
-    """place, rank, passage: the labelled passages of a context, best ones at both ends,
-    the longest run from the front that the budget holds; a first one that is too long
-    is cut and says so.  ``ranked``, a search's few rows: rank, source, role, section,
-    content."""
-    whole = Window.partitionBy()
-    placed = ranked.withColumn("place", edge_position(F.col("rank"), F.count("*").over(whole)))
+def context(ranked: DataFrame, budget: int = CONTEXT_BUDGET, by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """by, place, rank, passage, body, keep: the labelled passages of a context, best ones
+    at both ends, the longest run from the front that the budget holds; a first one that
+    is too long is cut and says so.  ``ranked``, a search's few rows, or those of each
+    search in ``by``: rank, source, role, section, content."""
+    placed = ranked.withColumn("place", edge_position(F.col("rank"), F.count("*").over(Window.partitionBy(*by))))
     head = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit(": "), "source", F.lit(" | Role: "), "role", F.lit(" | Section: "), "section", F.lit("]\n"))
     first = F.col("place") == 1
     passage = F.concat(F.when(first, "").otherwise("\n\n"), F.col("head"), F.col("content"))
-    sized = placed.withColumn("head", head).withColumn("passage", passage).withColumn("used", F.sum(F.length("passage")).over(Window.orderBy("place")))
+    sized = placed.withColumn("head", head).withColumn("passage", passage).withColumn("used", F.sum(F.length("passage")).over(Window.partitionBy(*by).orderBy("place")))
     room = F.lit(budget) - F.length("head") - len(CUT_MARK)
     cut = first & (F.col("used") > budget) & (room > 0)
-    kept = sized.where((F.col("used") <= budget) | cut)
-    return kept.select("place", "rank", F.when(cut, F.concat("head", F.left("content", room), F.lit(CUT_MARK))).otherwise(F.col("passage")).alias("passage"))
+    kept = sized.where((F.col("used") <= budget) | cut).withColumn("body", F.when(cut, F.left("content", room)).otherwise(F.col("content")))
+    return kept.select(*by, "place", "rank", F.when(cut, F.concat("head", "body", F.lit(CUT_MARK))).otherwise(F.col("passage")).alias("passage"), "body", *keep)
 
 
 def corpus_union(project: DataFrame, catalogued: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import domain, text
-from ..operators import cleaning, evaluate, profile, query, relate, retrieval
+from ..operators import cleaning, evaluate, learning, profile, query, relate, retrieval
 from ..sources import catalogue, loaders
 
 QUERIES: dict = {}
@@ -197,7 +197,7 @@ register("range_warnings", "SELECT p_partkey, CAST((CASE WHEN p_size < 5 OR p_si
     lambda t: t("part").select("p_partkey", F.size(domain.range_warnings({"p_size": (5, 40), "p_retailprice": (950, 1500)})).cast("long").alias("n_warnings")))
 register("condition_regex", "SELECT p_partkey, CAST(p_size % 40 AS DOUBLE) AS co, CAST(p_size % 10 AS DOUBLE) AS h2, CAST(p_size AS DOUBLE) AS s, CAST(100 - p_size AS DOUBLE) AS o FROM part")(
     lambda t: t("part").selectExpr("p_partkey", "concat('CO= ', p_size % 40, '%, H2=', p_size % 10, '% & N2=60%') AS a", "concat('S1-', p_size, '%+O1-', 100 - p_size, '%') AS b").select("p_partkey", domain.gas(F.col("a"), "CO").alias("co"), domain.gas(F.col("a"), "H2").alias("h2"), domain.burden(F.col("b"), "S").alias("s"), domain.burden(F.col("b"), "O").alias("o")))
-register("regime_group_stats", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS n FROM events GROUP BY 1")(lambda t: t("events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.count("value").alias("n")))
+register("regime_group_stats", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS n FROM events GROUP BY 1")(lambda t: learning.regimes(t("events"), "event_type", "value"))
 register("cv_folds_timeseries", "SELECT event_id, greatest(0, 5 - floor((n - k) / floor(n / 6)))::BIGINT AS fold FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS n FROM events)")(lambda t: evaluate.time_folds(t("events"), "event_id"))
 register("cv_metrics", "SELECT round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - avg(e * e) / var_pop(y), 6) AS r2 FROM (SELECT l_extendedprice AS y, l_extendedprice - l_quantity * 1500 AS e FROM lineitem)")(lambda t: evaluate.regression_metrics(t("lineitem").selectExpr("l_extendedprice AS y", "l_quantity * 1500 AS guess"), "y", "guess"))
 register("hash_dedupe", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")(lambda t: catalogue.by_content(t("documents"), "doc_id", F.encode("text", "UTF-8")))
@@ -225,4 +225,4 @@ register("source_states", f"SELECT resource_id, arg_max(state, seq) AS before, '
     lambda t: catalogue.allowed(t("events").selectExpr("CAST(user_id AS STRING) AS resource_id", "event_id AS seq", "CASE event_id % 3 WHEN 0 THEN 'registered' WHEN 1 THEN 'normalized' ELSE 'indexed' END AS state"), t("events").selectExpr("CAST(user_id AS STRING) AS resource_id", "'indexed' AS state").distinct()))
 register("energy_times", "SELECT event_id, ts AS datetime FROM (SELECT event_id, date_trunc('minute', ts) AS ts FROM events)")(lambda t: loaders.with_time(t("events").select("event_id", F.date_format("ts", "dd/MM/yyyy HH:mm").alias("date"))).select("event_id", "datetime"))
 
-from . import analysis_queries, cleaning_queries, domain_queries, text_queries  # noqa: E402, F401  they register themselves
+from . import analysis_queries, answer_queries, cleaning_queries, domain_queries, learning_queries, text_queries  # noqa: E402, F401  they register themselves

@@ -56,8 +56,8 @@ SELECT p_partkey, round((a * c + b * d) / sqrt((a * a + b * b) * (c * c + d * d)
 _PASSAGE = "'[Source ' || rank || ': bench | Role: reference | Section: body]' || chr(10) || text"
 register("context_pack", f"""WITH r AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS rank, count(*) OVER () AS n FROM benchmark), p AS (SELECT rank, CAST(CASE WHEN rank % 2 = 1 THEN (rank + 1) / 2 ELSE n - rank / 2 + 1 END AS BIGINT) AS place, {_PASSAGE} AS passage FROM r),
 c AS (SELECT place, CAST(rank AS INT) AS rank, CASE WHEN place = 1 THEN '' ELSE chr(10) || chr(10) END || passage AS passage FROM p), u AS (SELECT *, sum(length(passage)) OVER (ORDER BY place) AS used FROM c) SELECT place, rank, passage FROM u WHERE used <= 3000""")(
-    lambda t: retrieval.context(_ranked(t), 3000))
-register("context_pack_cut", f"WITH p AS (SELECT {_PASSAGE} AS passage FROM (SELECT text, 1 AS rank FROM benchmark ORDER BY item_id LIMIT 1)) SELECT CAST(1 AS BIGINT) AS place, 1 AS rank, left(passage, 100 - 43) || chr(10) || '[Passage truncated to fit context budget.]' AS passage FROM p")(lambda t: retrieval.context(_ranked(t), 100))
+    lambda t: retrieval.context(_ranked(t), 3000).drop("body"))
+register("context_pack_cut", f"WITH p AS (SELECT {_PASSAGE} AS passage FROM (SELECT text, 1 AS rank FROM benchmark ORDER BY item_id LIMIT 1)) SELECT CAST(1 AS BIGINT) AS place, 1 AS rank, left(passage, 100 - 43) || chr(10) || '[Passage truncated to fit context budget.]' AS passage FROM p")(lambda t: retrieval.context(_ranked(t), 100).drop("body"))
 
 
 def _ranked(t):
