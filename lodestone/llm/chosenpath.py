@@ -44,7 +44,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, frugal, keyed_join, read_table, text_bytes
+from .common import Workspace, fresh, frugal, keyed_join, read_table, sift, text_bytes
 from .components import connected_components
 
 TREES, DEPTH = 16, 4
@@ -325,9 +325,10 @@ def grouped(spark: SparkSession, docs: DataFrame, n: int, percent: int, work: Wo
     members = keyed_join(weighed, sized.select("grp", blocks.alias("blocks"), "m"), ["grp"], "m", weighed.count()).drop("m", "n_shingles")
     members = work.table(members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "groups")
 
-    # Texts of the groups' representatives only.  The join's kind is named, so that the
-    # plan is the same at every size.
-    found = docs.select(*row_keys(), "text").join(members.hint("merge"), ["doc_key", "text_key"])
+    # Texts of the groups' representatives only: others are sifted out where they are read.
+    by = ["doc_key", "text_key"]
+    near, _ = sift(docs.select(*row_keys(), "text"), members, by, work, "member-bits")
+    found = near.join(members, by)
     found = found.groupBy("doc_key", "text_key", "rep", "grp", "blocks", "own").agg(F.first("text").alias("text"))
     texts = work.table(found.drop("doc_key", "text_key"), "texts")
     work.drop("weighed")
@@ -416,7 +417,11 @@ def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     repeated = work.table(judged.where(same & (F.col("copies") > 1)).select("doc_key", "text_key"), "repeated")
     by = [fresh(docs, "doc_key"), fresh(docs, "text_key")]
     keyed = docs.withColumns(dict(zip(by, (F.xxhash64(F.col("doc_id").cast("long")), F.xxhash64("text")))))
-    left = keyed.join(gone.toDF(*by).hint("merge"), by, "left_anti")
+    # Only rows that may have to go move; the others stay where they are read.
+    gone, repeated = gone.toDF(*by), repeated.toDF(*by)
+    near, left = sift(keyed, gone, by, work, "gone-bits")
+    left = left.unionByName(near.join(gone, by, "left_anti"))
     if not repeated.isEmpty():
-        left = left.join(repeated.toDF(*by), by, "left_anti").unionByName(left.join(repeated.toDF(*by), by, "left_semi").dropDuplicates(by))
+        near, others = sift(left, repeated, by, work, "repeated-bits")
+        left = others.unionByName(near.join(repeated, by, "left_anti")).unionByName(near.join(repeated, by, "left_semi").dropDuplicates(by))
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -122,6 +122,26 @@ def keyed_join(left: DataFrame, right: DataFrame, on: list[str], count: str, row
     return joined.select(*left.columns, *(F.col(f"_found.{c}").alias(c) for c in extra))
 
 
+#: Bits for each key of a filter, and the most numbers of 64 bits that it has: 2 ** 20 rows
+#: of two numbers, 16 MB, are broadcast at most, however many keys there are.
+BITS_A_KEY, FILTER_ROWS = 16, 1 << 20
+
+
+def sift(df: DataFrame, keys: DataFrame, on: list[str], work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that may have a key of ``keys`` (all that do are among them),
+    and those that certainly haven't.  Nothing of ``df`` moves: what tells them apart is
+    a filter of bounded size.  With very many keys more and more rows may have one."""
+    rows = min(FILTER_ROWS, 1 << max(4, (keys.count() * BITS_A_KEY // 64).bit_length()))
+    at, one, all_ = (fresh(df, x) for x in ("_place", "_bit", "_bits"))
+    h = F.xxhash64(*on)
+    place, bit = F.pmod(h, F.lit(rows)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+    bits = work.table(keys.select(place.alias(at), bit.alias(one)).groupBy(at).agg(F.bit_or(one).alias(all_)), name)
+    marked = df.withColumns({one: bit, at: place}).join(F.broadcast(bits), at, "left")
+    may = F.coalesce(F.col(all_).bitwiseAND(F.col(one)) != 0, F.lit(False))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return marked.where(may).select(*own), marked.where(~may).select(*own)
+
+
 # --- byte stores --------------------------------------------------------------
 
 
