@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -215,47 +216,101 @@ def issues(df: DataFrame, row: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+# Why something is proposed.
+WHY_REMOVE = "Remove exact duplicate observations while retaining the first row."
+WHY_FLAG = "Statistically unusual values should be investigated before exclusion."
+
+
+def why_impute(column: str, method: str, purpose: str | None = None) -> str:
+    after = f". Purpose: {purpose}." if purpose else "; review whether this is scientifically appropriate."
+    return f"Fill missing '{column}' values with the observed {method}{after}"
+
+
+@nan_free
+def issue_rows(df: DataFrame, row: str) -> DataFrame:
+    """issue_id, row_id: the rows that an issue speaks of, one row for each.  Repeats: the
+    rows beyond the first; identifiers: all rows of a repeated one; gaps; outliers."""
+    columns = _data_columns(df, row)
+    named = lambda frame, issue: frame.select(F.lit(issue).alias("issue_id"), q(row).alias("row_id"))
+    found = [named(duplicates(df, columns, row), "duplicate_rows")]
+    whole = F.broadcast(issues(df, row).select("issue_id"))
+    for c in (c for c in columns if c.lower() in IDENTIFIER_NAMES):
+        repeated = df.groupBy(q(c).alias("_v")).agg(F.count("*").alias("_k")).where("_k > 1")
+        found.append(named(df.join(repeated, q(c).eqNullSafe(F.col("_v")), "left_semi"), f"conflicting_identifier_{c}"))
+    for c in columns:
+        found.append(named(df.where(q(c).isNull()), f"missing_{c}"))
+    for c in _of_type(df, row, T.NumericType):
+        found.append(named(modified_z(df, c).where(_beyond(q(c).cast("double")).isNotNull()), f"unusual:{c}"))
+    return reduce(DataFrame.unionByName, found).join(whole, "issue_id", "left_semi").select("issue_id", "row_id")
+
+
+def outlier_issues(found: DataFrame) -> DataFrame:
+    """issue_id, proposal_id, kind, field, message, method of the findings (of
+    ``findings``) that call a column's values unusual.  The second and further ones of a
+    column get a number behind their ids, in the order of their finding_ids."""
+    named = F.col("finding_id").contains("unusual") | F.col("finding_id").contains("outlier")
+    unusual = found.where(named | F.col("category").isin("distribution", "anomaly"))
+    place = F.row_number().over(Window.partitionBy("subject").orderBy("finding_id")) - 1
+    suffix = F.when(F.col("_nth") == 0, "").otherwise(F.concat(F.lit("_"), F.col("_nth").cast("string")))
+    return unusual.withColumn("_nth", place).select(
+        F.concat("finding_id", suffix).alias("issue_id"), F.concat(F.lit("investigate_"), "subject", F.lit("_outliers"), suffix).alias("proposal_id"), F.lit("statistical_outliers").alias("kind"), F.col("subject").alias("field"), F.col("observation").alias("message"), "method",
+    )
+
+
 @nan_free
-def proposals(df: DataFrame, row: str, purpose: str | None = None) -> DataFrame:
-    """proposal_id, issue_id, action, field, method, number, text (what gaps would be
-    filled with), confidence.  With the purpose "unknown" no imputation is proposed;
-    outliers are only ever flagged; mixed texts are never converted."""
+def proposals(df: DataFrame, row: str, purpose: str | None = None, found_issues: DataFrame | None = None) -> DataFrame:
+    """proposal_id, issue_id, action, field, method, rationale, number, text (what gaps
+    would be filled with), confidence.  With the purpose "unknown" no imputation is
+    proposed; outliers are only ever flagged; mixed texts are never converted.
+    ``found_issues``, of ``issues``, saves working them out again."""
+    seen = issues(df, row) if found_issues is None else found_issues
     data = df.select(*map(q, _data_columns(df, row)))
     none = {"number": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
 
-    def proposal(frame: DataFrame, name: str, issue_id: str, action: str, field: str | None, method: str, **fill: Column) -> DataFrame:
-        plain = {"proposal_id": name, "issue_id": issue_id, "action": action, "field": field, "method": method}
+    def proposal(frame: DataFrame, name: str, issue_id: str, action: str, field: str | None, method: str, why: str, **fill: Column) -> DataFrame:
+        plain = {"proposal_id": name, "issue_id": issue_id, "action": action, "field": field, "method": method, "rationale": why}
         return frame.select(*(F.lit(v).cast("string").alias(k) for k, v in plain.items()), *(v.alias(k) for k, v in (none | fill).items()), "confidence")
 
     sure = df.sparkSession.createDataFrame([(1.0,)], "confidence double")
-    found = [proposal(sure, "remove_duplicate_rows", "duplicate_rows", "remove_duplicates", None, "keep_first")]
+    found = [proposal(sure, "remove_duplicate_rows", "duplicate_rows", "remove_duplicates", None, "keep_first", WHY_REMOVE)]
     for c in data.columns:
         numeric = c in _of_type(df, row, T.NumericType)
         if purpose != "unknown":
             fill = fill_value(data, c, numeric).where("fill is not null").crossJoin(imputation_confidence(data, c, in_frame=True))
             value = {"number": F.round("fill", 6)} if numeric else {"text": F.col("fill").cast("string")}
-            found.append(proposal(fill, f"impute_{c}", f"missing_{c}", "impute_missing", c, "median" if numeric else "mode", **value))
+            how = "median" if numeric else "mode"
+            found.append(proposal(fill, f"impute_{c}", f"missing_{c}", "impute_missing", c, how, why_impute(c, how, purpose), **value))
         if numeric:
-            found.append(proposal(outlier_confidence(data, c), f"investigate_{c}_outliers", f"unusual:{c}", "flag_for_review", c, "flag"))
-    return reduce(DataFrame.unionByName, found).join(issues(df, row).select("issue_id"), "issue_id", "left_semi").select(*found[0].columns)
+            found.append(proposal(outlier_confidence(data, c), f"investigate_{c}_outliers", f"unusual:{c}", "flag_for_review", c, "flag", WHY_FLAG))
+    return reduce(DataFrame.unionByName, found).join(seen.select("issue_id"), "issue_id", "left_semi").select(*found[0].columns)
+
+
+RECORD = ("proposal_id", "issue_id", "row_id", "field", "before", "after", "reason")
 
 
 @nan_free
-def apply_cleaning(df: DataFrame, row: str, approved: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The cleaned table and its change records (proposal_id, issue_id, row_id, field,
-    after).  ``df`` itself doesn't change; both are worked out from it."""
+def apply_cleaning(df: DataFrame, row: str, approved: Sequence[str], purpose: str | None = None, onto: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table and its change records: proposal_id, issue_id, row_id, field,
+    before, after, reason.  A removed row's ``before`` is its JSON; an imputed cell's is
+    null, as it had no value.  Both are worked out from ``df``, which doesn't change;
+    what isn't proposed isn't done, so nothing is imputed for the purpose "unknown".
+    ``onto`` is ``df`` itself, observed, if its rows are counted on the way."""
     columns, numbers = _data_columns(df, row), _of_type(df, row, T.NumericType)
     nothing = F.lit(None).cast("string")
-    record = lambda frame, name, issue_id, field, after: frame.select(F.lit(name).alias("proposal_id"), F.lit(issue_id).alias("issue_id"), q(row).alias("row_id"), field.alias("field"), after.alias("after"))
-    cleaned, records = df, record(df.limit(0), "", "", nothing, nothing)
+
+    def record(frame: DataFrame, name: str, issue_id: str, why: str, field: Column = nothing, before: Column = nothing, after: Column = nothing) -> DataFrame:
+        cells = F.lit(name), F.lit(issue_id), q(row), field, before, after, F.lit(why)
+        return frame.select(*(c.alias(n) for c, n in zip(cells, RECORD)))
+
+    cleaned, records = df if onto is None else onto, record(df.limit(0), "", "", "")
     if "remove_duplicate_rows" in approved:
-        gone = duplicates(df, columns, row).select(q(row))
-        cleaned = cleaned.join(gone, row, "left_anti").select(*map(q, df.columns))
-        records = records.unionByName(record(gone, "remove_duplicate_rows", "duplicate_rows", nothing, nothing))
-    for c in (c for c in columns if f"impute_{c}" in approved):
-        fill = F.broadcast(fill_value(df, c, c in numbers))
+        gone = duplicates(df, columns, row)
+        cleaned = cleaned.join(gone.select(q(row)), row, "left_anti").select(*map(q, df.columns))
+        records = records.unionByName(record(gone, "remove_duplicate_rows", "duplicate_rows", WHY_REMOVE, before=F.to_json(F.struct(*map(q, columns)))))
+    for c in (c for c in columns if f"impute_{c}" in approved and purpose != "unknown"):
+        fill, how = F.broadcast(fill_value(df, c, c in numbers)), "median" if c in numbers else "mode"
         cleaned = cleaned.crossJoin(fill).withColumn(c, F.coalesce(q(c), "fill")).drop("fill")
-        records = records.unionByName(record(df.where(q(c).isNull()).crossJoin(fill), f"impute_{c}", f"missing_{c}", F.lit(c), F.col("fill").cast("string")))
+        records = records.unionByName(record(df.where(q(c).isNull()).crossJoin(fill), f"impute_{c}", f"missing_{c}", why_impute(c, how, purpose), F.lit(c), after=F.col("fill").cast("string")))
     return cleaned, records
 
 
@@ -273,16 +328,21 @@ def unresolved(found: DataFrame, decided: DataFrame) -> DataFrame:
     return found.join(decided.where("status = 'approved'").select("issue_id"), "issue_id", "left_anti").select(*found.columns)
 
 
+def introduced(old: DataFrame, fresh: DataFrame) -> DataFrame:
+    """kind, field, message of the issues whose kind and field weren't there before."""
+    before = old.select(F.col("kind").alias("k"), F.col("field").alias("f"))
+    new = fresh.join(before, (F.col("kind") == F.col("k")) & F.col("field").eqNullSafe(F.col("f")), "left_anti")
+    where = F.when(F.col("field").isNull(), "dataset").otherwise(F.concat(F.lit("'"), "field", F.lit("'")))
+    said = F.concat(F.lit("New issue after cleaning — "), "kind", F.lit(" in "), where, F.lit(": "), "message")
+    return new.groupBy("kind", "field").agg(F.min(said).alias("message"))
+
+
 @nan_free
 def new_issues(before: DataFrame, after: DataFrame, row: str) -> DataFrame:
-    """kind, field, message of the issues of a cleaned table whose kind and field weren't
-    there before; none for a table without rows."""
-    old = issues(before, row).select(F.col("kind").alias("k"), F.col("field").alias("f"))
+    """What ``introduced`` gives for a table and its cleaned form; none for a table without
+    rows."""
     rows = F.broadcast(after.agg(F.count("*").alias("_rows")))
-    fresh = issues(after, row).join(old, (F.col("kind") == F.col("k")) & F.col("field").eqNullSafe(F.col("f")), "left_anti").crossJoin(rows).where("_rows > 0")
-    where = F.when(F.col("field").isNull(), "dataset").otherwise(F.concat(F.lit("'"), "field", F.lit("'")))
-    said = F.concat(F.lit("New issue after cleaning — "), "kind", F.lit(" in "), where, F.lit(": "), "message")
-    return fresh.groupBy("kind", "field").agg(F.min(said).alias("message"))
+    return introduced(issues(before, row), issues(after, row)).crossJoin(rows).where("_rows > 0").drop("_rows")
 
 
 @nan_free
@@ -293,6 +353,13 @@ def snapshot(df: DataFrame, row: str) -> DataFrame:
     return profile.dataset_counts(df.select(*map(q, columns))).crossJoin(gaps)
 
 
+def column_counts(df: DataFrame, row: str) -> list[Column]:
+    """Aggregates for an observation: rows, and the gaps of each column."""
+    kinds = dict(df.dtypes)
+    gap = lambda c: q(c).isNull() | F.isnan(q(c)) if kinds[c] in ("double", "float") else q(c).isNull()
+    return [F.count(F.lit(1)).alias("rows"), *(F.sum(F.when(gap(c), 1).otherwise(0)).alias(f"gaps_{i}") for i, c in enumerate(_data_columns(df, row)))]
+
+
 # --- impact -------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cleaning
+from ..operators import cleaning, controlled
 from .catalog import EVENTS, _planted, _r, register
 
 register("imputation_confidence_text", "WITH c AS (SELECT count(*) AS n FROM " + EVENTS + " WHERE event_type IS NOT NULL GROUP BY event_type), p AS (SELECT n / (SELECT sum(n) FROM c) AS p FROM c), e AS (SELECT round(-sum(p * ln(p)) / ln(count(*)), 6) AS e FROM p) SELECT round(0.30 * least(0.95, count(event_type) / count(*)) + 0.25 * least(1.0, count(event_type) / 30) + 0.25 * (1 - any_value(e)) + 0.20, 6) AS confidence FROM " + EVENTS + ", e")(
@@ -57,11 +57,11 @@ register("cleaning_issues", f"SELECT * FROM {_issues(DIRTY)}")(lambda t: cleanin
 register("cleaning_proposals", f"""SELECT proposal_id, issue_id, action, field, method, CASE WHEN method = 'median' THEN m END AS number, CASE WHEN method = 'mode' THEN s END AS text
 FROM (VALUES ('remove_duplicate_rows', 'duplicate_rows', 'remove_duplicates', NULL, 'keep_first'), ('impute_price', 'missing_price', 'impute_missing', 'price', 'median'), ('impute_state', 'missing_state', 'impute_missing', 'state', 'mode'), ('investigate_price_outliers', 'unusual:price', 'flag_for_review', 'price', 'flag')) AS t(proposal_id, issue_id, action, field, method),
 (SELECT round(median(price), 6) AS m FROM {DIRTY}), (SELECT state AS s FROM {DIRTY} WHERE state IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) WHERE issue_id IN (SELECT issue_id FROM {_issues(DIRTY)})""")(
-    lambda t: cleaning.proposals(_dirty(t), "line").drop("confidence"))
+    lambda t: cleaning.proposals(_dirty(t), "line").drop("confidence", "rationale"))
 register("cleaned_table", f"SELECT line, record_id, round(price, 6) AS price, state FROM {_FILLED}")(lambda t: _r(cleaning.apply_cleaning(_dirty(t), "line", _APPROVED)[0], "price"))
 register("change_records", f"""SELECT 'remove_duplicate_rows' AS proposal_id, 'duplicate_rows' AS issue_id, line AS row_id, NULL AS field FROM (SELECT *, row_number() OVER (PARTITION BY record_id, price, state ORDER BY line) AS k FROM {DIRTY}) WHERE k > 1
 UNION ALL SELECT 'impute_price', 'missing_price', line, 'price' FROM {DIRTY} WHERE price IS NULL UNION ALL SELECT 'impute_state', 'missing_state', line, 'state' FROM {DIRTY} WHERE state IS NULL""")(
-    lambda t: cleaning.apply_cleaning(_dirty(t), "line", _APPROVED)[1].drop("after"))
+    lambda t: cleaning.apply_cleaning(_dirty(t), "line", _APPROVED)[1].select("proposal_id", "issue_id", "row_id", "field"))
 
 
 def _decided(t):
@@ -101,3 +101,55 @@ def _noted(t):
 register("loss_notes", f"""WITH s AS ({_shift_sql(DIRTY, _HALF)}), n AS (SELECT *, chr(39) || column_name || chr(39) || ': ' AS q FROM s) SELECT column_name, q || 'standard deviation changed by ' || round(abs(std_shift / std_before) * 100, 1) || '% after cleaning' AS note FROM n WHERE abs(std_shift / std_before) > 0.1
 UNION ALL SELECT column_name, q || 'sample size reduced from ' || n_before || ' to ' || n_after || ' due to row removal' FROM n WHERE kind = 'numeric' AND n_after < n_before UNION ALL SELECT column_name, q || 'category distribution shifted with Total Variation Distance ' || printf('%.4f', tvd) FROM n WHERE tvd > 0.15""")(_noted)
 register("category_difference", "SELECT ['P'] AS removed, ['X'] AS added FROM orders LIMIT 1")(lambda t: cleaning.category_shift(t("orders"), t("orders").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END")), "o_orderstatus").select("added", "removed"))
+
+# --- whole records, rows of issues, cleaning as one call ----------------------------
+
+_GONE = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id, price, state ORDER BY line) AS k FROM {DIRTY}) WHERE k > 1)"
+_MODE = f"(SELECT state FROM {DIRTY} WHERE state IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+_WHY = {c: cleaning.why_impute(c, m).replace("'", "''") for c, m in (("price", "median"), ("state", "mode"))}
+register("change_records_whole", f"""SELECT 'remove_duplicate_rows' AS proposal_id, 'duplicate_rows' AS issue_id, line AS row_id, NULL AS field, record_id AS before_id, state AS before_state, price AS before_price, NULL AS after_number, NULL AS after_text, '{cleaning.WHY_REMOVE}' AS reason FROM {_GONE}
+UNION ALL SELECT 'impute_price', 'missing_price', line, 'price', NULL, NULL, NULL, (SELECT median(price) FROM {DIRTY}), NULL, '{_WHY['price']}' FROM {DIRTY} WHERE price IS NULL
+UNION ALL SELECT 'impute_state', 'missing_state', line, 'state', NULL, NULL, NULL, NULL, {_MODE}, '{_WHY['state']}' FROM {DIRTY} WHERE state IS NULL""")(
+    lambda t: cleaning.apply_cleaning(_dirty(t), "line", _APPROVED)[1].select(
+        "proposal_id", "issue_id", "row_id", "field", F.get_json_object("before", "$.record_id").cast("long").alias("before_id"), F.get_json_object("before", "$.state").alias("before_state"), F.get_json_object("before", "$.price").cast("double").alias("before_price"),
+        F.when(F.col("field") == "price", F.col("after").cast("double")).alias("after_number"), F.when(F.col("field") == "state", F.col("after")).alias("after_text"), "reason"))
+register("issue_rows", f"""WITH r AS (SELECT 'duplicate_rows' AS issue_id, line AS row_id FROM {_GONE} UNION ALL SELECT 'conflicting_identifier_record_id', line FROM {DIRTY} WHERE record_id IN (SELECT record_id FROM {DIRTY} GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'missing_price', line FROM {DIRTY} WHERE price IS NULL UNION ALL SELECT 'missing_state', line FROM {DIRTY} WHERE state IS NULL
+UNION ALL SELECT 'unusual:price', line FROM {DIRTY}, (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM {DIRTY}) WHERE q3 > q1 AND (price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1)))
+SELECT * FROM r WHERE issue_id IN (SELECT issue_id FROM {_issues(DIRTY)})""")(lambda t: cleaning.issue_rows(_dirty(t), "line"))
+_AGAIN = "SELECT event_id % 3 AS nth, 'c' || event_id % 40 AS subject FROM events GROUP BY 1, 2"
+register("outlier_issues", f"""WITH f AS (SELECT CASE nth WHEN 0 THEN 'outliers_' WHEN 1 THEN 'spread:' ELSE 'unusual:' END || subject AS finding_id, CASE WHEN nth = 1 THEN 'shape' ELSE 'distribution' END AS category, subject, 'seen' AS observation FROM ({_AGAIN})),
+n AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY finding_id) - 1 AS k FROM f WHERE category = 'distribution'), s AS (SELECT *, CASE WHEN k = 0 THEN '' ELSE '_' || k END AS x FROM n)
+SELECT finding_id || x AS issue_id, 'investigate_' || subject || '_outliers' || x AS proposal_id, 'statistical_outliers' AS kind, subject AS field, observation AS message, 'IQR' AS method FROM s""")(
+    lambda t: cleaning.outlier_issues(t("events").selectExpr("event_id % 3 AS nth", "concat('c', event_id % 40) AS subject").distinct().selectExpr("concat(CASE nth WHEN 0 THEN 'outliers_' WHEN 1 THEN 'spread:' ELSE 'unusual:' END, subject) AS finding_id", "CASE WHEN nth = 1 THEN 'shape' ELSE 'distribution' END AS category", "subject", "'seen' AS observation", "'IQR' AS method")))
+
+#: Decisions as people give them, one for each event: the last word of no one counts, approvals win.
+_SPOKEN = {0: "remove_duplicate_rows", 1: "impute_price", 2: "impute_state", 3: "investigate_price_outliers", 4: "unheard"}
+_ACT = "CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'approve' ELSE 'REJECT' END WHEN event_id % 5 = 1 THEN 'DEFER' WHEN event_id % 5 = 2 THEN 'APPROVE' WHEN event_id % 5 = 4 THEN 'REJECT' END"
+_WHO = "CASE event_id % 5 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _SPOKEN.items()) + " END"
+
+
+def _spoken(t):
+    return t("events").selectExpr(f"{_WHO} AS proposal_id", f"{_ACT} AS action").where("action is not null")
+
+
+register("decisions_by_people", f"""SELECT p.*, coalesce(list_extract(['approved', 'rejected', 'deferred'], d.place), 'proposed') AS status FROM (VALUES ('remove_duplicate_rows', 'duplicate_rows'), ('impute_price', 'missing_price'), ('impute_state', 'missing_state'), ('investigate_price_outliers', 'unusual:price')) AS p(proposal_id, issue_id)
+LEFT JOIN (SELECT {_WHO} AS proposal_id, min(list_position(['APPROVE', 'REJECT', 'DEFER'], upper({_ACT}))) AS place FROM events WHERE {_ACT} IS NOT NULL GROUP BY 1) d USING (proposal_id)""")(
+    lambda t: cleaning.statuses(cleaning.proposals(_dirty(t), "line").select("proposal_id", "issue_id"), _spoken(t)))
+
+
+def _cleaned(t):
+    from ..shared import new_folder
+
+    df = _dirty(t)
+    return controlled.report(controlled.clean(df, "line", _spoken(t), new_folder(df.sparkSession, "cleaning")))
+
+
+_HALFWAY = f"""(SELECT line, record_id, price, coalesce(state, {_MODE}) AS state FROM (SELECT *, row_number() OVER (PARTITION BY record_id, price, state ORDER BY line) AS k FROM {DIRTY}) WHERE k = 1)"""
+_SIZES = " UNION ALL ".join(f"SELECT 'missing_{phase}', '{c}', (count(*) - count({c})) || ' of ' || count(*) FROM {table}" for phase, table in (("before", DIRTY), ("after", _HALFWAY)) for c in ("record_id", "price", "state"))
+register("cleaning_call", f"""SELECT section, name, value FROM (VALUES ('proposal', 'remove_duplicate_rows', 'approved'), ('proposal', 'impute_price', 'deferred'), ('proposal', 'impute_state', 'approved'), ('proposal', 'investigate_price_outliers', 'proposed'), ('addressed', '', 'duplicate_rows'), ('addressed', '', 'missing_state'),
+('limitation', '', '{controlled.RECHECKED}'), ('limitation', '', '{controlled.APPROXIMATE}')) AS v(section, name, value)
+UNION ALL SELECT 'unresolved', issue_id, kind FROM {_issues(DIRTY)} WHERE issue_id NOT IN ('duplicate_rows', 'missing_state')
+UNION ALL SELECT 'introduced', '', 'New issue after cleaning — ' || a.kind || ' in ' || CASE WHEN a.field IS NULL THEN 'dataset' ELSE chr(39) || a.field || chr(39) END || ': ' || a.message FROM {_issues(_HALFWAY)} a WHERE NOT EXISTS (SELECT 1 FROM {_issues(DIRTY)} b WHERE b.kind = a.kind AND b.field IS NOT DISTINCT FROM a.field)
+UNION ALL SELECT 'row_count_diff', '', CAST((SELECT count(*) FROM {_HALFWAY}) - (SELECT count(*) FROM {DIRTY}) AS VARCHAR) UNION ALL {_SIZES}
+UNION ALL SELECT 'changes', 'remove_duplicate_rows', CAST(count(*) AS VARCHAR) FROM {_GONE} UNION ALL SELECT 'changes', 'impute_state', CAST(count(*) AS VARCHAR) FROM {DIRTY} WHERE state IS NULL""")(_cleaned)
