@@ -7,7 +7,7 @@ numbers or categories is asked first, one small row per column.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,15 +17,33 @@ from ..constants import SKEWED, SPARSE
 from . import profile, relate
 from .query import nan_free, q
 
-FIELDS = "finding_id string, category string, subject string, observation string, method string, state string"
+FIELDS = "finding_id string, category string, subject string, observation string, method string, state string, subjects array<string>, result map<string,double>, limitations array<string>, assumptions array<string>"
+# What a finding doesn't say, and what it takes for granted.
+NO_ERROR = "Unusualness is not evidence of error."
+REVIEW = "The non-numeric values require domain review before conversion."
+CONFIRM = "Confirm with dataset context."
+GROUPING = "Grouping candidacy is inferred from low cardinality; confirm its meaning."
+TARGET = "Target candidacy is inferred from name/type and is not a causal claim."
+NO_CAUSE = "Association does not establish causation or practical importance."
+DESCRIPTIVE = "This is descriptive and does not establish causation."
+GROUPED = "Observations are grouped by categorical levels."
+DIFFERENT = "Group differences are descriptive and do not establish causation."
+TIMES = "Temporal semantics and sampling intent require confirmation."
 # Name parts that mean a time or a unit.
 TIME_WORDS = ("date", "datetime", "timestamp", "time")
 UNITS = ("kg", "g", "mg", "mm", "cm", "m", "s", "min", "h", "hz", "%")
 
 
-def _row(finding_id: Column, category: str, subject: Column, observation: Column, method: Column | str, state: str) -> Column:
+def _row(finding_id: Column, category: str, subject: Column | Sequence[Column], observation: Column, method: Column | str, state: str, result: dict[str, Column] | None = None, limits: Sequence[str] = (), given: Sequence[str] = ()) -> Column:
+    """A finding; ``subject`` is a column's name, or two, ``result`` its figures."""
     method = F.lit(method) if isinstance(method, str) else method
-    return F.struct(finding_id.alias("finding_id"), F.lit(category).alias("category"), subject.alias("subject"), observation.alias("observation"), method.alias("method"), F.lit(state).alias("state"))
+    subjects = [subject] if isinstance(subject, Column) else list(subject)
+    texts = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    figures = F.create_map(*(x for k, v in (result or {}).items() for x in (F.lit(k), v.cast("double")))).cast("map<string,double>")
+    return F.struct(
+        finding_id.alias("finding_id"), F.lit(category).alias("category"), F.concat_ws(",", *subjects).alias("subject"), observation.alias("observation"), method.alias("method"), F.lit(state).alias("state"),
+        F.array(*subjects).alias("subjects"), figures.alias("result"), texts(limits).alias("limitations"), texts(given).alias("assumptions"),
+    )
 
 
 def _said(*parts) -> Column:
@@ -48,12 +66,12 @@ def attribute_findings(df: DataFrame) -> DataFrame:
     whole = profile.attribute_counts(df).join(profile.roles(df), "column_name")
     found = [_out(
         whole,
-        F.when(F.col("missing") > 0, _row(_said("missing:", name), "quality", name, _said(F.col("missing"), " value(s) are missing."), "missingness_count", "statistical")),
-        F.when(F.col("unique_count") == 0, _row(_said("empty:", name), "quality", name, F.lit("The attribute contains no observed values."), "non_null_count", "observed")),
-        F.when(F.col("missing_rate") >= SPARSE, _row(_said("sparse:", name), "quality", name, _said("Column '", name, "' is sparse with ", _percent(F.col("missing_rate")), " missing values."), "missingness_rate", "observed")),
-        F.when(F.col("candidate_identifier"), _row(_said("role:", name), "structure", name, F.lit("The attribute is a candidate identifier based on uniqueness and naming."), "uniqueness_and_name_heuristic", "inferred")),
-        F.when(F.col("candidate_grouping"), _row(_said("group:", name), "structure", name, _said("Column '", name, "' may define groups for stratified analysis."), "cardinality_heuristic", "inferred")),
-        F.when(F.col("candidate_target"), _row(_said("target:", name), "structure", name, _said("Column '", name, "' may be a target or outcome variable."), "name_heuristic", "inferred")),
+        F.when(F.col("missing") > 0, _row(_said("missing:", name), "quality", name, _said(F.col("missing"), " value(s) are missing."), "missingness_count", "statistical", {"missing_count": F.col("missing"), "missing_rate": F.col("missing_rate")})),
+        F.when(F.col("unique_count") == 0, _row(_said("empty:", name), "quality", name, F.lit("The attribute contains no observed values."), "non_null_count", "observed", {"count": F.lit(0)})),
+        F.when(F.col("missing_rate") >= SPARSE, _row(_said("sparse:", name), "quality", name, _said("Column '", name, "' is sparse with ", _percent(F.col("missing_rate")), " missing values."), "missingness_rate", "observed", {"missing_rate": F.col("missing_rate")})),
+        F.when(F.col("candidate_identifier"), _row(_said("role:", name), "structure", name, F.lit("The attribute is a candidate identifier based on uniqueness and naming."), "uniqueness_and_name_heuristic", "inferred", limits=[CONFIRM])),
+        F.when(F.col("candidate_grouping"), _row(_said("group:", name), "structure", name, _said("Column '", name, "' may define groups for stratified analysis."), "cardinality_heuristic", "inferred", limits=[GROUPING])),
+        F.when(F.col("candidate_target"), _row(_said("target:", name), "structure", name, _said("Column '", name, "' may be a target or outcome variable."), "name_heuristic", "inferred", limits=[TARGET])),
     )]
     for c, kind in kinds.items():
         n = F.lit(c)
@@ -61,17 +79,17 @@ def attribute_findings(df: DataFrame) -> DataFrame:
             shape = profile.outliers(df, c).crossJoin(profile.distribution(df, c).select("skewness"))
             found.append(_out(
                 shape,
-                F.when(F.col("iqr_outliers") > 0, _row(_said("unusual:", n), "distribution", n, _said(F.col("iqr_outliers"), " observation(s) are potentially unusual under the IQR rule."), "IQR_1.5", "statistical")),
-                F.when(F.abs("skewness") >= SKEWED, _row(_said("skew:", n), "shape", n, _said("Column '", n, "' is strongly skewed (skewness ", F.format_string("%.2f", F.col("skewness")), ")."), "sample_skewness", "statistical")),
+                F.when(F.col("iqr_outliers") > 0, _row(_said("unusual:", n), "distribution", n, _said(F.col("iqr_outliers"), " observation(s) are potentially unusual under the IQR rule."), "IQR_1.5", "statistical", {"count": F.col("iqr_outliers"), "mad_count": F.col("mad_outliers")}, [NO_ERROR])),
+                F.when(F.abs("skewness") >= SKEWED, _row(_said("skew:", n), "shape", n, _said("Column '", n, "' is strongly skewed (skewness ", F.format_string("%.2f", F.col("skewness")), ")."), "sample_skewness", "statistical", {"skewness": F.col("skewness")})),
             ))
         elif dict(df.dtypes)[c] == "string":
             share = F.col("numeric_fraction")
-            found.append(_out(profile.parse_fraction(df, c), F.when((share > 0) & (share < 1), _row(_said("mixed_values:", n), "quality", n, _said("Column '", n, "' mixes numeric-like and non-numeric values (", _percent(share), " parse as numbers)."), "numeric_parse_fraction", "observed"))))
+            found.append(_out(profile.parse_fraction(df, c), F.when((share > 0) & (share < 1), _row(_said("mixed_values:", n), "quality", n, _said("Column '", n, "' mixes numeric-like and non-numeric values (", _percent(share), " parse as numbers)."), "numeric_parse_fraction", "observed", {"numeric_parse_fraction": share}, [REVIEW]))))
         if kind == "temporal":
             time = profile.parsed_time(q(c)) if dict(df.dtypes)[c] == "string" else q(c).cast("timestamp")
             span = df.agg(F.min(time).alias("a"), F.max(time).alias("b"), F.count(time).alias("n"))
             said = _said("The attribute has parseable temporal values covering ", F.date_format("a", "yyyy-MM-dd'T'HH:mm:ss"), " to ", F.date_format("b", "yyyy-MM-dd'T'HH:mm:ss"), ".")
-            found.append(_out(span, F.when(F.col("n") >= 2, _row(_said("temporal:", n), "temporal", n, said, "timestamp_parsing_and_ordering", "observed"))))
+            found.append(_out(span, F.when(F.col("n") >= 2, _row(_said("temporal:", n), "temporal", n, said, "timestamp_parsing_and_ordering", "observed", {"count": F.col("n")}, [TIMES]))))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -81,16 +99,16 @@ def relationship_findings(df: DataFrame) -> DataFrame:
     kinds = {r.column_name: r.kind for r in profile.column_kinds(df).collect()}
     numbers = [c for c in df.columns if kinds[c] == "numeric"]
     groups = [c for c in df.columns if kinds[c] in ("categorical", "boolean")]
-    both, pair = (lambda a: _said(a, F.col("left_column"), ":", F.col("right_column"))), _said(F.col("left_column"), ",", F.col("right_column"))
+    both, pair = (lambda a: _said(a, F.col("left_column"), ":", F.col("right_column"))), (F.col("left_column"), F.col("right_column"))
     value = F.when(F.col("method") == "pearson", F.col("pearson")).otherwise(F.col("spearman"))
     found = [
-        _out(relate.relationships(df, numbers), _row(both("relationship:"), "relationship", pair, _said("The attributes have a strong observed ", F.col("method"), " association (", F.format_string("%.3f", value), ")."), F.col("method"), "statistical")),
-        _out(relate.associations(df, groups), _row(both("association:"), "relationship", pair, _said("The categorical attributes show an observed association (Cramer's V ", F.format_string("%.3f", F.col("v")), ")."), "contingency_table_cramers_v", "statistical")),
+        _out(relate.relationships(df, numbers), _row(both("relationship:"), "relationship", pair, _said("The attributes have a strong observed ", F.col("method"), " association (", F.format_string("%.3f", value), ")."), F.col("method"), "statistical", {k: F.col(k) for k in ("pearson", "spearman", "n")}, [NO_CAUSE])),
+        _out(relate.associations(df, groups), _row(both("association:"), "relationship", pair, _said("The categorical attributes show an observed association (Cramer's V ", F.format_string("%.3f", F.col("v")), ")."), "contingency_table_cramers_v", "statistical", {"cramers_v": F.col("v"), "chi_square": F.col("chi_square"), "expected_frequency_min": F.col("expected_min"), "n": F.col("n")}, [DESCRIPTIVE])),
     ]
     for a in groups:
         for b in numbers:
             said = _said(f"Mean '{b}' differs across '{a}' groups (spread ", F.format_string("%.2f", F.col("spread")), ").")
-            found.append(_out(relate.group_spread(df, a, b), F.when((F.col("groups") >= 2) & (F.col("spread") != 0), _row(F.lit(f"group_difference:{a}:{b}"), "group_difference", F.lit(f"{a},{b}"), said, "group_mean_spread", "observed"))))
+            found.append(_out(relate.group_spread(df, a, b), F.when((F.col("groups") >= 2) & (F.col("spread") != 0), _row(F.lit(f"group_difference:{a}:{b}"), "group_difference", (F.lit(a), F.lit(b)), said, "group_mean_spread", "observed", {"mean_spread": F.col("spread")}, [DIFFERENT], [GROUPED]))))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -107,7 +125,8 @@ def dataset_findings(df: DataFrame) -> DataFrame:
 
 
 def findings(df: DataFrame) -> DataFrame:
-    """finding_id, category, subject, observation, method, state of all findings."""
+    """All findings: finding_id, category, subject (columns' names, at commas), observation,
+    method, state, subjects, result (figures by name), limitations, assumptions."""
     return attribute_findings(df).unionByName(relationship_findings(df)).unionByName(dataset_findings(df))
 
 
@@ -174,7 +193,7 @@ def relevance(counts: DataFrame, found: DataFrame, objective: str, selected: tup
     if not objective.strip():
         raise ValueError("objective must be non-empty")
     wanted = F.array(*map(F.lit, sorted(set(re.findall("[a-z0-9]+", objective.lower())))))
-    related = found.where("category = 'relationship'").select(F.explode(F.split("subject", ",")).alias("column_name")).groupBy("column_name").agg(F.count("*").alias("relations"))
+    related = found.where("category = 'relationship'").select(F.explode("subjects").alias("column_name")).groupBy("column_name").agg(F.count("*").alias("relations"))
     rows = counts.join(related, "column_name", "left")
     chosen = F.col("column_name").isin(*selected) if selected else F.lit(False)
     named = F.arrays_overlap(F.regexp_extract_all(F.lower("column_name"), F.lit("[a-z0-9]+"), F.lit(0)), wanted)

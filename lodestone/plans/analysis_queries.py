@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import findings, profile
+from ..operators import explain, findings, profile
 from .catalog import EVENTS, _planted, register
 
 #: A table with an identifier, gaps, an empty and a sparse column, skew, outliers, mixed texts and twins.
@@ -64,7 +64,6 @@ def _records(t):
     return t("region").sparkSession.createDataFrame(rows, "candidate_id string, seq int, action string")
 
 
-register("confirmation_states", "SELECT * FROM (VALUES ('load_kg:unit', 'confirmed'), ('state:categorical', 'conflicting'), ('steep:metric', 'unknown')) AS t(candidate_id, state)")(lambda t: findings.confirmation_states(_records(t)))
 register("attribute_states", f"SELECT DISTINCT attribute, CASE attribute WHEN 'load_kg' THEN 'USER_CONFIRMED' WHEN 'state' THEN 'CONFLICTING' WHEN 'steep' THEN 'UNKNOWN' ELSE 'INFERRED' END AS state FROM (VALUES {_VALUES}) AS t(candidate_id, attribute, meaning, confidence)")(lambda t: findings.attribute_states(_candidates(t), findings.confirmation_states(_records(t))))
 register("relevance", f"""WITH f AS ({_RELATED}), k AS (SELECT unnest(string_split(subject, ',')) AS c, 1 AS one FROM f WHERE category = 'relationship'), n AS (SELECT c, count(*) AS n FROM k GROUP BY 1),
 a AS (SELECT * FROM (VALUES {", ".join(f"('{c}')" for c in ("record_id", "load_kg", "twin_score", "state", "side", "steep", "mixed", "nothing", "timestamp"))}) AS t(attribute)),
@@ -72,3 +71,55 @@ s AS (SELECT attribute, attribute = 'steep' AS chosen, attribute = 'load_kg' AS
 x AS (SELECT *, round(CASE WHEN chosen THEN 0.8 ELSE 0 END + CASE WHEN named THEN 0.4 ELSE 0 END + least(0.3, 0.1 * tied) - CASE WHEN sparse THEN 0.2 ELSE 0 END, 6)::DOUBLE AS score FROM s)
 SELECT attribute, greatest(0, least(1, score))::DOUBLE AS score, CASE WHEN score >= 0.7 THEN 'potentially_relevant' WHEN score <= 0.1 AND NOT chosen AND NOT named AND tied = 0 AND NOT sparse THEN 'potentially_irrelevant' WHEN chosen THEN 'selected' ELSE 'requires_clarification' END AS category FROM x""")(
     lambda t: findings.relevance(profile.attribute_counts(_seen(t)), findings.relationship_findings(_seen(t)), "predict load", ("steep",)))
+
+# --- whole findings, explanations, contexts ------------------------------------------
+
+_ALL = f"({_ATTRIBUTES} UNION ALL {_RELATED})"
+_START = "regexp_extract(finding_id, '^[a-z_]+')"
+_METHODS = {
+    "missing": ("missingness_count", "statistical", "", ""), "empty": ("non_null_count", "observed", "", ""), "sparse": ("missingness_rate", "observed", "", ""), "role": ("uniqueness_and_name_heuristic", "inferred", findings.CONFIRM, ""),
+    "group": ("cardinality_heuristic", "inferred", findings.GROUPING, ""), "target": ("name_heuristic", "inferred", findings.TARGET, ""), "unusual": ("IQR_1.5", "statistical", findings.NO_ERROR, ""), "skew": ("sample_skewness", "statistical", "", ""),
+    "mixed_values": ("numeric_parse_fraction", "observed", findings.REVIEW, ""), "temporal": ("timestamp_parsing_and_ordering", "observed", findings.TIMES, ""), "association": ("contingency_table_cramers_v", "statistical", findings.DESCRIPTIVE, ""),
+    "group_difference": ("group_mean_spread", "observed", findings.DIFFERENT, findings.GROUPED), "relationship": ("", "statistical", findings.NO_CAUSE, ""),
+}
+_KNOWN = "(VALUES " + ", ".join(f"('{k}', '{m}', '{s}', '{li}', '{g}')" for k, (m, s, li, g) in _METHODS.items()) + ") AS k(start, method, state, limits, given)"
+#: The figure that a finding's text gives, with as many digits.
+_FIGURE = "CASE WHEN start IN ('missing', 'unusual') THEN CAST(regexp_extract(observation, '^[0-9]+') AS DOUBLE) WHEN start IN ('skew', 'relationship', 'association', 'group_difference') THEN CAST(regexp_extract(observation, '(-?[0-9]+[.][0-9]+)[)][.]$', 1) AS DOUBLE) END"
+
+
+def _found(t):
+    return findings.findings(_seen(t))
+
+
+def _figure():
+    r = lambda k, d=None: F.element_at("result", k) if d is None else F.round(F.element_at("result", k), d)
+    start = F.regexp_extract("finding_id", "^[a-z_]+", 0)
+    own = F.element_at("result", F.when(F.col("method") == "spearman", "spearman").otherwise("pearson"))
+    return F.when(start == "missing", r("missing_count")).when(start == "unusual", r("count")).when(start == "skew", r("skewness", 2)).when(start == "association", r("cramers_v", 3)).when(start == "group_difference", r("mean_spread", 2)).when(start == "relationship", F.round(own, 3))
+
+
+register("findings_whole", f"""SELECT finding_id, category, subject, observation, CASE WHEN start = 'relationship' THEN regexp_extract(observation, 'observed ([a-z]+) association', 1) ELSE method END AS method, state, limits, given, {_FIGURE} AS figure
+FROM (SELECT *, {_START} AS start FROM {_ALL}) JOIN {_KNOWN} USING (start)""")(
+    lambda t: _found(t).select("finding_id", "category", "subject", "observation", "method", "state", F.array_join("limitations", "|").alias("limits"), F.array_join("assumptions", "|").alias("given"), _figure().alias("figure")))
+
+_TOLD = {"unusual": "'Column ''' || subject || ''' contains ' || regexp_extract(observation, '^[0-9]+') || ' IQR-based statistical outlier(s).'", "missing": "'Column ''' || subject || ''' has ' || regexp_extract(observation, '^[0-9]+') || ' missing value(s).'",
+         "relationship": "'''' || replace(subject, ',', ''' and ''') || ''' have a strong observed ' || regexp_extract(observation, 'observed ([a-z]+) association', 1) || ' correlation (' || regexp_extract(observation, '(-?[0-9]+[.][0-9]+)[)]', 1) || ').'",
+         "association": "'''' || replace(subject, ',', ''' and ''') || ''' show an observed categorical association (Cramer''s V ' || regexp_extract(observation, '([0-9]+[.][0-9]+)[)]', 1) || ').'"}
+_NAMES = {p.rstrip(":"): (s, c, k) for p, s, c, k, _ in explain.TEMPLATES}
+_TURNED = "(VALUES " + ", ".join(f"('{p}', '{s}', '{c}', '{k}')" for p, (s, c, k) in _NAMES.items()) + ") AS n(start, begins, cat, kind)"
+_MESSAGE = "CASE start " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _TOLD.items()) + " ELSE observation END"
+register("explanations", f"""SELECT coalesce(begins || replace(substr(finding_id, length(start) + 2), ':', '_'), finding_id) AS finding_id, 'eda' AS source, coalesce(cat, category) AS category, coalesce(kind, 'observation') AS kind, {_MESSAGE} AS message, limits
+FROM (SELECT *, {_START} AS start FROM {_ALL}) JOIN {_KNOWN} USING (start) LEFT JOIN {_TURNED} USING (start)""")(lambda t: explain.explained(_found(t)).withColumn("limits", F.array_join("limitations", "|")).drop("limitations"))
+_IDS = "SELECT {c} AS attribute, string_agg(finding_id, ';' ORDER BY finding_id) AS ids FROM {f} GROUP BY 1"
+_KINDS = {"record_id": "numeric", "load_kg": "numeric", "twin_score": "numeric", "state": "categorical", "side": "categorical", "steep": "numeric", "mixed": "categorical", "nothing": "unknown", "timestamp": "temporal"}
+register("column_contexts", f"""WITH f AS MATERIALIZED (SELECT * FROM {_ALL}), q AS ({_IDS.format(c='subject', f="f WHERE category = 'quality'")}), a AS ({_IDS.format(c='subject', f="f WHERE category = 'distribution'")}), r AS ({_IDS.format(c='attribute', f="(SELECT finding_id, unnest(string_split(subject, ',')) AS attribute FROM f WHERE category = 'relationship')")}),
+c AS (SELECT attribute, string_agg(candidate_id, ';' ORDER BY candidate_id) AS ids FROM (VALUES {_VALUES}) AS t(candidate_id, attribute, meaning, confidence) GROUP BY 1), n AS ({" UNION ALL ".join(f"SELECT '{k}' AS attribute, '{v}' AS kind, count(*) - count({k}) AS missing, count(DISTINCT {k}) AS unique_count FROM {_SQL}" for k, v in _KINDS.items())})
+SELECT n.attribute, n.kind, n.missing, n.unique_count, coalesce(q.ids, '') AS quality, coalesce(a.ids, '') AS anomalies, coalesce(r.ids, '') AS relationships, coalesce(c.ids, '') AS candidates, CASE n.attribute WHEN 'load_kg' THEN 'USER_CONFIRMED' WHEN 'state' THEN 'CONFLICTING' WHEN 'steep' THEN 'UNKNOWN' WHEN 'nothing' THEN 'UNKNOWN' ELSE 'INFERRED' END AS status
+FROM n LEFT JOIN q USING (attribute) LEFT JOIN a USING (attribute) LEFT JOIN r USING (attribute) LEFT JOIN c USING (attribute)""")(
+    lambda t: explain.contexts(profile.attribute_counts(_seen(t)), profile.column_kinds(_seen(t)), _found(t), _candidates(t), findings.attribute_states(_candidates(t), findings.confirmation_states(_records(t))))
+    .select("attribute", "kind", "counts.missing", "counts.unique_count", *(F.array_join(f"{k}.finding_id", ";").alias(k) for k in ("quality", "anomalies", "relationships")), F.array_join("candidates.candidate_id", ";").alias("candidates"), "status"))
+
+#: What people said of candidates, by event.
+_SAYS = "CASE event_id % 5 WHEN 0 THEN 'confirm' WHEN 1 THEN 'modify' WHEN 2 THEN 'reject' WHEN 3 THEN 'unknown' ELSE 'conflict' END"
+register("confirmation_states", f"SELECT candidate_id, CASE WHEN a IN ('confirm', 'modify') THEN 'confirmed' WHEN a = 'conflict' THEN 'conflicting' ELSE 'unknown' END AS state FROM (SELECT 'c' || user_id AS candidate_id, arg_max({_SAYS}, event_id) AS a FROM events GROUP BY 1)")(
+    lambda t: findings.confirmation_states(t("events").selectExpr("concat('c', user_id) AS candidate_id", "event_id AS seq", f"{_SAYS} AS action")))

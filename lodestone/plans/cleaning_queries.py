@@ -71,7 +71,6 @@ def _decided(t):
     return cleaning.statuses(proposed, spark.createDataFrame(said, "proposal_id string, action string"))
 
 
-register("decision_status", "SELECT * FROM (VALUES ('remove_duplicate_rows', 'duplicate_rows', 'approved'), ('impute_price', 'missing_price', 'deferred'), ('impute_state', 'missing_state', 'rejected'), ('investigate_price_outliers', 'unusual:price', 'proposed')) AS t(proposal_id, issue_id, status)")(_decided)
 register("unresolved_issues", f"SELECT issue_id, kind, field, n FROM {_issues(DIRTY)} WHERE issue_id <> 'duplicate_rows'")(lambda t: cleaning.unresolved(cleaning.issues(_dirty(t), "line"), _decided(t)).drop("message"))
 _NEW = f"(SELECT line, record_id, price, CASE WHEN line % 4 = 0 THEN NULL ELSE state END AS state FROM {DIRTY} WHERE state IS NOT NULL AND state <> '12')"
 _OLD = f"(SELECT line, record_id, price, state FROM {DIRTY} WHERE state IS NOT NULL AND state <> '12')"
@@ -133,7 +132,7 @@ def _spoken(t):
     return t("events").selectExpr(f"{_WHO} AS proposal_id", f"{_ACT} AS action").where("action is not null")
 
 
-register("decisions_by_people", f"""SELECT p.*, coalesce(list_extract(['approved', 'rejected', 'deferred'], d.place), 'proposed') AS status FROM (VALUES ('remove_duplicate_rows', 'duplicate_rows'), ('impute_price', 'missing_price'), ('impute_state', 'missing_state'), ('investigate_price_outliers', 'unusual:price')) AS p(proposal_id, issue_id)
+register("decision_status", f"""SELECT p.*, coalesce(list_extract(['approved', 'rejected', 'deferred'], d.place), 'proposed') AS status FROM (VALUES ('remove_duplicate_rows', 'duplicate_rows'), ('impute_price', 'missing_price'), ('impute_state', 'missing_state'), ('investigate_price_outliers', 'unusual:price')) AS p(proposal_id, issue_id)
 LEFT JOIN (SELECT {_WHO} AS proposal_id, min(list_position(['APPROVE', 'REJECT', 'DEFER'], upper({_ACT}))) AS place FROM events WHERE {_ACT} IS NOT NULL GROUP BY 1) d USING (proposal_id)""")(
     lambda t: cleaning.statuses(cleaning.proposals(_dirty(t), "line").select("proposal_id", "issue_id"), _spoken(t)))
 
