@@ -210,9 +210,11 @@ def issues(df: DataFrame, row: str) -> DataFrame:
         if c in texts:
             mixed = gaps.select(F.when(F.col(f"p{i}") < F.col("rows") - F.col(f"g{i}"), F.col(f"p{i}")).otherwise(0).alias("n"))
             found.append(issue(mixed, f"mixed_values_{c}", "mixed_values", c, f"Column '{c}' mixes numeric-like and non-numeric values."))
-    for c in _of_type(df, row, T.NumericType):
-        unusual = profile.outliers(data, c).select(F.col("iqr_outliers").alias("n"))
-        found.append(issue(unusual, f"unusual:{c}", "statistical_outliers", c, "", " observation(s) are potentially unusual under the IQR rule."))
+    numbers = _of_type(df, row, T.NumericType)
+    if numbers:
+        far = profile.shapes(data, numbers).where("iqr_outliers > 0")
+        said = F.concat(F.col("iqr_outliers").cast("string"), F.lit(" observation(s) are potentially unusual under the IQR rule."))
+        found.append(far.select(F.concat(F.lit("unusual:"), "column_name").alias("issue_id"), F.lit("statistical_outliers").alias("kind"), F.col("column_name").alias("field"), F.col("iqr_outliers").alias("n"), said.alias("message")))
     return reduce(DataFrame.unionByName, found)
 
 

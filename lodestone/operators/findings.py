@@ -61,9 +61,10 @@ def _percent(c: Column) -> Column:
 @nan_free
 def attribute_findings(df: DataFrame) -> DataFrame:
     """Gaps, emptiness, candidate roles, outliers, skew, mixed texts, times: by column."""
-    kinds = {r.column_name: r.kind for r in profile.column_kinds(df).collect()}
-    name = F.col("column_name")
-    whole = profile.attribute_counts(df).join(profile.roles(df), "column_name")
+    name, facts = F.col("column_name"), profile.column_facts(df)
+    kinds = {r.column_name: r.kind for r in profile.with_kinds(facts).select("column_name", "kind").collect()}  # one row for each column
+    whole = profile.with_roles(facts)
+    share = F.round(F.try_divide(F.col("numbers"), F.col("non_null")), 6)
     found = [_out(
         whole,
         F.when(F.col("missing") > 0, _row(_said("missing:", name), "quality", name, _said(F.col("missing"), " value(s) are missing."), "missingness_count", "statistical", {"missing_count": F.col("missing"), "missing_rate": F.col("missing_rate")})),
@@ -72,24 +73,21 @@ def attribute_findings(df: DataFrame) -> DataFrame:
         F.when(F.col("candidate_identifier"), _row(_said("role:", name), "structure", name, F.lit("The attribute is a candidate identifier based on uniqueness and naming."), "uniqueness_and_name_heuristic", "inferred", limits=[CONFIRM])),
         F.when(F.col("candidate_grouping"), _row(_said("group:", name), "structure", name, _said("Column '", name, "' may define groups for stratified analysis."), "cardinality_heuristic", "inferred", limits=[GROUPING])),
         F.when(F.col("candidate_target"), _row(_said("target:", name), "structure", name, _said("Column '", name, "' may be a target or outcome variable."), "name_heuristic", "inferred", limits=[TARGET])),
+        F.when((F.col("type") == "string") & (share > 0) & (share < 1), _row(_said("mixed_values:", name), "quality", name, _said("Column '", name, "' mixes numeric-like and non-numeric values (", _percent(share), " parse as numbers)."), "numeric_parse_fraction", "observed", {"numeric_parse_fraction": share}, [REVIEW])),
     )]
-    for c, kind in kinds.items():
-        n = F.lit(c)
-        if kind == "numeric":
-            shape = profile.outliers(df, c).crossJoin(profile.distribution(df, c).select("skewness"))
-            found.append(_out(
-                shape,
-                F.when(F.col("iqr_outliers") > 0, _row(_said("unusual:", n), "distribution", n, _said(F.col("iqr_outliers"), " observation(s) are potentially unusual under the IQR rule."), "IQR_1.5", "statistical", {"count": F.col("iqr_outliers"), "mad_count": F.col("mad_outliers")}, [NO_ERROR])),
-                F.when(F.abs("skewness") >= SKEWED, _row(_said("skew:", n), "shape", n, _said("Column '", n, "' is strongly skewed (skewness ", F.format_string("%.2f", F.col("skewness")), ")."), "sample_skewness", "statistical", {"skewness": F.col("skewness")})),
-            ))
-        elif dict(df.dtypes)[c] == "string":
-            share = F.col("numeric_fraction")
-            found.append(_out(profile.parse_fraction(df, c), F.when((share > 0) & (share < 1), _row(_said("mixed_values:", n), "quality", n, _said("Column '", n, "' mixes numeric-like and non-numeric values (", _percent(share), " parse as numbers)."), "numeric_parse_fraction", "observed", {"numeric_parse_fraction": share}, [REVIEW]))))
-        if kind == "temporal":
-            time = profile.parsed_time(q(c)) if dict(df.dtypes)[c] == "string" else q(c).cast("timestamp")
-            span = df.agg(F.min(time).alias("a"), F.max(time).alias("b"), F.count(time).alias("n"))
-            said = _said("The attribute has parseable temporal values covering ", F.date_format("a", "yyyy-MM-dd'T'HH:mm:ss"), " to ", F.date_format("b", "yyyy-MM-dd'T'HH:mm:ss"), ".")
-            found.append(_out(span, F.when(F.col("n") >= 2, _row(_said("temporal:", n), "temporal", n, said, "timestamp_parsing_and_ordering", "observed", {"count": F.col("n")}, [TIMES]))))
+    numbers = [c for c in df.columns if kinds[c] == "numeric"]
+    found.append(_out(
+        profile.shapes(df, numbers),
+        F.when(F.col("iqr_outliers") > 0, _row(_said("unusual:", name), "distribution", name, _said(F.col("iqr_outliers"), " observation(s) are potentially unusual under the IQR rule."), "IQR_1.5", "statistical", {"count": F.col("iqr_outliers"), "mad_count": F.col("mad_outliers")}, [NO_ERROR])),
+        F.when(F.abs("skewness") >= SKEWED, _row(_said("skew:", name), "shape", name, _said("Column '", name, "' is strongly skewed (skewness ", F.format_string("%.2f", F.col("skewness")), ")."), "sample_skewness", "statistical", {"skewness": F.col("skewness")})),
+    ))
+    times = [c for c in df.columns if kinds[c] == "temporal"]
+    if times:
+        read = {c: profile.parsed_time(q(c)) if dict(df.dtypes)[c] == "string" else q(c).cast("timestamp") for c in times}
+        cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.min(t).alias("a"), F.max(t).alias("b"), F.count(t).alias("n")) for c, t in read.items()))
+        span = df.agg(cells.alias("cells")).select(F.explode("cells").alias("s")).select("s.*")
+        said = _said("The attribute has parseable temporal values covering ", F.date_format("a", "yyyy-MM-dd'T'HH:mm:ss"), " to ", F.date_format("b", "yyyy-MM-dd'T'HH:mm:ss"), ".")
+        found.append(_out(span, F.when(F.col("n") >= 2, _row(_said("temporal:", name), "temporal", name, said, "timestamp_parsing_and_ordering", "observed", {"count": F.col("n")}, [TIMES]))))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -105,10 +103,10 @@ def relationship_findings(df: DataFrame) -> DataFrame:
         _out(relate.relationships(df, numbers), _row(both("relationship:"), "relationship", pair, _said("The attributes have a strong observed ", F.col("method"), " association (", F.format_string("%.3f", value), ")."), F.col("method"), "statistical", {k: F.col(k) for k in ("pearson", "spearman", "n")}, [NO_CAUSE])),
         _out(relate.associations(df, groups), _row(both("association:"), "relationship", pair, _said("The categorical attributes show an observed association (Cramer's V ", F.format_string("%.3f", F.col("v")), ")."), "contingency_table_cramers_v", "statistical", {"cramers_v": F.col("v"), "chi_square": F.col("chi_square"), "expected_frequency_min": F.col("expected_min"), "n": F.col("n")}, [DESCRIPTIVE])),
     ]
-    for a in groups:
-        for b in numbers:
-            said = _said(f"Mean '{b}' differs across '{a}' groups (spread ", F.format_string("%.2f", F.col("spread")), ").")
-            found.append(_out(relate.group_spread(df, a, b), F.when((F.col("groups") >= 2) & (F.col("spread") != 0), _row(F.lit(f"group_difference:{a}:{b}"), "group_difference", (F.lit(a), F.lit(b)), said, "group_mean_spread", "observed", {"mean_spread": F.col("spread")}, [DIFFERENT], [GROUPED]))))
+    a, b = F.col("category"), F.col("column_name")
+    said = _said("Mean '", b, "' differs across '", a, "' groups (spread ", F.format_string("%.2f", F.col("spread")), ").")
+    apart = (F.col("groups") >= 2) & (F.col("spread") != 0)
+    found.append(_out(relate.group_spreads(df, groups, numbers), F.when(apart, _row(_said("group_difference:", a, ":", b), "group_difference", (a, b), said, "group_mean_spread", "observed", {"mean_spread": F.col("spread")}, [DIFFERENT], [GROUPED]))))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -61,8 +61,10 @@ def previous(df: DataFrame, key: str, value: str) -> DataFrame:
     return ranged.join(F.broadcast(lasts), "_range").select(*df.columns, F.when(first, F.col("_last")).otherwise(F.lag(value).over(here)).alias("previous"))
 
 
-def percentiles(df: DataFrame, value: Column, shares: list[float], weight: Column | None = None) -> DataFrame:
-    """One row: ``p``, the exact percentiles by linear interpolation (nulls without values).
+def percentiles(df: DataFrame, value: Column, shares: list[float], weight: Column | None = None, by: str | None = None) -> DataFrame:
+    """One row: ``p``, the exact percentiles by linear interpolation (nulls without values);
+    or one for each group in ``by`` that has values.  Groups are few (the columns of a
+    table): a row of each is broadcast.
 
     1. A sketch gives two cuts for each share, a little below and above it.
     2. One aggregate counts the rows up to each cut, so the range between cuts that
@@ -70,13 +72,18 @@ def percentiles(df: DataFrame, value: Column, shares: list[float], weight: Colum
     3. The distinct values of these ranges, about one row in a thousand for each share,
        are counted and ranked."""
     w = F.lit(1).cast("long") if weight is None else weight.cast("long")
-    values = df.select(value.cast("double").alias("x"), w.alias("w")).where("x is not null and not isnan(x) and w > 0")
+    keys = [by] if by else []
+
+    def with_row(frame: DataFrame, row: DataFrame) -> DataFrame:
+        return frame.join(F.broadcast(row), keys) if keys else frame.crossJoin(F.broadcast(row))
+
+    values = df.select(*keys, value.cast("double").alias("x"), w.alias("w")).where("x is not null and not isnan(x) and w > 0")
     reach = REACH / ACCURACY
     places = sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-reach, reach)})
-    cuts = values.agg(F.percentile_approx("x", places, ACCURACY).alias("cuts"))
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("x", places, ACCURACY).alias("cuts"))
     cut = lambda i: F.get("cuts", F.lit(i))
     n = len(places)
-    upto = values.crossJoin(F.broadcast(cuts)).agg(
+    upto = with_row(values, cuts).groupBy(*keys).agg(
         F.sum("w").alias("total"), F.first("cuts").alias("cuts"), F.array(*(F.coalesce(F.sum(F.when(F.col("x") <= cut(i), F.col("w"))), F.lit(0).cast("long")) for i in range(n))).alias("upto")
     )
     # Each share needs the values at the ranks (from 0) around (total - 1) * share.
@@ -85,14 +92,14 @@ def percentiles(df: DataFrame, value: Column, shares: list[float], weight: Colum
     wanted = upto.withColumn("sides", F.array_distinct(F.array(*(side(r(place(s))) for s in shares for r in (F.floor, F.ceil)))))
     # A value's side: how many cuts lie below it.
     own = sum(((F.col("x") > cut(i)).cast("int") for i in range(n)), F.lit(0))
-    near = values.crossJoin(F.broadcast(wanted)).withColumn("side", own).where(F.array_contains("sides", F.col("side")))
-    counted = near.groupBy("side", "total", F.coalesce(F.get("upto", F.col("side") - 1), F.lit(0)).alias("base"), "x").agg(F.sum("w").alias("n"))
-    ends = counted.withColumn("end", F.col("base") + F.sum("n").over(Window.partitionBy("side").orderBy("x")))
+    near = with_row(values, wanted).withColumn("side", own).where(F.array_contains("sides", F.col("side")))
+    counted = near.groupBy(*keys, "side", "total", F.coalesce(F.get("upto", F.col("side") - 1), F.lit(0)).alias("base"), "x").agg(F.sum("w").alias("n"))
+    ends = counted.withColumn("end", F.col("base") + F.sum("n").over(Window.partitionBy(*keys, "side").orderBy("x")))
     at = lambda rank: F.max(F.when((F.col("end") - F.col("n") <= rank) & (rank < F.col("end")), F.col("x")))
-    row = ends.agg(*(at(r(place(s))).alias(f"{name}{i}") for i, s in enumerate(shares) for name, r in (("low", F.floor), ("high", F.ceil))), F.max("total").alias("total"))
+    row = ends.groupBy(*keys).agg(*(at(r(place(s))).alias(f"{name}{i}") for i, s in enumerate(shares) for name, r in (("low", F.floor), ("high", F.ceil))), F.max("total").alias("total"))
 
     def between(i: int, s: float) -> Column:
         low, high = F.col(f"low{i}"), F.col(f"high{i}")
         return F.when(low == high, low).otherwise(low + (high - low) * (place(s) - F.floor(place(s))))
 
-    return row.select(F.array(*(between(i, s) for i, s in enumerate(shares))).alias("p"))
+    return row.select(*keys, F.array(*(between(i, s) for i, s in enumerate(shares))).alias("p"))

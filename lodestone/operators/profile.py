@@ -1,11 +1,14 @@
 """Profiles of a dataset: counts, distributions, outliers, frequencies, time.
 
-Scalars of all columns come from one aggregate; what depends on a first pass
-(fences, deviations) comes from a second over a one-row frame, so plans stay lazy.
+Scalars of all columns come from one aggregate, what concerns values from one row for each
+value of each column.  Fences and deviations come from frames of a row for each column,
+so nothing runs while a plan is built.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,21 +29,51 @@ def dataset_counts(df: DataFrame) -> DataFrame:
     return grouped.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.lit(len(df.columns)).cast("long").alias("column_count"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+def as_text(df: DataFrame, column: str) -> Column:
+    """A value's text, the same for equal values."""
+    c = q(column)
+    return F.when(c == 0, 0.0).otherwise(c).cast("string") if dict(df.dtypes)[column] in ("double", "float") else c.cast("string")
+
+
+def stacked(df: DataFrame, columns: Sequence[str], value) -> DataFrame:
+    """c, v: the number and the value of each of the columns, row by row."""
+    cells = F.array(*(F.struct(F.lit(i).alias("c"), value(c).alias("v")) for i, c in enumerate(columns)))
+    return df.select(F.explode(cells).alias("x")).select("x.c", "x.v")
+
+
 @nan_free
-def attribute_counts(df: DataFrame) -> DataFrame:
-    """column_name, non_null, missing, missing_rate, unique_count, cardinality.  Each
-    column is counted by itself from one row per value."""
-    found = None
-    for c in df.columns:
-        values = df.groupBy(q(c).alias("v")).agg(F.count("*").alias("n"))
-        here = F.col("v").isNotNull()
-        one = values.agg(F.lit(c).alias("column_name"), F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias("non_null"), F.coalesce(F.sum(F.when(~here, F.col("n"))), F.lit(0)).alias("missing"), F.count(F.when(here, 1)).alias("unique_count"))
-        found = one if found is None else found.unionByName(one)
-    rows = F.col("non_null") + F.col("missing")
-    return found.select(
-        "column_name", "non_null", "missing", F.round(F.coalesce(F.try_divide("missing", rows), F.lit(0.0)), 6).alias("missing_rate"),
-        "unique_count", F.round(F.coalesce(F.try_divide("unique_count", "non_null"), F.lit(0.0)), 6).alias("cardinality"),
+def column_facts(df: DataFrame) -> DataFrame:
+    """column_name, type, non_null, missing, unique_count, and of text columns chars, times
+    and numbers: characters, and values that read as a time or a number.
+
+    All columns are counted together, from one row for each value of each."""
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], "column_name string, type string, non_null long, missing long, unique_count long, chars long, times long, numbers long")
+    names = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "c int, column_name string, type string")
+    values = stacked(df, df.columns, lambda c: as_text(df, c)).groupBy("c", "v").agg(F.count("*").alias("n"))
+    texts = [i for i, f in enumerate(df.schema) if isinstance(f.dataType, T.StringType)]
+    text = F.col("c").isin(texts) if texts else F.lit(False)
+    total = lambda on, x=F.col("n"): F.sum(F.when(on, x).otherwise(0))
+    v = F.col("v")
+    sums = values.groupBy("c").agg(
+        total(v.isNotNull()).alias("non_null"), total(v.isNull()).alias("missing"), F.count("v").alias("unique_count"), total(text & v.isNotNull(), F.length("v") * F.col("n")).alias("chars"),
+        total(F.when(text, parsed_time(v).isNotNull()).otherwise(False)).alias("times"), total(text & F.coalesce(v.rlike(NUMBER_TEXT), F.lit(False))).alias("numbers"),
     )
+    return names.join(sums, "c", "left").drop("c").fillna(0)
+
+
+def counts_of(facts: DataFrame) -> DataFrame:
+    """``facts`` (of ``column_facts``) with missing_rate and cardinality."""
+    rows = F.col("non_null") + F.col("missing")
+    return facts.withColumns({
+        "missing_rate": F.round(F.coalesce(F.try_divide("missing", rows), F.lit(0.0)), 6),
+        "cardinality": F.round(F.coalesce(F.try_divide("unique_count", "non_null"), F.lit(0.0)), 6),
+    })
+
+
+def attribute_counts(df: DataFrame) -> DataFrame:
+    """column_name, non_null, missing, missing_rate, unique_count, cardinality."""
+    return counts_of(column_facts(df)).select("column_name", "non_null", "missing", "missing_rate", "unique_count", "cardinality")
 
 
 def parsed_time(c: Column) -> Column:
@@ -48,33 +81,34 @@ def parsed_time(c: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(f)) for f in TIME_FORMATS))
 
 
-def column_kinds(df: DataFrame) -> DataFrame:
-    """column_name, kind: boolean, numeric, temporal, categorical, text, or unknown where
+def with_kinds(facts: DataFrame) -> DataFrame:
+    """``facts`` with kind: boolean, numeric, temporal, categorical, text, or unknown where
     a text column has no value."""
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    fixed = {}
-    for f in df.schema:
-        if f.name not in texts:
-            fixed[f.name] = "boolean" if isinstance(f.dataType, T.BooleanType) else "numeric" if isinstance(f.dataType, T.NumericType) else "temporal" if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else "unknown"
-    found = df.sparkSession.createDataFrame(list(fixed.items()), "column_name string, kind string")
-    for c in texts:
-        values = df.where(q(c).isNotNull()).groupBy(q(c).alias("v")).agg(F.count("*").alias("n"))
-        s = values.agg(F.sum("n").alias("n"), F.count("*").alias("u"), F.sum(F.when(parsed_time(F.col("v")).isNotNull(), F.col("n")).otherwise(0)).alias("times"), F.sum(F.length("v") * F.col("n")).alias("chars"))
-        few = (F.col("u") / F.col("n") <= CATEGORICAL_RATIO) | (F.col("chars") / F.col("n") <= CATEGORICAL_LENGTH)
-        kind = F.when(F.col("n").isNull(), "unknown").when(F.col("times") / F.col("n") >= TEMPORAL_SHARE, "temporal").when(few, "categorical").otherwise("text")
-        found = found.unionByName(s.select(F.lit(c).alias("column_name"), kind.alias("kind")))
-    return found
+    n = F.col("non_null")
+    few = (F.col("unique_count") / n <= CATEGORICAL_RATIO) | (F.col("chars") / n <= CATEGORICAL_LENGTH)
+    texts = F.when(n == 0, "unknown").when(F.col("times") / n >= TEMPORAL_SHARE, "temporal").when(few, "categorical").otherwise("text")
+    numeric = F.col("type").isin("tinyint", "smallint", "int", "bigint", "float", "double") | F.col("type").startswith("decimal")
+    fixed = F.when(F.col("type") == "boolean", "boolean").when(numeric, "numeric").when(F.col("type").isin("timestamp", "timestamp_ntz", "date"), "temporal").otherwise("unknown")
+    return facts.withColumn("kind", F.when(F.col("type") == "string", texts).otherwise(fixed))
 
 
-@nan_free
-def roles(df: DataFrame) -> DataFrame:
-    """column_name, kind and whether a column may be an identifier, a grouping, a target."""
+def column_kinds(df: DataFrame) -> DataFrame:
+    return with_kinds(column_facts(df)).select("column_name", "kind")
+
+
+def with_roles(facts: DataFrame) -> DataFrame:
+    """``facts`` with kind, rates, and whether a column may be an identifier, a grouping, a
+    target."""
     name = F.lower(F.trim("column_name"))
     identifier = (F.col("unique_count") > 0) & (F.col("unique_count") == F.col("non_null")) & (name.contains("id") | name.isin("key", "index"))
     grouping = (F.col("kind") == "categorical") & F.col("unique_count").between(2, F.least(F.lit(20), F.greatest(F.lit(2), F.floor(F.col("non_null") / 5))))
     target = (F.col("kind") == "numeric") & F.exists(F.array(*map(F.lit, TARGET_TOKENS)), lambda t: name.contains(t))
-    both = attribute_counts(df).join(column_kinds(df), "column_name")
-    return both.select("column_name", "kind", identifier.alias("candidate_identifier"), grouping.alias("candidate_grouping"), target.alias("candidate_target"))
+    return counts_of(with_kinds(facts)).withColumns({"candidate_identifier": identifier, "candidate_grouping": grouping, "candidate_target": target})
+
+
+def roles(df: DataFrame) -> DataFrame:
+    """column_name, kind and the candidate roles."""
+    return with_roles(column_facts(df)).select("column_name", "kind", "candidate_identifier", "candidate_grouping", "candidate_target")
 
 
 def type_counts(df: DataFrame) -> DataFrame:
@@ -89,7 +123,7 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
         F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.var_samp(c).alias("v"), F.stddev_samp(c).alias("s"), F.skewness(c).alias("g1"), F.kurtosis(c).alias("g2"), F.avg((c == 0).cast("double")).alias("zero_fraction"),
     ).crossJoin(F.broadcast(order.percentiles(df, c, QUARTERS)))
     n = F.col("n").cast("double")
-    skew = F.when(n >= 3, F.coalesce(F.col("g1") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)), F.lit(0.0)))
+    skew = _adjusted_skewness()
     kurt = F.when(n >= 4, F.coalesce(((n + 1) * F.col("g2") + 6) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)), F.lit(0.0)))
     one = F.when(n == 1, 0.0)
     r = lambda x, name: F.round(x, 6).alias(name)
@@ -106,13 +140,40 @@ def outliers(df: DataFrame, column: str) -> DataFrame:
     values = df.select(c.alias("x"))
     fences = order.percentiles(values, F.col("x"), QUARTERS).select(F.get("p", F.lit(0)).alias("q1"), F.get("p", F.lit(1)).alias("med"), F.get("p", F.lit(2)).alias("q3"))
     deviation = order.percentiles(values.crossJoin(F.broadcast(fences)), F.abs(F.col("x") - F.col("med")), [0.5]).select(F.get("p", F.lit(0)).alias("mad"))
-    iqr = F.col("q3") - F.col("q1")
-    outside = (iqr > 0) & ((F.col("x") < F.col("q1") - IQR_FACTOR * iqr) | (F.col("x") > F.col("q3") + IQR_FACTOR * iqr))
-    far = (F.col("mad") > 0) & (F.abs(F.col("x") - F.col("med")) > MAD_CUT * MAD_SCALE * F.col("mad"))
+    outside, far = _outside(F.col("x"))
     both = values.crossJoin(F.broadcast(fences)).crossJoin(F.broadcast(deviation))
     return both.agg(F.count_if(outside).alias("iqr_outliers"), F.count_if(far).alias("mad_outliers"), F.round(F.first("mad"), 6).alias("mad"))
 
 
+@nan_free
+def shapes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column_name, iqr_outliers, mad_outliers, skewness of each numeric column, all columns
+    together; columns without values are left out."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, iqr_outliers long, mad_outliers long, skewness double")
+    names = F.array(*map(F.lit, columns))
+    values = stacked(df, columns, lambda c: q(c).cast("double")).where("v is not null")
+    fences = order.percentiles(values, F.col("v"), QUARTERS, by="c").select("c", *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("q1", "med", "q3"))))
+    placed = values.join(F.broadcast(fences), "c")
+    mads = order.percentiles(placed, F.abs(F.col("v") - F.col("med")), [0.5], by="c").select("c", F.get("p", F.lit(0)).alias("mad"))
+    outside, far = _outside(F.col("v"))
+    s = placed.join(F.broadcast(mads), "c").groupBy("c").agg(F.count("*").cast("double").alias("n"), F.count_if(outside).alias("iqr_outliers"), F.count_if(far).alias("mad_outliers"), F.skewness("v").alias("g1"))
+    return s.select(F.get(names, F.col("c")).alias("column_name"), "iqr_outliers", "mad_outliers", F.round(_adjusted_skewness(), 6).alias("skewness"))
+
+
+def _outside(x: Column) -> tuple[Column, Column]:
+    """Beyond the fences q1 and q3; too far from med for mad."""
+    iqr = F.col("q3") - F.col("q1")
+    outside = (iqr > 0) & ((x < F.col("q1") - IQR_FACTOR * iqr) | (x > F.col("q3") + IQR_FACTOR * iqr))
+    return outside, (F.col("mad") > 0) & (F.abs(x - F.col("med")) > MAD_CUT * MAD_SCALE * F.col("mad"))
+
+
+def _adjusted_skewness() -> Column:
+    """For the sample, from n and g1."""
+    n = F.col("n")
+    return F.when(n >= 3, F.coalesce(F.col("g1") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)), F.lit(0.0)))
+
+
 @nan_free
 def value_frequencies(df: DataFrame, column: str, most: int = 20) -> DataFrame:
     counted = df.where(q(column).isNotNull()).groupBy(q(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
@@ -129,12 +190,10 @@ def parse_fraction(df: DataFrame, column: str) -> DataFrame:
     return df.where(q(column).isNotNull()).agg(F.round(F.avg(q(column).rlike(NUMBER_TEXT).cast("double")), 6).alias("numeric_fraction"))
 
 
-@nan_free
 def structure(df: DataFrame) -> DataFrame:
     """Flags and candidate roles of each column."""
     rows = F.col("non_null") + F.col("missing")
-    both = attribute_counts(df).join(roles(df), "column_name")
-    return both.select(
+    return with_roles(column_facts(df)).select(
         "column_name", (F.col("unique_count") == 0).alias("empty"), (F.col("unique_count") == 1).alias("constant"), ((F.col("cardinality") <= NEAR_CONSTANT) & (F.col("unique_count") > 1)).alias("near_constant"),
         ((F.col("missing") == 0) & (F.col("unique_count") == rows) & (rows > 0)).alias("candidate_key"), F.lower("column_name").isin(*IDENTIFIER_NAMES).alias("candidate_index"), "candidate_identifier", "candidate_grouping", "candidate_target",
     )

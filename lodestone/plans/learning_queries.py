@@ -76,7 +76,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN issue IS NULL THEN round(a + b1 * x +
 
 # --- workflows --------------------------------------------------------------------
 
-_RULES = {"small_and_cheap": (F.col("l_quantity") < 5) & (F.col("l_extendedprice") < 2000), "never": F.col("l_quantity") < 0}
+_RULES = {"small_and_cheap": "l_quantity < 5 AND l_extendedprice < 2000", "never": "l_quantity < 0"}
 _ONE = "(SELECT 0 AS g0, * FROM lineitem)"
 _REPORT = " UNION ALL ".join(f"SELECT '{s}' AS section, '{n}' AS name, round(CAST({e} AS DOUBLE), 4) AS value FROM {f}" for s, n, e, f in (
     *(("statistics", n, e, "lineitem") for n, e in (("rows", "count(*)"), ("mean", "avg(l_extendedprice)"), ("std", "stddev_pop(l_extendedprice)"), ("min", "min(l_extendedprice)"), ("max", "max(l_extendedprice)"), ("total", "sum(l_extendedprice)"))),
@@ -86,4 +86,4 @@ _REPORT = " UNION ALL ".join(f"SELECT '{s}' AS section, '{n}' AS name, round(CAS
 register("workflow_demand", _REPORT + " UNION ALL SELECT 'regimes', l_returnflag, round(avg(l_extendedprice), 4) FROM lineitem GROUP BY l_returnflag")(
     lambda t: workflows.demand(t("lineitem"), "l_extendedprice", _FEATURES, "l_returnflag", _KEYS, _RULES))
 register("workflow_productivity", None)(
-    lambda t: workflows.productivity(t("part"), "p_retailprice", ["p_size", "p_partkey"], "p_partkey", {"small": F.col("p_size") < 3}, trees=5, depth=3, folds=2))
+    lambda t: workflows.productivity(t("part"), "p_retailprice", ["p_size", "p_partkey"], "p_partkey", {"small": "p_size < 3"}, trees=5, depth=3, folds=2))

@@ -29,14 +29,14 @@ def _figures(df: DataFrame, target: str) -> DataFrame:
     return _rows(s, "statistics", rows=F.col("rows"), mean=F.col("mean"), std=F.col("std"), min=F.col("min"), max=F.col("max"), total=F.col("sum"))
 
 
-def _anomalies(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """How many rows each rule names; rules without any are left out."""
-    s = df.agg(*(F.count_if(rule).alias(name) for name, rule in rules.items()))
+def _anomalies(df: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """How many rows each rule, a condition in SQL, names; rules without any are left out."""
+    s = df.agg(*(F.count_if(F.expr(rule)).alias(name) for name, rule in rules.items()))
     return _rows(s, "anomalies", **{name: F.col(name) for name in rules}).where("value > 0")
 
 
 @nan_free
-def demand(df: DataFrame, target: str, features: Sequence[str], regime: str, keys: Sequence[str], rules: dict[str, Column], folds: int = 3, alpha: float = 1.0) -> DataFrame:
+def demand(df: DataFrame, target: str, features: Sequence[str], regime: str, keys: Sequence[str], rules: dict[str, str], folds: int = 3, alpha: float = 1.0) -> DataFrame:
     """The report of a quantity over time: its figures, its means by regime, anomalies, and
     the mean errors of a ridge model over expanding folds in the order of ``keys``."""
     by = learning.regimes(df, regime, target).select(F.lit("regimes").alias("section"), F.coalesce(q(regime).cast("string"), F.lit("")).alias("name"), F.round("mean", 4).alias("value"))
@@ -47,7 +47,7 @@ def demand(df: DataFrame, target: str, features: Sequence[str], regime: str, key
 
 
 @nan_free
-def productivity(df: DataFrame, target: str, features: Sequence[str], key: str, rules: dict[str, Column], trees: int = 100, depth: int = 6, folds: int = 5, seed: int = 42) -> DataFrame:
+def productivity(df: DataFrame, target: str, features: Sequence[str], key: str, rules: dict[str, str], trees: int = 100, depth: int = 6, folds: int = 5, seed: int = 42) -> DataFrame:
     """The report of a process: figures of its target, the features that go with it most
     and least, anomalies, and the errors of a random forest over hashed folds."""
     ends = relate.target_correlations(df, target, list(features))
