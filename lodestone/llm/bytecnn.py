@@ -18,7 +18,7 @@ never in the sample; labels without quality are unlabelled, repeated labels of a
 document count once (the smaller quality).  Without two classes in the labels,
 every score is the share of label 1 (0.5 without labels).  Labels, lang, source
 and doc_id are no inputs.  Repeated rows give equal rows.  An empty table gives no
-rows.
+rows.  Other columns, whatever their names, are not read.
 
 Stage ``keep_good``: rows go or stay by their text alone; other columns, whatever
 their names, aren't read or changed.

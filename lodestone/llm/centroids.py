@@ -17,7 +17,8 @@ Query ``op9_centroid_langid``: one row per row of ``documents``.  Null texts and
 texts without a letter: ``und``, score 0.  Others get a learned language, with
 ``rejected`` beside it.  Ties go to the language that sorts first.  Without
 learning texts everything is ``und``.  lang, source and doc_id are no inputs of a
-prediction.  Repeated rows give equal rows, an empty table gives none.
+prediction.  Repeated rows give equal rows, an empty table gives none.  Other columns,
+whatever their names, are not read.
 
 Stage ``keep_known``: rows go or stay by their text alone; other columns, whatever
 their names, aren't read or changed.

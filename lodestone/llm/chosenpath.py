@@ -29,7 +29,8 @@ Query ``op4_chosen_path_neardup``: one row per row of ``documents``; sets of
 empty set, linked with nothing.  Rows with one doc_id are one document, linked by
 any of their texts; each row keeps its own n_shingles.  Rows without a doc_id are
 documents too: their component_id is the smallest doc_id they reach, null if there is
-none, and kept is true only then.  An empty table gives no rows.
+none, and kept is true only then.  Very long texts are sets of all their shingles.  An
+empty table gives no rows.  Other columns, whatever their names, are not read.
 
 Stage ``keep_one_each``: of each group of rows whose texts are linked, the row with
 the smallest doc_id stays (null comes last; of equal doc_ids the one with the smaller

@@ -11,16 +11,23 @@ stand between two of them, and any that aren't known.
 
 All of it happens within the row: no shuffle, no row per sentence.
 
+An SPDX expression is a sentence for each identifier that or, and, with join.  A name that
+another one says more exactly (``COVERED``) isn't given beside it.
+
 Query ``op3_license_scan``: one row per row of ``documents``: doc_id, sentence_ids
 (joined by commas), n_sentences, licenses (names of all rules that match, in the
 rules' order, joined by semicolons) and license (the first of them, null if none).
-Null and empty texts: no sentences.  Repeated rows give equal rows; an empty table
-none.
+Null and empty texts: no sentences.  Very long texts are scanned whole, within their row.
+Of several known joins from a fragment the shortest counts, so there are no ties.
+Repeated rows give equal rows; an empty table none.  Other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,20 +86,34 @@ SENTENCES = {
     "unlicense-short": ["SPDX-License-Identifier: Unlicense"],
     "cc-by-sa-short": ["Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
 }
+#: Who is licensed, how, and the licences that are named in a sentence of that form.
+SUBJECTS = ("This file", "This project", "This software", "This program", "This code", "This work")
+VERBS = ("licensed under", "released under", "distributed under")
+NAMED = {
+    "mit-short": "the MIT License", "apache-short": "the Apache License, Version 2.0", "gpl3-short": "the GNU General Public License, version 3", "gpl2-short": "the GNU General Public License, version 2",
+    "bsd3-short": "the BSD 3-Clause License", "bsd2-short": "the BSD 2-Clause License", "isc-short": "the ISC License", "mpl-short": "the Mozilla Public License 2.0",
+}
+for _id, _name in NAMED.items():
+    SENTENCES[_id] = list(dict.fromkeys([*SENTENCES[_id], *(f"{v.capitalize()} {_name}." for v in VERBS), *(f"{s} is {v} {_name}." for s in SUBJECTS for v in VERBS)]))
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
+    ("MIT", ["mit-notice", "mit-warranty", "mit-liability"]),
     ("MIT", ["mit-short"]),
     ("Apache-2.0", ["apache-grant", "apache-use", "apache-copy"]),
+    ("Apache-2.0", ["apache-copy", "apache-unless", "apache-see"]),
     ("Apache-2.0", ["apache-short"]),
     ("GPL-3.0-or-later", ["gpl-grant-3", "gpl-warranty"]),
     ("GPL-3.0", ["gpl3-short"]),
     ("GPL-2.0-or-later", ["gpl-grant-2", "gpl-warranty"]),
     ("GPL-2.0", ["gpl2-short"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSD-3-Clause", ["bsd-source", "bsd-binary", "bsd-names", "bsd-warranty"]),
     ("BSD-3-Clause", ["bsd3-short"]),
-    ("BSD-2-Clause-or-3", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-warranty"]),
     ("MPL-2.0", ["mpl-grant"]),
+    ("MPL-2.0", ["mpl-copy"]),
     ("MPL-2.0", ["mpl-short"]),
     ("Unlicense", ["unlicense-grant"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-short"]),
@@ -111,8 +132,13 @@ RULES = [
     ("BSL-1.0", ["boost-grant"]),
     ("Unlicense", ["unlicense-short"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-short"]),
+    ("GPL", ["gpl-warranty", "gpl-received"]),
 ]
+#: A name goes where one of these says more.
+COVERED = {"BSD-2-Clause": ["BSD-3-Clause"], "GPL": sorted({name for name, _ in RULES if "GPL-" in name})}
 
+#: The fragment before an expression of identifiers, and what joins these.
+SPDX, JOINED, LATER = "spdx license identifier", " (?:or|and|with) ", " or later"
 #: What ends a fragment; both engines' patterns mean the same by it.
 BREAK, REST = "[.!?;:]+([ \\t\\r\\n]|\\z)|\\n", "[^A-Za-z0-9\\x01]+"
 
@@ -130,6 +156,18 @@ MOST_WORDS, MOST_CHARS = max(len(s.split(" ")) for s in KNOWN), max(map(len, KNO
 RUNS = [(name, "," + f",([0-9]+,){{0,{GAP}}}".join(str(NUMBERED[s]) for s in run) + ",") for name, run in RULES]
 
 
+def spread(parts: Column) -> Column:
+    """Fragments with each identifier of an expression after a fragment of its own."""
+    kept = lambda x: F.replace(x, F.lit("+"), F.lit(LATER))
+    each = lambda p: F.flatten(F.transform(F.split(p, JOINED), lambda x, k: F.when(k == 0, F.array(kept(x))).otherwise(F.array(F.lit(SPDX), kept(x)))))
+
+    def one(p: Column, i: Column) -> Column:
+        whole = F.replace(p, F.lit(LATER), F.lit("+"))
+        return F.when((i > 0) & (F.get(parts, i - 1) == SPDX) & whole.rlike(JOINED), each(whole)).otherwise(F.array(p))
+
+    return F.when(F.array_contains(parts, SPDX), F.flatten(F.transform(parts, one))).otherwise(parts)
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of known sentences in a text, in order (array<int>)."""
     marked = F.regexp_replace(F.regexp_replace(text, BREAK, "\u0001"), REST, " ")
@@ -144,13 +182,19 @@ def sentence_ids(text: Column) -> Column:
         whole = lambda h, s: h["flat"].startswith(s) & F.substring(h["cut"], len(s) + 1, 1).isin("", "\u0001")
         return F.array_compact(F.transform(both, lambda h: F.coalesce(*(F.when(whole(h, s), F.lit(k)) for s, k in sorted(KNOWN.items(), key=lambda x: len(x[0]))))))
 
-    return let(fragments, found)
+    return let(let(fragments, spread), found)
 
 
 def matched(ids: Column) -> Column:
     """The names of the rules that a text's identifiers match."""
     line = F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ","), F.lit(","))
-    return F.array_distinct(F.array_compact(F.array(*(F.when(line.rlike(run), F.lit(name)) for name, run in RUNS))))
+    named = F.array_distinct(F.array_compact(F.array(*(F.when(line.rlike(run), F.lit(name)) for name, run in RUNS))))
+
+    def said(names: Column) -> Column:
+        covered = lambda n: reduce(or_, ((n == name) & F.arrays_overlap(names, F.array(*map(F.lit, by))) for name, by in COVERED.items()))
+        return F.filter(names, lambda n: ~covered(n))
+
+    return let(named, said)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -173,13 +217,16 @@ def _quoted(items) -> str:
 SQL = rf"""
 WITH known(s, id) AS (VALUES {", ".join(f"('{s}', {k})" for s, k in KNOWN.items())}),
 rules(k, name, run) AS (VALUES {", ".join(f"({k}, '{name}', '{run}')" for k, (name, run) in enumerate(RUNS))}),
-f AS (SELECT doc_id, list_filter(list_transform(string_split(lower(regexp_replace(regexp_replace(coalesce(text, ''), '[.!?;:]+([ \t\r\n]|\z)|\n', chr(1), 'g'), '[^A-Za-z0-9\x01]+', ' ', 'g')), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
+cut AS (SELECT doc_id, list_filter(list_transform(string_split(lower(regexp_replace(regexp_replace(coalesce(text, ''), '[.!?;:]+([ \t\r\n]|\z)|\n', chr(1), 'g'), '[^A-Za-z0-9\x01]+', ' ', 'g')), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
+f AS (SELECT doc_id, CASE WHEN list_contains(parts, '{SPDX}') THEN flatten(list_transform(parts, lambda p, g: CASE WHEN g > 1 AND parts[g - 1] = '{SPDX}' AND regexp_matches(replace(p, '{LATER}', '+'), '{JOINED}')
+  THEN flatten(list_transform(string_split_regex(replace(p, '{LATER}', '+'), '{JOINED}'), lambda x, h: CASE WHEN h = 1 THEN [replace(x, '+', '{LATER}')] ELSE ['{SPDX}', replace(x, '+', '{LATER}')] END)) ELSE [p] END)) ELSE parts END AS parts FROM cut),
 starts AS (SELECT doc_id, i, parts FROM f, range(1, CAST(len(parts) + 1 AS BIGINT)) AS t(i) WHERE array_to_string(list_slice(string_split(array_to_string(list_slice(parts, i, i + 1), ' '), ' '), 1, 2), ' ') IN ({_quoted(STARTS)})),
 joins AS (SELECT doc_id, i, n, array_to_string(list_slice(parts, i, i + n - 1), ' ') AS s FROM starts, range(1, {MOST_WORDS + 1}) AS t(n) WHERE i + n - 1 <= len(parts)),
 hits AS (SELECT doc_id, i, arg_min(id, n) AS id FROM joins JOIN known USING (s) GROUP BY 1, 2),
 seqs AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids, count(*) AS n FROM hits GROUP BY 1),
+covers(name, other) AS (VALUES {", ".join(f"('{n}', '{x}')" for n, by in COVERED.items() for x in by)}),
 named AS (SELECT doc_id, name, min(k) AS k FROM seqs, rules WHERE regexp_matches(',' || ids || ',', run) GROUP BY 1, 2),
-names AS (SELECT doc_id, string_agg(name, ';' ORDER BY k) AS licenses, arg_min(name, k) AS license FROM named GROUP BY 1)
+names AS (SELECT doc_id, string_agg(name, ';' ORDER BY k) AS licenses, arg_min(name, k) AS license FROM named n WHERE NOT EXISTS (SELECT 1 FROM covers c JOIN named o ON o.name = c.other WHERE c.name = n.name AND o.doc_id = n.doc_id) GROUP BY 1)
 SELECT d.doc_id, coalesce(ids, '') AS sentence_ids, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(licenses, '') AS licenses, license
 FROM documents d LEFT JOIN seqs USING (doc_id) LEFT JOIN names USING (doc_id)
 """

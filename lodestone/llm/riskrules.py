@@ -20,7 +20,8 @@ empty texts: zero counts, base_failed.  Labels without quality or doc_id don't
 count; repeated labels of a document count once (its smaller quality), repeated
 documents each.  Ties between cutoffs can't occur: the strictest passing one is
 used.  Without labels no cutoff is used and kept is the negation of base_failed.
-An empty table gives no rows.
+Very long texts are counted whole, within their row.  An empty table gives no rows.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ Query ``op8_balanced_propagation``: one row per row of ``documents``: size (UTF-
 bytes of the text, null: none, plus 8), text_crc32 (null: of the empty text), shard,
 slot, and grown_shard null.  Null and empty texts are equal to each other and a
 group like others.  Null and repeated doc_ids are placed like others.  Ties are
-broken by hashes and doc_ids.  An empty table gives no rows.
+broken by hashes and doc_ids.  Very long texts are hashed whole where they are read.  An
+empty table gives no rows.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

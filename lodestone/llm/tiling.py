@@ -22,7 +22,8 @@ Query ``op10_string_tiling``: one row for each document row and item it leaks,
 over the whole tables.  Null and empty texts leak nothing; items without words are
 never leaked; repeated item rows count once, repeated documents each; a null doc_id
 or item_id is kept as null.  Ties between matches go to the smaller start in the
-item, then in the document.  Empty tables give no rows.
+item, then in the document.  Very long texts are tiled whole.  Empty tables give no
+rows.  Other columns, whatever their names, are not read.
 
 Stage ``keep_unseen``: rows go or stay by their text alone, with or without a doc_id;
 other columns, whatever their names, aren't read or changed.

@@ -1,8 +1,8 @@
 """WARC archives as chunked records.
 
 Writing: a payload is cut on the JVM's side into rows of at most ``CHUNK`` bytes
-(record identifier, chunk number, bytes), which a task streams into its archive;
-it never holds a payload.  Of records with equal payloads of at least a given size,
+(record identifier, chunk number, bytes), one at a time, which a task streams into its
+archive; beside the payload's row it holds one chunk.  Of records with equal payloads of at least a given size,
 the one with the smallest identifier is a ``response``; the others are ``revisit``
 records without the payload, with its digest, its length and the identifier they
 refer to.  Equality is that of SHA-1 and length; only these move to find it.
@@ -20,7 +20,7 @@ Null html: an empty payload.  Empty payloads are equal to each other.  A repeate
 page_id with an equal payload is a revisit of itself beyond the first row; with
 another payload it's a record of its own.  Null page_ids: records without a
 number, which come after all others among equals.  An empty table gives no
-archives and no rows.
+archives and no rows.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ NO_ID = "none"
 
 def classified(pages: DataFrame, work: Workspace, least_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
     """All rows (page_id, url, payload, size, sha1 in hex), and the page_ids with
-    equal payloads (page_id, sha1, size, refers_to, copies).  Payloads themselves
-    don't move."""
+    equal payloads (page_id, sha1, size, refers_to, copies).  Only digests are
+    compared here; payloads meet their classes when they are written."""
     payload = F.encode(blank_text(F.col("html")), "UTF-8")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     keyed = base.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
@@ -67,10 +67,12 @@ def write_archives(pages: DataFrame, folder: str, work: Workspace, least_bytes:
     copies = several.where("copies > 1").withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "sha1").orderBy("url")))
     rows = plain.unionByName(copies).withColumn("revisit", F.col("equal") & (~F.col("own") | (F.col("nth") > 1)))
     number = F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit(NO_ID)), F.left("sha1", F.lit(8)), "nth")
-    pieces = F.when(F.col("revisit") | (F.col("size") == 0), F.array(F.struct(F.lit(0).alias("chunk"), F.lit(b"").alias("data")))).otherwise(
-        F.transform(F.sequence(F.lit(0), ((F.col("size") - 1) / chunk).cast("int")), lambda i: F.struct(i.alias("chunk"), F.substring(F.col("payload"), i * chunk + 1, F.lit(chunk)).alias("data")))
-    )
-    chunked = rows.withColumn("number", number).select("number", "page_id", "url", "size", "sha1", "refers_to", "revisit", F.explode(pieces).alias("piece")).select("*", "piece.chunk", "piece.data").drop("piece")
+    bare = F.col("revisit") | (F.col("size") == 0)
+    last = F.when(bare, 0).otherwise(((F.col("size") - 1) / chunk).cast("int"))
+    # Only chunk numbers are listed; a chunk is cut out of the payload when its row is made.
+    numbered = rows.withColumn("number", number).select("number", "page_id", "url", "size", "sha1", "refers_to", "revisit", "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    data = F.when(bare, F.lit(b"")).otherwise(F.substring(F.col("payload"), F.col("chunk") * chunk + 1, F.lit(chunk)))
+    chunked = numbered.select("number", "page_id", "url", "size", "sha1", "refers_to", "revisit", "chunk", data.alias("data"))
 
     @frugal
     def write(batches):

@@ -40,6 +40,7 @@ def odd(spark, tables):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 0), (None, 1, 0), (6, 1, None), (9, None, 0)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "w5 w6 w7 w8 w9 w10"), (1, "w5 w6 w7 w8 w9 w10"), (2, None), (3, ""), (None, "three four five six"), (4, "zz")], "item_id long, text string")
     pages = spark.createDataFrame([(1, "u", "a" * 1000), (2, "u", "a" * 1000), (2, "u", "a" * 1000), (3, "u", None), (4, None, ""), (None, "u", "zz"), (5, "http://x/ y", "é\r\n\r\n" * 300), (1, "u", "a" * 1000)], "page_id long, url string, html string")
+    pages = pages.selectExpr("*", "'x' AS size", "1 AS sha1", "'n' AS number", "0 AS chunk", "'p' AS payload", "true AS revisit")
     return rows, tables(documents=docs, labels=labels, benchmark=bench, pages=pages)
 
 

@@ -293,7 +293,7 @@ def test_op8(spark, odd, documents, odd_rows):
         for r in found:
             groups[text[r["doc_id"]]].add(r["shard"])
         many = [g for t, g in groups.items() if sum(x == t for _, x in documents) > 1]
-        assert sum(len(g) > 1 for g in many) <= 0.25 * len(many)
+        assert sum(len(g) > 1 for g in many) <= 0.05 * len(many)
 
 
 def test_op10(spark, documents, odd):
@@ -439,3 +439,18 @@ def test_risk_rules_use_cutoffs_that_hold(spark):
     labels = spark.createDataFrame([(k, 1) for k in range(1500)], "doc_id long, quality int")
     kept = {r.doc_id for r in judged(docs, labels, Workspace(spark, "t")).where("kept").collect()}
     assert kept == set(range(1500))
+
+
+def test_op3_expressions_subjects_and_covered_names(spark):
+    from lodestone.llm import licenses
+
+    said = lambda *names: "\n".join(licenses.SENTENCES[x][0] for x in names)
+    texts = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT;Apache-2.0", "// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND ISC": "GPL-2.0-or-later;ISC",
+        "This file is released under the MIT License.": "MIT", "This software is licensed under the ISC License.": "ISC", said("bsd-grant", "bsd-source", "bsd-binary"): "BSD-2-Clause",
+        said("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"): "BSD-3-Clause", said("mpl-copy"): "MPL-2.0", said("apache-copy", "apache-unless", "apache-see"): "Apache-2.0", said("gpl-warranty", "gpl-received"): "GPL",
+        said("gpl-grant-2", "gpl-warranty", "gpl-received"): "GPL-2.0-or-later", said("isc-warranty"): "ISC", "SPDX-License-Identifier: Unknown OR Other": "", "MIT or Apache-2.0": "",
+    }
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in found] == list(texts.values())
+    assert not set(licenses.SENTENCES) - {x for _, run in licenses.RULES for x in run}
