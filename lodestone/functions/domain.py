@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,3 +160,25 @@ def range_warnings(ranges: dict[str, tuple[float, float]]) -> Column:
     """One text per value outside its range."""
     checks = [F.when((F.col(c) < low) | (F.col(c) > high), F.lit(f"{c} outside {low}-{high}")) for c, (low, high) in ranges.items()]
     return F.array_compact(F.array(*checks))
+
+
+#: Ranges that scale gases and shares; a burden has at most so many components.
+PERCENT, COMPONENTS = (0.0, 100.0), (1.0, 6.0)
+
+
+def feature_names(chemistry: Sequence[str], types: Sequence[str]) -> list[str]:
+    """What ``features`` holds, in its order."""
+    return [*chemistry, "CO_pct", "H2_pct", "N2_pct", "sinter_pct", "ore_pct", "pellet_pct", "other_pct", "num_components", "CO_x_Basicity", "reducing_ratio", "Basicity_x_sinter", *(f"type_{t}" for t in sorted(types))]
+
+
+def features(chemistry: dict[str, tuple[float, float]], basicity: str, gases: Column, burden_text: Column, kind: Column, types: Sequence[str]) -> Column:
+    """The vector of a row as a model takes it: chemistry in its ranges, gases and burden
+    read from texts and scaled, their interactions, and the test's type one-hot.  A gap
+    in the chemistry is a null there."""
+    gas_ = {g: gas(gases, g) for g in ("CO", "H2", "N2")}
+    parts = burden_parts(burden_text)
+    plain = [scaled(F.col(f"`{c}`").cast("double"), *r) for c, r in chemistry.items()]
+    air = [scaled(x, *PERCENT) for x in gas_.values()]
+    mixed = [scaled(parts[k], *PERCENT) for k in ("sinter_pct", "ore_pct", "pellet_pct", "other_pct")] + [scaled(parts["num_components"].cast("double"), *COMPONENTS)]
+    both = interactions(gas_["CO"], gas_["H2"], gas_["N2"], F.col(f"`{basicity}`").cast("double"), parts["sinter_pct"])
+    return F.array(*plain, *air, *mixed, *both, *one_hot(kind, sorted(types), "type"))

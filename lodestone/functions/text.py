@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 
 def paragraphs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -115,13 +114,31 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"-?\d+\.?\d*%?"), F.lit(0)))
 
 
-@F.udf(returnType=ArrayType(StringType()), useArrow=True)
-def numeric_facts(text):
-    """The distinct numbers of a text as ``%g`` writes them, so 4 and 4.0 are one;
-    with a per cent sign they are facts of their own."""
-    if text is None:
-        return None
-    return list(dict.fromkeys(f"{float(x.rstrip('%')):g}" + "%" * x.endswith("%") for x in re.findall(r"-?\d+\.?\d*%?", text)))
+def general(x: Column) -> Column:
+    """A double as ``%g`` writes it: six digits, without zeros at the end, with an exponent
+    where the number is small or large."""
+    spelled = F.format_string("%.5e", x)
+    digits, power = F.substring_index(spelled, "e", 1), F.substring_index(spelled, "e", -1).cast("int")
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    fixed = bare(spelled.cast("double").cast("decimal(20,9)").cast("string"))
+    sign = F.when(x.cast("string").startswith("-") & (x == 0), F.lit("-")).otherwise(F.lit(""))
+    return F.when(power.between(-4, 5), F.concat(sign, fixed)).otherwise(F.concat(bare(digits), F.lit("e"), F.substring_index(spelled, "e", -1)))
+
+
+def numeric_facts(text: Column) -> Column:
+    """The distinct numbers of a text as ``%g`` writes them, so 4 and 4.0 are one; with a
+    per cent sign they are facts of their own."""
+    found = F.regexp_extract_all(text, F.lit(r"-?\d+\.?\d*%?"), F.lit(0))
+    fact = lambda x: F.concat(general(F.regexp_replace(x, "%$", "").cast("double")), F.when(F.endswith(x, F.lit("%")), "%").otherwise(""))
+    return F.array_distinct(F.transform(found, fact))
+
+
+def facts_of_attributes(attributes: Column) -> Column:
+    """For each entry of a map of numbers the forms that its fact may take: as it is, and
+    a share from 0 to 1 also as a percentage, whole or as ``%g`` writes it."""
+    share = lambda v: F.array(F.concat(general(v * 100), F.lit("%")), F.concat(general(F.bround(v * 100)), F.lit("%")))
+    forms = lambda v: F.when(v.between(0, 1), F.concat(F.array(general(v)), share(v))).otherwise(F.array(general(v)))
+    return F.transform(F.map_values(F.map_filter(attributes, lambda k, v: v.isNotNull() & ~F.isnan(v))), forms)
 
 
 def lost_facts(source: Column, text: Column) -> Column:

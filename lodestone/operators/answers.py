@@ -27,7 +27,10 @@ SENTENCES, LONG = 2, 4
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+    """The sentences of a text; the point of a number ends none."""
+    kept = F.regexp_replace(text, "([0-9])[.]([0-9])", "$1\u0001$2")
+    plain = lambda s: F.trim(F.regexp_replace(F.translate(s, "\u0001", "."), r"\s+", " "))
+    return F.filter(F.transform(F.regexp_extract_all(kept, F.lit(SENTENCE), F.lit(0)), plain), lambda s: s != "")
 
 
 def long_words(text: Column) -> Column:

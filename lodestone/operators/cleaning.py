@@ -18,14 +18,13 @@ from .query import nan_free, q
 def duplicates(df: DataFrame, keys: list[str], row: str) -> DataFrame:
     """Rows beyond the first of each set with equal keys, nulls being equal.
 
-    The first row of a key is found by an aggregate that sums up before the
-    shuffle, and joined back; a key with very many rows is no single task's."""
-    firsts = df.groupBy(*(q(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min(q(row)).alias("_first"))
-    same = [q(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return df.join(firsts, on).where(q(row) > F.col("_first")).select(*map(q, df.columns))
+    Keys are told apart by 128 bits of hashes of their values and of which are null, so
+    long texts aren't keys of a shuffle.  Hashes are counted before they move, and only
+    those that occur more than once meet the rows again."""
+    values = [*(q(k) for k in keys), *(q(k).isNull() for k in keys)]
+    hashed = df.withColumns({"_h1": F.xxhash64(*values), "_h2": F.xxhash64(F.lit(1), *values)})
+    firsts = hashed.groupBy("_h1", "_h2").agg(F.min(q(row)).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return hashed.join(firsts, ["_h1", "_h2"]).where(q(row) > F.col("_first")).select(*map(q, df.columns))
 
 
 @nan_free

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import evaluate, order
+from . import evaluate, order, retrieval
 from .query import nan_free, q
 
 # --- folds ----------------------------------------------------------------------
@@ -188,21 +188,30 @@ def load_best(folder: str, target: str) -> PipelineModel:
     return PipelineModel.load(f"{folder}/best_{target.replace('-', '_')}")
 
 
-def assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="keep")
+def preparation(features: Sequence[str]) -> list:
+    """The stages before a model: gaps become the column's mean over the learned rows, as
+    trees take no gaps, and the features one vector."""
+    filled = [f"{FEATURES}_{i}" for i in range(len(features))]
+    return [Imputer(inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol=FEATURES)]
+
+
+def prepared(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``df`` with its features as one vector."""
+    return Pipeline(stages=preparation(features)).fit(df).transform(df)
 
 
 @nan_free
 def train(df: DataFrame, targets: Sequence[str], features: Sequence[str], key: str, space: Mapping[str, Mapping[str, Sequence]] = SPACE, draws: int = 25, tune_folds: int = 3, folds: int = 5, seed: int = 42, parallel: int = 4) -> Trained:
     """For every target and family: ``draws`` settings at random are compared by their
     error over ``tune_folds`` folds, the best one is measured over ``folds`` others and
-    fitted on all rows.  Rows without the target go; features without a value are
-    NaN, which trees take.  Fits run ``parallel`` at a time on the cluster."""
+    fitted on all rows.  Rows without the target go; features without a value get the
+    mean of all rows, folds included.  Fits run ``parallel`` at a time on the cluster."""
     rows, models = [], {}
     for target in targets:
         data = df.where(q(target).isNotNull()).withColumn("_label", q(target).cast("double"))
         data = hashed_folds(hashed_folds(data, key, tune_folds, "_tune"), key, folds, "_fold")
-        data = assembler(features).transform(data.select("_label", "_tune", "_fold", *(F.coalesce(q(f).cast("double"), F.lit(float("nan"))).alias(f) for f in features))).cache()
+        raw = data.select("_label", "_tune", "_fold", *(q(f).cast("double").alias(f) for f in features))
+        data = prepared(raw, features).cache()
         try:
             for name, spread in space.items():
                 settings = drawn(spread, draws, seed)
@@ -214,7 +223,7 @@ def train(df: DataFrame, targets: Sequence[str], features: Sequence[str], key: s
                 best = int(np.argmin(found.avgMetrics))
                 chosen = family.copy(grid[best])
                 rows.append((target, name, str(sorted(settings[best].items())), *_measured(data, chosen, folds)))
-                models[target, name] = Pipeline(stages=[assembler(features), chosen]).fit(data.drop(FEATURES))
+                models[target, name] = Pipeline(stages=[*preparation(features), chosen]).fit(raw)
         finally:
             data.unpersist()
     fields = ", ".join(f"{m} double, {m}_std double" for m in ("mae", "rmse", "r2"))
@@ -283,10 +292,9 @@ def predict(df: DataFrame, score, features: Mapping[str, tuple[float, float] | N
 
 
 def by_model(model: PipelineModel):
-    """A score by a fitted pipeline, whose trees see NaN for what isn't there."""
-    inputs = model.stages[0].getInputCols()
-    own = [FEATURES]
-    return lambda df: model.transform(df.withColumns({c: F.coalesce(q(c), F.lit(float("nan"))) for c in inputs})).drop(*own)
+    """A score by a fitted pipeline of ``train``."""
+    own = [FEATURES, *model.stages[0].getOutputCols()]
+    return lambda df: model.transform(df).drop(*own)
 
 
 def by_line(models: DataFrame, features: Sequence[str], by: Sequence[str] = ()):
@@ -304,6 +312,21 @@ def by_line(models: DataFrame, features: Sequence[str], by: Sequence[str] = ()):
     return score
 
 
+def calculate(df: DataFrame, key: str, score, features: Mapping[str, tuple[float, float] | None], training: DataFrame, training_key: str) -> DataFrame:
+    """``predict`` with distance and confidence beside it: how far the nearest row of
+    ``training``, whose features are numbers, is from each row's inputs, and what that
+    makes of the prediction (high, medium, low; failed for rows that aren't valid).  Keys
+    are whole numbers that differ in each table."""
+    kinds = dict(df.dtypes)
+    done = predict(df, score, features)
+    inputs = F.array(*(_read(c, kinds[c]) for c in features))
+    asked = done.where("valid").select((-1 - q(key).cast("long")).alias("query_id"), inputs.alias("q"))  # no row is its own neighbour
+    known = training.select(q(training_key).cast("long").alias("id"), F.array(*(q(c).cast("double") for c in features)).alias("v"))
+    near = retrieval.nearest_in_blocks(known, asked, "v", "id").select((-1 - F.col("query_id")).alias("_key"), "distance")
+    sure = F.when(F.col("valid"), F.coalesce(retrieval.confidence(F.col("distance")), F.lit("low"))).otherwise("failed")
+    return done.join(near, q(key).cast("long") == F.col("_key"), "left").drop("_key").withColumn("confidence", sure)
+
+
 # --- workflows --------------------------------------------------------------------
 
 

@@ -30,6 +30,12 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode(parts).alias("p")).select("p.*").where("n >= 3")
 
 
+def strong_pairs(df: DataFrame, columns: list[str], least: float = 0.9) -> DataFrame:
+    """The pairs whose Pearson correlation is at least as strong, with what is said of them."""
+    said = F.format_string("'%s' and '%s' are strongly correlated (%.3f).", "left_column", "right_column", "r")
+    return pearson_pairs(df, columns).where(F.abs("r") >= least).withColumn("message", said)
+
+
 @nan_free
 def average_ranks(values: DataFrame, column: str) -> DataFrame:
     """value, rank: average ranks from one row per distinct value."""

@@ -40,7 +40,7 @@ def top_k_of(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embed
     """query_id, key, score, rank for each row of ``queries`` (query_id, q); a stated
     and small set of queries, all of which every corpus row meets once."""
     score = F.round(inner_product(F.col(vector), F.col("q")), 6)
-    scored = corpus.select(key, vector).crossJoin(F.broadcast(queries)).where(F.col(key) != F.col("query_id")).select("query_id", key, score.alias("score")).where(scorable(F.col("score")))
+    scored = corpus.select(key, vector).crossJoin(queries).where(F.col(key) != F.col("query_id")).select("query_id", key, score.alias("score")).where(scorable(F.col("score")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -87,15 +87,61 @@ def top_k_in_blocks(corpus: DataFrame, queries: DataFrame, k: int, vector: str =
             ids = np.repeat(np.frombuffer(asked, "i8"), [len(x) for x, _ in found])
             yield pa.RecordBatch.from_pydict({"query_id": ids, key: np.concatenate([x for x, _ in found]), "score": pa.array(np.concatenate([y for _, y in found]), from_pandas=True)})
 
-    blocks = _packed(corpus, key, vector).crossJoin(F.broadcast(_packed(queries, "query_id", "q").toDF("asked", "wanted")))
+    blocks = _blocks(corpus, queries, vector, key)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return blocks.mapInArrow(run, f"query_id long, `{key}` long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _blocks(corpus: DataFrame, queries: DataFrame, vector: str, key: str) -> DataFrame:
+    """Every block of rows beside every block of queries.  Spark broadcasts the queries if
+    they are as small as it allows, and deals pairs of partitions out if they aren't."""
+    return _packed(corpus, key, vector).crossJoin(_packed(queries, "query_id", "q").toDF("asked", "wanted"))
+
+
+def nearest_in_blocks(corpus: DataFrame, queries: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """query_id, distance: how far the nearest other row of ``corpus`` is from each of
+    ``queries`` (query_id, q), for query sets that grow with the corpus; keys are whole
+    numbers.  Queries without a finite vector, or without another row, are left out.
+
+    A block's distances are worked out only for queries that it could come nearer to: two
+    vectors are at least as far apart as their lengths are."""
+
+    def run(batches):
+        best: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            for ids, vectors, asked, wanted in zip(*(column.to_pylist() for column in batch.columns)):
+                keys, q = np.frombuffer(ids, "i8"), np.frombuffer(asked, "i8")
+                a, b = np.frombuffer(wanted, "f8").reshape(len(q), -1), np.frombuffer(vectors, "f8").reshape(len(keys), -1)
+                held = best.setdefault(asked, np.full(len(q), np.inf))
+                fine = np.isfinite(b).all(axis=1) if b.shape[1] else np.zeros(len(keys), bool)
+                if a.shape[1] != b.shape[1] or not fine.any():
+                    continue
+                keys, b = keys[fine], b[fine]
+                long, own = np.linalg.norm(b, axis=1), np.linalg.norm(a, axis=1)
+                gap = np.maximum(0, np.maximum(long.min() - own, own - long.max()))
+                some = np.flatnonzero(gap < held)  # not those that are NaN
+                for at in range(0, len(some), 64):
+                    i = some[at : at + 64]
+                    square = ((a[i][:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+                    square[q[i][:, None] == keys[None, :]] = np.inf
+                    held[i] = np.fmin(held[i], np.sqrt(square.min(axis=1)))
+        for asked, found in best.items():
+            near = np.isfinite(found)
+            yield pa.RecordBatch.from_pydict({"query_id": np.frombuffer(asked, "i8")[near], "distance": found[near]})
+
+    found = _blocks(corpus, queries, vector, key).mapInArrow(run, "query_id long, distance double")
+    return found.groupBy("query_id").agg(F.round(F.min("distance"), 6).alias("distance"))
+
+
+def confidence(distance: Column) -> Column:
+    """high, medium or low by the distance to the nearest row; null without one."""
+    return F.when(distance <= NEAR_DISTANCE, "high").when(distance <= FAR_DISTANCE, "medium").when(distance.isNotNull(), "low")
+
+
 def nearest(corpus: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
     """Distance to the nearest row, and the confidence it gives."""
     d = distance(F.col(vector), F.array(*(F.lit(float(x)) for x in query)))
-    return corpus.agg(F.round(F.min(d), 6).alias("distance")).withColumn("confidence", F.when(F.col("distance") <= NEAR_DISTANCE, "high").when(F.col("distance") <= FAR_DISTANCE, "medium").otherwise("low"))
+    return corpus.agg(F.round(F.min(d), 6).alias("distance")).withColumn("confidence", F.coalesce(confidence(F.col("distance")), F.lit("low")))
 
 
 def reranked(score: Column, preferred: Column, penalised: Column) -> Column:

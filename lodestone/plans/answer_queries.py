@@ -59,7 +59,7 @@ q AS (SELECT *, CAST(CASE WHEN rank % 2 = 1 THEN (rank + 1) / 2 ELSE count(*) OV
 u AS (SELECT *, CASE WHEN place = 1 THEN '' ELSE chr(10) || chr(10) END || head || content AS passage, sum(length(CASE WHEN place = 1 THEN '' ELSE '##' END || head || content)) OVER (PARTITION BY question ORDER BY place) AS used, {_BUDGET} - length(head) - {len(retrieval.CUT_MARK)} AS room FROM q),
 k AS (SELECT question, chunk_id, place, CASE WHEN used <= {_BUDGET} THEN passage ELSE head || left(content, room) || '{retrieval.CUT_MARK.replace(chr(10), "' || chr(10) || '")}' END AS passage, CASE WHEN used <= {_BUDGET} THEN content ELSE left(content, room) END AS body FROM u WHERE used <= {_BUDGET} OR (place = 1 AND room > 0)),
 c AS (SELECT question, string_agg(passage, '' ORDER BY place) AS context, string_agg(chunk_id, ',' ORDER BY place) AS sources FROM k GROUP BY 1),
-l AS (SELECT question, place, x.nth, trim(regexp_replace(x.s, '\\s+', ' ', 'g')) AS sentence FROM k, LATERAL (SELECT unnest(regexp_extract_all(body, '{answers.SENTENCE}')) AS s, generate_subscripts(regexp_extract_all(body, '{answers.SENTENCE}'), 1) AS nth) AS x),
+l AS (SELECT question, place, x.nth, trim(regexp_replace(replace(x.s, chr(1), '.'), '\\s+', ' ', 'g')) AS sentence FROM (SELECT * REPLACE (regexp_replace(body, '([0-9])[.]([0-9])', '\\1' || chr(1) || '\\2', 'g') AS body) FROM k) k, LATERAL (SELECT unnest(regexp_extract_all(body, '{answers.SENTENCE}')) AS s, generate_subscripts(regexp_extract_all(body, '{answers.SENTENCE}'), 1) AS nth) AS x),
 m AS (SELECT l.*, len(list_intersect({_words('sentence')}, {_words('text')})) AS shared FROM l JOIN {_ASKED} t USING (question) WHERE sentence <> ''),
 n AS (SELECT * FROM m WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY question ORDER BY shared DESC, place, nth) <= {answers.SENTENCES}),
 o AS (SELECT question, string_agg(sentence, ' ' ORDER BY place, nth) AS answer FROM n GROUP BY 1),

@@ -99,7 +99,10 @@ def _noted(t):
 
 register("loss_notes", f"""WITH s AS ({_shift_sql(DIRTY, _HALF)}), n AS (SELECT *, chr(39) || column_name || chr(39) || ': ' AS q FROM s) SELECT column_name, q || 'standard deviation changed by ' || round(abs(std_shift / std_before) * 100, 1) || '% after cleaning' AS note FROM n WHERE abs(std_shift / std_before) > 0.1
 UNION ALL SELECT column_name, q || 'sample size reduced from ' || n_before || ' to ' || n_after || ' due to row removal' FROM n WHERE kind = 'numeric' AND n_after < n_before UNION ALL SELECT column_name, q || 'category distribution shifted with Total Variation Distance ' || printf('%.4f', tvd) FROM n WHERE tvd > 0.15""")(_noted)
-register("category_difference", "SELECT ['P'] AS removed, ['X'] AS added FROM orders LIMIT 1")(lambda t: cleaning.category_shift(t("orders"), t("orders").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END")), "o_orderstatus").select("added", "removed"))
+_CATEGORY = "CASE WHEN event_type = 'click' AND user_id % 2 = 0 THEN 'tap' WHEN event_type = 'error' THEN 'fault' ELSE event_type END"
+register("category_difference", f"""WITH b AS (SELECT DISTINCT event_type AS v FROM events WHERE event_type IS NOT NULL), a AS (SELECT DISTINCT {_CATEGORY} AS v FROM events WHERE event_type IS NOT NULL)
+SELECT (SELECT coalesce(string_agg(v, ',' ORDER BY v), '') FROM a WHERE v NOT IN (SELECT v FROM b)) AS added, (SELECT coalesce(string_agg(v, ',' ORDER BY v), '') FROM b WHERE v NOT IN (SELECT v FROM a)) AS removed""")(
+    lambda t: cleaning.category_shift(t("events"), t("events").withColumn("event_type", F.expr(_CATEGORY)), "event_type").select(*(F.array_join(c, ",").alias(c) for c in ("added", "removed"))))
 
 # --- whole records, rows of issues, cleaning as one call ----------------------------
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domain
 from ..operators import evaluate
-from .catalog import _r, register
+from .catalog import SQL, _r, register
 
 _WORDS = {
     0: ("concat('Use CO=', p_size, '% and ', p_size % 10, '% h2; sinter at 60%, 30% ore')", "p_size, p_size % 10, CASE WHEN p_size + p_size % 10 < 100 THEN 100 - p_size - p_size % 10 ELSE 0 END, 60, 30, 0"),
@@ -59,3 +59,14 @@ register("best_models", f"SELECT target, arg_min(model, rmse) AS model, min(rmse
 register("fold_metrics", """WITH f AS (SELECT l_orderkey % 5 AS fold, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, 1 - avg(e * e) / var_pop(y) AS r2 FROM (SELECT l_orderkey, l_extendedprice AS y, l_extendedprice - l_quantity * 1500 AS e FROM lineitem) GROUP BY 1)
 SELECT count(*) AS folds, round(avg(mae), 6) AS mae_mean, round(stddev_pop(mae), 6) AS mae_std, round(avg(rmse), 6) AS rmse_mean, round(stddev_pop(rmse), 6) AS rmse_std, round(avg(r2), 6) AS r2_mean, round(stddev_pop(r2), 6) AS r2_std FROM f""")(
     lambda t: evaluate.fold_metrics(t("lineitem").selectExpr("l_orderkey % 5 AS fold", "l_extendedprice AS y", "l_quantity * 1500 AS guess"), "y", "guess"))
+
+#: Every part as an experiment: two measures, gases and a burden in words, a type.
+_GASES, _TYPES = "concat('CO=', p_size, ' H2=5 N2=', 60 - p_size)", ["dry", "unknown", "wet"]
+_SCALES = {"p_size": (1.0, 50.0), "p_retailprice": (900.0, 2000.0)}
+_CELLS = [
+    "(p_size - 1) / 49.0", "(p_retailprice - 900) / 1100", "p_size / 100.0", "0.05", "(60 - p_size) / 100.0", "sinter_pct / 100", "ore_pct / 100", "pellet_pct / 100", "other_pct / 100", "(num_components - 1) / 5.0",
+    "p_size * (p_size / 10.0)", "(p_size + 5) / (60 - p_size + 0.00001)", "(p_size / 10.0) * sinter_pct", *(f"CASE WHEN p_partkey % 3 = {k} THEN 1 ELSE 0 END" for k in (0, 2, 1)),
+]
+register("model_features", "SELECT p_partkey, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS f{i}" for i, c in enumerate(_CELLS)) + f" FROM part JOIN ({SQL['burden_parts']}) USING (p_partkey)")(
+    lambda t: t("part").withColumn("basicity", F.expr("p_size / 10.0D")).select("p_partkey", domain.features(_SCALES, "basicity", F.expr(_GASES), F.expr(_FORMULA), F.expr("CASE p_partkey % 3 WHEN 0 THEN 'dry' WHEN 1 THEN 'wet' END"), _TYPES).alias("v"))
+    .select("p_partkey", *(F.round(F.get("v", F.lit(i)), 6).alias(f"f{i}") for i in range(len(_CELLS)))))

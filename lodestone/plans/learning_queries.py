@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import learning
+from ..operators import learning, retrieval
 from . import workflows
 from .catalog import _r, register
 
@@ -74,6 +74,26 @@ SELECT l_orderkey, l_linenumber, CASE WHEN issue IS NULL THEN round(a + b1 * x +
     lambda t: _r(learning.predict(_asked(t), learning.by_line(learning.ridge(learning.moments(t("lineitem"), "l_extendedprice", _FEATURES)), _FEATURES), _RANGES))
     .select("l_orderkey", "l_linenumber", F.round("prediction", 4).alias("prediction"), "valid", "issue", F.array_join("warnings", "; ").alias("warnings")))
 
+_ITEM = "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_size AS {text}) END AS p_size, p_retailprice / 100 AS price"
+_KNOWN = "(SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS z FROM part WHERE p_partkey % 2 = 1)"
+register("calculator", f"""WITH m AS (SELECT sy / n - b1 * s1 / n - b2 * s2 / n AS a, b1, b2 FROM (SELECT *, (c22 * c1y - c12 * c2y) / (c11 * c22 - c12 * c12) AS b1, (c11 * c2y - c12 * c1y) / (c11 * c22 - c12 * c12) AS b2 FROM (SELECT count(*) AS n, sum(x) AS s1, sum(z) AS s2, sum(p_partkey) AS sy,
+  sum(x * x) - s1 * s1 / n + 1 AS c11, sum(z * z) - s2 * s2 / n + 1 AS c22, sum(x * z) - s1 * s2 / n AS c12, sum(x * p_partkey) - s1 * sy / n AS c1y, sum(z * p_partkey) - s2 * sy / n AS c2y FROM {_KNOWN}))),
+i AS (SELECT p_partkey, try_cast(p_size AS DOUBLE) AS x, price AS z FROM (SELECT p_partkey, {_ITEM.format(text='VARCHAR')} FROM part) WHERE p_partkey % 50 = 0),
+d AS (SELECT i.p_partkey, round(min(sqrt((i.x - k.x) * (i.x - k.x) + (i.z - k.z) * (i.z - k.z))), 6) AS distance FROM i, {_KNOWN} k WHERE i.x IS NOT NULL GROUP BY 1)
+SELECT i.p_partkey, CASE WHEN x IS NOT NULL THEN round(a + b1 * x + b2 * z, 4) END AS prediction, x IS NOT NULL AS valid, distance, CASE WHEN x IS NULL THEN 'failed' WHEN distance <= 1.05 THEN 'high' WHEN distance <= 1.82 THEN 'medium' ELSE 'low' END AS confidence FROM i CROSS JOIN m LEFT JOIN d USING (p_partkey)""")(
+    lambda t: _calculated(t).select("p_partkey", F.round("prediction", 4).alias("prediction"), "valid", "distance", "confidence"))
+register("nearest_distances", "SELECT q.vec_id AS query_id, round(min(list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[])), 6) AS distance FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY 1")(
+    lambda t: retrieval.nearest_in_blocks(t("embeddings"), t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))))
+
+
+def _calculated(t):
+    """The stated inputs, parts whose key is divisible by 50, against all training rows."""
+    parts = t("part").selectExpr("p_partkey", "CAST(p_size AS DOUBLE) AS p_size", "p_retailprice / 100 AS price").where("p_partkey % 2 = 1")
+    model = learning.ridge(learning.moments(parts, "p_partkey", ["p_size", "price"]))
+    asked = t("part").selectExpr("p_partkey", *_cells(_ITEM.format(text="STRING"))).where("p_partkey % 50 = 0")
+    return learning.calculate(asked, "p_partkey", learning.by_line(model, ["p_size", "price"]), {"p_size": (1, 50), "price": None}, parts, "p_partkey")
+
+
 # --- workflows --------------------------------------------------------------------
 
 _RULES = {"small_and_cheap": "l_quantity < 5 AND l_extendedprice < 2000", "never": "l_quantity < 0"}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fidelity, text
 from ..operators import evaluate, retrieval
-from .catalog import _LIST, _QUERY, _WORDS, TURN_PAIRS, _turn_pairs, register
+from .catalog import _LIST, _QUERY, TURN_PAIRS, _turn_pairs, register
 
 # --- chunks ---------------------------------------------------------------------
 
@@ -53,18 +54,25 @@ for _k, _q in enumerate(_CASES):
 register("cosine", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_LIST}), 6) AS cosine FROM embeddings")(lambda t: t("embeddings").select("vec_id", F.round(retrieval.cosine(F.col("embedding"), F.array(*map(F.lit, _QUERY))), 6).alias("cosine")))
 register("similar_rows", """WITH s AS (SELECT avg(p_size) m1, stddev_pop(p_size) s1, avg(p_retailprice) m2, stddev_pop(p_retailprice) s2 FROM part), z AS (SELECT p_partkey, (p_size - m1) / s1 AS a, (p_retailprice - m2) / s2 AS b, (10 - m1) / s1 AS c, (1200 - m2) / s2 AS d FROM part, s)
 SELECT p_partkey, round((a * c + b * d) / sqrt((a * a + b * b) * (c * c + d * d)), 6) AS similarity FROM z ORDER BY similarity DESC, p_partkey LIMIT 5""")(lambda t: retrieval.similar(t("part"), {"p_size": 10, "p_retailprice": 1200}, 5, "p_partkey"))
-_PASSAGE = "'[Source ' || rank || ': bench | Role: reference | Section: body]' || chr(10) || text"
-register("context_pack", f"""WITH r AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS rank, count(*) OVER () AS n FROM benchmark), p AS (SELECT rank, CAST(CASE WHEN rank % 2 = 1 THEN (rank + 1) / 2 ELSE n - rank / 2 + 1 END AS BIGINT) AS place, {_PASSAGE} AS passage FROM r),
-c AS (SELECT place, CAST(rank AS INT) AS rank, CASE WHEN place = 1 THEN '' ELSE chr(10) || chr(10) END || passage AS passage FROM p), u AS (SELECT *, sum(length(passage)) OVER (ORDER BY place) AS used FROM c) SELECT place, rank, passage FROM u WHERE used <= 3000""")(
-    lambda t: retrieval.context(_ranked(t), 3000).drop("body"))
-register("context_pack_cut", f"WITH p AS (SELECT {_PASSAGE} AS passage FROM (SELECT text, 1 AS rank FROM benchmark ORDER BY item_id LIMIT 1)) SELECT CAST(1 AS BIGINT) AS place, 1 AS rank, left(passage, 100 - 43) || chr(10) || '[Passage truncated to fit context budget.]' AS passage FROM p")(lambda t: retrieval.context(_ranked(t), 100).drop("body"))
+#: The passages of a conversation are its turns, ranked in their order.
+_TURNS = "(SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, count(*) OVER (PARTITION BY conv_id) AS n, '[Source ' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || ': talk | Role: ' || role || ' | Section: turn]' || chr(10) AS head FROM conversations)"
 
 
-def _ranked(t):
-    from pyspark.sql import Window
+def _packed(budget: int) -> str:
+    """conv_id, place, rank, passage of every conversation's context."""
+    return f"""WITH p AS (SELECT conv_id, rank, CAST(CASE WHEN rank % 2 = 1 THEN (rank + 1) / 2 ELSE n - rank / 2 + 1 END AS BIGINT) AS place, head, text FROM {_TURNS}),
+u AS (SELECT *, CASE WHEN place = 1 THEN '' ELSE chr(10) || chr(10) END || head || text AS passage, sum(length(head || text) + CASE WHEN place = 1 THEN 0 ELSE 2 END) OVER (PARTITION BY conv_id ORDER BY place) AS used, {budget} - length(head) - 43 AS room FROM p)
+SELECT conv_id, place, CAST(rank AS INT) AS rank, CASE WHEN used <= {budget} THEN passage ELSE head || left(text, room) || chr(10) || '[Passage truncated to fit context budget.]' END AS passage FROM u WHERE used <= {budget} OR (place = 1 AND room > 0)"""
 
-    return t("benchmark").select("item_id", F.row_number().over(Window.orderBy("item_id")).alias("rank"), F.lit("bench").alias("source"), F.lit("reference").alias("role"), F.lit("body").alias("section"), F.col("text").alias("content"))
 
+def _contexts(t, budget: int):
+    by_turn = Window.partitionBy("conv_id").orderBy("turn")
+    ranked = t("conversations").select("conv_id", F.row_number().over(by_turn).alias("rank"), F.lit("talk").alias("source"), "role", F.lit("turn").alias("section"), F.col("text").alias("content"))
+    return retrieval.context(ranked, budget, ["conv_id"]).drop("body")
+
+
+register("context_pack", _packed(900))(lambda t: _contexts(t, 900))
+register("context_pack_cut", _packed(100))(lambda t: _contexts(t, 100))
 
 # --- fidelity -------------------------------------------------------------------
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, learning, profile, relate
+from ..operators import answers, evaluate, learning, profile, relate
 from ..operators.query import nan_free, q
 
 REPORT = "section string, name string, value double"
@@ -53,8 +53,23 @@ def productivity(df: DataFrame, target: str, features: Sequence[str], key: str,
     ends = relate.target_correlations(df, target, list(features))
     named = ends.select(F.lit("correlations").alias("section"), F.col("feature").alias("name"), F.round("r", 4).alias("value"))
     family = learning.FAMILIES["RandomForest"](featuresCol=learning.FEATURES, labelCol="_label", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)
-    rows = learning.hashed_folds(df.where(q(target).isNotNull()), key, folds, "_fold").select(q(target).cast("double").alias("_label"), "_fold", *(F.coalesce(q(f).cast("double"), F.lit(float("nan"))).alias(f) for f in features))
-    scored = learning.scored_over_folds(learning.assembler(features).transform(rows), family, folds)
+    rows = learning.hashed_folds(df.where(q(target).isNotNull()), key, folds, "_fold").select(q(target).cast("double").alias("_label"), "_fold", *(q(f).cast("double").alias(f) for f in features))
+    scored = learning.scored_over_folds(learning.prepared(rows, features), family, folds)
     e = evaluate.fold_metrics(scored, "_label", "prediction", "_fold")
     model = _rows(e, "evaluation", folds=F.col("folds"), mae=F.col("mae_mean"), rmse=F.col("rmse_mean"), r2=F.col("r2_mean"), r2_std=F.col("r2_std"))
     return reduce(DataFrame.unionByName, [_figures(df, target), named, _anomalies(df, rules), model])
+
+
+def explained_predictions(df: DataFrame, key: str, score, features: dict, training: DataFrame, training_key: str, passages: DataFrame, target: str, top_n: int = 3) -> DataFrame:
+    """``learning.calculate`` of every row with question, state, answer and sources: what the
+    passages say of the target at the row's features that are furthest from the middle of
+    their range.  Rows that aren't valid aren't asked about."""
+    done = learning.calculate(df, key, score, features, training, training_key)
+    kinds, ranged = dict(df.dtypes), {c: r for c, r in features.items() if r}
+    value = lambda c: q(c).try_cast("double") if kinds[c] == "string" else q(c).cast("double")
+    off = F.array(*(F.struct(F.abs(value(c) * 2 - (r[0] + r[1])).alias("d"), F.lit(c.replace("_", " ")).alias("c")) for c, r in ranged.items()))
+    most = F.transform(F.slice(F.reverse(F.sort_array(off)), 1, 2), lambda x: x["c"])
+    question = F.concat(F.lit(f"Explain {target.replace('_', ' ')} and the effect of "), F.array_join(most, " and "))
+    asked = done.where("valid").select(q(key), question.alias("question"))
+    told = answers.answer_all(asked, passages, key, "question", top_n).join(asked, key)
+    return done.join(told, key, "left")

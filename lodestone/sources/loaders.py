@@ -65,6 +65,28 @@ def read_experiments(spark: SparkSession, path: str, repair: bool = True) -> tup
     return (domain.repaired(df) if repair else df).orderBy("row_index"), issues
 
 
+def read_registered(spark: SparkSession, dataset_id: str, path: str) -> DataFrame:
+    """A known dataset by its id, from a file or folder; an id that isn't known is an
+    error."""
+    readers = {"steel_energy": read_energy, "sinter_productivity": lambda s, p: read_sinter(s, p)[0], "blast_furnace": lambda s, p: read_experiments(s, p)[0]}
+    if dataset_id not in readers:
+        raise ValueError(f"Unknown dataset: {dataset_id}")
+    return readers[dataset_id](spark, path)
+
+
+def promoted(df: DataFrame, header: int = 1, unnamed: str = "Test Type") -> DataFrame:
+    """A table whose names stand in one of its rows (from 0, in ``row``), which many
+    exports have: the names are taken from it, that and the rows before it go, and a
+    column without a name gets one.  ``row`` numbers the rows and goes too."""
+    names = df.where(q("row") == header).drop("row").head()
+    if names is None:
+        raise ValueError("The row of names isn't there.")
+    found = [str(n).strip() if n is not None and str(n).strip() else unnamed for n in names]
+    if len(set(found)) != len(found):
+        raise ValueError("Duplicate column names.")
+    return df.where(q("row") > header).drop("row").toDF(*found)
+
+
 # --- sinks ----------------------------------------------------------------------
 
 

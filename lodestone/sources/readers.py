@@ -7,6 +7,7 @@ import functools
 import io
 import json
 import re
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text
+
 MAX_SOURCE_BYTES = 100 * 1024 * 1024
 BOM = "\ufeff"
 
@@ -59,7 +62,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     names = next(csv.reader(io.StringIO(head)))
     if len(set(names)) != len(names):
         raise ValueError("Duplicate column names.")
-    return spark.read.csv(path, header=True, inferSchema=True, mode="FAILFAST", multiLine='"' in head, escape='"')
+    # A quoted line end may stand anywhere, and files are bounded in size.
+    return spark.read.csv(path, header=True, inferSchema=True, mode="FAILFAST", multiLine=True, escape='"')
 
 
 def _flat(pairs: list[tuple[str, object]]) -> dict:
@@ -100,10 +104,31 @@ def read_documents(spark: SparkSession, path: str, strict: bool = False) -> Data
     go; texts with control characters go too, or are an error if ``strict``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
     head = F.hex(F.substring("content", 1, 2))
-    text = F.when(head.isin("FFFE", "FEFF"), F.decode("content", "UTF-16")).when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), f"^{BOM}", "")).otherwise(_windows_1252(F.col("content")))
+    read = F.when(head.isin("FFFE", "FEFF"), F.decode("content", "UTF-16")).when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), f"^{BOM}", "")).otherwise(_windows_1252(F.col("content")))
     root = path.rstrip("/").rsplit("/", 1)[-1]
-    rows = files.select(F.substring_index("path", f"/{root}/", -1).alias("source"), text.alias("text")).where(F.trim("text") != "")
+    rows = files.select(F.substring_index("path", f"/{root}/", -1).alias("source"), read.alias("text")).where(F.trim("text") != "")
     odd = F.col("text").rlike(r"[\x00-\x08\x0b\x0e-\x1f]")
     if strict and not (bad := rows.where(odd).select("source").limit(5)).isEmpty():
         raise ValueError(f"Control characters in: {', '.join(r.source for r in bad.collect())}")
     return rows.where(~odd).orderBy("source")
+
+
+def load_chunks(spark: SparkSession, *folders: str, strict: bool = False) -> DataFrame:
+    """The chunks (of ``text.chunks``) of all text files below the folders; a file's source
+    begins with its folder's name where there are several."""
+    found = []
+    for folder in folders:
+        docs = read_documents(spark, folder, strict)
+        name = folder.rstrip("/").rsplit("/", 1)[-1]
+        found.append(docs if len(folders) == 1 else docs.withColumn("source", F.concat(F.lit(name + "/"), "source")))
+    return text.chunks(reduce(DataFrame.unionByName, found))
+
+
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """Eight digits that change when a file below a folder comes, goes, grows or is written
+    again; contents aren't read, and the files' order doesn't matter."""
+    root = folder.rstrip("/").rsplit("/", 1)[-1]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    one = F.xxhash64(F.substring_index("path", f"/{root}/", -1), "length", F.unix_micros("modificationTime"))
+    row = files.select(one.alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).alias("s"))
+    return row.select(F.left(F.md5(F.concat_ws("|", "n", "x", "s")), F.lit(8))).head()[0]
