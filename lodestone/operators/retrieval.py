@@ -64,7 +64,7 @@ def top_k_in_blocks(corpus: DataFrame, queries: DataFrame, k: int, vector: str =
     """What ``top_k_of`` gives, for query sets that grow with the corpus: keys are whole
     numbers, unique in both, and vectors have one length.  A block of corpus rows meets
     a block of queries as a matrix product, and a task keeps k rows a query.  Rows
-    without a score come last; ties go to the smaller key."""
+    without a score are left out; ties go to the smaller key."""
 
     def first(keys, scores):
         low = np.where(np.isnan(scores), -np.inf, scores)
@@ -89,7 +89,7 @@ def top_k_in_blocks(corpus: DataFrame, queries: DataFrame, k: int, vector: str =
 
     blocks = _blocks(corpus, queries, vector, key)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return blocks.mapInArrow(run, f"query_id long, `{key}` long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return blocks.mapInArrow(run, f"query_id long, `{key}` long, score double").where(scorable(F.col("score"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _blocks(corpus: DataFrame, queries: DataFrame, vector: str, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import domain, text
-from ..operators import cleaning, evaluate, learning, profile, query, relate, retrieval
+from ..operators import cleaning, evaluate, learning, order, profile, query, relate, retrieval
 from ..sources import catalogue, loaders
 
 QUERIES: dict = {}
@@ -163,8 +163,8 @@ def _metrics(t):
 
 register("rerank", "SELECT vec_id, round(CASE WHEN label = 1 THEN s + abs(s) * 0.15 WHEN label = 2 THEN s - abs(s) * 0.25 ELSE s END, 6) AS adjusted FROM (SELECT vec_id, label, list_inner_product(embedding::DOUBLE[], " + _LIST + ") AS s FROM embeddings)")(
     lambda t: t("embeddings").select("vec_id", "label", retrieval.inner_product(F.col("embedding"), F.array(*map(F.lit, _QUERY))).alias("s")).select("vec_id", F.round(retrieval.reranked(F.col("s"), F.col("label") == 1, F.col("label") == 2), 6).alias("adjusted")))
-register("edge_order", "SELECT conv_id, turn, CAST(CASE WHEN k % 2 = 1 THEN (k + 1) / 2 ELSE n - k / 2 + 1 END AS BIGINT) AS place FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)")(
-    lambda t: t("conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("k"), F.count("*").over(Window.partitionBy("conv_id")).alias("n")).select("conv_id", "turn", retrieval.edge_position(F.col("k"), F.col("n")).alias("place")))
+register("edge_order", "SELECT item_id, CAST(CASE WHEN k % 2 = 1 THEN (k + 1) / 2 ELSE n - k / 2 + 1 END AS BIGINT) AS place FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS k, count(*) OVER () AS n FROM benchmark)")(
+    lambda t: order.running(t("benchmark").select("item_id", F.lit(1).cast("long").alias("one")), "item_id", "one").crossJoin(F.broadcast(t("benchmark").agg(F.count("*").alias("n")))).select("item_id", retrieval.edge_position(F.col("upto_one"), F.col("n")).alias("place")))
 
 register("paragraphs", r"WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text || chr(10) || chr(10) || role, '\n[ \t]*\n'), lambda x: trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'))), lambda x: x <> '') AS ps FROM conversations) SELECT conv_id * 1000 + turn AS k, i - 1 AS position, ps[i] AS content FROM p, range(1, CAST(len(ps) + 1 AS BIGINT)) AS t(i)")(
     lambda t: text.paragraphs(t("conversations").selectExpr("conv_id * 1000 + turn AS k", "concat(text, '\n\n', role) AS text"), "k"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fidelity, text
-from ..operators import evaluate, retrieval
+from ..operators import evaluate, order, retrieval
 from .catalog import _LIST, _QUERY, TURN_PAIRS, _turn_pairs, register
 
 # --- chunks ---------------------------------------------------------------------
@@ -71,8 +71,20 @@ def _contexts(t, budget: int):
     return retrieval.context(ranked, budget, ["conv_id"]).drop("body")
 
 
-register("context_pack", _packed(900))(lambda t: _contexts(t, 900))
-register("context_pack_cut", _packed(100))(lambda t: _contexts(t, 100))
+register("contexts_by_conversation", _packed(900))(lambda t: _contexts(t, 900))
+register("contexts_by_conversation_cut", _packed(100))(lambda t: _contexts(t, 100))
+_PASSAGE = "'[Source ' || rank || ': bench | Role: reference | Section: body]' || chr(10) || text"
+register("context_pack", f"""WITH r AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS rank, count(*) OVER () AS n FROM benchmark), p AS (SELECT rank, CAST(CASE WHEN rank % 2 = 1 THEN (rank + 1) / 2 ELSE n - rank / 2 + 1 END AS BIGINT) AS place, {_PASSAGE} AS passage FROM r),
+c AS (SELECT place, CAST(rank AS INT) AS rank, CASE WHEN place = 1 THEN '' ELSE chr(10) || chr(10) END || passage AS passage FROM p), u AS (SELECT *, sum(length(passage)) OVER (ORDER BY place) AS used FROM c) SELECT place, rank, passage FROM u WHERE used <= 3000""")(
+    lambda t: retrieval.context(_ranked(t), 3000).drop("body"))
+register("context_pack_cut", f"WITH p AS (SELECT {_PASSAGE} AS passage FROM (SELECT text, 1 AS rank FROM benchmark ORDER BY item_id LIMIT 1)) SELECT CAST(1 AS BIGINT) AS place, 1 AS rank, left(passage, 100 - 43) || chr(10) || '[Passage truncated to fit context budget.]' AS passage FROM p")(lambda t: retrieval.context(_ranked(t), 100).drop("body"))
+
+
+def _ranked(t):
+    """All items ranked by their id, without a task that sorts them all."""
+    rows = t("benchmark").select("item_id", F.col("text").alias("content"), F.lit(1).cast("long").alias("one"))
+    ranked = order.running(rows.select("item_id", "one"), "item_id", "one").select("item_id", F.col("upto_one").cast("int").alias("rank"))
+    return rows.join(ranked, "item_id").select("item_id", "rank", F.lit("bench").alias("source"), F.lit("reference").alias("role"), F.lit("body").alias("section"), "content")
 
 # --- fidelity -------------------------------------------------------------------
 
