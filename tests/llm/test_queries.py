@@ -47,7 +47,7 @@ def test_sql(spark, name, folder):
     assert found.columns == df.columns
     rows = df.collect()
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, found.fetchall()))
-    if name.startswith("op1") and folder != SMALL:  # here cutoffs decide beyond the base rules
+    if name.startswith("op1_") and folder != SMALL:  # here cutoffs decide beyond the base rules
         assert sum(not r.kept and not r.base_failed for r in rows) > 100
 
 
