@@ -60,6 +60,10 @@ def condition_numbers(text: Column) -> Column:
     return _once(F.lower(F.coalesce(text, F.lit(""))), lambda low: _once(read(low), settle))
 
 
+# Fixed values, in the two functions below: the texts of their warnings and the bounds that
+# call for them.
+
+
 def _group(parts: dict[str, Column], name: str) -> tuple[dict[str, Column], Column]:
     """Shares of 100 and the warning that goes with making them so."""
     total = sum(parts.values(), F.lit(0.0))

@@ -58,6 +58,10 @@ def _percent(c: Column) -> Column:
     return F.format_string("%.0f%%", c * 100)
 
 
+# Fixed values, in the functions below: the ids of findings, their methods and the texts of
+# their observations.
+
+
 @nan_free
 def attribute_findings(df: DataFrame) -> DataFrame:
     """Gaps, emptiness, candidate roles, outliers, skew, mixed texts, times: by column."""
