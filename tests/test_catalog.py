@@ -43,3 +43,13 @@ def test_a_search_over_a_table_gives_the_same_models_again(spark):
 def test_report_of_a_forest(spark):
     found = {(r.section, r.name): r.value for r in catalog.QUERIES["workflow_productivity"](spark, TABLES).collect()}
     assert found["statistics", "rows"] == 2000 and found["evaluation", "folds"] == 2 and ("anomalies", "small") in found
+
+
+def test_topics_beside_letters_beyond_ascii_equal_sql(spark, tmp_path):
+    texts = ["éque", "les\u0301 x", "ÉAND", "lesß", "and\u0663", "中and", "\u0130and", "x and y", "and_", "of the que", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
+    ours = {r.item_id: r.topic for r in catalog.QUERIES["topic_detect"](spark, str(tmp_path)).collect()}
+    assert ours == dict(c.sql(catalog.SQL["topic_detect"]).fetchall())
+    assert [ours[k] for k in (0, 2, 5, 6, 8)] == ["two", "one", "one", None, None]
