@@ -124,3 +124,32 @@ def test_workflow_of_a_forest(spark, trained):
     found = {(r.section, r.name): r.value for r in workflows.productivity(trained[0], "y", ["a", "b"], "k", {"low": "a < 0.1", "none": "a < 0"}, trees=5, depth=3, folds=3).collect()}
     assert found["statistics", "rows"] == 240 and found["evaluation", "folds"] == 3 and found["evaluation", "r2"] > 0.5
     assert found["correlations", "a"] > 0.7 and ("anomalies", "low") in found and ("anomalies", "none") not in found
+
+
+def shuffled_rows(spark):
+    """How many rows all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_ridge_over_time_moves_rows_once(spark):
+    df = spark.range(20_000).selectExpr("id % 40 AS g", "id AS t", "CAST(id % 7 AS double) AS x", "CAST(id % 13 AS double) AS y")
+    before = shuffled_rows(spark)
+    assert len(learning.ridge_over_time(df, "y", ["x"], "g", ["t"]).collect()) == 120
+    assert 20_000 <= shuffled_rows(spark) - before < 30_000
+
+
+def test_folds_of_large_groups(spark, series, monkeypatch):
+    rows, df = series
+    models = lambda: sorted(map(str, learning.ridge_over_time(df, "y", ["x1", "x2", "x3"], "g", ["t"]).select("g", "fold", "n", "tested").collect()))
+    plain = models()
+    monkeypatch.setattr(learning, "PLAIN_ROWS", 5)
+    parted, cells = learning._parted(df, "g", ["t"], 3, "fold")
+    assert cells.count() > cells.select("_g").distinct().count() == 3  # dealt out by their keys
+    assert {(r.g, r.t): r.fold for r in parted.collect()} == {(g, k): f for g, n in (("a", 60), ("b", 41), (None, 20)) for k, f in enumerate(folds_of(n, 3))}
+    assert models() == plain
+    tied = df.withColumn("t", (F.col("t") / 8).cast("int"))  # ties count as the last of them
+    wanted = {("a", k // 8): max(0, 3 - (60 - min(60, (k // 8 + 1) * 8)) // 15) for k in range(60)}
+    assert {(r.g, r.t): r.fold for r in learning.grouped_time_folds(tied, "g", ["t"]).collect() if r.g == "a"} == wanted
