@@ -10,7 +10,7 @@ together by Adam; the gradient flows through each filter's winning chunk.
 
 The network is fitted on a bounded sample, ``SAMPLE`` labelled documents of each
 class (by a hash of the doc_id, never from the held-out quarter), which come whole to
-the driver, and scores every document, whole and slice by slice.
+one task, and scores every document, whole and slice by slice.
 
 Query ``op7_byte_cnn_quality``: one row per row of ``documents``.  Null and empty
 texts get the score of an empty document; null doc_ids are never held out and
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, frugal, read_table, text_bytes
+from .common import docs_of, frugal, learned, read_table, text_bytes
 
 FILTERS, WIDTH = 16, 6
 BLOCK = 256  # a chunk is two blocks; chunks start at each block
@@ -154,25 +154,28 @@ class ByteNet:
                     grads[0][k, :, f] += np.float32(d) * np.bincount(s[on + k], minlength=512)
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """Texts and labels; the ids are chosen from the labels alone, at most
+def training_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """doc_id, quality, text; the ids are chosen from the labels alone, at most
     ``2 * size`` of them, so only those rows' texts move."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     texts = docs_of(documents, "doc_id", "text").where("text <> ''")
     chosen = [marks.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for q in (0, 1)]
-    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
-    return [(r.text.encode("utf-8"), r.quality) for r in sorted(rows, key=lambda r: r.doc_id)]
+    return texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
-def train(documents: DataFrame, labels: DataFrame) -> ByteNet:
-    sample = training_sample(documents, labels)
-    net, marks = ByteNet(), [q for _, q in sample]
+def fitted(sample: list[dict]) -> ByteNet:
+    sample.sort(key=lambda r: r["doc_id"])
+    net, marks = ByteNet(), [r["quality"] for r in sample]
     if len(set(marks)) < 2:
         share = 0.5 if not marks else min(0.99, max(0.01, float(np.mean(marks))))
         net.out[:] = 0
         net.base = np.float32(np.log(share / (1 - share)))
         return net
-    return net.fit([np.frombuffer(t, np.uint8) for t, _ in sample], marks)
+    return net.fit([np.frombuffer(r["text"].encode("utf-8"), np.uint8) for r in sample], marks)
+
+
+def train(documents: DataFrame, labels: DataFrame) -> ByteNet:
+    return learned(training_sample(documents, labels), fitted)
 
 
 def score_of(net: ByteNet, text: Column) -> Column:

@@ -9,8 +9,8 @@ rejected if the cosine is under its language's bound, ``REJECT_SHARE`` of the
 ``REJECT_QUANTILE`` of that language's learning texts' cosines.
 
 The model is fitted on a bounded sample (``PER_LANG`` documents of each language,
-by a hash of the doc_id, never from the held-out quarter, each of them whole; the
-driver gets the dampened counts, which have a fixed size) and classifies every text,
+by a hash of the doc_id, never from the held-out quarter, each of them whole; one
+task gets the dampened counts, which have a fixed size) and classifies every text,
 whole and slice by slice.
 
 Query ``op9_centroid_langid``: one row per row of ``documents``.  Null texts and
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytecnn import held_out
-from .common import Workspace, docs_of, frugal, read_table, text_bytes
+from .common import Workspace, docs_of, frugal, learned, read_table, text_bytes
 
 BIGRAMS, TRIGRAMS = 1 << 12, 1 << 13
 DIMS = 256 + BIGRAMS + TRIGRAMS
@@ -84,12 +84,16 @@ class Centroids:
         return v / norm if norm else v
 
     def fit(self, langs: list[str], rows: np.ndarray, clusters: int = CLUSTERS, seed: int = 3) -> Centroids:
-        """``rows``: the dampened counts of each text, which become its vectors."""
+        """``rows``: the dampened counts of each text, which become its vectors, some
+        rows at a time, so that no second table of this size is held."""
         if not langs:
             return self
-        self.idf = np.log((1 + len(rows)) / (1 + np.count_nonzero(rows, axis=0))).astype(np.float32) + np.float32(0.1)
-        rows *= self.idf
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+        blocks = [rows[at : at + 64] for at in range(0, len(rows), 64)]
+        found_in = sum(np.count_nonzero(block, axis=0) for block in blocks)
+        self.idf = np.log((1 + len(rows)) / (1 + found_in)).astype(np.float32) + np.float32(0.1)
+        for block in blocks:
+            block *= self.idf
+            block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-9)
         names = np.array(langs)
         rng, found, bounds = np.random.default_rng(seed), [], []
         for lang in sorted(set(names.tolist())):
@@ -141,13 +145,18 @@ def train(documents: DataFrame, per_lang: int = PER_LANG) -> Centroids:
             yield pa.RecordBatch.from_pydict({"lang": [lang for lang, _ in kept], "places": [p.astype("<i4").tobytes() for p in places], "values": [v[p].tobytes() for (_, v), p in zip(kept, places)]}, schema=schema)
 
     schema = pa.schema([("lang", pa.string()), ("places", pa.binary()), ("values", pa.binary())])
-    found = learning_texts(documents, work, per_lang).mapInArrow(counted, "lang string, places binary, values binary").collect()
-    found.sort(key=lambda r: (r["lang"], r["places"], r["values"]))
-    rows = np.zeros((len(found), DIMS), np.float32)
-    for row, one in zip(rows, found):
-        row[np.frombuffer(one["places"], "<i4")] = np.frombuffer(one["values"], "<f4")
+    sample = learning_texts(documents, work, per_lang).mapInArrow(counted, "lang string, places binary, values binary")
+    model = learned(sample, fitted)
     work.drop("langs", "chosen")
-    return Centroids().fit([one["lang"] for one in found], rows)
+    return model
+
+
+def fitted(sample: list[dict]) -> Centroids:
+    sample.sort(key=lambda r: (r["lang"], r["places"], r["values"]))
+    rows = np.zeros((len(sample), DIMS), np.float32)
+    for row, one in zip(rows, sample):
+        row[np.frombuffer(one["places"], "<i4")] = np.frombuffer(one["values"], "<f4")
+    return Centroids().fit([one["lang"] for one in sample], rows)
 
 
 def found_of(model: Centroids, text: Column) -> Column:

@@ -29,6 +29,13 @@ def _with_least(pairs: DataFrame, rows: int) -> DataFrame:
     return (pairs.join(least, "u") if rows <= PLAIN_ROWS else keyed_join(pairs, least, ["u"], "n", rows)).drop("n")
 
 
+def _with_each(edges: DataFrame, first: tuple, second: tuple) -> DataFrame:
+    """Two edges of each row of ``edges``.  A union would hold the plan of ``edges``
+    twice, and the driver plans and describes it anew after every stage."""
+    edge = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    return edges.select(F.inline(F.array(edge(*first), edge(*second))))
+
+
 def connected_components(edges: DataFrame, work: Workspace, name: str = "cc") -> DataFrame:
     """node, component (its smallest node), for every node that has an edge.
     ``edges``: u and v, integers; loops and repeated or reversed rows don't matter."""
@@ -37,11 +44,11 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "cc") ->
     state = _state(now)
     while state[0]:
         # large star: neighbours above a node link to the least of its neighbours and itself
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _with_each(now, ("u", "v"), ("v", "u"))
         large = _with_least(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # small star: neighbours below a node, and itself, link to the least of them
         low = _with_least(large, state[0])
-        small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = _with_each(low, ("v", "m"), ("u", "m")).where("u <> v").distinct()
         k += 1
         after = work.table(small, f"{name}{k}")
         work.drop(f"{name}{k - 1}")

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, docs_of, filesystem, frugal, map_memory, read_table
+from .common import Workspace, docs_of, filesystem, frugal, give_back, map_memory, read_table
 from .words import BATCH_BYTES, HARD, KEPT_CHARS, WordCoder, batches, default_tokenizer, load_tokenizer, parts_of
 
 LEXICON = 50_000
@@ -250,6 +250,8 @@ def compile_lexicon(docs: DataFrame, work: Workspace, tokenizer: str, size: int
     store.create_dir(path, recursive=True)
     with store.open_output_stream(f"{path}/lexicon") as out:
         out.write(Lexicon.build(ids).to_bytes())
+    del coder, words, ids
+    give_back()
     return folder, "lexicon"
 
 
